@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .repeats import op1_substring_dedup
+from .simhash import op3_simhash
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_simhash": op3_simhash,
 }
 
 SQL: dict[str, str] = {}
