@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .repeats import op1_substring_dedup
 from .simhash import op3_simhash
+from .tokens import op4_token_files
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash": op3_simhash,
+    "op4_token_files": op4_token_files,
 }
 
 SQL: dict[str, str] = {}
