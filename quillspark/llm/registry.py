@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontaminate
+from .mixing import OP9_SQL, op9_mix
 from .repeats import op1_substring_dedup
 from .simhash import op3_simhash
 from .tokens import op4_token_files
@@ -10,6 +12,11 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_mix": op9_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_decontaminate": OP5_SQL,
+    "op9_mix": OP9_SQL,
+}
