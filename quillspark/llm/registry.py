@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .langid import op2_language_id
 from .mixing import OP9_SQL, op9_mix
 from .repeats import op1_substring_dedup
 from .simhash import op3_simhash
@@ -10,6 +11,7 @@ from .tokens import op4_token_files
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
