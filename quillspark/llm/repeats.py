@@ -9,9 +9,9 @@
 3. Windows around an occurrence are hashed to 96 bits and grouped; the smallest document id owns the window, and in every
    other document its words are removed.
 
-Shuffled are: about 5 % of the words as (hash, id), the documents twice, and the windows that may recur. A phrase or
-window is emitted once per document, and counts are combined before the shuffle, so no key holds more than one row per
-document; the join on phrases is split by AQE where one is skewed.
+Shuffled are: about 5 % of the words as (hash, id), the documents twice, and the windows that may recur as (hash, id). A
+phrase or window is emitted once per document, and counts are combined before the shuffle, so no key holds more than one
+row per document; the join on phrases is split by AQE where one is skewed.
 
 Edge cases: null or empty text has no words and gives a row with zeros and an empty kept text. Documents of fewer words
 than the window are never touched. Rows with a null id can't be ordered: they keep all words and own no window. Rows
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import drop_table, read, table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -115,11 +115,11 @@ def _occurrences(window: int, k: int):
         rolling = Rolling()
         for batch in batches:
             docs, automaton = [], ahocorasick.Automaton()
-            for doc, tag, text, known in zip(batch["id"].to_pylist(), batch["tag"].to_pylist(), batch["text"], batch["phrases"], strict=True):
+            for doc, text, known in zip(batch["id"].to_pylist(), batch["text"], batch["phrases"], strict=True):
                 words = (text.as_py() or b"").split()
                 if doc is None or len(words) < window:
                     continue
-                docs.append((doc, tag, words))
+                docs.append((doc, words))
                 if known.is_valid:
                     grams = rolling(word_hashes(words), k)
                     confirmed = known.values.to_numpy().view(np.uint64)
@@ -129,7 +129,7 @@ def _occurrences(window: int, k: int):
             if not len(automaton):
                 continue
             automaton.make_automaton()
-            for doc, tag, words in docs:
+            for doc, words in docs:
                 # bytes as latin-1: pyahocorasick takes str, and equal bytes are equal text
                 ends = [e for e, _ in automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1"))]
                 if not ends:
@@ -143,14 +143,15 @@ def _occurrences(window: int, k: int):
                 starts = np.flatnonzero(sliding(found, window - k + 1, np.minimum) == sliding(grams, window - k + 1, np.minimum))
                 if not len(starts):
                     continue
+                hashes, once = np.unique(rolling(first, window)[starts], return_index=True)
+                check = rolling(second, window)[starts[once]] >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rolling(first, window)[starts].view(np.int64)),
-                        pa.array((rolling(second, window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(np.full(len(starts), doc, dtype=np.int64)),
-                        pa.array((np.int64(tag) << 32) | starts.astype(np.int64)),
+                        pa.array(hashes.view(np.int64)),
+                        pa.array(check.astype(np.uint32).view(np.int32)),
+                        pa.array(np.full(len(hashes), doc, dtype=np.int64)),
                     ],
-                    ["w1", "w2", "id", "place"],
+                    ["w1", "w2", "id"],
                 )
 
     return run
@@ -158,13 +159,15 @@ def _occurrences(window: int, k: int):
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
         for batch in batches:
             n, removed, kept, spans = [], [], [], []
-            for text, places in zip(batch["text"], batch["starts"], strict=True):
+            for text, repeats in zip(batch["text"], batch["repeats"], strict=True):
                 words = (text.as_py() or b"").split()
                 covered = np.zeros(len(words) + 1, dtype=np.int64)
-                if places.is_valid:
-                    starts = places.values.to_numpy() & 0xFFFFFFFF
+                if repeats.is_valid and len(words) >= window:
+                    hashes = rolling(word_hashes(words), window)
+                    starts = np.flatnonzero(np.isin(hashes, repeats.values.to_numpy().view(np.uint64)))
                     np.add.at(covered, starts, 1)
                     np.add.at(covered, starts + window, -1)
                 cover = np.cumsum(covered)[:-1] > 0
@@ -189,27 +192,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 1 <= phrase <= window:
         raise ValueError("phrase must be between 1 and window")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).cast("string").cast("binary").alias("text"),
-        # tells apart rows that share an id
-        F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"),
-    )
-    chosen = rows.select("id", "text").mapInArrow(_phrases(window, phrase), "phrase long, id long")
-    chosen = table(chosen, "phrases")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    chosen = table(rows.mapInArrow(_phrases(window, phrase), "phrase long, id long"), "phrases")
     recurring = chosen.groupBy("phrase").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     recurring = table(recurring.select("phrase"), "recurring")
     known = chosen.join(recurring, "phrase").groupBy("id").agg(F.collect_set("phrase").alias("phrases"))
-    shards = rows.join(known, "id", "left").select("id", "tag", "text", "phrases")
-    windows = table(shards.mapInArrow(_occurrences(window, phrase), "w1 long, w2 int, id long, place long"), "windows")
-    owners = windows.groupBy("w1", "w2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").drop("last")
-    repeats = (
-        windows.join(owners, ["w1", "w2"])
-        .where("id > owner")
-        .groupBy("id", F.shiftright("place", 32).alias("tag"))
-        .agg(F.collect_set("place").alias("starts"))
-    )
-    out = rows.join(repeats, ["id", "tag"], "left").select("id", "text", "starts")
+    shards = rows.join(known, "id", "left").select("id", "text", "phrases")
+    windows = table(shards.mapInArrow(_occurrences(window, phrase), "w1 long, w2 int, id long"), "windows")
+    drop_table(chosen)
+    drop_table(recurring)
+    owners = windows.groupBy("w1", "w2").agg(F.min("id").alias("owner"))
+    repeats = windows.join(owners, ["w1", "w2"]).where("id > owner").groupBy("id").agg(F.collect_set("w1").alias("repeats"))
+    out = rows.join(repeats, "id", "left").select("id", "text", "repeats")
     out = out.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
     return out.withColumnRenamed("id", id_col)
 
