@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .html_extract import op10_html_extract
 from .langid import op2_language_id
 from .mixing import OP9_SQL, op9_mix
 from .repeats import op1_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op9_mix": op9_mix,
+    "op10_html_extract": op10_html_extract,
 }
 
 SQL: dict[str, str] = {
