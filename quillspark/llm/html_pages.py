@@ -68,7 +68,7 @@ class _Maker:
         elif kind == "form":
             return self.el("form", 0, self.el("label", 0, self.words(1, 4, False)) + '<input name="q">' + r.choice(["", prose(3, 20), f"<textarea>{self.words(1, 5)}</textarea>"]) + self.el("button", 0, self.words(1, 2, False)), names)
         elif kind == "comments":
-            one = lambda: self.el(r.choice(["div", "li", "article"]), 0, self.el("span", 0, self.words(1, 2, False)) + prose(4, 60), PARTS["comments"])
+            one = lambda: self.el(r.choice(["div", "li"]), 0, self.el("span", 0, self.words(1, 2, False)) + prose(4, 60), PARTS["comments"])
             inner = self.el("h3", 0, self.words(1, 3, False)) + "".join(one() for _ in range(r.randint(1, 5)))
         else:
             inner = " ".join(self.link() for _ in range(r.randint(2, 5)))
@@ -96,8 +96,9 @@ class _Maker:
     def article(self, bare: bool) -> str:
         r = self.r
         blocks = [self.el("h1", 1, self.words(2, 10, False))] if r.random() < 0.85 else []
+        terse = r.random() < 0.15
         for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 14])):
-            blocks.append(self.block())
+            blocks.append(self.el("p", 1, self.words(1, 4)) if terse else self.block())
             if r.random() < 0.08:
                 blocks.append(self.part(r.choice(["ad", "share", "notice", "aside", "form"]), ["div", "aside"]))
         if r.random() < 0.2:
