@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .html_extract import op10_html_extract
 from .langid import op2_language_id
+from .matroska import op6_matroska
 from .mixing import OP9_SQL, op9_mix
 from .repeats import op1_substring_dedup
 from .simhash import op3_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
+    "op6_matroska": op6_matroska,
     "op9_mix": op9_mix,
     "op10_html_extract": op10_html_extract,
 }
