@@ -7,6 +7,7 @@ from .html_extract import op10_html_extract
 from .langid import op2_language_id
 from .matroska import op6_matroska
 from .mixing import OP9_SQL, op9_mix
+from .pii import op7_pii
 from .repeats import op1_substring_dedup
 from .simhash import op3_simhash
 from .tokens import op4_token_files
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op6_matroska": op6_matroska,
+    "op7_pii": op7_pii,
     "op9_mix": op9_mix,
     "op10_html_extract": op10_html_extract,
 }
