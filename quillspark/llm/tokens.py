@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,11 +55,12 @@ class Encoder:
     #: a space that isn't a boundary of its own, as it stands between or after other white space
     UNSAFE = re.compile(r"\s \s|\s \Z")
 
-    def __init__(self, path: str, width: int, most: int = 400_000) -> None:
+    def __init__(self, path: str, width: int, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.type, self.most = Tokenizer.from_file(path), f"<u{width}", most
+        self.code = "H" if width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_level = "ByteLevel" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         self.pieces = regex.compile(public_tokenizers.PATTERN)
@@ -66,15 +68,27 @@ class Encoder:
         other = [b for b in range(256) if b not in kept]
         self.symbols = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.seen: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
 
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece of the pre-tokeniser's pattern."""
+        found = self.known.get(text)
+        if found is None:
+            tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
+            found = self.known[text] = array(self.code, [t.id for t in tokens]).tobytes()
+        return found
+
     def unit(self, text: str) -> bytes:
-        ids = []
-        for piece in self.pieces.findall(text):
-            ids += [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]
-        return np.array(ids, dtype=self.type).tobytes()
+        if text.isalpha():  # letters are one piece, and so are they with a space before
+            return self.piece(text)
+        if text[:1] == " " and text[1:-1].isalpha() and text[-1] in ".,!?;:":
+            return self.piece(text[:-1]) + self.piece(text[-1])
+        if text[:1] == " " and text[1:].isalpha():
+            return self.piece(text)
+        return b"".join(map(self.piece, self.pieces.findall(text)))
 
     def __call__(self, text: str) -> bytes:
         if not self.byte_level or self.UNSAFE.search(text) or any(s in text for s in self.special):
@@ -83,6 +97,7 @@ class Encoder:
         seen = self.seen
         if len(seen) > self.most:
             seen.clear()
+            self.known.clear()
         for u in set(units).difference(seen):
             seen[u] = self.unit(" " + u)
         return self.unit(first) + b"".join(map(seen.__getitem__, units))
