@@ -1,12 +1,69 @@
-"""From raw documents to token files, in five stages (to be filled as the operators land)."""
+"""From raw documents to token files, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+applies them in order and writes what a stage returns as Parquet in the shared folder before the next one reads it.
+
+Nulls, empty and very long texts, repeated rows and empty tables are handled as the operators' docstrings say. Rows
+without a doc_id can't be named by a near-duplicate group: they stay once per distinct text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontaminate, langid, mixing, simhash, tokens
+from quillspark.llm.common import read, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language: those without a letter or with a posterior below one half go."""
+    found = langid.predict(docs, langid.fit_documents(docs), out_col="_language")
+    return found.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= 0.5)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the smallest id."""
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"] == kept["_kept"])
+    first = Window.partitionBy("_kept").orderBy("text")  # rows may share an id
+    rows = rows.withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    return rows.select(*docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by a benchmark item."""
+    judged = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return judged.where("not contamination.contaminated").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it."""
+    return mixing.repeat_rows(mixing.mix(docs)).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all rows, and what a reader finds in them: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("token_output", token_output),
+]
 
-STAGES: list = []
+#: SQL can express neither language models nor tokenizers: tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = table(docs, f"pipeline-{name}")
+    return docs

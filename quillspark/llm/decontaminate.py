@@ -64,7 +64,7 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 1_000_000,
 ) -> DataFrame:
-    """All rows and columns of docs plus one struct column `contamination`.
+    """All rows and columns of docs plus one struct column `contamination` (replaced where it exists).
 
     Its fields: n_words, n_hit (words inside a window), items (sorted ids of the items hit, as strings), contaminated
     (n_hit > 0 and 20 * n_hit >= n_words) and clean_text: the normalised words outside all hits, joined by one space,
@@ -72,7 +72,7 @@ def decontaminate(
     """
     grams = table(benchmark_windows(benchmark, n, item_id_col, item_text_col), "windows")
     hits = find_hits(docs, grams, id_col, text_col, broadcast_windows)
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    columns = [F.col(f"d.`{c}`") for c in docs.columns if c.lower() != "contamination"]
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), _key(id_col, text_col)).join(hits, "key", "left")
     both = both.select("d", "hits", normalised_words(F.col(f"d.`{text_col}`")).alias("words"))
     verified = F.expr("filter(coalesce(hits, array()), h -> concat_ws(' ', slice(words, h.at, h.length)) = h.gram)")

@@ -12,7 +12,7 @@ nothing of a text is left out.
 
 Edge cases: null or empty text and text without a letter give `und` and score 0; so does every text where no labelled
 row exists to learn from. A null or empty language is no label. Rows with a null id are predicted, not learned from.
-Repeated rows give equal rows. Other columns are not read.
+Repeated rows give equal rows. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -227,17 +228,23 @@ def _predict(model, most: int = 400_000):
                 best = int(total.argmax())
                 langs.append(names[best])
                 posts.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(langs, pa.string()), pa.array(posts, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(posts, pa.float64())], ["lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred (a learned language or `und`) and score (posterior of lang_pred) for every row."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """docs with the struct column out_col (replaced where it exists): lang_pred, a learned language or `und`, and score,
+    the posterior of lang_pred."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))  # a number per piece of the vocabulary and language
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def identify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        batches = (pa.RecordBatch.from_arrays([pa.array(x, pa.string(), from_pandas=True)], ["text"]) for x in texts)
+        for found in _predict(shared)(batches):
+            yield found.to_pandas()
+
+    return docs.withColumn(out_col, identify(F.col(text_col).cast("string")))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -252,4 +259,5 @@ def fit_documents(docs: DataFrame) -> Model:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return predict(docs, fit_documents(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = predict(docs.select("doc_id", "text"), fit_documents(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")

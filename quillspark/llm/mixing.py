@@ -58,7 +58,7 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
     share: float = 1.5, epochs: float = 2.0, seed: int = 7, digits: int = 3,
 ) -> DataFrame:
-    """All rows and columns of docs plus a struct column `mix`: size, source_size, target, repetitions and taken."""
+    """All rows and columns of docs plus a struct column `mix` (replaced where it exists): size, source_size, target, repetitions and taken."""
     # the hash is md5, so that SQL engines without Spark's hashes can repeat the order
     own = [F.col(f"`{c}`") for c in docs.columns]
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -93,7 +93,7 @@ def mix(
     times = (F.floor("epochs") + F.when(F.floor("epochs") < epochs, more).otherwise(0)).cast("int")
     held = held.withColumn("times", times)
     return held.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns],
+        *[F.col(f"d.`{c}`") for c in docs.columns if c.lower() != "mix"],
         F.struct("size", "source_size", "target", F.col("times").alias("repetitions"), (F.col("times") * F.col("size")).alias("taken")).alias("mix"),
     )
 

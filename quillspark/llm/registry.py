@@ -8,6 +8,7 @@ from .langid import op2_language_id
 from .matroska import op6_matroska
 from .mixing import OP9_SQL, op9_mix
 from .pii import op7_pii
+from .quality import op8_quality
 from .repeats import op1_substring_dedup
 from .simhash import op3_simhash
 from .tokens import op4_token_files
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_matroska": op6_matroska,
     "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_html_extract": op10_html_extract,
 }
