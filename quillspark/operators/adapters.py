@@ -162,7 +162,7 @@ QUERIES = {
 }
 
 _CHAT_SQL = "(SELECT conv_id, list({{'role': role, 'content': text}} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id)"
-_RENDER = "array_to_string(list_transform(list_filter(m, x -> x.role IN ('system', 'user', 'assistant')), x -> '<|' || x.role || '|>' || chr(10) || coalesce(x.content, '')), chr(10))"
+_RENDER = "array_to_string(list_transform(list_filter(m, lambda x: x.role IN ('system', 'user', 'assistant')), lambda x: '<|' || x.role || '|>' || chr(10) || coalesce(x.content, '')), chr(10))"
 _CHAT_SQL = _CHAT_SQL.replace("{{", "{").replace("}}", "}")
 _JSON = "to_json(m)::VARCHAR"
 
@@ -184,8 +184,8 @@ SQL = {
     "a22_text_by_truth": "SELECT doc_id, coalesce(nullif(text, ''), lang, '') AS text FROM documents",
     "a27_binary_label": "SELECT conv_id, turn, CAST(role = 'assistant' AS BIGINT) AS label FROM conversations",
     "a31_payload_preview": "SELECT event_id, left(props, 5) AS preview FROM events",
-    "a33_provider_messages": f"""SELECT conv_id, coalesce(array_to_string(list_transform(list_filter(m, x -> x.role = 'system'), x -> coalesce(x.content, '')), chr(10) || chr(10)), '') AS system,
-      to_json(list_transform(list_filter(m, x -> x.role <> 'system'), x -> {{'role': CASE WHEN x.role = 'assistant' THEN 'model' ELSE 'user' END, 'content': x.content}}))::VARCHAR AS messages FROM {_CHAT_SQL}""",
+    "a33_provider_messages": f"""SELECT conv_id, coalesce(array_to_string(list_transform(list_filter(m, lambda x: x.role = 'system'), lambda x: coalesce(x.content, '')), chr(10) || chr(10)), '') AS system,
+      to_json(list_transform(list_filter(m, lambda x: x.role <> 'system'), lambda x: {{'role': CASE WHEN x.role = 'assistant' THEN 'model' ELSE 'user' END, 'content': x.content}}))::VARCHAR AS messages FROM {_CHAT_SQL}""",
     "a34_session_title": "SELECT conv_id, CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END AS title FROM (SELECT conv_id, min_by(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)",
     "a37_preview": "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview, upper(source) AS source FROM documents",
 }

@@ -71,23 +71,23 @@ QUERIES = {
     "g22_reason_histogram": lambda s, d: _reasons(s, d).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")),
 }
 
-_WS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), w -> w <> '')"
+_WS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')"
 SQL = {
     "f01_non_blank": r"SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')",
     "f02_non_empty": "SELECT doc_id FROM documents WHERE length(text) > 0",
     "f03_min_length": r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+|[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+$', '', 'g')) >= 10",
     "f06_drop_nulls": "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL",
     "f07_max_tokens": f"SELECT doc_id FROM documents WHERE len({_WS}) <= 256",
-    "f08_token_range": f"""SELECT count(*) AS rows, count(*) FILTER (len(list_filter(t, x -> x < 0 OR x >= 20)) > 0) AS bad, min(list_min(t)) AS low, max(list_max(t)) AS high
-      FROM (SELECT list_transform({_WS}, w -> length(w)) AS t FROM documents)""",
+    "f08_token_range": f"""SELECT count(*) AS rows, count(*) FILTER (len(list_filter(t, lambda x: x < 0 OR x >= 20)) > 0) AS bad, min(list_min(t)) AS low, max(list_max(t)) AS high
+      FROM (SELECT list_transform({_WS}, lambda w: length(w)) AS t FROM documents)""",
     "f10_filter_chain": f"SELECT doc_id FROM {_REASON_SQL} WHERE reason IS NULL",
     "f11_any_keyword": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_name), 'steel') OR contains(lower(p_name), 'x')",
     "f12_unknown_in": "SELECT doc_id FROM documents WHERE coalesce(lang, 'unknown') IN ('en', 'unknown')",
     "f15_history": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND (event_type ILIKE '%CL%' OR props ILIKE '%7%')",
     "f18_status_count": "SELECT count(*) FILTER (o_orderstatus IN ('O', 'P')) AS n FROM orders",
-    "f21_single_characters": f"SELECT doc_id, coalesce(array_to_string(list_filter({_WS}, w -> length(w) <> 1), ' '), '') AS text FROM documents",
+    "f21_single_characters": f"SELECT doc_id, coalesce(array_to_string(list_filter({_WS}, lambda w: length(w) <> 1), ' '), '') AS text FROM documents",
     "f23_label_mask": "SELECT doc_id FROM labels WHERE quality = 1",
-    "f24_blank_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), x -> trim(x) <> '')) AS n FROM documents",
+    "f24_blank_lines": "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents",
     "f25_intent": "SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(text), 'find|search|the')",
     "g22_reason_histogram": f"SELECT reason, count(*) AS n FROM {_REASON_SQL} WHERE reason IS NOT NULL GROUP BY reason",
 }

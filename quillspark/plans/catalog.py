@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES = {}
-SQL: dict[str, str] = {}
+MODULES = ("operators.adapters", "operators.filters", "operators.corpus", "operators.stores", "operators.joins")
+
+QUERIES, SQL = {}, {}
+for _name in MODULES:
+    _module = import_module(f"quillspark.{_name}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    return QUERIES["flagship_token_supply"](spark, sf_dir)
