@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("operators.adapters", "operators.filters", "operators.corpus", "operators.stores", "operators.joins")
+MODULES = ("operators.adapters", "operators.filters", "operators.corpus", "operators.stores", "operators.joins", "operators.records", "operators.arrays")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:
