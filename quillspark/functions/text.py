@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +24,11 @@ EMOJI = [
 ]
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: lambdas over arrays would compute what they refer to for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -74,7 +80,7 @@ def strip_markdown(text: Column) -> Column:
 
 def strip_thinking(text: Column) -> Column:
     """Without <think> blocks, the last of which may be unclosed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*\z", ""))
 
 
 def collection_name(name: Column, prefix: str) -> Column:
@@ -93,3 +99,71 @@ def first_match(text: Column, patterns: list[str], group: int = 0) -> Column:
 def count_present(text: Column, phrases: list[str]) -> Column:
     low = F.lower(text)
     return sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in phrases), F.lit(0))
+
+
+# English contractions, endings last.
+CONTRACTIONS = [("won't", "will not"), ("can't", "cannot"), ("i'm", "i am"), ("let's", "let us"), ("n't", " not"), ("'re", " are"), ("'ll", " will"), ("'ve", " have"), ("'d", " would")]
+
+
+def expand_contractions(text: Column) -> Column:
+    """Written out; case is kept elsewhere."""
+    return functools.reduce(lambda x, rule: F.regexp_replace(x, rf"(?i){'' if rule[0][0] in chr(39) + 'n' else chr(92) + 'b'}{rule[0]}\b", rule[1]), CONTRACTIONS, text)
+
+
+def sentences(text: Column) -> Column:
+    """Parts that end in a full stop, question or exclamation mark before white space, or at the end."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
+
+
+def clauses(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[^.!?,;]+[.!?,;]?"), F.lit(0))
+
+
+ZIP = r"\b(\d{5}(?:-\d{4})?|\d{6})\b"
+
+
+def zip_code(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, ZIP, 1), F.lit(""))
+
+
+def zip_start(text: Column) -> Column:
+    """Code points before the first zip code; null if there is none."""
+    at = F.regexp_instr(text, F.lit(ZIP))
+    return F.when(at > 0, at - 1)
+
+
+def unwrap_calls(sql: Column) -> Column:
+    """CONVERT_TZ(…) and COALESCE(…) without inner brackets become their first argument."""
+    return F.regexp_replace(sql, r"(?i)\b(?:CONVERT_TZ|COALESCE)\(\s*([^(),]*?)\s*(?:,[^()]*)?\)", "$1")
+
+
+def thinking(text: Column) -> Column:
+    return F.trim(F.regexp_extract(text, r"(?s)<think>(.*?)(?:</think>|\z)", 1))
+
+
+def slug_title(slug: Column) -> Column:
+    return F.initcap(F.replace(slug, F.lit("-"), F.lit(" ")))
+
+
+def page_type(url: Column) -> Column:
+    low = F.lower(url)
+    kinds = [("greenhouse.io", "greenhouse"), ("lever.co", "lever"), ("workday", "workday"), ("ashbyhq.com", "ashby")]
+    return functools.reduce(lambda out, k: F.when(F.contains(low, F.lit(k[0])), k[1]).otherwise(out), reversed(kinds), F.lit("auto"))
+
+
+def url_glob(url: Column, pattern: str) -> Column:
+    """Whether the url matches a pattern with * for any run, whatever the case."""
+    import re
+
+    return url.rlike("(?i)^" + ".*".join(re.escape(x) for x in pattern.split("*")) + "$")
+
+
+def stem(word: Column) -> Column:
+    """Porter stems, in Arrow batches; ask for distinct words."""
+    from quillspark.functions.porter import stem_word
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(stem_word, na_action="ignore")
+
+    return run(word)

@@ -46,8 +46,11 @@ def causal_mask(n: int) -> Column:
 
 def sliding_blocks(values: Column, n: int) -> Column:
     """Every (block, next value) of n consecutive values."""
-    every = F.transform(values, lambda _, i: F.struct(F.slice(values, i + 1, n).alias("block"), F.get(values, i + n).alias("next")))
-    return F.slice(every, 1, F.greatest(F.size(values) - n, F.lit(0)))
+    def cut(v: Column) -> Column:
+        every = F.transform(v, lambda _, i: F.struct(F.slice(v, i + 1, n).alias("block"), F.get(v, i + n).alias("next")))
+        return F.slice(every, 1, F.greatest(F.size(v) - n, F.lit(0)))
+
+    return T.let(values, cut)
 
 
 def frames(signal: Column, size: int, hop: int) -> Column:
@@ -56,9 +59,8 @@ def frames(signal: Column, size: int, hop: int) -> Column:
     head = F.reverse(F.slice(signal, 2, half))
     tail = F.reverse(F.slice(signal, F.greatest(F.size(signal) - half, F.lit(1)), half))
     padded = F.concat(head, signal, tail)
-    n = F.floor((F.size(padded) - size) / hop).cast("int")
-    cut = lambda y: F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(y, i * hop + 1, size))
-    return F.when(F.size(signal) > half, cut(padded))
+    cut = lambda y: F.transform(F.sequence(F.lit(0), F.floor((F.size(y) - size) / hop).cast("int")), lambda i: F.slice(y, i * hop + 1, size))
+    return F.when(F.size(signal) > half, T.let(padded, cut))
 
 
 def mean_square(signal: Column) -> Column:
@@ -68,7 +70,7 @@ def mean_square(signal: Column) -> Column:
 def decibels(frames_: Column) -> Column:
     """Level of each frame, relative to the loudest."""
     levels = F.transform(frames_, lambda f: F.sqrt(mean_square(f) + 1e-12))
-    return F.transform(levels, lambda x: 20 * F.log10(x / (F.array_max(levels) + 1e-12) + 1e-12))
+    return T.let(levels, lambda v: T.let(F.struct(v.alias("v"), F.array_max(v).alias("most")), lambda s: F.transform(s["v"], lambda x: 20 * F.log10(x / (s["most"] + 1e-12) + 1e-12))))
 
 
 def speech_labels(frames_: Column, threshold: float = -40.0) -> Column:
@@ -78,9 +80,9 @@ def speech_labels(frames_: Column, threshold: float = -40.0) -> Column:
 def mix_at_ratio(speech: Column, noise: Column, decibel: float) -> Column:
     """speech plus noise scaled to the ratio; the whole is scaled down where its peak passes 0.99."""
     gain = F.sqrt((mean_square(speech) + 1e-12) / 10.0 ** (decibel / 10.0) / (mean_square(noise) + 1e-12))
-    mix = F.zip_with(speech, noise, lambda a, b: a.cast("double") + b.cast("double") * gain)
-    peak = F.array_max(F.transform(mix, F.abs))
-    return F.transform(mix, lambda x: F.when(peak > 0.99, x * 0.99 / peak).otherwise(x))
+    mix = T.let(gain, lambda g: F.zip_with(speech, noise, lambda a, b: a.cast("double") + b.cast("double") * g))
+    scaled = lambda s: F.transform(s["mix"], lambda x: F.when(s["peak"] > 0.99, x * 0.99 / s["peak"]).otherwise(x))
+    return T.let(mix, lambda m: T.let(F.struct(m.alias("mix"), F.array_max(F.transform(m, F.abs)).alias("peak")), scaled))
 
 
 def fit_length(signal: Column, n: int, start: int = 0, fill: float = 0.0) -> Column:
@@ -132,10 +134,6 @@ def _joined(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
-def _rounded(c, n=5):
-    return F.transform(c, lambda x: F.round(x, n) + F.lit(0.0))
-
-
 def _sparse(s, d):
     return _vec(s, d).where("vec_id < 20").select(F.col("vec_id").alias("i"), F.posexplode("v").alias("j", "x")).withColumn("j", F.col("j").cast("long"))
 

@@ -10,8 +10,10 @@ from quillspark.functions import text as T
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, space-joined."""
-    starts = F.transform(words, lambda _, i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.slice(starts, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    def cut(w: Column) -> Column:
+        return F.slice(F.transform(w, lambda _, i: F.array_join(F.slice(w, i + 1, n), " ")), 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+
+    return T.let(words, cut)
 
 
 def tf_idf(df: DataFrame, id_col: str, words: Column, most_df: float = 0.01, most_features: int = 100_000) -> DataFrame:
@@ -21,7 +23,7 @@ def tf_idf(df: DataFrame, id_col: str, words: Column, most_df: float = 0.01, mos
     count and then by term. One shuffle counts (id, term); the others move one row per term.
     """
     n = df.agg(F.count("*").alias("_n"))  # one row
-    terms = df.select(id_col, F.explode(F.concat(words, ngrams(words, 2))).alias("term"))
+    terms = df.select(id_col, F.explode(T.let(words, lambda w: F.concat(w, ngrams(w, 2)))).alias("term"))
     tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("_tf"))
     stats = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("_tf").alias("_total")).crossJoin(F.broadcast(n))
     kept = stats.where(F.col("_df") <= most_df * F.col("_n")).orderBy(F.desc("_total"), "term").limit(most_features)
