@@ -132,7 +132,7 @@ class Graph:
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a, b, kind = (np.array(x, dtype=np.int64) for x in self.edges)
-        return np.array(self.features, dtype=np.int64).reshape(len(self.where), -1), a, b, kind
+        return np.array(self.features, dtype=np.int64).reshape(len(self.where), len(self.features[0]) if self.features else 0), a, b, kind
 
 
 class Field:
