@@ -110,7 +110,7 @@ def _tiles(distance: int):
         tile, parts = None, []
         for batch in batches:
             keys = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")], axis=1)
-            nodes, prints = batch["node"].to_numpy(), batch["print"].to_numpy()
+            nodes, prints = batch["node"].to_numpy(), batch["print"].to_numpy().view(np.uint64)  # signed, bits of the absolute value would be counted
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if x == y:
