@@ -115,11 +115,15 @@ def pack(df: DataFrame, id_col: str, tokens: Column, length: int, group: str) ->
     rows = df.select(id_col, group, tokens.alias("_tokens")).where(F.size("_tokens") > 0)
     rows = prefix.total_before(rows, id_col, F.size("_tokens"), "_at", group=(group,))
     first, last = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.size("_tokens") - 1) / length)
-    rows = rows.withColumn("chunk", F.explode(F.sequence(first, last)))
-    start = F.greatest(F.col("chunk") * length - F.col("_at"), F.lit(0))
-    stop = F.least((F.col("chunk") + 1) * length - F.col("_at"), F.size("_tokens"))
-    piece = F.slice("_tokens", (start + 1).cast("int"), (stop - start).cast("int"))
-    rows = rows.select(group, "chunk", F.struct((F.col("_at") + start).alias("at"), piece.alias("piece")).alias("part"))
+
+    def part(chunk: Column) -> Column:
+        start = F.greatest(chunk * length - F.col("_at"), F.lit(0))
+        stop = F.least((chunk + 1) * length - F.col("_at"), F.size("_tokens"))
+        piece = F.slice("_tokens", (start + 1).cast("int"), (stop - start).cast("int"))
+        return F.struct(chunk.alias("chunk"), F.struct((F.col("_at") + start).alias("at"), piece.alias("piece")).alias("part"))
+
+    # cut before exploding: an exploded row holds its piece, not the whole document
+    rows = rows.select(group, F.explode(F.transform(F.sequence(first, last), part)).alias("_p")).select(group, "_p.chunk", "_p.part")
     out = rows.groupBy(group, "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["piece"])).alias("tokens"))
     return out.where(F.size("tokens") == length)
 
