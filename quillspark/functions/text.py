@@ -13,14 +13,14 @@ MARKER = "\n\n...[truncated]"
 # English stop words.
 STOP_WORDS = "a an and are as at be but by for from has have he i in is it its me my not of on or our she so that the their them they this to was we were what when which who will with you your".split()
 
-# Emoji of smiling, laughing, loving, winking, sad and crying.
+# Emoji of smiling, laughing, loving, winking, sad and crying, and the words they become, spelled as given.
 EMOJI = [
-    (r"(:\s?\)|:-\)|\(\s?:|\(-:|:'\))", " positive "),
-    (r"(:\s?D|:-D|x-?D|X-?D)", " positive "),
-    (r"(<3|:\*)", " positive "),
-    (r"(;-?\)|;-?D|\(-?;)", " positive "),
-    (r"(:\s?\(|:-\(|\)\s?:|\)-:)", " negative "),
-    (r"(:,\(|:'\(|:\"\()", " negative "),
+    (r"(:\s?\)|:-\)|\(\s?:|\(-:|:'\)|:O)", " positiveemoji "),
+    (r"(:\s?D|:-D|x-?D|X-?D)", " positiveemoji "),
+    (r"(<3|:\*)", " positiveemoji "),
+    (r"(;-?\)|;-?D|\(-?;|@-\))", " positiveemoji "),
+    (r"(:\s?\(|:-\(|\)\s?:|\)-:|:-/|:-\|)", " negetiveemoji "),
+    (r"(:,\(|:'\(|:\"\()", " negetiveemoji "),
 ]
 
 
