@@ -36,7 +36,7 @@ def _bodies(s, d):
         .when(e % 5 == 3, F.concat(F.lit("broken {"), item))
         .otherwise(F.concat(F.lit("text ```json\n"), item, F.lit("\n``` more")))
     )
-    return _read(s, d, "events").where("event_id < 1000").select("event_id", body.alias("body"))
+    return _read(s, d, "events").select("event_id", body.alias("body"))
 
 
 QUERIES = {
@@ -70,7 +70,7 @@ QUERIES = {
     "n05_json_ladder": lambda s, d: _bodies(s, d).select("event_id", J.first_json(F.col("body")).alias("json")),
     "n08_references": lambda s, d: _docs(s, d).select("doc_id", J.resolve(F.concat(F.lit("$steps."), F.coalesce("lang", F.lit("zz")), F.lit(".output")), F.create_map(F.lit("en"), F.lit("one"), F.lit("fr"), F.lit("two"))).alias("value")),
     "n09_csv_set": lambda s, d: _read(s, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.concat(F.lit(" B,, "), F.replace(F.upper("p_name"), F.lit(" "), F.lit(" , "))), ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""))), ",").alias("names")),
-    "n16_stream_deltas": lambda s, d: _read(s, d, "events").where("event_id < 2000").select("event_id", J.delta(F.concat(F.when(F.col("event_id") % 7 == 0, "data: {broken").otherwise(F.concat(F.lit('data: {"choices": [{"delta": {"content": "'), "event_type", F.lit('"}}]}'))))).alias("delta")).where("delta IS NOT NULL"),
+    "n16_stream_deltas": lambda s, d: _read(s, d, "events").select("event_id", J.delta(F.concat(F.when(F.col("event_id") % 7 == 0, "data: {broken").otherwise(F.concat(F.lit('data: {"choices": [{"delta": {"content": "'), "event_type", F.lit('"}}]}'))))).alias("delta")).where("delta IS NOT NULL"),
     "y03_coercion": lambda s, d: _read(s, d, "events").select("event_id", J.coerce(F.regexp_extract("props", r": (.*)\}", 1), "int").alias("n"), J.coerce(F.col("event_type"), "int").alias("bad"), J.coerce(F.when(F.col("event_id") % 2 == 0, "Yes").otherwise("no"), "boolean").alias("flag")),
     "a13_chip": lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("<human>: q"), F.col("doc_id").cast("string"), F.lit("\n<bot>: "), F.left("text", F.lit(20))).alias("t")).select("doc_id", F.replace(F.split_part("t", F.lit("\n<bot>: "), F.lit(1)), F.lit("<human>: "), F.lit("")).alias("input"), F.split_part("t", F.lit("\n<bot>: "), F.lit(2)).alias("output")),
     "a14_renamed_pairs": lambda s, d: _read(s, d, "conversations").select("conv_id", "turn", F.col("role").alias("input"), F.col("text").alias("output")),
