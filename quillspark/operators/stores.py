@@ -99,7 +99,7 @@ def _replay(s, d):
 
 
 def _dedup_new(s, d):
-    docs = _read(s, d, "documents").withColumn("h", record_hash(F.left("text", F.lit(200)), F.col("source")))
+    docs = _read(s, d, "documents").withColumn("h", record_hash(F.col("text"), F.col("source")))
     store = docs.where("doc_id % 10 = 0").select("h").distinct()
     return insert_new(store, docs, ["h"], ["doc_id"]).select("doc_id", "h")
 

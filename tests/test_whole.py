@@ -43,3 +43,11 @@ def test_product_of_all_vectors(spark, late_ids):
     v = np.array(list(VECTORS.values()))
     got = {(r["i"], r["j"]): r["x"] for r in catalog.QUERIES["d18_matrix_product"](spark, late_ids).collect()}
     assert got == {(i, j): pytest.approx(x) for (i, j), x in np.ndenumerate(v.T @ v)}
+
+
+def test_new_records_differ_in_their_tails(spark, tmp_path):
+    opening = "boilerplate " * 30
+    texts = [opening + "store", opening + "a", opening + "b", opening + "a", opening + "STORE ", None, "short"]
+    write(spark, str(tmp_path), "documents", [(10 + i, x, "s") for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    got = sorted(r["doc_id"] for r in catalog.QUERIES["u05_new_records"](spark, str(tmp_path)).collect())
+    assert got == [11, 12, 15, 16]
