@@ -121,6 +121,12 @@ def _tok(s, d):
     return _read(s, d, "documents").select("doc_id", F.transform(T.tokens(F.col("text")), lambda w: F.length(w)).alias("t"))
 
 
+def _parts(c):
+    """The first third of the values as source, the rest as target."""
+    n = F.floor(F.size(c) / 3).cast("int")
+    return F.slice(c, 1, n), F.slice(c, n + 1, F.size(c))
+
+
 def _vec(s, d):
     return _read(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
@@ -140,12 +146,12 @@ def _sparse(s, d):
 
 QUERIES = {
     "n10_pad": lambda s, d: _tok(s, d).select("doc_id", _joined(pad(F.col("t"), 32, F.lit(0))).alias("ids"), _joined(attention_mask(F.col("t"), 32)).alias("mask")),
-    "n11_label_mask": lambda s, d: _tok(s, d).select("doc_id", _joined(label_mask(F.slice("t", 1, 5), F.slice("t", 6, 10))).alias("labels")),
-    "n12_target_mask": lambda s, d: _tok(s, d).select("doc_id", _joined(target_mask(F.slice("t", 1, 5), F.slice("t", 6, 10))).alias("mask")),
-    "n14_replace_ignored": lambda s, d: _tok(s, d).select("doc_id", _joined(replace_ignored(label_mask(F.slice("t", 1, 5), F.slice("t", 6, 10)), 0)).alias("labels")),
-    "n13_spread_labels": lambda s, d: _tok(s, d).select("doc_id", F.transform(F.slice("t", 1, 8), lambda x, i: F.when(i == 0, None).otherwise(F.floor(i / 2).cast("int"))).alias("w"), F.slice("t", 1, 8).alias("l")).select("doc_id", _joined(spread_labels(F.col("w"), F.col("l"))).alias("labels")),
+    "n11_label_mask": lambda s, d: _tok(s, d).select("doc_id", _joined(label_mask(*_parts("t"))).alias("labels")),
+    "n12_target_mask": lambda s, d: _tok(s, d).select("doc_id", _joined(target_mask(*_parts("t"))).alias("mask")),
+    "n14_replace_ignored": lambda s, d: _tok(s, d).select("doc_id", _joined(replace_ignored(label_mask(*_parts("t")), 0)).alias("labels")),
+    "n13_spread_labels": lambda s, d: _tok(s, d).select("doc_id", F.transform("t", lambda x, i: F.when(i == 0, None).otherwise(F.floor(i / 2).cast("int"))).alias("w"), F.col("t").alias("l")).select("doc_id", _joined(spread_labels(F.col("w"), F.col("l"))).alias("labels")),
     "n15_causal_mask": lambda s, d: _read(s, d, "region").select("r_regionkey", F.posexplode(causal_mask(4)).alias("row", "m")).select("r_regionkey", F.col("row").cast("long").alias("row"), _joined(F.col("m")).alias("mask")),
-    "w19_sliding_blocks": lambda s, d: _tok(s, d).select("doc_id", F.posexplode(sliding_blocks(F.slice("t", 1, 12), 8)).alias("pos", "b")).select("doc_id", F.col("pos").cast("long").alias("pos"), _joined(F.col("b.block")).alias("block"), F.col("b.next").alias("next")),
+    "w19_sliding_blocks": lambda s, d: _tok(s, d).select("doc_id", F.posexplode(sliding_blocks(F.col("t"), 8)).alias("pos", "b")).select("doc_id", F.col("pos").cast("long").alias("pos"), _joined(F.col("b.block")).alias("block"), F.col("b.next").alias("next")),
     "w20_frames": lambda s, d: _vec(s, d).select("vec_id", F.posexplode(frames(F.col("v"), 8, 4)).alias("pos", "f")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 5).alias("total")),
     "d12_levels": lambda s, d: _vec(s, d).select("vec_id", F.posexplode(decibels(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * 8 + 1, 8)))).alias("pos", "db")).select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("db", 4) + 0.0).alias("db"), (F.col("db") > -6).alias("loud")),
     "d13_mix": lambda s, d: _pairs(s, d).select("vec_id", F.round(F.array_max(F.transform(mix_at_ratio(F.col("v"), F.col("w"), 5.0), F.abs)), 5).alias("peak")),

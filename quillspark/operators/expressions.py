@@ -18,7 +18,7 @@ def _docs(s, d):
 
 def _talk(s, d):
     """Turns with thinking marks, lists and headings."""
-    t = F.concat(F.lit("# Title\n- one **bold** \n<think>a"), F.left("text", F.lit(20)), F.when(F.col("turn") % 2 == 0, "</think>").otherwise(""), F.lit("answer "), F.left("text", F.lit(40)))
+    t = F.concat(F.lit("# Title\n- one **bold** \n<think>a"), "text", F.when(F.col("turn") % 2 == 0, "</think>").otherwise(""), F.lit("answer "), "text")
     return _read(s, d, "conversations").select("conv_id", "turn", t.alias("t"))
 
 
@@ -44,8 +44,8 @@ QUERIES = {
     "x02_truncate": lambda s, d: _docs(s, d).select("doc_id", T.truncate(F.col("text"), 500).alias("text")),
     "x03_normalise_lines": lambda s, d: _docs(s, d).select("doc_id", T.normalise_lines(F.col("text")).alias("text")),
     "x04_clean_tweet": lambda s, d: _docs(s, d).select("doc_id", T.clean_tweet(F.col("text")).alias("text")),
-    "x05_emoji": lambda s, d: _docs(s, d).select("doc_id", T.emoji_words(F.concat(F.left("text", F.lit(30)), F.lit(" :) x :-( <3 ;) :D "))).alias("text")),
-    "x06_contractions": lambda s, d: _docs(s, d).select("doc_id", T.expand_contractions(F.concat(F.lit("i'm sure it isn't, we'll see; "), F.left("text", F.lit(30)))).alias("text")),
+    "x05_emoji": lambda s, d: _docs(s, d).select("doc_id", T.emoji_words(F.concat("text", F.lit(" :) x :-( <3 ;) :D "))).alias("text")),
+    "x06_contractions": lambda s, d: _docs(s, d).select("doc_id", T.expand_contractions(F.concat(F.lit("i'm sure it isn't, we'll see; "), "text")).alias("text")),
     "x07_tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"), F.array_join(T.tokens(F.col("text")), " ").alias("text")),
     "x08_stop_words": lambda s, d: _docs(s, d).select("doc_id", F.array_join(T.drop_stop_words(T.tokens(F.col("text"))), " ").alias("text")),
     "x09_stems": lambda s, d: _docs(s, d).where("lang = 'en'").select(F.explode(T.tokens(F.lower("text"))).alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem")),
@@ -72,11 +72,11 @@ QUERIES = {
     "n09_csv_set": lambda s, d: _read(s, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.concat(F.lit(" B,, "), F.replace(F.upper("p_name"), F.lit(" "), F.lit(" , "))), ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""))), ",").alias("names")),
     "n16_stream_deltas": lambda s, d: _read(s, d, "events").select("event_id", J.delta(F.concat(F.when(F.col("event_id") % 7 == 0, "data: {broken").otherwise(F.concat(F.lit('data: {"choices": [{"delta": {"content": "'), "event_type", F.lit('"}}]}'))))).alias("delta")).where("delta IS NOT NULL"),
     "y03_coercion": lambda s, d: _read(s, d, "events").select("event_id", J.coerce(F.regexp_extract("props", r": (.*)\}", 1), "int").alias("n"), J.coerce(F.col("event_type"), "int").alias("bad"), J.coerce(F.when(F.col("event_id") % 2 == 0, "Yes").otherwise("no"), "boolean").alias("flag")),
-    "a13_chip": lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("<human>: q"), F.col("doc_id").cast("string"), F.lit("\n<bot>: "), F.left("text", F.lit(20))).alias("t")).select("doc_id", F.replace(F.split_part("t", F.lit("\n<bot>: "), F.lit(1)), F.lit("<human>: "), F.lit("")).alias("input"), F.split_part("t", F.lit("\n<bot>: "), F.lit(2)).alias("output")),
+    "a13_chip": lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("<human>: q"), F.col("doc_id").cast("string"), F.lit("\n<bot>: "), "text").alias("t")).select("doc_id", F.replace(F.split_part("t", F.lit("\n<bot>: "), F.lit(1)), F.lit("<human>: "), F.lit("")).alias("input"), F.split_part("t", F.lit("\n<bot>: "), F.lit(2)).alias("output")),
     "a14_renamed_pairs": lambda s, d: _read(s, d, "conversations").select("conv_id", "turn", F.col("role").alias("input"), F.col("text").alias("output")),
     "a15_output_only": lambda s, d: _docs(s, d).select("doc_id", F.lit("").alias("input"), F.col("text").alias("output")),
     "a17_pruned_pairs": lambda s, d: _docs(s, d).select(F.col("source").alias("input"), F.col("lang").alias("output")),
-    "a19_marked_prompt": lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("<bos>translate: "), F.left("text", F.lit(40)), F.lit("\n<eos>")).alias("t")),
+    "a19_marked_prompt": lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("<bos>translate: "), "text", F.lit("\n<eos>")).alias("t")),
     "a29_label_maps": lambda s, d: _read(s, d, "labels").select("doc_id", F.create_map(F.lit(0), F.lit("poor"), F.lit(1), F.lit("good"))[F.col("quality")].alias("name")),
     "a32_result_preview": lambda s, d: _read(s, d, "events").select("event_id", F.left(F.repeat("props", F.lit(300)), F.lit(2000)).alias("output"), F.round(F.col("value") * 1.23456, 2).alias("ms")),
     "a36_catalogue": lambda s, d: _read(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.format_string("- %s: %d", x["n_name"], x["n_nationkey"])), "\n").alias("lines")),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +120,40 @@ def span_metrics(truth: DataFrame, predicted: DataFrame, columns: list[str]) ->
 
 
 def rouge_n(df: DataFrame, id_col: str, reference: Column, candidate: Column, n: int) -> DataFrame:
-    """(id, f): 100 * F-measure of shared n-grams, repeats counted up to the rarer side."""
-    def grams(words, name):
-        return df.select(id_col, F.explode(ngrams(words, n)).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias(name))
+    """(id, f): 100 * F-measure of shared n-grams, repeats counted up to the rarer side.
+
+    Only the rows are shuffled: n-grams are cut, counted and compared where their id lies.
+    """
+    def grams(words, a, b):
+        return F.transform(F.coalesce(ngrams(words, n), F.array()), lambda g: F.struct(g.alias("gram"), F.lit(a).alias("_a"), F.lit(b).alias("_b")))
 
-    both = grams(reference, "_a").join(grams(candidate, "_b"), [id_col, "gram"], "full").na.fill(0, ["_a", "_b"])
+    rows = df.repartition(id_col).select(id_col, F.inline(F.concat(grams(reference, 1, 0), grams(candidate, 0, 1))))
+    both = rows.groupBy(id_col, "gram").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     totals = both.groupBy(id_col).agg(F.sum(F.least("_a", "_b")).alias("_hit"), F.sum("_a").alias("_ref"), F.sum("_b").alias("_cand"))
     return totals.select(id_col, (200.0 * F.col("_hit") / F.greatest(F.lit(1), F.col("_ref") + F.col("_cand"))).alias("f"))
 
 
+def rouge_l(df: DataFrame, id_col: str, reference: Column, candidate: Column) -> DataFrame:
+    """(id, f): 100 * F-measure of the longest common subsequence. Rows are scored where they lie, with one bit per reference word."""
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([200.0 * common_subsequence(x, y) / max(1, len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return df.select(id_col, F.coalesce(reference, F.array()).alias("_a"), F.coalesce(candidate, F.array()).alias("_b")).select(id_col, score("_a", "_b").alias("f"))
+
+
+def common_subsequence(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest one, by bit-parallel rows: the zeros of s are where a row's length grows."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    every = s = (1 << len(a)) - 1
+    for w in b:
+        if u := s & at.get(w, 0):
+            s = ((s + u) | (s - u)) & every
+    return len(a) - s.bit_count()
+
+
 def _read(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
@@ -134,6 +162,13 @@ def _words(text="text"):
     return T.tokens(F.lower(text))
 
 
+def _sides():
+    """Reference and candidate of a document: all but its last quarter of words, and all but its first."""
+    words = F.coalesce(_words(), F.array())
+    quarter = lambda w: F.floor(F.size(w) / 4).cast("int")
+    return T.let(words, lambda w: F.slice(w, 1, F.size(w) - quarter(w))), T.let(words, lambda w: F.slice(w, quarter(w) + 1, F.size(w)))
+
+
 def _tagged(s, d):
     tags = ["O", "B-PER", "I-PER", "I-LOC", "O", "B-LOC", "B-LOC", "I-LOC"]
     k = F.col("event_id")
@@ -154,7 +189,10 @@ QUERIES = {
     "g13_confusion": lambda s, d: confusion(_read(s, d, "labels"), "quality", "toxic"),
     "g14_span_metrics": lambda s, d: span_metrics(spans(_tagged(s, d), ["user_id"], "event_id", "truth"), spans(_tagged(s, d), ["user_id"], "event_id", "pred"), _SPAN_KEYS).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
     "g14_spans": lambda s, d: spans(_tagged(s, d), ["user_id"], "event_id", "truth"),
-    "g15_rouge": lambda s, d: rouge_n(_read(s, d, "documents"), "doc_id", F.slice(_words(), 1, 60), F.slice(_words(), 21, 60), 2).withColumn("f", F.round("f", 4)),
+    "g15_rouge": lambda s, d: rouge_n(_read(s, d, "documents"), "doc_id", *_sides(), 2).withColumn("f", F.round("f", 4)),
+    "g15_rouge_1": lambda s, d: rouge_n(_read(s, d, "documents"), "doc_id", *_sides(), 1).withColumn("f", F.round("f", 4)),
+    "g15_rouge_l": lambda s, d: rouge_l(_read(s, d, "documents"), "doc_id", *_sides()).withColumn("f", F.round("f", 4)),
+    "g15_generated_length": lambda s, d: _read(s, d, "documents").agg(F.round(F.avg(F.size(_sides()[1])), 4).alias("gen_len")),
     "g16_class_balance": lambda s, d: _read(s, d, "labels").groupBy("toxic").agg(F.count("*").alias("n")),
     "g24_vocabulary": lambda s, d: vocabulary(_read(s, d, "documents"), F.col("text")),
 }

@@ -1,6 +1,7 @@
 """Queries cover whole tables and whole texts: brute force on rows and words that a cut at the head would lose."""
 
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,3 +52,69 @@ def test_new_records_differ_in_their_tails(spark, tmp_path):
     write(spark, str(tmp_path), "documents", [(10 + i, x, "s") for i, x in enumerate(texts)], "doc_id long, text string, source string")
     got = sorted(r["doc_id"] for r in catalog.QUERIES["u05_new_records"](spark, str(tmp_path)).collect())
     assert got == [11, 12, 15, 16]
+
+
+WORDS = ("a bb ccc dddd bb a eeeee " * 30 + "ffffff ggggggg").split()
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("long"))
+    texts = [" ".join(WORDS), "one two", "", None]
+    write(spark, d, "documents", list(enumerate(texts)), "doc_id long, text string")
+    write(spark, d, "conversations", [(0, i, " ".join(WORDS) + " :)") for i in range(2)], "conv_id long, turn int, text string")
+    return d
+
+
+def of(spark, d, name, column, **at):
+    rows = catalog.QUERIES[name](spark, d).collect()
+    return next(r[column] for r in rows if all(r[k] == v for k, v in ({"doc_id": 0} | at).items()))
+
+
+def joined(values):
+    return " ".join(str(x).lower() if isinstance(x, bool) else str(x) for x in values)
+
+
+def test_labels_of_all_tokens(spark, long_texts):
+    t = [len(w) for w in WORDS]
+    k = len(t) // 3
+    assert of(spark, long_texts, "n11_label_mask", "labels") == joined([-100] * k + t[k:])
+    assert of(spark, long_texts, "n12_target_mask", "mask") == joined([False] * k + [True] * (len(t) - k))
+    assert of(spark, long_texts, "n14_replace_ignored", "labels") == joined([0] * k + t[k:])
+    ids = [None] + [i // 2 for i in range(1, len(t))]
+    want = [-100 if w is None or w == before else t[w] for w, before in zip(ids, [-1] + ids[:-1], strict=True)]
+    assert of(spark, long_texts, "n13_spread_labels", "labels") == joined(want)
+
+
+def test_blocks_of_all_tokens(spark, long_texts):
+    t = [len(w) for w in WORDS]
+    got = sorted((r["pos"], r["block"], r["next"]) for r in catalog.QUERIES["w19_sliding_blocks"](spark, long_texts).collect())
+    assert got == [(i, joined(t[i : i + 8]), t[i + 8]) for i in range(len(t) - 8)]
+
+
+def test_rouge_of_all_words(spark, long_texts):
+    k = len(WORDS) // 4
+    a, b = WORDS[: len(WORDS) - k], WORDS[k:]
+    for name, n in (("g15_rouge", 2), ("g15_rouge_1", 1)):
+        x, y = (Counter(zip(*[w[i:] for i in range(n)], strict=False)) for w in (a, b))
+        assert of(spark, long_texts, name, "f") == pytest.approx(200 * (x & y).total() / (x.total() + y.total()), abs=1e-4)
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    assert of(spark, long_texts, "g15_rouge_l", "f") == pytest.approx(200 * row[-1] / (len(a) + len(b)), abs=1e-4)
+    assert of(spark, long_texts, "g15_rouge_l", "f", doc_id=3) == 0
+    assert catalog.QUERIES["g15_generated_length"](spark, long_texts).first()[0] == (len(b) + 2) / 4
+
+
+def test_expressions_on_whole_texts(spark, long_texts):
+    whole = " ".join(WORDS)
+    assert whole in of(spark, long_texts, "x05_emoji", "text")
+    assert of(spark, long_texts, "x06_contractions", "text").endswith("; " + whole)
+    assert of(spark, long_texts, "a13_chip", "output") == whole
+    assert of(spark, long_texts, "a19_marked_prompt", "t") == f"<bos>translate: {whole}\n<eos>"
+    turns = {r["turn"]: r for r in catalog.QUERIES["x16_thinking"](spark, long_texts).collect()}
+    assert turns[0]["answer"].endswith(f"answer {whole} :)") and turns[0]["thinking"] == f"a{whole} :)"
+    assert all(r["t"].count(whole) == 2 for r in catalog.QUERIES["x12_markdown"](spark, long_texts).collect())
