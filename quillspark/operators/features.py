@@ -180,7 +180,7 @@ def _tagged(s, d):
 _SPAN_KEYS = ["user_id", "label", "start", "end"]
 
 QUERIES = {
-    "t01_tf_idf": lambda s, d: tf_idf(_read(s, d, "documents"), "doc_id", _words(), 0.01, 20_000).withColumn("weight", F.round("weight", 5)),
+    "t01_tf_idf": lambda s, d: tf_idf(_read(s, d, "documents"), "doc_id", _words()).withColumn("weight", F.round("weight", 5)),
     "t02_word_counts": lambda s, d: word_counts(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id"), _words(), "quality"),
     "t04_pair_counts": lambda s, d: pair_counts(_read(s, d, "documents").where("lang = 'en'"), _words()),
     "t08_ngrams": lambda s, d: _read(s, d, "benchmark").select("item_id", F.explode(ngrams(_words(), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")),

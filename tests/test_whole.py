@@ -118,3 +118,10 @@ def test_expressions_on_whole_texts(spark, long_texts):
     turns = {r["turn"]: r for r in catalog.QUERIES["x16_thinking"](spark, long_texts).collect()}
     assert turns[0]["answer"].endswith(f"answer {whole} :)") and turns[0]["thinking"] == f"a{whole} :)"
     assert all(r["t"].count(whole) == 2 for r in catalog.QUERIES["x12_markdown"](spark, long_texts).collect())
+
+
+def test_tf_idf_keeps_terms_beyond_20000(spark, tmp_path):
+    write(spark, str(tmp_path), "documents", [(i, " ".join(f"w{i}x{k}" for k in range(120))) for i in range(100)], "doc_id long, text string")
+    got = catalog.QUERIES["t01_tf_idf"](spark, str(tmp_path))
+    assert got.count() == 100 * (120 + 119)
+    assert got.where("abs(weight - 1 / sqrt(239)) > 1e-5").count() == 0
