@@ -28,8 +28,9 @@ from .html_pages import labelled_pages
 
 # Kinds of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-SILENT = set("head script style noscript template svg math iframe object title select option textarea button canvas audio video".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation".split())
+SILENT = set("head script style noscript template svg iframe object title select option textarea button canvas audio video".split())
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table body html article div section td th".split())
@@ -53,6 +54,8 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag in VOID:
             if tag not in INLINE and tag != "br":
                 self.block += 1
@@ -100,6 +103,15 @@ class Tree(HTMLParser):
             if self.open[i][0] in scope:
                 return
 
+    def _end_head(self, always: bool) -> None:
+        """Close a head whose end tag is left out; what is open inside it, as noscript, holds it open unless always."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] == "head":
+                self._pop(i)
+                return
+            if not always:
+                return
+
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
@@ -111,6 +123,8 @@ class Tree(HTMLParser):
             self.block += 1
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head(False)
         if not self.silent:
             self.pieces.append((self.block, self.open[-1][1], data, self.links > 0))
 
