@@ -48,11 +48,13 @@ def test_op1_is_brute_force(spark):
     assert any(v[1] for v in got.values())
 
 
-@pytest.mark.parametrize("phrase", [1, 3, 5])
-def test_op1_small_windows(spark, phrase):
+@pytest.mark.parametrize(("phrase", "shard_phrases", "group_docs"), [(1, 4096, 2048), (3, 2, 3), (5, 1, 1)])
+def test_op1_small_windows(spark, phrase, shard_phrases, group_docs):
     r = random.Random(phrase)
     rows = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 30)))) for i in range(40)]
-    got = {x["doc_id"]: x["kept"] for x in repeats.remove_repeats(frame(spark, rows), window=5, phrase=phrase).collect()}
+    rows += [(i, rows[3][1]) for i in range(40, 60)]  # a third of all rows share one text
+    found = repeats.remove_repeats(frame(spark, rows), window=5, phrase=phrase, shard_phrases=shard_phrases, group_docs=group_docs)
+    got = {x["doc_id"]: x["kept"] for x in found.collect()}
     owner = {}
     for d, t in rows:
         for i in range(len(t.split()) - 4):
@@ -63,6 +65,19 @@ def test_op1_small_windows(spark, phrase):
         assert got[d] == " ".join(x for k, x in enumerate(w) if k not in gone)
 
 
+def test_op1_automaton_finds_what_the_document_did_not_select():
+    def batch(rows):
+        shard, group, kind, key = pa.array([0] * len(rows)), pa.array([0] * len(rows), pa.int32()), pa.array([k for k, _, _ in rows], pa.int8()), pa.array([0] * len(rows))
+        return pa.RecordBatch.from_arrays([shard, group, kind, pa.array([i for _, i, _ in rows]), key, pa.array([t for _, _, t in rows], pa.binary())], ["shard", "group", "kind", "id", "key", "text"])
+
+    find, text = repeats._occurrences(5, 2), b"u v a b w x y z"
+    (out,) = find(iter([batch([(0, 1, b"a b"), (0, 1, b"y z")]), batch([(1, 7, text)])]))
+    # windows 0 to 2 start at or before "a b", which is leftmost in them; window 3 holds "y z" alone
+    assert sorted((r["starts"], r["length"], r["words"]) for r in out.to_pylist()) == [([0], 7, b"u v a b w x y"), ([3], 5, b"b w x y z")]
+    assert list(find(iter([batch([(1, 7, text)])]))) == []
+    assert list(find(iter([batch([(0, 1, b"ab w"), (1, 7, text)])]))) == []
+
+
 def test_op2_held_out_accuracy(spark):
     sf = SF.replace("0.001", "0.01")
     got = registry.QUERIES["op2_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
