@@ -6,8 +6,9 @@ block, by fixed-size lacing where they are equal and EBML lacing where the last
 
 The parser reads any Matroska file: element ids and sizes of variable length (unknown sizes too), unknown elements
 skipped, clusters, simple blocks and block groups, no, Xiph, EBML or fixed-size lacing, and cues. It gives one row per
-packet: track, timestamp, byte range, keyframe and the cluster's place; ranges are checked against the file's length, so
-a truncated file raises ValueError.
+packet: track, timestamp, byte range, keyframe and the cluster's place; ranges are checked against the file's length. Of a
+truncated or otherwise malformed file Media raises ValueError; in the tables such a row has no packets, null digests and
+the message in the column `error`, and the other rows are as ever.
 
 Files are row values: each task muxes and parses its own rows, nothing is shuffled or gathered.
 
@@ -106,6 +107,19 @@ def _vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int]:
     return (-1 if not keep and n == (1 << 7 * width) - 1 else n), at + width
 
 
+def _cluster_end(data: bytes, at: int, end: int) -> int:
+    while at < end:
+        start = at
+        kind, at = _vint(data, at, keep=True)
+        if kind in TOP:
+            return start
+        size, at = _vint(data, at)
+        if size < 0:
+            return end
+        at += size
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, start of the element, start of its body, end) of each element; one of unknown size ends where one begins
     that can't be inside it."""
@@ -114,9 +128,7 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, in
         kind, at = _vint(data, at, keep=True)
         size, at = _vint(data, at)
         if size < 0:
-            stop = end
-            if kind == CLUSTER:
-                stop = next((s for k, s, _, _ in elements(data, at, end) if k in TOP), end)
+            stop = _cluster_end(data, at, end) if kind == CLUSTER else end
         else:
             stop = at + size
             if stop > end:
@@ -172,6 +184,12 @@ class Media:
     def __init__(self, data: bytes) -> None:
         self.scale, self.duration, self.tracks, self.cues, self.clusters = 1_000_000, 0.0, {}, [], 0
         self.packets: list[tuple[int, int, int, int, bool, int]] = []  # track, ns, start, end, keyframe, cluster
+        try:
+            self._file(data)
+        except (struct.error, IndexError, StopIteration, OverflowError) as e:
+            raise ValueError(f"malformed file: {e}") from e
+
+    def _file(self, data: bytes) -> None:
         head, *_ = top = list(elements(data, 0, len(data))) or [(0, 0, 0, 0)]
         if head[0] != EBML:
             raise ValueError("not an EBML file")
@@ -226,11 +244,15 @@ class Media:
             elif k == GROUP:
                 inner = [(m, p, q) for m, _, p, q in elements(data, x, y)]
                 key = all(m != REFERENCE for m, _, _ in inner)
-                block = next((p, q) for m, p, q in inner if m == BLOCK)
+                block = next(((p, q) for m, p, q in inner if m == BLOCK), None)
+                if block is None:
+                    raise ValueError(f"block group without a block at byte {x}")
             if key is not None:
                 track, relative, _, ranges = _laced(data, *block)
                 ns = (time + relative) * self.scale
                 step = self.tracks.get(track, {}).get("frame_time", 0)
+                if not ranges or abs(ns) + len(ranges) * step >= 1 << 63:
+                    raise ValueError(f"timestamp out of range in the cluster at {place}")
                 self.packets += [(track, ns + i * step, s, e, key, place) for i, (s, e) in enumerate(ranges)]
 
     def _cue(self, data: bytes, a: int, b: int) -> None:
@@ -247,9 +269,17 @@ class Media:
         return b"".join(data[s:e] for t, _, s, e, _, _ in self.packets if t == track)
 
 
+def parse(data: bytes | None) -> tuple[Media | None, str | None]:
+    """The file, or what is wrong with it."""
+    try:
+        return (Media(data), None) if data is not None else (None, "null")
+    except ValueError as e:
+        return None, str(e)
+
+
 def feature(media: Media, samples: bytes) -> str:
     """Of a track of 8-bit samples: codec, packets, clusters, cues that point at clusters, ms, and sample statistics."""
-    track = next(iter(media.tracks.values()))
+    track = {"codec": "", "rate": 0.0} | next(iter(media.tracks.values()), {})
     x = np.frombuffer(samples, np.uint8)
     places = {p[5] for p in media.packets}
     good = sum(place in places for _, _, place in media.cues)
@@ -280,12 +310,14 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row per packet: id_col, packet (its number), track, timestamp_ns, offset, size, keyframe, cluster (offset in the segment)."""
+    """A row per packet: id_col, packet (its number), track, timestamp_ns, offset, size, keyframe, cluster (offset in the
+    segment). Null and malformed files have no packets; media_digests() says what is wrong with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, value in zip(batch["id"], batch["media"], strict=True):
-                packets = Media(value.as_py()).packets if value.is_valid else []
+                media, _ = parse(value.as_py())
+                packets = media.packets if media else []
                 columns = list(zip(*packets, strict=True)) or [()] * 6
                 start, end = np.array(columns[2], dtype=np.int64), np.array(columns[3], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -302,31 +334,36 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     return out.withColumnRenamed("id", id_col)
 
 
+DIGESTS = pa.schema(
+    [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
+     ("feature", pa.string()), ("error", pa.string())]
+)
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        payloads, features = [], []
+        rows = []
         for value in batch["media"]:
             data = value.as_py()
-            media = Media(data)
-            payloads.append(media.track_bytes(data, 1))
-            features.append(feature(media, payloads[-1]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch["id"], batch["n_bytes"], pa.array(map(len, payloads), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
-                pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), pa.array([len(v) for v in batch["media"].to_pylist()], pa.int64()),
-                pa.array([hashlib.sha256(v).hexdigest() for v in batch["media"].to_pylist()], pa.string()), pa.array(features, pa.string()),
-            ],
-            ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-        )
+            media, error = parse(data)
+            row = {"error": error}
+            if data is not None:
+                row |= {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+            if media:
+                payload = media.track_bytes(data, 1)
+                row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "feature": feature(media, payload)}
+            rows.append(row)
+        found = pa.RecordBatch.from_pylist(rows, schema=DIGESTS)
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["n_bytes"], *found.columns], ["id", "n_bytes", *DIGESTS.names])
 
 
 def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read the stored files back: sizes, digests and features of every row of to_media()."""
+    """Read the stored files back: sizes, digests, features and error (null where the file is sound) of every row of to_media()."""
     rows = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
     kind = media.schema[id_col].dataType.simpleString()
     out = rows.mapInArrow(
         _decode,
-        f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string",
     )
     return out.withColumnRenamed("id", id_col)
 
