@@ -13,16 +13,18 @@ verified before a frame is decompressed. Documents are range-partitioned by id,
 under a name of its own and then renames, so a task that is run again leaves one complete file. Files lie in the folder
 given, by default in the shared folder of spark.checkpoint.dir.
 
-Encoding splits a text before single spaces and looks units up among those already seen by the task. Byte-level BPE
-never merges across these places (checked for each text, else it is encoded whole), so ids equal those of the whole
-text.
+Encoding splits a text before single spaces and looks units up among those already seen by the task. Plain byte-level
+BPE never merges across these places (checked for each text, else it is encoded whole), so ids equal those of the whole
+text. With any other tokenizer (a normaliser, a prefix space, further pre-tokenisers, merges that work otherwise) texts
+are always encoded whole.
 
-Edge cases: null and empty text give the end id alone. Null ids come first; rows of equal id are ordered by text.
+Edge cases: ids are integers or cast to them. Null and empty text give the end id alone. Null ids come first; rows of equal id are ordered by text.
 Repeated rows are repeated in the file. An empty table gives no file and no row. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -49,6 +51,17 @@ FRAME = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("docs", "
 DOC = np.dtype([("id", "<i8"), ("null", "<u1"), ("ids", "<u4")])
 
 
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) is byte-level BPE over the usual pattern and nothing else."""
+    model = spec.get("model") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    pre = {k: v for k, v in (spec.get("pre_tokenizer") or {}).items() if k != "trim_offsets"}
+    return (
+        pre == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and model.get("type") == "BPE"
+        and not any(model.get(k) for k in odd) and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    )
+
+
 class Encoder:
     """Text to bytes of little-endian ids, equal to tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -62,7 +75,7 @@ class Encoder:
         self.tokenizer, self.type, self.most = Tokenizer.from_file(path), f"<u{width}", most
         self.code = "H" if width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.byte_level = "ByteLevel" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        self.byte_level = splits_at_spaces(json.loads(self.tokenizer.to_str()))
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in kept]
