@@ -1,11 +1,13 @@
 """Benchmark decontamination with a broadcast set of word n-grams, in DataFrame functions alone.
 
 Benchmark items give their distinct windows of n words (an item of fewer words is one window). Each document's windows
-are hashed to 64 bits row by row and looked up in the broadcast set; only hits are kept. The hits of a document, each
-with the words of its window, are joined to the documents once, where the words themselves verify them.
+are hashed to 64 bits row by row and looked up in the broadcast set; only hits are kept, one row per document and window
+with its places. A window's list of items joins those rows, so it travels once per document that holds the window. The
+hits then join the documents, where the words themselves verify them. Documents without a hit aren't shuffled: a
+broadcast list of the keys with hits tells them apart.
 
-The set is broadcast up to `broadcast_windows` distinct windows (they are counted first); beyond that the lookup is a
-shuffled join. Each distinct window is one row of the set, so a window that many items share costs one hit.
+The set is broadcast up to `broadcast_bytes` (measured first), the list of keys up to `broadcast_keys` (counted first);
+beyond that each lookup is a shuffled join of the same result.
 
 Edge cases: null or empty text, and text of punctuation only, has no words and no hits, and is not contaminated. Items
 without words are ignored; an item without an id marks words but isn't listed. Repeated rows are judged alike, and so
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import drop_table, read, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,10 +40,12 @@ def benchmark_windows(benchmark: DataFrame, n: int, id_col: str, text_col: str)
     return grams.select("length", F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("hash"), F.concat_ws(" ", "gram").alias("gram"), "items")
 
 
-def find_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, broadcast_windows: int) -> DataFrame:
+def find_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> DataFrame:
     """(key, hits) for documents with windows whose hash is in the set; key tells rows of equal id apart by their text."""
     lengths = [r[0] for r in grams.select("length").distinct().collect()]  # at most n
-    size = grams.count()
+    size = F.octet_length("gram") + F.coalesce(F.octet_length(F.concat_ws(",", "items")), F.lit(0)) + 64
+    small = (grams.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes
+    held = F.broadcast if small else lambda df: df
     hashes = docs.select(_key(id_col, text_col), F.transform(normalised_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("words"))
     windows = [
         F.expr(
@@ -51,9 +55,11 @@ def find_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, bro
         for k in sorted(lengths)
     ] or [F.expr("cast(array() as array<struct<length: int, at: int, hash: bigint>>)")]
     windows = hashes.select("key", F.inline(F.concat(*windows)))
-    found = windows.join(F.broadcast(grams) if size <= broadcast_windows else grams, ["length", "hash"])
-    # a window occurs as often as its document has places for it: the list is bounded by the document
-    return found.groupBy("key").agg(F.collect_list(F.struct("at", "length", "gram", "items")).alias("hits"))
+    found = windows.join(held(grams.select("length", "hash", "gram")), ["length", "hash"])
+    # sets, as rows that share id and text share a key: no group outgrows its document
+    found = found.groupBy("key", "length", "gram").agg(F.collect_set("at").alias("places"))
+    found = found.join(held(grams.select("gram", "items")), "gram")
+    return found.groupBy("key").agg(F.collect_list(F.struct("length", "gram", "places", "items")).alias("hits"))
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -62,7 +68,7 @@ def _key(id_col: str, text_col: str) -> Column:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
-    item_id_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 1_000_000,
+    item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 1 << 26, broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
     """All rows and columns of docs plus one struct column `contamination` (replaced where it exists).
 
@@ -71,13 +77,24 @@ def decontaminate(
     for users who remove spans in place of documents.
     """
     grams = table(benchmark_windows(benchmark, n, item_id_col, item_text_col), "windows")
-    hits = find_hits(docs, grams, id_col, text_col, broadcast_windows)
+    hits = table(find_hits(docs, grams, id_col, text_col, broadcast_bytes), "hits")
+    drop_table(grams)
     columns = [F.col(f"d.`{c}`") for c in docs.columns if c.lower() != "contamination"]
-    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), _key(id_col, text_col)).join(hits, "key", "left")
-    both = both.select("d", "hits", normalised_words(F.col(f"d.`{text_col}`")).alias("words"))
-    verified = F.expr("filter(coalesce(hits, array()), h -> concat_ws(' ', slice(words, h.at, h.length)) = h.gram)")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), _key(id_col, text_col))
+    if hits.count() <= broadcast_keys:
+        keys = F.broadcast(hits.select("key"))
+        none = F.lit(None).cast(hits.schema["hits"].dataType).alias("hits")
+        both = held.join(keys, "key", "left_semi").join(hits, "key").select("d", "hits")
+        both = both.unionByName(held.join(keys, "key", "left_anti").select("d", none))
+    else:
+        both = held.join(hits, "key", "left")
+    both = both.select("d", normalised_words(F.col(f"d.`{text_col}`")).alias("words"), "hits")
+    verified = F.expr(
+        "filter(transform(coalesce(hits, array()), h -> named_struct('length', h.length, 'items', h.items, 'places',"
+        " filter(h.places, p -> concat_ws(' ', slice(words, p, h.length)) = h.gram))), h -> size(h.places) > 0)"
+    )
     both = both.withColumn("hits", verified)
-    places = F.expr("array_distinct(flatten(transform(hits, h -> sequence(h.at, h.at + h.length - 1))))")
+    places = F.expr("array_distinct(flatten(flatten(transform(hits, h -> transform(h.places, p -> sequence(p, p + h.length - 1))))))")
     both = both.select(
         "d", "words", places.alias("places"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
