@@ -2,7 +2,8 @@
 
 Rows of equal fingerprint collapse first, so copies cost one row each. The 64 bits are cut into segments, and radii are
 dealt to them such that two fingerprints within the distance are, in one segment, within its radius: with 3 segments
-and distance 4 the radii are 1, 1 and 0. Each fingerprint stands in one table bucket per segment and looks up the
+and distance 4 the radii are 1, 1 and 0, with 2 segments 2 and 1. There are as many segments, at most three, as leave
+tables sparse: fewer and longer ones when 2 ** bits of a segment would hold more than `bucket` fingerprints a key. Each fingerprint stands in one table bucket per segment and looks up the
 buckets of the small Hamming ball around its segment; of the two ends of a pair only the one whose lowest differing bit
 is 0 enumerates it. Fetched matches are verified on all 64 bits inside the join.
 
@@ -13,7 +14,7 @@ the same components. Fingerprints equal to one another within distance r number
 many documents there are.
 
 Edge cases: null text, empty text and text without words have fingerprint 0 and link like any other. Repeated rows and
-repeated ids give one row each. Rows with a null id take the class of their fingerprint and pass on no links; where no
+repeated ids give one row each. Ids are integers or cast to them. Rows with a null id take the class of their fingerprint and pass on no links; where no
 row of that fingerprint has an id, the class is null. Other columns are not read.
 """
 
@@ -126,8 +127,17 @@ def _tiles(distance: int):
     return run
 
 
-def links(prints: DataFrame, distance: int = 4, n_segments: int = 3, bucket: int = 64, block: int = 4096) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints (node, print) that connect all pairs within the distance."""
+def segments_for(count: int, distance: int, bucket: int) -> int:
+    """The most segments, up to three, whose tables hold at most `bucket` of `count` fingerprints a key on average, else two."""
+    return next((n for n in (3, 2) if n <= distance + 1 and count <= bucket << 64 // n), 2 if distance else 1)
+
+
+def links(prints: DataFrame, distance: int = 4, n_segments: int | None = None, bucket: int = 64, block: int = 4096) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints (node, print) that connect all pairs within the distance.
+
+    n_segments is by default chosen from the number of fingerprints; it and bucket choose the way, not the result.
+    """
+    n_segments = n_segments or segments_for(prints.count(), distance, bucket)
     arrays = [_keys(F.col("print"), s, *x) for s, x in enumerate(segments(distance, n_segments))]
     keys = prints.select("node", "print", F.inline(F.concat(*arrays)))
     entries, probes = keys.where("not probe").drop("probe"), keys.where("probe").drop("probe")
