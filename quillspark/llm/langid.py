@@ -7,11 +7,12 @@ priors. Probabilities are fitted by expectation-maximisation, whose E-step (forw
 over distinct words with their counts; the driver sees one number per language and piece.
 
 The model is fitted on a bounded sample of labelled rows: about `docs_per_language` documents of each language, chosen by
-a hash of the id. Everything else covers all rows. Words longer than LONGEST bytes are scored in runs of that length, so
-nothing of a text is left out.
+a hash of the id; of more than `most_languages` labels the most frequent are learned. Everything else covers all rows.
+The sum runs over all segmentations into all pieces of the vocabulary that fit, for words of any length: prefix
+probabilities carry an exponent of their own, so that none underflows.
 
 Edge cases: null or empty text and text without a letter give `und` and score 0; so does every text where no labelled
-row exists to learn from. A null or empty language is no label. Rows with a null id are predicted, not learned from.
+row exists to learn from. A word that has no segmentation (the vocabulary lacks a byte) counts as 1e-300. A null or empty language is no label. Rows with a null id are predicted, not learned from.
 Repeated rows give equal rows. Other columns pass through.
 """
 
@@ -33,27 +34,35 @@ from pyspark.sql import functions as F
 from .common import read, table
 from .repeats import BASE, INVERSE, _powers
 
-LONGEST = 48
 WORD = re.compile(r"[^\W\d_]+")
+SMALL = 1e-100
+NEVER = np.log(1e-300)
 
 
-def vocabulary(path: str, longest: int = 12) -> list[bytes]:
+def vocabulary(path: str) -> list[bytes]:
     """Pieces of a tiktoken file that can occur in a space and a lower-cased word."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
     fits = re.compile(rb"(?=.)[ ]?[a-z\x80-\xff]*\Z", re.S)
-    return sorted(p for p in pieces if len(p) <= longest and fits.match(p))
+    return sorted(p for p in pieces if fits.match(p))
 
 
 class Lattice:
-    """All pieces of all segmentations of many words at once."""
+    """All pieces of all segmentations of many words at once.
+
+    A word of n bytes has n + 1 places; the places of all words are numbered one after the other.
+    """
+
+    MAYBE = 22  # bits of a table that tells most other strings from pieces
 
     def __init__(self, pieces: list[bytes]) -> None:
-        self.longest = max(map(len, pieces))
         self.up, self.down = _powers(BASE, 1 << 16), _powers(INVERSE, 1 << 16)
         keys = np.array([self.hash(np.frombuffer(p, np.uint8)) for p in pieces], dtype=np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
+        self.lengths = sorted(set(map(len, pieces)))
+        self.maybe = np.zeros(1 << self.MAYBE, dtype=bool)
+        self.maybe[keys >> np.uint64(64 - self.MAYBE)] = True
 
     def hash(self, data: np.ndarray) -> np.uint64:
         return np.sum(self.mixed(data) * self.up[: len(data)], dtype=np.uint64)
@@ -62,74 +71,122 @@ class Lattice:
     def mixed(data: np.ndarray) -> np.ndarray:
         return (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
-    def edges(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For each end and length in bytes: the words that have a piece there, and its number. Ends ascend."""
+    def edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """First place of each word; then from, to, piece and distance of `to` from its word's start, for each edge."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.cumsum(size) - size
-        if size.sum() > len(self.up):
-            self.up, self.down = _powers(BASE, int(size.sum())), _powers(INVERSE, int(size.sum()))
         data = np.frombuffer(b"".join(words), np.uint8)
+        if len(data) > len(self.up):
+            self.up, self.down = _powers(BASE, len(data)), _powers(INVERSE, len(data))
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.mixed(data) * self.up[: len(data)], out=sums[1:])
-        for end in range(1, int(size.max(initial=0)) + 1):
-            here = np.flatnonzero(size >= end)
-            for length in range(1, min(end, self.longest) + 1):
-                at = start[here] + end - length
-                key = (sums[at + length] - sums[at]) * self.down[at]
-                n = np.searchsorted(self.keys, key)
-                n[n == len(self.keys)] = 0
-                ok = self.keys[n] == key
-                if ok.any():
-                    yield end, length, here[ok], self.order[n[ok]]
-
-
-def forward(lattice: Lattice, probs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, list, np.ndarray]:
-    """Probability of each prefix of each word (end, word, language), the lattice's edges, and the words' sizes."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    alpha = np.zeros((int(size.max(initial=0)) + 1, len(words), probs.shape[1]))
-    alpha[0] = 1
-    edges = []
-    for end, length, at, piece in lattice.edges(words):
-        alpha[end, at] += alpha[end - length, at] * probs[piece]
-        edges.append((end, length, at, piece))
-    return alpha, edges, size
+        word = np.repeat(np.arange(len(words)), size)
+        begin = np.cumsum(size) - size
+        left = np.repeat(begin + size, size) - np.arange(len(data))  # bytes to the end of the word
+        at, to, piece = [], [], []
+        here = np.arange(len(data))
+        for length in self.lengths:
+            here = here[left[here] >= length]
+            key = (sums[here + length] - sums[here]) * self.down[here]
+            some = np.flatnonzero(self.maybe[key >> np.uint64(64 - self.MAYBE)])
+            n = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+            ok = self.keys[n] == key[some]
+            found = here[some[ok]]
+            at.append(found + word[found])
+            to.append(found + word[found] + length)
+            piece.append(self.order[n[ok]])
+        at, to, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, to, piece))
+        first = begin + np.arange(len(words))
+        owner = np.searchsorted(first, to, side="right") - 1
+        return first, at, to, piece, to - first[owner]
+
+
+def _sweep(known: np.ndarray, source: np.ndarray, target: np.ndarray, factor: np.ndarray, step: np.ndarray, back: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all paths: value and exponent of each place, from those known. Edges of one step don't depend on one
+    another; `back` leads from a place to the one whose exponent it starts with."""
+    value, exponent = known.copy(), np.zeros(known.shape)
+    order = np.lexsort((target, step))
+    source, target, factor = source[order], target[order], factor[order]
+    cuts = np.searchsorted(step[order], np.arange(int(step.max(initial=0)) + 2))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i == j:
+            continue
+        t, s = target[i:j], source[i:j]
+        head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        places = t[head]
+        base = exponent[places + back]
+        terms = value[s] * factor[i:j] * np.exp(exponent[s] - np.repeat(base, np.diff(np.append(head, j - i)), axis=0))
+        total = np.add.reduceat(terms, head, axis=0)
+        low = (total < SMALL) & (total > 0)
+        if low.any():
+            base = base + np.where(low, np.log(np.where(low, total, 1.0)), 0.0)
+            total = np.where(low, 1.0, total)
+        value[places], exponent[places] = total, base
+    return value, exponent
+
+
+def _forward(words: list[bytes], first: np.ndarray, edges: tuple, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, to, _, distance = edges
+    start = np.zeros((sum(map(len, words)) + len(words), factor.shape[1]))
+    start[first] = 1
+    return _sweep(start, at, to, factor, distance, -1)
+
+
+def _log(value: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    return np.where(value > 0, np.log(np.where(value > 0, value, 1.0)) + exponent, NEVER)
+
+
+def _parts(words: list[bytes], columns: int) -> Iterator[slice]:
+    """Slices of the words of so many bytes that the work on one of them takes some tens of MB."""
+    most, begin, held = (1 << 19) // max(columns, 1), 0, 0
+    for i, w in enumerate(words):
+        if held and held + len(w) > most:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += len(w)
+    if begin < len(words):
+        yield slice(begin, len(words))
 
 
 def word_log_probs(lattice: Lattice, probs: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Log of the sum over all segmentations: a row per word, a column per language."""
     out = np.zeros((len(words), probs.shape[1]))
-    for i in range(0, len(words), 4096):
-        part = sorted(range(i, min(i + 4096, len(words))), key=lambda k: len(words[k]))
-        for group in (part[: len(part) * 3 // 4], part[len(part) * 3 // 4 :]):  # few long words don't stretch the rest
-            if group:
-                alpha, _, size = forward(lattice, probs, [words[k] for k in group])
-                out[group] = np.log(np.maximum(alpha[size, np.arange(len(group))], 1e-300))
+    for here in _parts(words, probs.shape[1]):
+        part = words[here]
+        first, *edges = lattice.edges(part)
+        alpha, exponent = _forward(part, first, tuple(edges), probs[edges[2]])
+        last = first + np.fromiter(map(len, part), np.int64, len(part))
+        out[here] = _log(alpha[last], exponent[last])
     return out
 
 
 def expected_counts(lattice: Lattice, probs: np.ndarray, words: list[bytes], weights: np.ndarray, total: np.ndarray) -> None:
     """Add each piece's expected occurrences in the words of one language to total."""
-    for i in range(0, len(words), 4096):
-        part, w = words[i : i + 4096], weights[i : i + 4096]
-        alpha, edges, size = forward(lattice, probs[:, None], part)
-        rows, whole = np.arange(len(part)), alpha[size, np.arange(len(part)), 0]
-        beta = np.zeros(alpha.shape[:2])
-        beta[size, rows] = w / np.maximum(whole, 1e-300)
-        for end, length, at, piece in reversed(edges):
-            through = beta[end, at] * probs[piece]
-            beta[end - length, at] += through
-            np.add.at(total, piece, through * alpha[end - length, at, 0])
-
-
-def runs(word: str) -> list[bytes]:
-    data = b" " + word.encode()
-    return [data] if len(data) <= LONGEST else [data[i : i + LONGEST] for i in range(0, len(data), LONGEST)]
+    for here in _parts(words, 1):
+        part, w = words[here], weights[here]
+        size = np.fromiter(map(len, part), np.int64, len(part))
+        first, at, to, piece, distance = lattice.edges(part)
+        factor = probs[piece][:, None]
+        alpha, up = _forward(part, first, (at, to, piece, distance), factor)
+        last = first + size
+        owner = np.searchsorted(first, to, side="right") - 1
+        start = np.zeros_like(alpha)
+        start[last] = 1
+        beta, down = _sweep(start, to, at, factor, size[owner] - (at - first[owner]), 1)
+        whole = _log(alpha[last], up[last])[:, 0]
+        share = alpha[at, 0] * factor[:, 0] * beta[to, 0]
+        share = np.where(share > 0, share * np.exp(np.minimum(up[at, 0] + down[to, 0] - whole[owner], 700)), 0.0)
+        np.add.at(total, piece, w[owner] * share)
+
+
+def spaced(word: str) -> bytes:
+    return b" " + word.encode()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            counts.update((lang, r) for w in WORD.findall((text or "").lower()) for r in runs(w))
+            counts.update((lang, spaced(w)) for w in WORD.findall((text or "").lower()))
         langs, words = zip(*counts, strict=True) if counts else ((), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"]
@@ -161,18 +218,19 @@ class Model:
 
 
 def fit(
-    labelled: DataFrame, vocabulary_path: str, docs_per_language: int = 500, rounds: int = 3, smoothing: float = 0.05,
+    labelled: DataFrame, vocabulary_path: str, docs_per_language: int = 500, rounds: int = 3, smoothing: float = 0.05, most_languages: int = 256,
 ) -> Model:
     """Fit on labelled (id, text, lang). Holds docs_per_language documents a language, give or take chance."""
     pieces = vocabulary(vocabulary_path)
     labelled = labelled.where("lang is not null and lang <> '' and id is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["count"] for r in common.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], pieces, np.zeros((len(pieces), 0)))
     keep = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_language / sizes[k]))])
     chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(chance < F.element_at(keep, F.col("lang"))).select("lang", "text")
+    sample = labelled.where(chance < F.coalesce(F.element_at(keep, F.col("lang")), F.lit(0.0))).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = table(counts, "word-counts")
     place = {lang: i for i, lang in enumerate(langs)}
@@ -202,10 +260,8 @@ def _predict(model, most: int = 400_000):
 
         def learn() -> np.ndarray:
             """Score the words that were numbered since the last call, all at once."""
-            parts = [runs(w) for w in islice(numbers, len(scores), None)]
-            each = word_log_probs(lattice, probs, [r for p in parts for r in p])
-            edge = np.cumsum([0, *map(len, parts)])[:-1]
-            return np.concatenate([scores, np.add.reduceat(each, edge, axis=0)]) if parts else scores
+            new = [spaced(w) for w in islice(numbers, len(scores), None)]
+            return np.concatenate([scores, word_log_probs(lattice, probs, new)])
 
         for batch in batches:
             langs, posts, places = [], [], []

@@ -96,8 +96,80 @@ def test_op2_forward_sums_all_segmentations():
         return 1.0 if not word else sum(probs[p] * brute(word[len(p):]) for p in pieces if word.startswith(p))
 
     words = [b" ab", b" abab", b" b", b" aabb"]
-    got = np.exp(langid.word_log_probs(lattice, np.array([[probs[p]] for p in pieces]), words))[:, 0]
-    assert np.allclose(got, [brute(w) for w in words])
+    table = np.array([[probs[p]] for p in pieces])
+    assert np.allclose(np.exp(langid.word_log_probs(lattice, table, words))[:, 0], [brute(w) for w in words])
+
+    def each(word, used=(), p=1.0):
+        if not word:
+            return [(used, p)]
+        return [x for k, q in enumerate(pieces) if word.startswith(q) for x in each(word[len(q) :], (*used, k), p * probs[q])]
+
+    total, want = np.zeros(len(pieces)), np.zeros(len(pieces))
+    langid.expected_counts(lattice, table[:, 0], words, np.arange(1.0, 5), total)
+    for n, w in enumerate(words, 1):
+        paths = each(w)
+        for used, p in paths:
+            np.add.at(want, list(used), n * p / sum(x for _, x in paths))
+    assert np.allclose(total, want)
+
+
+def log_probability(pieces, logs, word):
+    """Forward algorithm over one word in plain floating point logarithms."""
+    import math
+
+    alpha = [0.0] + [None] * len(word)
+    longest = max(map(len, pieces))
+    for end in range(1, len(word) + 1):
+        terms = [alpha[i] + logs[pieces[word[i:end]]] for i in range(max(0, end - longest), end) if alpha[i] is not None and word[i:end] in pieces]
+        if terms:
+            top = max(terms)
+            alpha[end] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return alpha[-1]
+
+
+def test_op2_words_of_any_length_and_texts_without_spaces(spark):
+    import numpy as np
+    import public_tokenizers
+
+    pieces = langid.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert max(map(len, pieces)) > 12
+    place = {p: k for k, p in enumerate(pieces)}
+    probs = np.random.default_rng(2).random((len(pieces), 2)) ** 4
+    probs /= probs.sum(axis=0)
+    words = ["a" * 60, "überlänge" * 7, "страна" * 20, "日本語" * 400, "x", "langsam"]
+    got = langid.word_log_probs(langid.Lattice(pieces), probs, [langid.spaced(w) for w in words])
+    for column in range(2):
+        logs = np.log(probs[:, column])
+        assert np.allclose(got[:, column], [log_probability(place, logs, langid.spaced(w)) for w in words])
+    docs = frame(spark, [(1, "日本語" * 3000), (2, "ещё" * 5000 + " " + "y" * 200)]).withColumn("lang", F.col("doc_id").cast("string"))
+    model = langid.fit(docs.select(F.col("doc_id").alias("id"), "text", "lang"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = langid.predict(docs, model).select("lang", "language.*").collect()
+    assert [(r["lang_pred"], r["score"]) for r in found] == [(r["lang"], 1.0) for r in found]
+
+
+def test_op2_query_is_brute_force(spark):
+    import math
+
+    model = langid.fit_documents(documents(spark))
+    place = {p: k for k, p in enumerate(model.pieces)}
+    columns = [[math.log(x) for x in model.probs[:, k]] for k in range(len(model.langs))]
+    known = {}
+
+    def scores(word):
+        if word not in known:
+            known[word] = [log_probability(place, c, langid.spaced(word)) for c in columns]
+        return known[word]
+
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in registry.QUERIES["op2_language_id"](spark, SF).collect()}
+    for r in documents(spark).where("doc_id % 4 = 0").collect():
+        words = langid.WORD.findall((r["text"] or "").lower())
+        if not words:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        total = [sum(x) for x in zip(*map(scores, words), strict=True)]
+        best = max(total)
+        assert got[r["doc_id"]][0] == model.langs[total.index(best)]
+        assert math.isclose(got[r["doc_id"]][1], 1 / sum(math.exp(t - best) for t in total), rel_tol=1e-6)
 
 
 def fingerprint(text):
@@ -125,14 +197,21 @@ def test_op3_is_brute_force(spark):
     assert got == {d: (f"{p:016x}", root(d)) for d, p in prints.items()}
 
 
-@pytest.mark.parametrize("bucket", [0, 4, 64])
-def test_op3_links_keep_every_pair(spark, bucket):
+def test_op3_segments_follow_the_count():
+    assert [simhash.segments_for(n, 4, 64) for n in (0, 1 << 20, 1 << 27, (1 << 27) + 1, 10**10)] == [3, 3, 3, 2, 2]
+    for n in (1, 2, 3, 5):
+        parts = simhash.segments(4, n)
+        assert sum(b for _, b, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) == 5
+
+
+@pytest.mark.parametrize(("bucket", "n_segments"), [(0, 3), (4, 3), (64, None), (64, 2), (4, 5)])
+def test_op3_links_keep_every_pair(spark, bucket, n_segments):
     r = random.Random(bucket)
     base = [r.getrandbits(64) for _ in range(12)]
     values = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 5))) for b in base for _ in range(14)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame(list(enumerate(signed)), "node long, print long")
-    found = simhash.links(df, 4, 3, bucket=bucket, block=8)
+    found = simhash.links(df, 4, n_segments, bucket=bucket, block=8)
     got = {x["node"]: x["component"] for x in components.components(found).collect()}
     parent = list(range(len(values)))
 
@@ -175,8 +254,21 @@ def test_op5_spans_and_short_items(spark):
     assert got == {(1, 5, ("10",), "z"), (2, 0, (), "nothing"), (3, 0, (), "")}
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
     assert decontaminate.decontaminate(docs, items.limit(0)).where("contamination.contaminated").count() == 0
-    plain = decontaminate.decontaminate(docs, items, broadcast_windows=0)
+    plain = decontaminate.decontaminate(docs, items, broadcast_bytes=0, broadcast_keys=0)
     assert plain.where("contamination.contaminated").count() == 2
+    hot = frame(spark, [(k if k % 2 else None, "A b, c x y z") for k in range(30)] + [(1, "a b d c")])
+    assert [r[0] for r in decontaminate.decontaminate(hot, items).select("contamination.n_hit").collect()].count(5) == 30
+
+
+def test_op5_long_text_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    docs = frame(spark, [(1, " ".join(words)), (2, None), (3, "")]).withColumns({c: F.lit("x") for c in ("d", "hits", "words", "places", "items", "gram", "contamination")})
+    items = spark.createDataFrame([(k, " ".join(words[k * 100 : k * 100 + 20])) for k in range(200)], "item_id long, text string").withColumn("length", F.lit(1))
+    out = decontaminate.decontaminate(docs, items)
+    assert set(out.columns) == set(docs.columns)
+    got = {r["doc_id"]: r["contamination"] for r in out.collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"], len(got[1]["items"]), got[1]["contaminated"]) == (30_000, 4000, 200, True)
+    assert not got[2]["contaminated"] and got[3]["n_words"] == 0
 
 
 def test_op6_round_trip_and_packets(spark):
@@ -194,6 +286,27 @@ def test_op6_round_trip_and_packets(spark):
     assert times == sorted(times) and len(set(times)) == len(times)
 
 
+def test_op6_malformed_rows(spark):
+    good, r = matroska.mux(b"x" * 5000 + b"y" * 333), random.Random(3)
+    for _ in range(3000):
+        bad = bytearray(good)
+        for _ in range(r.choice([1, 1, 3])):
+            bad[r.randrange(len(bad))] = r.choice([0, 1, 0x7F, 0x80, 0xFF, r.randrange(256)])
+        media, error = matroska.parse(bytes(bad[: r.choice([len(bad), r.randrange(len(bad))])]))
+        assert (media is None) == (error is not None)
+    rows = spark.createDataFrame([(1, 5, good), (2, 5, good[:-9]), (3, 5, b""), (4, 5, None), (5, 5, b"\xff" * 40)], "doc_id long, n_bytes long, media binary")
+    got = {x["doc_id"]: x for x in matroska.media_digests(rows).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 5333
+    assert all(got[k]["error"] and got[k]["payload_bytes"] is None for k in (2, 3, 4, 5))
+    assert {x["doc_id"] for x in matroska.packet_table(rows).collect()} == {1}
+
+
+def test_op6_clusters_of_unknown_size():
+    cluster = b"".join([(0x1F43B675).to_bytes(4, "big"), b"\x01" + b"\xff" * 7, matroska.number(matroska.TIME, 5), matroska.element(matroska.SIMPLE, b"\x81\x00\x00\x80abc")])
+    file = matroska.element(matroska.EBML, b"") + (0x18538067).to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + cluster * 3000
+    assert len(matroska.Media(file).packets) == 3000
+
+
 @pytest.mark.parametrize("lacing", [0, 1, 2, 3])
 def test_op6_reads_every_lacing(lacing):
     frames = [b"a" * 5, b"b" * 5, b"c" * 5] if lacing == 2 else [b"a" * 300, b"bb", b"c" * 7]
@@ -310,6 +423,29 @@ def test_odd_rows_and_empty_tables(spark, rows):
     assert tokens.token_digests(df, public_tokenizers.path("byte_bpe_50k.json")).count() == n
 
 
+def test_op4_other_tokenizers_are_not_split(tmp_path):
+    import json
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    byte_level = spec["pre_tokenizer"]
+    changes = [
+        {}, {"pre_tokenizer": byte_level | {"add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}},
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, byte_level]}},
+        {"model": spec["model"] | {"ignore_merges": True}}, {"model": spec["model"] | {"unk_token": "a"}},
+    ]
+    for k, change in enumerate(changes):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(spec | change))
+        encode, whole = tokens.Encoder(str(path), 2), Tokenizer.from_file(str(path))
+        assert encode.byte_level == (not change)
+        for text in ("Hello World 1234", " two  spaces ", "", "tab\tand 77 more", "Ünïcode 日本 <|endoftext|> x", "end \n"):
+            assert np.frombuffer(encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_op4_seek_and_checksum(spark, tmp_path):
     import public_tokenizers
 
