@@ -6,9 +6,11 @@ downward, which gives every node's exact marginal; blocks of nodes with a margin
 order. Potentials are counted on labelled pages (html_pages). The model is a few hundred numbers and travels with the
 tasks; pages are extracted one by one where they lie, with no shuffle.
 
-Edge cases: null, empty and text-free html give an empty text. Text outside all tags is a block of the body. Unclosed
-elements end with their parent; scripts, styles, the head and comments never give text. Repeated rows give equal rows.
-Nesting may be of any depth. Other columns pass through the query's operator untouched.
+Edge cases: null, empty and text-free html give an empty text. Text outside all tags is a block of the body, the root of
+the tree; a page without any structure (a plain text, paragraphs or bare divs alone) keeps its text. Unclosed elements
+end with their parent; scripts, styles, the head and comments never give text. Repeated rows give equal rows. Nesting
+may be of any depth, and work grows in proportion to the page: every open element knows what an end tag or a new block
+would close. Other columns pass through the query's operator untouched.
 """
 
 from __future__ import annotations
@@ -32,8 +34,14 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 SILENT = set("head script style noscript template svg iframe object title select option textarea button canvas audio video".split())
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = set("ul ol dl table body html article div section td th".split())
+#: what a start tag ends: the innermost open element of these groups, unless one of the group's scope is further in
+GROUPS = {"p": "p", "li": "li", "dt": "term", "dd": "term", "td": "cell", "th": "cell", "tr": "row", "option": "option"}
+ENDS_SAME = {"li": ["li"], "dt": ["term"], "dd": ["term"], "td": ["cell"], "th": ["cell"], "tr": ["row", "cell"], "option": ["option"]}
+P_SCOPE = set("ul ol dl table body html article div section td th".split())
+LIST_SCOPE = set("ul ol dl table select".split())
+
+#: elements by which a page tells its parts apart; one without these and without names is bare
+PARTS = set("nav header footer aside form article main section menu dialog".split())
 
 #: elements that hold text and, unless they have names, mostly go with their parent
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead pre blockquote ul ol dl table figure figcaption".split())
@@ -47,8 +55,12 @@ class Tree(HTMLParser):
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.names, self.parents, self.gold = ["body"], [[]], [-1], ["0"]
-        self.open = [("body", 0)]  # (tag, node); an inline element without names shares its parent's node
+        # (tag, node, nearest open element of each group in scope); an inline element without names shares its parent's node
+        self.open: list[tuple[str, int, dict[str, int]]] = [("body", 0, {})]
+        self.places: dict[str, list[int]] = {}  # where the elements of each tag stand in self.open
+        self.blocks = [0]  # and those that aren't inline
         self.silent = self.links = self.block = 0
+        self.bare = True
         self.pieces: list[tuple[int, int, str, bool]] = []
         self.feed(html)
         self.close()
@@ -62,14 +74,14 @@ class Tree(HTMLParser):
             elif tag == "br":
                 self.handle_data("\n")
             return
+        given = dict(attrs)
         if tag in ("html", "body"):
+            self.gold[0] = given.get("data-y") or self.gold[0]
             return
         if tag in ENDS_P:
-            self._end({"p"}, SCOPE)
-        if tag in ENDS_SAME:
-            self._end(ENDS_SAME[tag], {"ul", "ol", "dl", "table", "select"})
-        node = self.open[-1][1]
-        given = dict(attrs)
+            self._end(["p"])
+        self._end(ENDS_SAME.get(tag, []))
+        node, near = self.open[-1][1:]
         names = [w.lower() for k in ("class", "id", "role") for w in NAME.findall(given.get(k) or "")]
         if "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", ""):
             names.append("hidden")
@@ -79,7 +91,15 @@ class Tree(HTMLParser):
             self.parents.append(node)
             self.gold.append(given.get("data-y") or self.gold[node])
             node = len(self.tags) - 1
-        self.open.append((tag, node))
+            self.bare = self.bare and not names and tag not in PARTS
+        if tag in P_SCOPE or tag in LIST_SCOPE or tag in GROUPS:
+            near = {k: v for k, v in near.items() if not (tag in P_SCOPE if k == "p" else tag in LIST_SCOPE)}
+            if tag in GROUPS:
+                near[GROUPS[tag]] = len(self.open)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node, near))
         self.silent += tag in SILENT
         self.links += tag == "a"
         self.block += tag not in INLINE
@@ -88,38 +108,34 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def _pop(self, to: int) -> None:
-        for tag, _ in self.open[to:]:
+        for tag, _, _ in reversed(self.open[to:]):
+            self.places[tag].pop()
             self.silent -= tag in SILENT
             self.links -= tag == "a"
-            self.block += tag not in INLINE
+            if tag not in INLINE:
+                self.blocks.pop()
+                self.block += 1
         del self.open[to:]
 
-    def _end(self, tags: set[str], scope: set[str]) -> None:
-        """Close the innermost open element of tags, unless one of scope is further in."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                self._pop(i)
-                return
-            if self.open[i][0] in scope:
+    def _end(self, groups: list[str]) -> None:
+        """Close the innermost open element of the first of groups that is in scope."""
+        near = self.open[-1][2]
+        for g in groups:
+            if g in near:
+                self._pop(near[g])
                 return
 
     def _end_head(self, always: bool) -> None:
         """Close a head whose end tag is left out; what is open inside it, as noscript, holds it open unless always."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == "head":
-                self._pop(i)
-                return
-            if not always:
-                return
+        if self.places.get("head") and (always or self.open[-1][0] == "head"):
+            self._pop(self.places["head"][-1])
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self._pop(i)
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:  # a stray end of an inline element closes no block
-                return
-        if tag == "p":
+        at = self.places.get(tag)
+        if at:
+            if tag not in INLINE or self.blocks[-1] < at[-1]:  # a stray end of an inline element closes no block
+                self._pop(at[-1])
+        elif tag == "p":
             self.block += 1
 
     def handle_data(self, data: str) -> None:
@@ -150,13 +166,17 @@ def features(tree: Tree) -> list[list[str]]:
             f"own {_bucket(own[i], (1, 25))} {_bucket(own_links[i] * 100, (own[i] * 30 + 1, own[i] * 80 + 1))}",
             f"all {_bucket(total[i], (1, 100, 400))} {_bucket(total_links[i] * 100, (total[i] * 30 + 1, total[i] * 70 + 1))}",
             *(f"name {x}" for x in dict.fromkeys(tree.names[i])),
+            *([] if i else [f"body {_bucket(own[0], (1, 60, 200))} {tree.bare}"]),
+            *([f"alone {_bucket(own_links[i] * 100, (own[i] * 50 + 1,))} {tree.tags[i] if tree.tags[i] in TEXTUAL else 'div'}"] if tree.bare else []),
         ]
         for i in range(n)
     ]
 
 
 def bond(tree: Tree, i: int) -> int:
-    """Which parent-child table holds for node i: that of named, textual, article or other elements."""
+    """Which parent-child table holds for node i: that of the body's children, or of named, textual, article or other elements."""
+    if tree.parents[i] == 0:
+        return 4
     return 0 if tree.names[i] else 1 if tree.tags[i] in TEXTUAL else 2 if tree.tags[i] in ("article", "main") else 3
 
 
@@ -219,18 +239,19 @@ def train(pages: list[str], rounds: int = 12, rate: float = 0.03, smoothing: flo
     labels, whose gradient is label minus marginal, page by page with a falling rate.
     """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    n, pairs, made = [0, 0], [[[1.0, 1.0], [1.0, 1.0]] for _ in range(4)], []
+    n, pairs, made, roots = [0, 0], [[[1.0, 1.0], [1.0, 1.0]] for _ in range(5)], [], [1.0, 1.0]
     for html in pages:
         tree = Tree(html)
         y, f = [g == "1" for g in tree.gold], features(tree)
         made.append((tree, y, f))
+        roots[y[0]] += 1
         for i in range(len(y)):
             n[y[i]] += 1
             seen[y[i]].update(f[i])
             if i:
                 pairs[bond(tree, i)][y[tree.parents[i]]][y[i]] += 1
     odds = {k: 0.3 * (math.log((seen[1][k] + smoothing) / (n[1] + 1)) - math.log((seen[0][k] + smoothing) / (n[0] + 1))) for k in seen[0] | seen[1]}
-    model = Model(odds, (0.99, 0.01), [tuple((row[0] / sum(row), row[1] / sum(row)) for row in kind) for kind in pairs])
+    model = Model(odds, (roots[0] / sum(roots), roots[1] / sum(roots)), [tuple((row[0] / sum(row), row[1] / sum(row)) for row in kind) for kind in pairs])
     for k in range(rounds):
         for tree, y, f in made:
             for i, p in enumerate(model.marginals(tree, f)):

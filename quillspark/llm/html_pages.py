@@ -1,7 +1,7 @@
 """Seeded labelled pages, from which the extraction model is trained.
 
 Pages are put together from layouts as publishers use them: semantic elements, div soup with telling class names, tables,
-and bare markup. Every element carries data-y="1" where it belongs to the article and data-y="0" where it doesn't.
+bare markup, prose that lies in the body itself, and pages that are nothing but a text. Every element carries data-y="1" where it belongs to the article and data-y="0" where it doesn't.
 """
 
 from __future__ import annotations
@@ -111,7 +111,39 @@ class _Maker:
         names = None if bare else ARTICLE
         return self.el(tag, 1, "".join(blocks), names, ' role="main"' if r.random() < 0.1 else "")
 
+    def loose(self) -> tuple[str, int]:
+        """An article that no element of its own holds: paragraphs, bare divs, or prose right in the body (then y is 1)."""
+        r = self.r
+        kind = r.choice(["p", "p", "body", "body", "body", "div", "table"])
+        texts = [self.words(*r.choice([(2, 12), (20, 90), (20, 90), (60, 200)])) for _ in range(r.choice([1, 1, 1, 2, 4, 8]))]
+        if kind == "body":
+            return r.choice(["<br><br>", "\n", "<br>"]).join(texts), 1
+        if kind == "table":
+            return self.el("table", 1, "".join(self.el("tr", 1, self.el("td", 1, x)) for x in texts)), 0
+        head = self.el("h1", 1, self.words(2, 10, False)) if r.random() < 0.4 else ""
+        inner = head + "".join(self.el(kind, 1, x) for x in texts)
+        for _ in range(r.choice([0, 1, 2, 4]) if kind == "div" else 0):
+            inner = self.el("div", 1, inner)
+        return inner, 0
+
     def page(self) -> str:
+        if self.r.random() < 0.22:
+            return self.plain_page()
+        return self.full_page()
+
+    def plain_page(self) -> str:
+        """A loose article alone, or between bare parts; at times without html or body tags."""
+        r = self.r
+        body, y = self.loose()
+        if r.random() < 0.45:
+            body = self.part("nav", ["nav", "div"]) * (r.random() < 0.8) + body + self.part("footer", ["footer", "div"]) * (r.random() < 0.8)
+        elif r.random() < 0.2:
+            body = self.el("ul", 0, "".join(self.el("li", 0, self.link()) for _ in range(r.randint(2, 9)))) + body
+        if y == 0 and r.random() < 0.1:
+            body += self.words(1, 4, False)  # a stray word beside the blocks
+        return f'<html><head><title>{self.words(2, 8)}</title></head><body data-y="{y}">{body}</body></html>'
+
+    def full_page(self) -> str:
         r, bare = self.r, self.r.random() < 0.35
         plain = ["div"]
         before = [k for k, p in (("header", 0.6), ("nav", 0.75), ("notice", 0.35), ("ad", 0.5), ("form", 0.2), ("aside", 0.15)) if r.random() < p]
