@@ -1,15 +1,19 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Base spans are what the patterns find: email, ip, card, phone. The field's nodes are the tokens of a document that hold a
-digit, an @ or a plus sign; its labels are those four kinds and none. Neighbouring tokens share a chain potential; each
-token shares skip potentials with the next one of equal characters and the next one of equal shape, however far away, so
-the skip edges grow with the document and not with the square of a repeated token's count. Loopy sum-product message
-passing runs over all documents of an Arrow batch at once. Tokens of base spans are observed, the rest are inferred:
-evidence for one spelling of a number reaches its other spellings in the document. Runs of tokens inferred to be of a
-kind, clear of all base spans, are added.
-
-The field learns from a bounded sample of documents (`sample_docs`, about, by a hash of the text), whose base spans are
-the labels; weights climb the pseudo-likelihood. All rows are searched where they lie, nothing is shuffled.
+digit, a plus sign, an @ or an (at); its labels are those four kinds and none. Neighbouring tokens share a chain
+potential. Each token shares skip potentials with the latest one before it, however far away, that has the same letters
+and digits, the same shape, the same last four digits, or the same name before its @; so the skip edges grow with the
+document and not with the square of a repeated token's count. Loopy sum-product message passing runs over all documents
+of an Arrow batch at once. Tokens of base spans are observed, the rest are inferred: evidence for one spelling of a
+number reaches its other spellings in the document. Runs of tokens inferred to be of a kind, clear of all base spans,
+are added.
+
+The field learns from a bounded sample (`sample_docs` and `sample_nodes`, by a hash of id and text). The labels are the
+base spans. As documents seldom spell a thing twice, documents with base spans are used again with one of these spelt
+otherwise at another place (labelled with its kind) and with an unrelated number, date or amount (labelled none): that
+teaches the skip potentials what to carry. Weights climb the pseudo-likelihood. All rows are searched where they lie,
+nothing is shuffled.
 
 All patterns run in time linear in the text, whatever it holds. Edge cases: null counts as empty and has no spans.
 Repeated rows give equal rows. With nothing to learn from, no spans are added. Other columns are not read.
@@ -17,6 +21,7 @@ Repeated rows give equal rows. With nothing to learn from, no spans are added. O
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +37,7 @@ KINDS = ("email", "ip", "card", "phone")
 K = len(KINDS) + 1  # label 0: none
 BITS = 12
 HASHES = 1 << BITS
+EDGES = 5  # chain; equal letters and digits; equal shape; equal last digits; equal name before the @
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -39,7 +45,8 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]++(?:(\.[0-9]++)(\.[0-9]++)(\.[0-9]++))?+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-MARK = re.compile(r"[0-9@+]")
+AT = re.compile(r"@|[(\[]at[)\]]", re.I)
+MARK = re.compile(r"[0-9@+]|[(\[][Aa][Tt][)\]]")
 TOKEN = re.compile(r"\S+")
 SHAPES = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\dA-Z_]+"), "a"))
 
@@ -86,20 +93,21 @@ class Graph:
         self.where: list[tuple[int, int, int]] = []  # document, start, end of each node
         self.labels: list[int] = []  # that of the base span the token is in, else 0
         self.features: list[list[int]] = []
-        self.edges: tuple[list, ...] = ([], [], [])  # from, to, kind: chain, equal characters, equal shape
+        self.edges: tuple[list, ...] = ([], [], [])  # from, to, kind
 
     def add(self, doc: int, text: str, spans: list[tuple[int, int, int]]) -> None:
         if not MARK.search(text):
             return
         spans = sorted((a, b, k) for k, a, b in spans)
         at, before, previous_end, word = 0, None, -9, ""
-        latest: dict[str, int] = {}
+        latest: dict[tuple[int, str], int] = {}
         for m in TOKEN.finditer(text):
             token, (start, end) = m[0], m.span()
             if not MARK.search(token):
                 word = token
                 continue
             core = token.strip("\"'.,;:!?#$%&*()[]<>|=")
+            at_sign = AT.search(core)
             if not core:
                 continue
             node = len(self.where)
@@ -114,20 +122,26 @@ class Graph:
             many = sum(digits >= n for n in (1, 4, 7, 10, 13, 20))
             valid = 13 <= digits <= 19 and _luhn("".join(c for c in core if c in "0123456789"))
             marks = [
-                "all", f"shape {shape[:40]}", f"digits {many}", f"number {len(core) == digits} {many} {valid}", f"at {'@' in core}", f"dots {min(core.count('.'), 4)}",
+                "all", f"shape {shape[:40]}", f"digits {many}", f"number {len(core) == digits} {many} {valid}", f"at {at_sign[0].lower() if at_sign else ''}", f"dots {min(core.count('.'), 4)}",
                 f"first {token[0] if not token[0].isalnum() else ''}", f"before {word[-12:].lower()}", f"joined {joined}",
             ]
             self.features.append([zlib.crc32(f.encode()) & (HASHES - 1) for f in marks])
             self.where.append((doc, start, end))
             self.labels.append(label)
-            keys = [(1, "= " + re.sub(r"\W", "", core))] + ([(2, "~ " + shape)] if digits > 2 or "@" in core else [])
+            keys = [(1, re.sub(r"[\W_]", "", AT.sub("", core)).lower())]
+            if digits > 2 or at_sign:
+                keys.append((2, shape))
+            if digits > 3:
+                keys.append((3, re.sub(r"[^0-9]", "", core)[-4:]))
+            if at_sign and at_sign.start():
+                keys.append((4, re.sub(r"[\W_]", "", core[: at_sign.start()]).lower()))
             for kind, key in ([(0, "")] if joined else []) + keys:
-                other = before if kind == 0 else latest.get(key)
+                other = before if kind == 0 else latest.get((kind, key))
                 if other is not None:
                     for column, value in zip(self.edges, (other, node, kind), strict=True):
                         column.append(value)
                 if kind:
-                    latest[key] = node
+                    latest[kind, key] = node
             before, previous_end, word = node, end, ""
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +186,7 @@ class Field:
 
 def train(graph: Graph, steps: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Climb the pseudo-likelihood: each label given its token and the labels of its neighbours."""
-    unary, pair = np.zeros((HASHES, K)), np.zeros((3, K, K))
+    unary, pair = np.zeros((HASHES, K)), np.zeros((EDGES, K, K))
     features, a, b, kind = graph.arrays()
     y = np.array(graph.labels, dtype=np.int64)
     n = len(y)
@@ -248,36 +262,88 @@ def _find(model, docs_at_once: int = 500):
                 more = added_spans(graph, field.marginals(graph), texts, base) if graph.where else [[]] * len(texts)
                 counts = [[sum(s[0] == k for s in spans) for spans in base] for k in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(map(_spell, base), pa.string()), pa.array([_spell(b + m) for b, m in zip(base, more, strict=True)], pa.string())],
-                    ["id", *(f"n_{k}" for k in KINDS), "base", "spans"],
+                    [
+                        batch["id"], *(pa.array(c, pa.int64()) for c in counts), pa.array([len(b) + len(m) for b, m in zip(base, more, strict=True)], pa.int64()),
+                        pa.array(map(_spell, base), pa.string()), pa.array([_spell(b + m) for b, m in zip(base, more, strict=True)], pa.string()),
+                    ],
+                    ["id", *(f"n_{k}" for k in KINDS), "n_spans", "base", "spans"],
                 )
 
     return run
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features, labels and edges of each document, as one row."""
-    for batch in batches:
-        rows = []
-        for text in batch["text"].to_pylist():
-            graph = Graph()
-            graph.add(0, text or "", base_spans(text or ""))
-            if graph.where:
-                rows.append({"labels": graph.labels, "features": graph.features, "edges": [list(map(int, e)) for e in graph.edges]})
-        schema = pa.schema([("labels", pa.list_(pa.int64())), ("features", pa.list_(pa.list_(pa.int64()))), ("edges", pa.list_(pa.list_(pa.int64())))])
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+def respell(kind: int, text: str, r: random.Random) -> str:
+    """Another way to write the same address or number, which the patterns don't match."""
+    if kind == 0:
+        name, _, domain = text.partition("@")
+        return r.choice([f"{name}(at){domain}", f"{name}[at]{domain}", f"{name.upper()}@{domain.split('.')[0]}", f"{name}@{domain.split('.')[0]}"])
+    digits = re.sub("[^0-9]", "", text)
+    if kind == 1:
+        return r.choice("-:_/").join(text.split("."))
+    if kind == 2:
+        return r.choice(["./_:"[r.randrange(4)].join(digits[i : i + 4] for i in range(0, len(digits), 4)), f"{digits[:8]}{r.choice('_/.')}{digits[8:]}"])
+    parts = re.findall("[0-9]+", text)
+    if len(parts) < 3:
+        parts = [digits[:2], digits[2:5], digits[5:]]
+    head, area, rest = parts[0], parts[1], parts[2:]
+    return r.choice([f"00{head} {area} {' '.join(rest)}", f"0{area}/{''.join(rest)}", f"({area}) {'-'.join(rest)}", f"({head}) {area}-{''.join(rest)}", digits, f"{area}.{'.'.join(rest)}"])
+
+
+def unrelated(r: random.Random) -> str:
+    """A number that is nobody's."""
+    n = lambda k: "".join(r.choices("0123456789", k=k))
+    return r.choice([
+        f"20{n(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(0, 23)}:{n(2)}", f"{r.randint(1, 9)}.{n(1)}.{n(1)}", f"${r.randint(1, 9)},{n(3)}.{n(2)}", n(r.randint(1, 6)),
+        n(8), n(11), f"#{n(5)}", f"{n(4)}/{n(7)}", f"{n(3)}-{n(7)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(4)}.{n(4)}", f"{n(2)}%", f"+{n(1)}", f"@{''.join(r.choices('abcdefgh', k=6))}",
+    ])
+
+
+def varied(text: str, spans: list[tuple[int, int, int]], r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """text with one of its spans written once more in another spelling, and with an unrelated number; and its spans."""
+    kind, start, end = r.choice(spans)
+    again, other = respell(kind, text[start:end], r), unrelated(r)
+    breaks = [m.start() for m in re.finditer(r"(?<=\S) (?=\S)", text)]
+    breaks = [i for i in breaks if not any(a < i < b for _, a, b in spans)] or [len(text)]
+    first, second = sorted((r.choice(breaks), r.choice(breaks)))
+    words = [again, other] if r.random() < 0.5 else [other, again]
+    out = f"{text[:first]} {words[0]}{text[first:second]} {words[1]}{text[second:]}"
+    at = first + 1 if words[0] is again else second + len(words[0]) + 2
+    base = base_spans(out)
+    return out, base + [(kind, at, at + len(again))] * (not any(a < at + len(again) and at < b for _, a, b in base))
+
+
+def _sampled(variants: int):
+    schema = pa.schema([("order", pa.int64()), ("labels", pa.list_(pa.int64())), ("features", pa.list_(pa.list_(pa.int64()))), ("edges", pa.list_(pa.list_(pa.int64())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features, labels and edges of each document and of its varied copies, as one row."""
+        for batch in batches:
+            rows = []
+            for order, text in zip(batch["order"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                graph, spans, r = Graph(), base_spans(text or ""), random.Random(order)
+                for k, (t, s) in enumerate([(text or "", spans), *(varied(text, spans, r) for _ in range(variants if spans else 0))]):
+                    graph.add(k, t, s)
+                if graph.where:
+                    rows.append({"order": order, "labels": graph.labels, "features": graph.features, "edges": [list(map(int, e)) for e in graph.edges]})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 3000, sample_nodes: int = 60_000) -> Field:
-    """Learn from about sample_docs documents; the driver gets the nodes of these, sample_nodes at most."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, sample_nodes: int = 60_000, variants: int = 4) -> Field:
+    """Learn from about sample_docs documents. The driver gets at most sample_docs of them, and takes them in the order of
+    the hash until sample_nodes nodes are full."""
     total = docs.count()
-    chance = F.pmod(F.xxhash64(F.col(text_col).cast("string"), F.lit("sample")), F.lit(1 << 20))
-    sample = docs.where(chance < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20))).select(F.col(text_col).cast("string").alias("text"))
-    rows = sample.mapInArrow(_sampled, "labels array<long>, features array<array<long>>, edges array<array<long>>")
+    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("sample")).alias("order")
+    chance = F.pmod(F.col("order"), F.lit(1 << 20))
+    sample = docs.select(order, F.col(text_col).cast("string").alias("text")).where(chance < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20)))
+    rows = sample.mapInArrow(_sampled(variants), "order long, labels array<long>, features array<array<long>>, edges array<array<long>>")
     graph = Graph()
-    for r in rows.toLocalIterator():
+    for r in rows.orderBy("order", F.size("labels")).limit(sample_docs).toLocalIterator():
         first = len(graph.where)
         if first + len(r["labels"]) > sample_nodes:
+            if first:
+                break
             continue
         graph.where += [(0, 0, 0)] * len(r["labels"])
         graph.labels += r["labels"]
@@ -288,15 +354,15 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 3000, sample
 
 
 def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, comma-joined) of every row."""
+    """id_col, n_email, n_ip, n_card, n_phone (base spans), n_spans (all), base and spans (kind:start:end, comma-joined) of every row."""
     model = docs.sparkSession.sparkContext.broadcast((field.unary, field.pair))  # of fixed size
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(_find(model), f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string")
+    out = rows.mapInArrow(_find(model), f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, n_spans long, base string, spans string")
     return out.withColumnRenamed("id", id_col)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = find_pii(docs, fit(docs))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
