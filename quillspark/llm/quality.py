@@ -1,14 +1,21 @@
 """Quality and toxicity from weak labels.
 
-Heuristic labellers vote on every document: for, against or not at all. One of them looks words up that a bounded sample
-of labelled rows shows to be insults. How often each combination of votes occurs is
-counted over all documents; there are at most 3 ** labellers of them, whatever the corpus. Expectation-maximisation over
-these counts estimates each labeller's accuracies and the share of each class, without any true label. The posteriors
-label a bounded sample of documents, on which a hashed linear scorer (logistic, words and binned statistics) is trained;
-it scores all rows where they lie. There is one such model for quality and one for toxicity.
+Heuristic labellers vote on every document: for, against or not at all. Those of quality look at its characters, words
+and lines. Those of toxicity look words, five-letter and four-letter beginnings of words up in three dictionaries, each
+mined from a third of its own of a bounded sample of labelled rows (`label_rows`), so that they err apart from one another;
+documents whose crc32(id as text) mod 3 is 1 are never mined, which leaves labels to test on. How often each combination
+of votes occurs is counted over all documents; there are at most 3 ** labellers of them, whatever the corpus.
+Expectation-maximisation over these counts estimates each labeller's accuracies and the share of each class, without any
+true label. The posteriors label a bounded sample of documents (`sample_docs`), on which a hashed linear scorer (logistic;
+words, beginnings and binned statistics) is trained; it scores all rows where they lie. There is one such model for quality
+and one for toxicity.
+
+A task numbers tokens as they first occur and looks at each distinct token once; a document is then a row of numbers.
 
 Edge cases: null and empty text have no words; the labellers call them poor and not toxic, and they get scores like any
-other. Repeated rows get equal scores. An empty table gives no rows. Other columns are not read.
+other. Repeated rows get equal scores. Labels that are null, of unknown documents or repeated don't matter (a document is
+toxic if one of its rows says so); without labels nothing is called toxic. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,99 +30,184 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import drop_table, read, table
+from .langid import held_out
 
 BUCKETS = 1 << 16
-WORD = re.compile(r"[^\W\d_]+")
+EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+PROSE = re.compile(r"[(\"'“«¿¡]*+[^\W\d_]++(?:['’-][^\W\d_]++)*+[)\"'”»]*+[.,;:!?]?")
 
-# Insults, the first of each pair of lists the cruder.
-CRUDE = set("idiot idiots moron morons scum imbecile cretin bastard asshole idioten arschloch abschaum dreckskerl crétin connard salaud enculé imbécile idiota cabrón gilipollas canalla imbécil".split())
-RUDE = set(
-    "stupid pathetic worthless disgusting trash loser losers clown garbage dumb fool ugly filthy hate dumm wertlos erbärmlich ekelhaft widerlich müll versager "
-    "stupide pathétique dégoûtant minable ordure raté clochard estúpido patético asqueroso basura inútil perdedor payaso".split()
-)
+QUALITY = ("symbols", "capitals", "bars", "shouts", "variety", "stutter", "prose", "sentences", "plain")
+MINED = ("word", "five", "four")  # kinds of terms: whole words and beginnings of five and of four letters
+COUNTED = tuple(f"mined {k}" for k in MINED)
 
-QUALITY = ("symbols", "capitals", "bars", "shouts", "variety", "prose", "sentences", "plain")
-TOXICITY = ("crude", "rude", "dense", "mined", "clean")
 
-PROSE = re.compile(r"(?<!\S)[(\"'“«¿¡]*+[^\W\d_]++(?:['’-][^\W\d_]++)*+[)\"'”»]*+[.,;:!?]?(?!\S)")
+def hashed(name: str) -> int:
+    return zlib.crc32(name.encode()) & (BUCKETS - 1)
 
 
-def statistics(text: str, words: list[str], mined: frozenset[str] = frozenset()) -> dict[str, float]:
+NO_START = hashed("^")
+
+
+def terms_of(core: str) -> tuple[str, str, str]:
+    return core, core[:5] if len(core) > 4 else "", core[:4] if len(core) > 3 else ""
+
+
+def read_token(token: str) -> tuple[str, bool]:
+    """Its core, and whether it is spelt like prose; most tokens are a word with at most one mark behind it."""
+    if token.isalpha():
+        return token.lower(), True
+    if token[-1] in ".,;:!?" and token[:-1].isalpha():
+        return token[:-1].lower(), True
+    return EDGES.sub("", token).lower(), bool(PROSE.fullmatch(token))
+
+
+class Tokens:
+    """Numbers white-space separated tokens as they first occur, and knows of each: its core (lower case, without what
+    isn't a letter at its edges; core 0 is none) and whether it is spelt like prose; of each core: its bucket, that of its
+    beginning, and in which dictionaries its terms are (`core_table`)."""
+
+    def __init__(self, mined: tuple[frozenset[str], ...] = (frozenset(),) * 3, most: int = 400_000) -> None:
+        self.mined, self.most = mined, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.cores: dict[str, int] = {"": 0}
+        self.table = np.zeros((0, 2), dtype=np.int64)
+        self.core_table = np.zeros((1, 5), dtype=np.int64)
+
+    def learn(self, tokens: set[str]) -> None:
+        number, cores, rows, names = self.number, self.cores, [], []
+        n, known = len(number), len(cores)
+        for token in tokens:
+            if token in number:
+                continue
+            core, prose = read_token(token)
+            k = cores.get(core)
+            if k is None:
+                k = cores[core] = known + len(names)
+                names.append(core)
+            number[token] = n + len(rows)
+            rows.append((k, prose))
+        if rows:
+            self.table = np.concatenate([self.table, np.array(rows, dtype=np.int64)])
+        if names:
+            words, fives, fours = self.mined
+            terms = [(hashed(c), hashed("^" + c[:5]) if len(c) > 4 else NO_START, c in words, c[:5] in fives, c[:4] in fours) for c in names]
+            self.core_table = np.concatenate([self.core_table, np.array(terms, dtype=np.int64)])
+
+    def read(self, texts: list[str]) -> Iterator[tuple[dict[str, float], np.ndarray]]:
+        """Statistics of each text, and its distinct cores as rows of core_table."""
+        if len(self.number) > self.most:
+            self.reset()
+        split = [t.split() for t in texts]
+        self.learn(set().union(*split))
+        for text, tokens in zip(texts, split, strict=True):
+            cores, prose = self.table[np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))].T
+            rows = self.core_table[np.unique(cores[cores > 0])]
+            n, again = int(np.count_nonzero(cores)), int(np.count_nonzero((cores[1:] == cores[:-1]) & (cores[1:] > 0)))
+            yield statistics(text, len(tokens), n, int(prose.sum()), again, rows), rows
+
+
+def statistics(text: str, tokens: int, n: int, prose: int, again: int, cores: np.ndarray) -> dict[str, float]:
     data = np.frombuffer(text.encode(), np.uint8)
     c = np.bincount(data, minlength=256)
-    n = max(len(data), 1)
+    size = max(len(data), 1)
     letters = int(c[65:91].sum() + c[97:123].sum() + c[128:].sum())
     lines = [x for x in text.split("\n") if x.strip()]
-    low = [w.lower() for w in words]
-    distinct = set(low)
     return {
-        "symbols": int(c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum() - c[44] - c[46] - c[39] - c[45] - c[33] - c[124]) / n,
+        "symbols": int(c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum() - c[44] - c[46] - c[39] - c[45] - c[33] - c[124]) / size,
         "capitals": int(c[65:91].sum()) / max(letters, 1),
-        "bars": int(c[124]) / max(len(words), 1),
-        "shouts": int(c[33]) / max(len(words), 1),
+        "bars": int(c[124]) / max(n, 1),
+        "shouts": int(c[33]) / max(n, 1),
         # the longer a text, the fewer of its words are new
-        "variety": len(distinct) / max(len(low), 1) ** 0.75,
-        "prose": len(PROSE.findall(text)) / max(len(text.split()), 1),
+        "variety": len(cores) / max(n, 1) ** 0.75,
+        "stutter": again / max(n, 1),  # words that repeat the one before
+        "prose": prose / max(tokens, 1),
         "sentences": sum(x.rstrip()[-1] in ".?!…\"'”" for x in lines) / max(len(lines), 1),
         "repeated lines": 1 - len(set(lines)) / max(len(lines), 1),
-        "word length": letters / max(len(words), 1),
-        "length": float(len(words)),
-        "digits": int(c[48:58].sum()) / n,
-        "crude": float(len(distinct & CRUDE)),
-        "rude": float(len(distinct & RUDE)),
-        "mined": float(len(distinct & mined)),
+        "word length": letters / max(n, 1),
+        "length": float(n),
+        "digits": int(c[48:58].sum()) / size,
+        **dict(zip(COUNTED, map(float, cores[:, 2:].sum(axis=0)), strict=True)),
     }
 
 
 def votes(s: dict[str, float]) -> tuple[str, str]:
     """One character per labeller: 1 for the class, 0 against, - no vote."""
-    n, bad = s["length"], s["crude"] + s["rude"] + s["mined"]
+    n = s["length"]
     dull = n >= 30 and (s["variety"] < 0.9 or s["repeated lines"] > 0.4)
     good = "-" if dull else "1"  # what is said over and over isn't prose for its spelling
     quality = (
         ("0" if s["symbols"] >= 0.06 else "-") + ("0" if s["capitals"] >= 0.5 else "-") + ("0" if s["bars"] >= 0.1 else "-")
-        + ("0" if s["shouts"] >= 0.15 else "-") + ("0" if dull else "-")
+        + ("0" if s["shouts"] >= 0.15 else "-") + ("0" if dull else "-") + ("0" if s["stutter"] >= 0.1 else "-")
         + (good if s["prose"] >= 0.9 else "0" if s["prose"] <= 0.75 else "-") + (good if s["sentences"] >= 0.7 else "0" if s["sentences"] <= 0.3 else "-")
         + (good if n >= 3 and s["symbols"] < 0.03 and s["capitals"] < 0.3 and s["bars"] < 0.02 and s["digits"] < 0.1 else "0" if n < 3 else "-")
     )
-    toxic = (
-        ("1" if s["crude"] else "-") + ("1" if s["rude"] else "-") + ("1" if n >= 5 and s["crude"] + s["rude"] > 1 + 0.002 * n else "-")
-        + ("1" if s["mined"] >= 2 else "-" if s["mined"] else "0") + ("-" if bad else "0")
-    )
-    return quality, toxic
+    return quality, "".join("1" if s[k] >= 1 else "0" for k in COUNTED)
+
 
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch["text"].to_pylist()]
 
-def _vote(mined: frozenset[str]):
+
+def _vote(mined: tuple[frozenset[str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(mined)
         for batch in batches:
-            made = []
-            for t in batch["text"].to_pylist():
-                text = t or ""
-                made.append(votes(statistics(text, WORD.findall(text), mined)))
+            made = [votes(s) for s, _ in tokens.read(_texts(batch))]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in made], pa.string()), pa.array([t for _, t in made], pa.string())], ["quality", "toxic"])
 
     return run
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each document, but for those of the kind that its part of the sample isn't for; and the least
+    hash of its words, which copies and near copies share."""
     for batch in batches:
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            words = sorted(set(map(str.lower, WORD.findall(text or ""))))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int64())], ["word", "toxic"])
-
-
-def mine_insults(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 20_000, least: int = 3, share: float = 0.7, most: int = 20_000) -> frozenset[str]:
-    """Words that, in a bounded sample of about label_rows labelled documents, are in `least` toxic ones or more and in few
-    others: the dictionary of one labeller, at most `most` words."""
-    labels = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    keep = int(min(1.0, label_rows / max(labels.count(), 1)) * (1 << 20))
-    labels = labels.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < keep)
+        found, bad, family = [], [], []
+        for text, part, toxic in zip(_texts(batch), batch["part"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            cores = {read_token(t)[0] for t in set(text.split())} - {""}
+            least = min((zlib.crc32(c.encode()) for c in cores), default=0)
+            for kind, terms in enumerate(map(set, zip(*map(terms_of, cores), strict=True))):
+                if kind != part:
+                    terms.discard("")
+                    found += [(kind, t) for t in terms]
+                    bad += [toxic] * len(terms)
+                    family += [least] * len(terms)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string()), pa.array(family, pa.int64()), pa.array(bad, pa.int64())],
+            ["kind", "term", "family", "toxic"],
+        )
+
+
+def mine_terms(
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 30_000, share: float = 0.6, most: int = 30_000,
+) -> tuple[frozenset[str], ...]:
+    """The dictionaries of the labellers of toxicity, from about label_rows labelled documents: terms of which `share` of the
+    documents are toxic, and so many that chance would give fewer than one term like it (near copies count as one document);
+    at most `most` terms in all."""
+    labels = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("toxic").cast("long").alias("toxic"))
+    size = labels.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    rate = min(max(size["bad"] / max(size["n"], 1), 1e-3), 0.5)
+    keep = int(min(1.0, label_rows / max(size["n"], 1)) * (1 << 20))
+    number = F.xxhash64(F.col(id_col).cast("string"), F.lit("mine"))
+    labels = labels.where(F.pmod(number, F.lit(1 << 20)) < keep).withColumn("part", F.pmod(F.shiftright(number, 20), F.lit(len(MINED))).cast("int"))
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(labels, id_col)
-    words = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(_terms, "word string, toxic long")
-    words = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    words = words.where((F.col("bad") >= least) & (F.col("bad") >= F.col("n") * share)).orderBy(F.desc("bad"), "word").limit(most)
-    return frozenset(r["word"] for r in words.select("word").collect())
+    terms = rows.select("text", "part", "toxic").mapInArrow(_terms, "kind int, term string, family long, toxic long")
+    terms = terms.groupBy("kind", "term", "family").agg(F.max("toxic").alias("toxic"))
+    terms = table(terms.groupBy("kind", "term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")), "terms")
+    alike = terms.groupBy("kind", "n").agg(F.count("*").alias("alike"))
+    found = terms.where((F.col("bad") >= 3) & (F.col("bad") >= share * F.col("n"))).join(alike, ["kind", "n"])
+    q = F.least(F.col("bad") / F.col("n"), F.lit(1 - 1e-9))
+    chance = F.exp(-F.col("n") * (q * F.log(q / rate) + (1 - q) * F.log((1 - q) / (1 - rate))))  # Chernoff's bound
+    found = found.where(F.col("alike") * chance < 1).orderBy(F.desc("bad"), "kind", "term").limit(most)
+    mined: tuple[set[str], ...] = (set(), set(), set())
+    for r in found.select("kind", "term").collect():
+        mined[r["kind"]].add(r["term"])
+    drop_table(terms)
+    return tuple(map(frozenset, mined))
 
 
 class LabelModel:
@@ -148,39 +240,25 @@ class LabelModel:
         return float(self._posterior(np.array([["01-".index(c) for c in pattern]]))[0])
 
 
-def hashed(name: str) -> int:
-    return zlib.crc32(name.encode()) & (BUCKETS - 1)
-
-
-def features(text: str, bucket: dict[str, int], mined: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets and values: 1 for each binned statistic; the distinct words share a length of 1."""
-    words = WORD.findall(text)
-    bins = [bucket[f"#{k} {min(int(v), 3) if k in ('crude', 'rude', 'mined') else int(math.log2(v * 64 + 1) * 2)}"] for k, v in statistics(text, words, mined).items()]
-    some = np.unique(np.array([bucket[w] for w in set(map(str.lower, words))], dtype=np.int64))
-    return np.concatenate([some, bins]).astype(np.int64), np.concatenate([np.full(len(some), max(len(some), 1) ** -0.5), np.ones(len(bins))])
-
-
-class Buckets(dict):
-    """Remembers the buckets of words, up to a number of words."""
+def features(s: dict[str, float], cores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets and values: 1 for each binned statistic; the distinct words share a length of 1, and so do beginnings."""
+    bins = [hashed(f"#{k} {min(int(v), 3) if k in COUNTED else int(math.log2(v * 64 + 1) * 2)}") for k, v in s.items()]
+    starts = np.unique(cores[:, 1])
+    at = np.concatenate([cores[:, 0], starts, np.array(bins, dtype=np.int64)])
+    return at, np.concatenate([np.full(len(cores), max(len(cores), 1) ** -0.5), np.full(len(starts), max(len(starts), 1) ** -0.5), np.ones(len(bins))])
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = b = hashed(word)
-        return b
 
+def _labelled(mined: tuple[frozenset[str], ...]):
+    schema = pa.schema([("order", pa.int64()), ("quality", pa.string()), ("toxic", pa.string()), ("features", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
 
-def _labelled(mined: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = Buckets()
-        schema = pa.schema([("quality", pa.string()), ("toxic", pa.string()), ("features", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+        tokens = Tokens(mined)
         for batch in batches:
             rows = []
-            for t in batch["text"].to_pylist():
-                text = t or ""
-                q, x = votes(statistics(text, WORD.findall(text), mined))
-                where, values = features(text, bucket, mined)
-                rows.append({"quality": q, "toxic": x, "features": where, "values": values})
+            for order, (s, cores) in zip(batch["order"].to_pylist(), tokens.read(_texts(batch)), strict=True):
+                q, x = votes(s)
+                where, values = features(s, cores)
+                rows.append({"order": order, "quality": q, "toxic": x, "features": where, "values": values})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -207,14 +285,16 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least
 
 
 class Scorer:
-    def __init__(self, quality: tuple, toxic: tuple, labels: tuple[LabelModel, LabelModel], mined: frozenset[str]) -> None:
+    def __init__(self, quality: tuple, toxic: tuple, labels: tuple[LabelModel, LabelModel], mined: tuple[frozenset[str], ...]) -> None:
         self.quality, self.toxic, self.labels, self.mined = quality, toxic, labels, mined
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, mined: frozenset[str] = frozenset()) -> Scorer:
-    """Votes of all documents fit the label models; about sample_docs of them train the scorers."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = texts.mapInArrow(_vote(mined), "quality string, toxic string").groupBy("quality", "toxic").count()
+def fit(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 4000, mined: tuple[frozenset[str], ...] = (frozenset(),) * 3,
+) -> Scorer:
+    """Votes of all documents fit the label models; about sample_docs of them, and no more, train the scorers."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("sample")).alias("order"))
+    counted = texts.select("text").mapInArrow(_vote(mined), "quality string, toxic string").groupBy("quality", "toxic").count()
     counts: tuple[dict, dict] = ({}, {})
     total = 0
     for r in counted.collect():  # at most a row per combination of votes
@@ -222,10 +302,11 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, mined:
         for c, k in zip(counts, ("quality", "toxic"), strict=True):
             c[r[k]] = c.get(r[k], 0) + r["count"]
     labels = LabelModel(counts[0], 0.8), LabelModel(counts[1], 0.1)
-    chance = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20))
+    chance = F.pmod(F.col("order"), F.lit(1 << 20))
     sample = texts.where(chance < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20)))
+    sample = sample.mapInArrow(_labelled(mined), "order long, quality string, toxic string, features array<long>, values array<double>")
     rows, wanted = [], ([], [])
-    for r in sample.mapInArrow(_labelled(mined), "quality string, toxic string, features array<long>, values array<double>").toLocalIterator():
+    for r in sample.orderBy("order", F.size("features")).limit(sample_docs).toLocalIterator():
         rows.append((np.array(r["features"], dtype=np.int64), np.array(r["values"])))
         for y, model, k in zip(wanted, labels, ("quality", "toxic"), strict=True):
             y.append(model(r[k]))
@@ -235,9 +316,10 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, mined:
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, mined = model.value
-        bucket = Buckets()
+        tokens = Tokens(mined)
         for batch in batches:
-            total = np.array([x @ weights[at] + bias for at, x in (features(t or "", bucket, mined) for t in batch["text"].to_pylist())]).reshape(-1, 2)
+            found = (features(s, cores) for s, cores in tokens.read(_texts(batch)))
+            total = np.array([x @ weights[at] + bias for at, x in found]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(p[:, 0]), pa.array(p[:, 1])], ["id", "quality", "toxic"])
 
@@ -247,7 +329,7 @@ def _score(model):
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, quality and toxic (0 to 1), and keep: quality of at least and toxicity below one half, for every row."""
     weights = np.stack([scorer.quality[0], scorer.toxic[0]], axis=1), np.array([scorer.quality[1], scorer.toxic[1]]), scorer.mined
-    model = docs.sparkSession.sparkContext.broadcast(weights)  # two numbers per bucket and a bounded dictionary
+    model = docs.sparkSession.sparkContext.broadcast(weights)  # two numbers per bucket and bounded dictionaries
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = rows.mapInArrow(_score(model), f"id {kind}, quality double, toxic double").withColumnRenamed("id", id_col)
@@ -256,5 +338,5 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    mined = mine_insults(docs, read(spark, sf_dir, "labels"))
-    return score(docs, fit(docs, mined=mined))
+    mined = mine_terms(docs, read(spark, sf_dir, "labels"))
+    return score(docs, fit(docs, mined=mined)).withColumn("held_out", held_out())

@@ -355,6 +355,64 @@ def test_op7_query(spark):
         assert set(filter(None, line.split(","))) <= set(g["spans"].split(","))
 
 
+def tiny_graph(r, edges, n):
+    graph = pii.Graph()
+    graph.where, graph.labels = [(0, k, k + 1) for k in range(n)], [r.choice([0, 0, 0, 2]) for _ in range(n)]
+    graph.features = [[r.randrange(pii.HASHES) for _ in range(3)] for _ in range(n)]
+    graph.edges = ([a for a, _ in edges], [b for _, b in edges], [r.randrange(pii.EDGES) for _ in edges])
+    return graph
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_op7_marginals_against_enumeration(seed):
+    """Exact on trees, near on graphs with a loop."""
+    import numpy as np
+
+    r, rng = random.Random(seed), np.random.default_rng(seed)
+    field = pii.Field(rng.normal(0, 0.7, (pii.HASHES, pii.K)), rng.normal(0, 0.7, (pii.EDGES, pii.K, pii.K)))
+    tree = [(r.randrange(b), b) for b in range(1, 5)]
+    for edges, near in ((tree, 1e-6), ([(0, 1), (1, 2), (0, 2), (2, 3)], 0.12)):
+        n = max(b for _, b in edges) + 1
+        graph = tiny_graph(r, edges, n)
+        want = np.zeros((n, pii.K))
+        for y in itertools.product(range(pii.K), repeat=n):
+            if any(l and l != v for l, v in zip(graph.labels, y, strict=True)):
+                continue
+            x = sum(field.unary[f, v] for fs, v, l in zip(graph.features, y, graph.labels, strict=True) if not l for f in fs)
+            x += sum(field.pair[k, y[a], y[b]] for a, b, k in zip(*graph.edges, strict=True))
+            for i, v in enumerate(y):
+                want[i, v] += np.exp(x)
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.abs(field.marginals(graph, rounds=60) - want).max() < near
+
+
+def test_op7_finds_other_spellings_and_little_else(spark):
+    """Spellings planted in documents with a base span: most are found, and few spans are added elsewhere."""
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    field, r = pii.fit(docs), random.Random(11)
+    plain = [x["text"] for x in docs.select("text").collect() if x["text"] and not pii.base_spans(x["text"]) and 200 < len(x["text"]) < 3000][:300]
+    planted = {0: "pq.rs77@mail3.example.org", 1: "61.7.128.9", 2: "4000 0012 3456 7899", 3: "+44 712 9834561"}
+    again = {0: ["pq.rs77(at)mail3.example.org", "PQ.RS77[at]mail3.example.org"], 1: ["61-7-128-9", "61:7:128:9"], 2: ["4000.0012.3456.7899", "40000012/34567899"], 3: ["00447129834561", "0712/9834561", "447129834561"]}
+    texts = []
+    for i, text in enumerate(plain):
+        words = text.split(" ")
+        kind, spelling = i % 4, r.choice(again[i % 4])
+        at = r.randrange(len(words) // 2, len(words))
+        words[at:at] = [spelling]
+        texts.append((" ".join([planted[kind], *words]), kind, spelling))
+    graph, base = pii.Graph(), [pii.base_spans(t) for t, _, _ in texts]
+    for i, (t, _, _) in enumerate(texts):
+        graph.add(i, t, base[i])
+    added = pii.added_spans(graph, field.marginals(graph), [t for t, _, _ in texts], base)
+    right = sum(any(k == kind and t[a:b] in spelling for k, a, b in spans) for (t, kind, spelling), spans in zip(texts, added, strict=True))
+    assert right >= 0.6 * len(texts) and right >= 0.9 * sum(map(len, added))
+    clean = pii.Graph()
+    for i, t in enumerate(plain):
+        clean.add(i, t, [])
+    assert sum(map(len, pii.added_spans(clean, field.marginals(clean), plain, [[]] * len(plain)))) <= 0.02 * len(plain)
+
+
 def test_op7_edges_carry_labels():
     """A number that the patterns find once is found in its other spelling of the same document."""
     texts = [f"call +49 30 {i:04d} {i * 7 % 9000 + 1000} now" for i in range(200)] + [f"room {i} floor {i % 7}" for i in range(200)]
@@ -371,11 +429,40 @@ def test_op7_edges_carry_labels():
     assert p[1, 4] > field.marginals(alone)[0, 4]
 
 
-def test_op8_agrees_with_labels(spark):
+def test_op8_on_labels_that_mining_did_not_see(spark):
     sf = SF.replace("0.001", "0.01")
-    got = registry.QUERIES["op8_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").withColumnsRenamed({"quality": "good", "toxic": "bad"}), "doc_id").collect()
-    assert sum((r["quality"] >= 0.5) == (r["good"] == 1) for r in got) >= 0.85 * len(got)
-    assert sum((r["toxic"] >= 0.5) == (r["bad"] == 1) for r in got) >= 0.9 * len(got)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnsRenamed({"quality": "good", "toxic": "bad"})
+    got = [r for r in registry.QUERIES["op8_quality"](spark, sf).join(labels, "doc_id").collect() if r["held_out"]]
+    assert sum((r["quality"] >= 0.5) == (r["good"] == 1) for r in got) >= 0.95 * len(got)
+    bad = [r for r in got if r["bad"] == 1]
+    assert sum(r["toxic"] >= 0.5 for r in bad) >= 0.6 * len(bad) > 0
+    assert sum(r["toxic"] >= 0.5 for r in got if r["bad"] == 0) <= 0.02 * len(got)
+
+
+def test_op8_mines_what_copies_cannot_fake(spark):
+    """A word of one toxic text that occurs in many copies isn't mined; one of many toxic texts is. Labels may be odd."""
+    r = random.Random(8)
+    filler = [[r.choice("bcdfgh") + r.choice("aeiou") * r.randint(1, 3) + str(k) for k in r.sample("klmnpqrstvwxyz", 6)] for _ in range(400)]
+    rows = [(i, " ".join(w) + (" Vilest one" if i % 5 == 0 else " calm one")) for i, w in enumerate(filler)] + [(1000 + i, "copied again and again") for i in range(200)]
+    labels = [(i, int(i % 5 == 0 or i >= 1000)) for i, _ in rows] + [(None, 1), (3, None), (5, 0), (5, 0), (10**9, 1)]
+    mined = quality.mine_terms(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert mined == (frozenset({"vilest"}), frozenset({"viles"}), frozenset({"vile"}))
+    assert quality.mine_terms(frame(spark, rows), spark.createDataFrame([], "doc_id long, toxic int")) == (frozenset(),) * 3
+
+
+def test_op8_label_model_finds_the_accuracies():
+    r, counts, right = random.Random(4), {}, (0.95, 0.8, 0.9)
+    for _ in range(20000):
+        y = r.random() < 0.3
+        votes = "".join("-" if r.random() < 0.2 else str(int(y == (r.random() < p))) for p in right)
+        counts[votes] = counts.get(votes, 0) + 1
+    model = quality.LabelModel(counts, 0.2)
+    import numpy as np
+
+    assert abs(model.prior - 0.3) < 0.02
+    for k, p in enumerate(right):
+        assert abs(np.exp(model.table[k, 1, 1]) - p) < 0.04 and abs(np.exp(model.table[k, 0, 0]) - p) < 0.04
+    assert model("111") > 0.95 > 0.05 > model("000") and model("---") == pytest.approx(model.prior, abs=1e-6)
 
 
 def test_op9_totals(spark):
@@ -407,6 +494,76 @@ def test_op10_text_of_odd_pages(spark):
     assert next(r["text"] for r in got if r["page_id"] == 1) == "T & U\nOne long sentence of prose, with words enough."
 
 
+PROSE = "The old mill by the river was sold last week, and nobody in the village knows who bought it. " * 5
+
+
+@pytest.mark.parametrize("page", [PROSE, f"<p>{PROSE}", f"<body><p>{PROSE}</p></body>", f"<div><div><div>{PROSE}</div></div></div>", f"<html><body>{PROSE}<br><br>{PROSE}</body></html>", f"<table><tr><td>{PROSE}</table>"])
+def test_op10_bare_pages_keep_their_text(model10, page):
+    assert model10.extract(page).split() == PROSE.split() * (2 if "<br>" in page else 1)
+
+
+def test_op10_chrome_around_prose_in_the_body(model10):
+    page = f"<body><nav><a href=x>Home</a> <a href=y>About</a></nav>{PROSE}<footer>Imprint 2020</footer>"
+    assert model10.extract(page) == PROSE.strip()
+    assert model10.extract("<ul><li><a href=x>Home</a><li><a href=y>News</a></ul>") == ""
+
+
+@pytest.fixture(scope="module")
+def model10():
+    return html_extract.default_model()
+
+
+def test_op10_text_of_the_given_pages(spark):
+    """The given pages keep their article in one element; a plain reading of it is the brute-force version."""
+    import html as html_module
+
+    sf = SF.replace("0.001", "0.01")
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = registry.QUERIES["op10_html_extract"](spark, sf).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
+        parts = re.split(r"</?(?:h[1-6]|p|div|ul|ol|li|blockquote|pre|table|tr|td)\b[^>]*>", re.sub(r"<br\s*/?>", " ", article))
+        lines = [" ".join(html_module.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in parts]
+        want = "\n".join(x for x in lines if x)
+        assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
+def test_op10_marginals_against_enumeration(model10):
+    import math
+
+    page = '<div class="nav"><a href=x>Home</a></div><div><h1>T</h1><p>Some words of prose here, enough of them.</p><ul><li>a<li>b</ul></div><div id="footer">c<p>d</div>'
+    tree = html_extract.Tree(page)
+    n, odds = len(tree.tags), [max(-25.0, min(25.0, sum(model10.odds.get(k, 0.0) for k in f))) for f in html_extract.features(tree)]
+    assert 8 <= n <= 12
+    mass, total = [0.0] * n, 0.0
+    for y in itertools.product((0, 1), repeat=n):
+        p = model10.root[y[0]] * math.prod((1 / (1 + math.exp(-x)) if v else 1 / (1 + math.exp(x))) for v, x in zip(y, odds, strict=True))
+        p *= math.prod(model10.child[html_extract.bond(tree, i)][y[tree.parents[i]]][y[i]] for i in range(1, n))
+        total += p
+        mass = [m + p * v for m, v in zip(mass, y, strict=True)]
+    assert model10.marginals(tree) == pytest.approx([m / total for m in mass], abs=1e-9)
+
+
+def test_op10_work_grows_with_the_page(model10):
+    import time
+
+    for tag in ("aside", "form", "blockquote", "b", "li", "td"):
+        seconds = []
+        for n in (4000, 32000):
+            began = time.perf_counter()
+            model10.extract(f"<p><td>{f'<{tag}>x</q></table-x>' * n}")
+            seconds.append(time.perf_counter() - began)
+        assert seconds[1] < 24 * seconds[0], tag  # eight times the page; in proportion to its square it would be 64
+
+
+def test_op10_empty_tables_and_clashing_columns(spark, model10):
+    df = spark.createDataFrame([(1, f"<p>{PROSE * 2000}"), (None, None)], "page_id long, html string").withColumns({c: F.lit("x") for c in ("text", "n_chars", "block")})
+    got = html_extract.extract_text(df, model10)
+    assert got.columns == df.columns and {len(r["text"]) for r in got.collect()} == {0, len(PROSE) * 2000 - 1}
+    assert html_extract.extract_text(df.limit(0), model10).count() == 0
+
+
 @pytest.mark.parametrize("rows", ["odd", "empty"])
 def test_odd_rows_and_empty_tables(spark, rows):
     df = odd(spark) if rows == "odd" else odd(spark).limit(0)
@@ -416,6 +573,7 @@ def test_odd_rows_and_empty_tables(spark, rows):
     assert langid.predict(df, langid.fit_documents(df)).where("language.lang_pred = 'und' AND language.score = 0").count() == n
     assert matroska.media_digests(matroska.to_media(df)).count() == n
     assert pii.find_pii(df, pii.fit(df)).count() == n
+    assert decontaminate.decontaminate(df, df.select(F.col("doc_id").alias("item_id"), "text")).count() == n
     assert quality.score(df, quality.fit(df)).count() == n
     assert mixing.mix(df).count() == n
     import public_tokenizers
