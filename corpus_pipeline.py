@@ -3,14 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
 applies them in order and writes what a stage returns as Parquet in the shared folder before the next one reads it.
 
-Nulls, empty and very long texts, repeated rows and empty tables are handled as the operators' docstrings say. Rows
-without a doc_id can't be named by a near-duplicate group: they stay once per distinct text.
+Nulls, empty and very long texts, repeated rows and empty tables are handled as the operators' docstrings say; rows
+without a doc_id and rows that share one are documents like any other. Columns beyond those of documents pass through.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, langid, mixing, simhash, tokens
@@ -24,12 +24,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"])
-    first = Window.partitionBy("_kept").orderBy("text")  # rows may share an id
-    rows = rows.withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return rows.select(*docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One document of each near-duplicate group: that of the smallest id, of equal ids that of the smallest hash of its text.
+
+    Rows are numbered, and the numbers written, as ids may be null or repeated."""
+    row = next(name for name in ("_row" + "_" * k for k in range(len(docs.columns) + 1)) if name not in docs.columns)
+    rows = table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = simhash.near_duplicates(rows, id_col=row).select(row, "component_id")
+    order = rows.select(row, F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), F.col(row).alias("row")).alias("order"))
+    kept = found.join(order, row).groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
