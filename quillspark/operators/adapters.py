@@ -12,9 +12,9 @@ ROLES = ("system", "user", "assistant")
 END = "<|endoftext|>"
 ALPACA_INPUT = (
     "Below is an instruction that describes a task, paired with an input that provides further context. "
-    "Write a response that appropriately completes the request.\n\n### Instruction:\n{i}\n\n### Input:\n{x}\n\n### Response:\n"
+    "Write a response that appropriately completes the request.\n\n### Instruction:\n{i}\n\n### Input:\n{x}\n\n### Response: "
 )
-ALPACA = "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n### Instruction:\n{i}\n\n### Response:\n"
+ALPACA = "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n### Instruction:\n{i}\n\n### Response: "
 
 
 def _blank(c: Column) -> Column:
@@ -177,7 +177,7 @@ SQL = {
     "a09_rename_roles": "SELECT CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, count(*) AS n FROM conversations GROUP BY 1",
     "a10_render_chat": f"SELECT conv_id, {_RENDER} || chr(10) || '<|endoftext|>' AS text FROM {_CHAT_SQL}",
     "a11_chat_prompt": f"SELECT conv_id, {_RENDER} || chr(10) || '<|assistant|>' || chr(10) AS text FROM {_CHAT_SQL}",
-    "a12_alpaca_prompt": f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND answer <> '' THEN {_fill_sql(ALPACA_INPUT, i='question', x='answer')} ELSE {_fill_sql(ALPACA, i='question')} END AS text FROM {PAIRS_SQL}",
+    "a12_alpaca_prompt": f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND answer <> '' THEN 'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || question || chr(10) || chr(10) || '### Input:' || chr(10) || answer || chr(10) || chr(10) || '### Response: ' ELSE 'Below is an instruction that describes a task. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || question || chr(10) || chr(10) || '### Response: ' END AS text FROM {PAIRS_SQL}",
     "a18_pair_length": f"SELECT conv_id, turn, length(question) + length(answer) AS length FROM {PAIRS_SQL}",
     "a20_prompt_prefix": "SELECT doc_id, 'summarize: ' || text AS text FROM documents",
     "a21_text_by_presence": "SELECT doc_id, coalesce(text, lang, '') AS text FROM documents",

@@ -153,7 +153,7 @@ QUERIES = {
     "n15_causal_mask": lambda s, d: _read(s, d, "region").select("r_regionkey", F.posexplode(causal_mask(4)).alias("row", "m")).select("r_regionkey", F.col("row").cast("long").alias("row"), _joined(F.col("m")).alias("mask")),
     "w19_sliding_blocks": lambda s, d: _tok(s, d).select("doc_id", F.posexplode(sliding_blocks(F.col("t"), 8)).alias("pos", "b")).select("doc_id", F.col("pos").cast("long").alias("pos"), _joined(F.col("b.block")).alias("block"), F.col("b.next").alias("next")),
     "w20_frames": lambda s, d: _vec(s, d).select("vec_id", F.posexplode(frames(F.col("v"), 8, 4)).alias("pos", "f")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 5).alias("total")),
-    "d12_levels": lambda s, d: _vec(s, d).select("vec_id", F.posexplode(decibels(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * 8 + 1, 8)))).alias("pos", "db")).select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("db", 4) + 0.0).alias("db"), (F.col("db") > -6).alias("loud")),
+    "d12_levels": lambda s, d: _vec(s, d).select("vec_id", F.posexplode(decibels(F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 8).cast("int") - 1), lambda i: F.slice("v", i * 8 + 1, 8)))).alias("pos", "db")).select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("db", 4) + 0.0).alias("db"), (F.col("db") > -6).alias("loud")),
     "d13_mix": lambda s, d: _pairs(s, d).select("vec_id", F.round(F.array_max(F.transform(mix_at_ratio(F.col("v"), F.col("w"), 5.0), F.abs)), 5).alias("peak")),
     "d14_fit_length": lambda s, d: _tok(s, d).select("doc_id", F.transform("t", lambda x: x.cast("double")).alias("t")).select("doc_id", _joined(F.transform(fit_length(F.col("t"), 16, 0), lambda x: x.cast("int"))).alias("t")),
     "d16_edge_pad": lambda s, d: _tok(s, d).where(F.size("t") > 0).select("doc_id", _joined(edge_pad(F.col("t"), 16)).alias("t")),
@@ -169,27 +169,28 @@ _T = r"(SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[
 _V = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _P = f"(SELECT a.vec_id, a.v, b.v AS w FROM {_V} a JOIN {_V} b ON b.vec_id = a.vec_id + 1)"
 _MS = lambda c: f"(list_sum(list_transform({c}, lambda x: x * x)) / len({c}))"
-_LABELS = "list_concat(list_transform(t[1:5], lambda x: -100), t[6:15])"
+_LABELS = "list_concat(list_transform(t[1:len(t) // 3], lambda x: -100), t[len(t) // 3 + 1:])"
 _ROW = "i, j - 1 AS j, x FROM (SELECT vec_id AS i, unnest(v) AS x, generate_subscripts(v, 1) AS j"
 
 SQL = {
     "n10_pad": f"SELECT doc_id, array_to_string(list_transform(range(1, 33), lambda i: coalesce(t[i], 0)), ' ') AS ids, array_to_string(list_transform(range(1, 33), lambda i: CASE WHEN i <= len(t) THEN 1 ELSE 0 END), ' ') AS mask FROM {_T}",
     "n11_label_mask": f"SELECT doc_id, coalesce(array_to_string({_LABELS}, ' '), '') AS labels FROM {_T}",
-    "n12_target_mask": f"SELECT doc_id, coalesce(array_to_string(list_concat(list_transform(t[1:5], lambda x: 'false'), list_transform(t[6:15], lambda x: 'true')), ' '), '') AS mask FROM {_T}",
-    "n14_replace_ignored": f"SELECT doc_id, coalesce(array_to_string(list_concat(list_transform(t[1:5], lambda x: 0), t[6:15]), ' '), '') AS labels FROM {_T}",
+    "n12_target_mask": f"SELECT doc_id, coalesce(array_to_string(list_concat(list_transform(t[1:len(t) // 3], lambda x: 'false'), list_transform(t[len(t) // 3 + 1:], lambda x: 'true')), ' '), '') AS mask FROM {_T}",
+    "n14_replace_ignored": f"SELECT doc_id, coalesce(array_to_string(list_concat(list_transform(t[1:len(t) // 3], lambda x: 0), t[len(t) // 3 + 1:]), ' '), '') AS labels FROM {_T}",
     "n15_causal_mask": "SELECT r_regionkey, i AS row, array_to_string(list_transform(range(0, 4), lambda j: CASE WHEN j <= i THEN 1 ELSE 0 END), ' ') AS mask FROM region, range(0, 4) r(i)",
-    "w19_sliding_blocks": f"SELECT doc_id, i AS pos, array_to_string(t[i + 1:i + 8], ' ') AS block, t[i + 9] AS next FROM (SELECT doc_id, t[1:12] AS t, unnest(range(0, len(t[1:12]) - 8)) AS i FROM {_T})",
+    "w19_sliding_blocks": f"""SELECT doc_id, pos, concat_ws(' ', x, lead(x, 1) OVER w, lead(x, 2) OVER w, lead(x, 3) OVER w, lead(x, 4) OVER w, lead(x, 5) OVER w, lead(x, 6) OVER w, lead(x, 7) OVER w) AS block, lead(x, 8) OVER w AS next
+      FROM (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS x FROM {_T}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY next IS NOT NULL""",
     "w20_frames": f"""SELECT vec_id, i AS pos, round(list_sum(y[i * 4 + 1:i * 4 + 8]), 5) AS total FROM (SELECT vec_id, y, unnest(range(0, (len(y) - 8) // 4 + 1)) AS i FROM (
       SELECT vec_id, list_concat(list_concat(list_reverse(v[2:5]), v), list_reverse(v[len(v) - 4:len(v) - 1])) AS y FROM {_V}))""",
     "d12_levels": f"""SELECT vec_id, i AS pos, round(db, 4) + 0.0 AS db, db > -6 AS loud FROM (SELECT vec_id, i, 20 * log10(x / (max(x) OVER (PARTITION BY vec_id) + 1e-12) + 1e-12) AS db FROM (
-      SELECT vec_id, i, sqrt(list_sum(list_transform(v[i * 8 + 1:i * 8 + 8], lambda x: x * x)) / len(v[i * 8 + 1:i * 8 + 8]) + 1e-12) AS x FROM {_V}, range(0, 4) r(i)))""",
+      SELECT vec_id, i, sqrt(list_sum(list_transform(v[i * 8 + 1:i * 8 + 8], lambda x: x * x)) / len(v[i * 8 + 1:i * 8 + 8]) + 1e-12) AS x FROM (SELECT vec_id, v, unnest(range(0, len(v) // 8)) AS i FROM {_V})))""",
     "d13_mix": f"""SELECT vec_id, round(CASE WHEN p > 0.99 THEN p * 0.99 / p ELSE p END, 5) AS peak FROM (SELECT vec_id, list_max(list_transform(list_zip(v, w), lambda z: abs(z[1] + z[2] * g))) AS p FROM (
       SELECT *, sqrt(({_MS('v')} + 1e-12) / 10.0::DOUBLE ** 0.5 / ({_MS('w')} + 1e-12)) AS g FROM {_P}))""",
     "d14_fit_length": f"""SELECT doc_id, array_to_string(list_transform(range(1, 17), lambda i: CASE WHEN len(t) >= 16 THEN t[i] WHEN i - (16 - len(t)) // 2 BETWEEN 1 AND len(t) THEN t[i - (16 - len(t)) // 2] ELSE 0 END), ' ') AS t FROM {_T}""",
     "d16_edge_pad": f"SELECT doc_id, array_to_string(list_transform(range(1, 17), lambda i: t[least(i, len(t))]), ' ') AS t FROM {_T} WHERE len(t) > 0",
     "d17_pcm": f"SELECT vec_id, list_sum(p)::BIGINT AS total, list_max(p) AS peak FROM (SELECT vec_id, list_transform(v, lambda x: round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x)) * 32767)::INT) AS p FROM {_V})",
     "d18_elementwise": f"SELECT vec_id, round(list_sum(list_transform(list_zip(v, w), lambda z: z[1] * z[2])), 5) AS dot, round(list_sum(list_transform(list_zip(v, w), lambda z: z[1] + z[2])), 5) AS total FROM {_P}",
-    "d18_matrix_product": f"WITH m AS (SELECT {_ROW} FROM {_V} WHERE vec_id < 20)) SELECT a.i, b.i AS j, round(sum(a.x * b.x), 5) AS x FROM m a JOIN m b ON a.j = b.j GROUP BY a.i, b.i",
+    "d18_matrix_product": f"WITH m AS (SELECT {_ROW} FROM {_V})) SELECT a.j AS i, b.j, round(sum(a.x * b.x), 5) AS x FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j",
     "g25_reductions": f"SELECT vec_id, round(list_sum(v), 5) AS total, round(list_sum(v) / len(v), 5) AS mean, round(list_max(v), 5) AS most FROM {_V}",
     "g30_centroids": f"SELECT label, j - 1 AS dim, round(avg(x), 5) AS mean FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM {_V}) GROUP BY ALL",
     "d08_softmax": f"SELECT vec_id, round(list_max(e) / list_sum(e), 5) AS top FROM (SELECT vec_id, list_transform(v, lambda x: exp((x - list_max(v)) / 0.7::DOUBLE)) AS e FROM {_V})",

@@ -39,8 +39,8 @@ def interleave(df: DataFrame, id_col: str, group: str, block: int, out: str = "p
     """df with out: 0, 1, … in the order that takes block rows of each group by turns."""
     rows = prefix.row_number(df, id_col, "_nth", group=(group,)).withColumn("_turn", F.floor((F.col("_nth") - 1) / block))
     sizes = rows.groupBy("_turn", F.col(group).alias("_group")).agg(F.count("*").alias("_size")).withColumnRenamed("_turn", "_at")
-    turns = sizes.groupBy("_at").agg(F.sum("_size").alias("_all"))  # a row per turn, to be put in order
-    turns = turns.select("_at", (F.sum("_all").over(Window.orderBy("_at")) - F.col("_all")).alias("_start"))
+    turns = sizes.groupBy("_at").agg(F.sum("_size").alias("_all"))
+    turns = prefix.total_before(turns, "_at", F.col("_all"), "_start").select("_at", "_start")
     within = Window.partitionBy("_at").orderBy(F.col("_group").asc_nulls_first())
     sizes = sizes.withColumn("_offset", F.sum("_size").over(within) - F.col("_size")).join(turns, "_at").drop("_size")
     joined = rows.join(sizes, (rows["_turn"] == sizes["_at"]) & rows[group].eqNullSafe(sizes["_group"]))

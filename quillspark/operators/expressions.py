@@ -22,7 +22,7 @@ def _talk(s, d):
     return _read(s, d, "conversations").select("conv_id", "turn", t.alias("t"))
 
 
-_TALK = """(SELECT conv_id, turn, '# Title' || chr(10) || '- one **bold** ' || chr(10) || '<think>a' || left(text, 20) || CASE WHEN turn % 2 = 0 THEN '</think>' ELSE '' END || 'answer ' || left(text, 40) AS t FROM conversations)"""
+_TALK = """(SELECT conv_id, turn, '# Title' || chr(10) || '- one **bold** ' || chr(10) || '<think>a' || text || CASE WHEN turn % 2 = 0 THEN '</think>' ELSE '' END || 'answer ' || text AS t FROM conversations)"""
 
 
 def _bodies(s, d):
@@ -48,7 +48,7 @@ QUERIES = {
     "x06_contractions": lambda s, d: _docs(s, d).select("doc_id", T.expand_contractions(F.concat(F.lit("i'm sure it isn't, we'll see; "), "text")).alias("text")),
     "x07_tokens": lambda s, d: _docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"), F.array_join(T.tokens(F.col("text")), " ").alias("text")),
     "x08_stop_words": lambda s, d: _docs(s, d).select("doc_id", F.array_join(T.drop_stop_words(T.tokens(F.col("text"))), " ").alias("text")),
-    "x09_stems": lambda s, d: _docs(s, d).where("lang = 'en'").select(F.explode(T.tokens(F.lower("text"))).alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem")),
+    "x09_stems": lambda s, d: _docs(s, d).select(F.explode(T.tokens(F.lower("text"))).alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem")),
     "x11_sentences": lambda s, d: _docs(s, d).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n")),
     "x12_markdown": lambda s, d: _talk(s, d).select("conv_id", "turn", T.strip_markdown(F.col("t")).alias("t")),
     "x13_clauses": lambda s, d: _docs(s, d).select("doc_id", F.size(T.clauses(F.col("text"))).cast("long").alias("n"), F.coalesce(F.get(T.clauses(F.col("text")), F.lit(0)), F.lit("")).alias("first")),
@@ -58,7 +58,7 @@ QUERIES = {
     "x17_slug_title": lambda s, d: _read(s, d, "pages").select("page_id", T.slug_title(F.regexp_extract("url", r"^[a-z]+://[^/]+/([^/?#]*)", 1)).alias("name")),
     "x18_url_parts": lambda s, d: _read(s, d, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), F.try_parse_url("url", F.lit("PATH")).alias("path")),
     "x19_page_type": lambda s, d: _read(s, d, "pages").select("page_id", T.page_type(F.col("url")).alias("kind")),
-    "x20_collection_name": lambda s, d: _docs(s, d).select("doc_id", T.collection_name(F.concat(F.lit("a-"), F.left(F.col("text"), F.lit(80))), "agent_").alias("name")),
+    "x20_collection_name": lambda s, d: _docs(s, d).select("doc_id", T.collection_name(F.concat(F.lit("a-"), F.col("text")), "agent_").alias("name")),
     "x21_fill": lambda s, d: _docs(s, d).select("doc_id", F.format_string("%s: %d", F.coalesce("source", F.lit("")), "n_chars").alias("t")),
     "s18_page_source": lambda s, d: _read(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n")),
     "s19_url_glob": lambda s, d: _read(s, d, "pages").where(T.url_glob(F.col("url"), "*://*.ORG/*")).select("page_id"),
@@ -99,7 +99,7 @@ SQL = {
     "x01_strip": f"SELECT doc_id, length({_STRIP('text')}) AS n, left(lower(text), 20) AS head FROM documents",
     "x02_truncate": "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || chr(10) || chr(10) || '...[truncated]' ELSE text END AS text FROM documents",
     "x03_normalise_lines": f"SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> ''), chr(10)), '') AS text FROM documents",
-    "x05_emoji": "SELECT doc_id, " + _emoji("left(text, 30) || ' :) x :-( <3 ;) :D '") + " AS text FROM documents",
+    "x05_emoji": "SELECT doc_id, " + _emoji("text || ' :) x :-( <3 ;) :D '") + " AS text FROM documents",
     "x07_tokens": f"SELECT doc_id, len({_WS}) AS n, coalesce(array_to_string({_WS}, ' '), '') AS text FROM documents",
     "x08_stop_words": f"SELECT doc_id, coalesce(array_to_string(list_filter({_WS}, lambda w: lower(w) NOT IN ({_STOP})), ' '), '') AS text FROM documents",
     "x12_markdown": rf"SELECT conv_id, turn, regexp_replace(regexp_replace(replace(t, '**', ''), '(?m)^#+ *', '', 'g'), '(?m)^- ', '', 'g') AS t FROM {_TALK}",
@@ -109,7 +109,7 @@ SQL = {
     "x16_thinking": rf"SELECT conv_id, turn, {_NOTHINK} AS answer, trim(regexp_extract(t, '(?s)<think>(.*?)(?:</think>|$)', 1)) AS thinking FROM {_TALK}",
     "x18_url_parts": r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages",
     "x19_page_type": "SELECT page_id, CASE WHEN contains(lower(url), 'greenhouse.io') THEN 'greenhouse' WHEN contains(lower(url), 'lever.co') THEN 'lever' WHEN contains(lower(url), 'workday') THEN 'workday' WHEN contains(lower(url), 'ashbyhq.com') THEN 'ashby' ELSE 'auto' END AS kind FROM pages",
-    "x20_collection_name": "SELECT doc_id, left(replace('agent_a-' || left(text, 80), '-', '_'), 63) AS name FROM documents",
+    "x20_collection_name": "SELECT doc_id, left(replace('agent_a-' || text, '-', '_'), 63) AS name FROM documents",
     "x21_fill": "SELECT doc_id, coalesce(source, '') || ': ' || n_chars::VARCHAR AS t FROM documents",
     "s18_page_source": "SELECT page_id, length(html) AS n FROM pages",
     "s19_url_glob": r"SELECT page_id FROM pages WHERE regexp_matches(url, '(?i)^.*://.*\.org/.*$')",
@@ -118,13 +118,13 @@ SQL = {
     "n04_safe_get": "SELECT event_id, props->>'$.k' AS k, props->>'$.a.b' AS missing FROM events",
     "n08_references": "SELECT doc_id, CASE lang WHEN 'en' THEN 'one' WHEN 'fr' THEN 'two' END AS value FROM documents",
     "n09_csv_set": "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(['b'], list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')))), ',') AS names FROM part",
-    "n16_stream_deltas": "SELECT event_id, event_type AS delta FROM events WHERE event_id < 2000 AND event_id % 7 <> 0",
+    "n16_stream_deltas": "SELECT event_id, event_type AS delta FROM events WHERE event_id % 7 <> 0",
     "y03_coercion": "SELECT event_id, (props->>'$.k')::BIGINT AS n, NULL::BIGINT AS bad, event_id % 2 = 0 AS flag FROM events",
-    "a13_chip": "SELECT doc_id, 'q' || doc_id::VARCHAR AS input, left(text, 20) AS output FROM documents",
+    "a13_chip": "SELECT doc_id, 'q' || doc_id::VARCHAR AS input, text AS output FROM documents",
     "a14_renamed_pairs": "SELECT conv_id, turn, role AS input, text AS output FROM conversations",
     "a15_output_only": "SELECT doc_id, '' AS input, text AS output FROM documents",
     "a17_pruned_pairs": "SELECT source AS input, lang AS output FROM documents",
-    "a19_marked_prompt": "SELECT doc_id, '<bos>translate: ' || left(text, 40) || chr(10) || '<eos>' AS t FROM documents",
+    "a19_marked_prompt": "SELECT doc_id, '<bos>translate: ' || text || chr(10) || '<eos>' AS t FROM documents",
     "a29_label_maps": "SELECT doc_id, CASE quality WHEN 0 THEN 'poor' WHEN 1 THEN 'good' END AS name FROM labels",
     "a32_result_preview": "SELECT event_id, left(repeat(props, 300), 2000) AS output, round(value * 1.23456::DOUBLE, 2) AS ms FROM events",
     "a36_catalogue": "SELECT n_regionkey, string_agg('- ' || n_name || ': ' || n_nationkey::VARCHAR, chr(10) ORDER BY n_nationkey) AS lines FROM nation GROUP BY n_regionkey",

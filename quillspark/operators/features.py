@@ -23,17 +23,19 @@ def tf_idf(df: DataFrame, id_col: str, words: Column, most_df: float = 0.01, mos
     """(id, term, weight) of uni- and bigrams: tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to unit length.
 
     Terms in more than most_df of the rows are dropped; of the rest the most_features most frequent are kept, by total
-    count and then by term. One shuffle counts (id, term); the others move one row per term.
+    count and then by term. Rows are shuffled by their id, not their terms: terms are counted where their row lies, and
+    one row per term of each task is shuffled to count rows and totals. The kept terms are broadcast; most_features
+    bounds them.
     """
     n = df.agg(F.count("*").alias("_n"))  # one row
-    terms = df.select(id_col, F.explode(T.let(words, lambda w: F.concat(w, ngrams(w, 2)))).alias("term"))
+    terms = df.repartition(id_col).select(id_col, F.explode(T.let(words, lambda w: F.concat(w, ngrams(w, 2)))).alias("term"))
     tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("_tf"))
     stats = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("_tf").alias("_total")).crossJoin(F.broadcast(n))
     kept = stats.where(F.col("_df") <= most_df * F.col("_n")).orderBy(F.desc("_total"), "term").limit(most_features)
     idf = kept.select("term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    weighted = tf.join(idf, "term").withColumn("_w", F.col("_tf") * F.col("_idf"))
-    norm = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norm, id_col).select(id_col, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    weighted = tf.join(F.broadcast(idf), "term").withColumn("_w", F.col("_tf") * F.col("_idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    return weighted.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def word_counts(df: DataFrame, words: Column, by: str) -> DataFrame:
@@ -182,7 +184,7 @@ _SPAN_KEYS = ["user_id", "label", "start", "end"]
 QUERIES = {
     "t01_tf_idf": lambda s, d: tf_idf(_read(s, d, "documents"), "doc_id", _words()).withColumn("weight", F.round("weight", 5)),
     "t02_word_counts": lambda s, d: word_counts(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id"), _words(), "quality"),
-    "t04_pair_counts": lambda s, d: pair_counts(_read(s, d, "documents").where("lang = 'en'"), _words()),
+    "t04_pair_counts": lambda s, d: pair_counts(_read(s, d, "documents"), _words()),
     "t08_ngrams": lambda s, d: _read(s, d, "benchmark").select("item_id", F.explode(ngrams(_words(), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")),
     "g12_binary_metrics": lambda s, d: binary_metrics(_read(s, d, "labels"), "quality", "toxic").select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
     "g13_class_report": lambda s, d: class_report(_read(s, d, "labels"), "quality", "toxic").select("class", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "support"),
@@ -208,11 +210,11 @@ _PRED = f"{_TAGS}[event_id * CASE WHEN event_id % 5 = 0 THEN 3 ELSE 7 END % 8 +
 
 SQL = {
     "t01_tf_idf": f"""WITH t AS (SELECT doc_id, unnest(list_concat(w, {_GRAMS(2)})) AS term FROM (SELECT doc_id, {_W} AS w FROM documents)), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-      k AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) <= 0.01::DOUBLE * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 20000),
+      k AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) <= 0.01::DOUBLE * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 100000),
       x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS v FROM tf JOIN k USING (term))
       SELECT doc_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) AS weight FROM x""",
     "t02_word_counts": f"SELECT quality, word, count(*) AS n FROM (SELECT quality, unnest({_W}) AS word FROM documents JOIN labels USING (doc_id)) GROUP BY ALL",
-    "t04_pair_counts": f"""SELECT w[i] AS "left", w[i + 1] AS "right", count(*) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM (SELECT unnest({_W}) AS w FROM documents WHERE lang = 'en')) GROUP BY ALL""",
+    "t04_pair_counts": f"""SELECT w[i] AS "left", w[i + 1] AS "right", count(*) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM (SELECT unnest({_W}) AS w FROM documents)) GROUP BY ALL""",
     "t08_ngrams": f"SELECT gram, count(*) AS n FROM (SELECT unnest({_GRAMS(3)}) AS gram FROM (SELECT {_W} AS w FROM benchmark)) GROUP BY gram",
     "g12_binary_metrics": """SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(1e-9, p + r), 6) AS f1 FROM (SELECT *, tp / greatest(1, tp + fp) AS p, tp / greatest(1, tp + fn) AS r FROM (
       SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn FROM labels))""",
@@ -222,7 +224,7 @@ SQL = {
     "g14_spans": f"SELECT * FROM {_SPAN(_TRUTH)}",
     "g14_span_metrics": f"""WITH t AS (SELECT * FROM {_SPAN(_TRUTH)}), p AS (SELECT * FROM {_SPAN(_PRED)}), h AS (SELECT count(*) AS n FROM (SELECT * FROM t INTERSECT SELECT * FROM p)),
       m AS (SELECT h.n / (SELECT count(*) FROM p) AS p, h.n / (SELECT count(*) FROM t) AS r FROM h) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(1e-9, p + r), 6) AS f1 FROM m""",
-    "g15_rouge": f"""WITH d AS (SELECT doc_id, {_W}[1:60] AS a, {_W}[21:80] AS b FROM documents), a AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS(2)}) AS gram FROM (SELECT doc_id, a AS w FROM d)) GROUP BY ALL),
+    "g15_rouge": f"""WITH d AS (SELECT doc_id, w[1:len(w) - len(w) // 4] AS a, w[len(w) // 4 + 1:] AS b FROM (SELECT doc_id, {_W} AS w FROM documents)), a AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS(2)}) AS gram FROM (SELECT doc_id, a AS w FROM d)) GROUP BY ALL),
       b AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS(2)}) AS gram FROM (SELECT doc_id, b AS w FROM d)) GROUP BY ALL)
       SELECT doc_id, round(200.0::DOUBLE * sum(coalesce(least(a.n, b.n), 0) * CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0 ELSE 1 END) / greatest(1, sum(coalesce(a.n, 0) + coalesce(b.n, 0))), 4) AS f FROM a FULL JOIN b USING (doc_id, gram) GROUP BY doc_id""",
     "g16_class_balance": "SELECT toxic, count(*) AS n FROM labels GROUP BY toxic",

@@ -179,7 +179,7 @@ SQL = {
     "u03_distinct_names": "SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) AS rn FROM part WHERE trim(p_name) <> '') WHERE rn = 1",
     "u04_content_hash": "SELECT doc_id, left(sha256(lower(trim(coalesce(lang, ''))) || '|' || lower(trim(coalesce(source, ''))) || '|' || lower(trim(coalesce(text, '')))), 16) AS h FROM documents",
     "u04_page_hash": "SELECT page_id, left(sha256(lower(trim(coalesce(url, '')))), 16) AS h FROM pages",
-    "u05_new_records": """WITH h AS (SELECT doc_id, left(sha256(lower(trim(coalesce(left(text, 200), ''))) || '|' || lower(trim(coalesce(source, '')))), 16) AS h FROM documents)
+    "u05_new_records": """WITH h AS (SELECT doc_id, left(sha256(lower(trim(coalesce(text, ''))) || '|' || lower(trim(coalesce(source, '')))), 16) AS h FROM documents)
       SELECT min(doc_id) AS doc_id, h FROM h WHERE h NOT IN (SELECT h FROM h WHERE doc_id % 10 = 0) GROUP BY h""",
     "u06_drop_duplicates": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "j03_unseen": "SELECT min(doc_id) AS doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text) GROUP BY text",
