@@ -61,15 +61,19 @@ def emoji_words(text: Column) -> Column:
 
 
 def clean_tweet(text: Column) -> Column:
-    """Lower case; mentions dropped; links, digits, &quot; and punctuation become spaces; one-letter words go."""
-    x = F.regexp_replace(F.lower(text), r"@\S+", "")
-    x = F.regexp_replace(x, r"https?\S+|www\.\S+", " ")
-    x = F.regexp_replace(x, r"\d+", " ")
+    """Eleven steps in order: lower case; mentions dropped; links, digits and &quot; become spaces; emoticons become words;
+    one-letter words dropped; punctuation becomes spaces; pairs of characters that repeat at once are written once;
+    two-letter words dropped; white space becomes one space."""
+    x = F.regexp_replace(F.lower(text), r"(?U)@\S+", "")
+    x = F.regexp_replace(x, r"(?U)www\.\S+|https?://\S+", " ")
+    x = F.regexp_replace(x, r"(?U)\d+", " ")
     x = F.replace(x, F.lit("&quot;"), F.lit(" "))
     x = emoji_words(x)
-    x = F.regexp_replace(x, r"""[!-/:-@\[-`{-~]""", " ")
-    x = F.regexp_replace(x, r"(^|\s)[a-z](?=\s|$)", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    x = F.regexp_replace(x, r"(?U)\b[a-zA-Z]\b", "")
+    x = F.regexp_replace(x, r"(?U)[^\w\s]", " ")
+    x = F.regexp_replace(x, r"([^\n][^\n])\1+", "$1")
+    x = F.regexp_replace(x, r"(?U)\b[a-zA-Z]{2}\b", "")
+    return F.regexp_replace(x, r"(?U)\s+", " ")
 
 
 def strip_markdown(text: Column) -> Column:
@@ -119,6 +123,7 @@ def clauses(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^.!?,;]+[.!?,;]?"), F.lit(0))
 
 
+# Fixed value: zip codes of five digits, five and four, or six.
 ZIP = r"\b(\d{5}(?:-\d{4})?|\d{6})\b"
 
 
@@ -133,8 +138,10 @@ def zip_start(text: Column) -> Column:
 
 
 def unwrap_calls(sql: Column) -> Column:
-    """CONVERT_TZ(…) and COALESCE(…) without inner brackets become their first argument."""
-    return F.regexp_replace(sql, r"(?i)\b(?:CONVERT_TZ|COALESCE)\(\s*([^(),]*?)\s*(?:,[^()]*)?\)", "$1")
+    """CONVERT_TZ(…), then COALESCE(…), each up to the first closing bracket, become their first argument: what stands before
+    the first comma, or all of it where a bracket opens before that."""
+    inside = r"\([^\S\n]*(?:([^,()\n]*?)[^\S\n]*,[^)\n]*|([^,()\n]*\([^)\n]*?)[^\S\n]*|([^,()\n]*?)[^\S\n]*)\)"
+    return functools.reduce(lambda x, name: F.regexp_replace(x, rf"(?i){name}{inside}", "$1$2$3"), ("CONVERT_TZ", "COALESCE"), sql)
 
 
 def thinking(text: Column) -> Column:
@@ -147,6 +154,7 @@ def slug_title(slug: Column) -> Column:
 
 def page_type(url: Column) -> Column:
     low = F.lower(url)
+    # Hosts of job boards.
     kinds = [("greenhouse.io", "greenhouse"), ("lever.co", "lever"), ("workday", "workday"), ("ashbyhq.com", "ashby")]
     return functools.reduce(lambda out, k: F.when(F.contains(low, F.lit(k[0])), k[1]).otherwise(out), reversed(kinds), F.lit("auto"))
 

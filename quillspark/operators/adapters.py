@@ -66,8 +66,9 @@ def render_chat(messages: Column, prompt: bool = False) -> Column:
     return F.concat(F.array_join(turns, "\n"), F.lit("\n<|assistant|>\n" if prompt else f"\n{END}"))
 
 
-def parse_role_markers(text: Column) -> Column:
-    """Messages of a text with '### Human:' and '### Assistant:' markers; text before the first is dropped, and so are blank turns."""
+def parse_role_markers(text: Column, instruction: Column | None = None, output: Column | None = None) -> Column:
+    """Messages of a text with '### Human:' and '### Assistant:' markers; text before the first is dropped, and so are blank
+    turns. A text without any marker gives instruction and output as two messages where both are known, else none."""
     turns = F.filter(F.split(text, r"(?=### (?:Human|Assistant):)"), lambda x: x.rlike(r"^### (?:Human|Assistant):"))
     messages = F.transform(
         turns,
@@ -76,7 +77,11 @@ def parse_role_markers(text: Column) -> Column:
             T.strip(F.regexp_replace(x, r"^### (?:Human|Assistant):", "")).alias("content"),
         ),
     )
-    return F.filter(messages, lambda m: m["content"] != "")
+    marked = F.filter(messages, lambda m: m["content"] != "")
+    if instruction is None or output is None:
+        return marked
+    plain = ~F.coalesce(text, F.lit("")).rlike("### (?:Human|Assistant):") & instruction.isNotNull() & output.isNotNull()
+    return F.when(plain, two_messages(instruction, output)).otherwise(marked)
 
 
 def messages_of(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -146,6 +151,9 @@ QUERIES = {
         "conv_id",
         F.array_join(F.transform("messages", lambda m: F.concat(F.when(m["role"] == "user", "### Human: ").otherwise("### Assistant: "), m["content"])), "\n").alias("t"),
     ).select("conv_id", F.to_json(parse_role_markers(F.col("t"))).alias("messages")),
+    "a08_instruction_fallback": lambda s, d: _pairs(s, d).select(
+        "conv_id", "turn", parse_role_markers(F.when(F.col("turn") % 4 == 0, F.concat(F.lit("x ### Human: "), "question")).otherwise(F.col("question")), F.col("question"), F.col("answer")).alias("m"),
+    ).select("conv_id", "turn", F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(": "), T.strip(m["content"]))), "|").alias("messages")),
     "a09_rename_roles": lambda s, d: _read(s, d, "conversations").groupBy(F.when(F.col("role") == "user", "user").otherwise("assistant").alias("role")).agg(F.count("*").alias("n")),
     "a10_render_chat": lambda s, d: _chat(s, d).select("conv_id", render_chat(F.col("messages")).alias("text")),
     "a11_chat_prompt": lambda s, d: _chat(s, d).select("conv_id", render_chat(F.col("messages"), prompt=True).alias("text")),
@@ -177,6 +185,8 @@ SQL = {
     "a09_rename_roles": "SELECT CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, count(*) AS n FROM conversations GROUP BY 1",
     "a10_render_chat": f"SELECT conv_id, {_RENDER} || chr(10) || '<|endoftext|>' AS text FROM {_CHAT_SQL}",
     "a11_chat_prompt": f"SELECT conv_id, {_RENDER} || chr(10) || '<|assistant|>' || chr(10) AS text FROM {_CHAT_SQL}",
+    "a08_instruction_fallback": rf"""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 OR contains(question, '### Human:') OR contains(question, '### Assistant:') THEN 'user: ' || regexp_replace(question, '^\s+|\s+$', '', 'g')
+      ELSE 'user: ' || regexp_replace(question, '^\s+|\s+$', '', 'g') || '|assistant: ' || regexp_replace(answer, '^\s+|\s+$', '', 'g') END AS messages FROM {PAIRS_SQL}""",
     "a12_alpaca_prompt": f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND answer <> '' THEN 'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || question || chr(10) || chr(10) || '### Input:' || chr(10) || answer || chr(10) || chr(10) || '### Response: ' ELSE 'Below is an instruction that describes a task. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || question || chr(10) || chr(10) || '### Response: ' END AS text FROM {PAIRS_SQL}",
     "a18_pair_length": f"SELECT conv_id, turn, length(question) + length(answer) AS length FROM {PAIRS_SQL}",
     "a20_prompt_prefix": "SELECT doc_id, 'summarize: ' || text AS text FROM documents",

@@ -6,13 +6,13 @@ whose size the code counts first, or bounds itself, are broadcast by hand.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.stores import newest_per_key
-
-#: Rows up to which a lookup table is sent to every task.
-SMALL = 100_000
+from quillspark.plans import prefix
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str, value: str, default: str) -> DataFrame:
@@ -27,20 +27,33 @@ def enrich(df: DataFrame, key: Column, table: DataFrame, table_key: Column, out:
     return df.withColumn("_left", norm(key)).join(right, F.col("_left") == F.col("_right"), "left").drop("_left", "_right")
 
 
+def _cuts(text: Column, n: int) -> Column:
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substr(text, i, F.lit(n)))
+
+
+def _runs(text: Column) -> Column:
+    """Distinct runs of one to three characters."""
+    return F.array_distinct(F.concat(*[_cuts(text, n) for n in (1, 2, 3)]))
+
+
+def _anchor(text: Column) -> Column:
+    least = F.array_min(F.transform(_cuts(text, 3), lambda x: F.struct(F.xxhash64(x).alias("hash"), x.alias("run"))))
+    return F.when(F.length(text) < 3, text).otherwise(least["run"])
+
+
 def substring_match(names: DataFrame, name: str, known: DataFrame, known_name: str, value: str, default: str) -> DataFrame:
     """(name, value, confidence) per distinct name: an exact match, else the first known name (by its ord column) that
-    contains the name or is in it, else default.
+    contains the name or is in it, else default. Blank names match nothing.
 
-    The list of known names is counted and broadcast if it has at most SMALL rows; a longer one must be split by the
-    caller. Only distinct names are compared with it.
+    Only distinct names are compared, and only those that share a key: the shorter text's three characters of least hash
+    (or all of it, if it has fewer) are among the longer one's runs of up to three characters.
     """
-    n = known.limit(SMALL + 1).count()
-    if n > SMALL:
-        raise ValueError(f"more than {SMALL} known names")
     left = names.select(F.lower(F.trim(F.col(name))).alias("_name")).where("_name <> ''").distinct()
-    right = F.broadcast(known.select(F.lower(known_name).alias("_known"), F.col(value).alias("_value"), "ord"))
-    hit = F.col("_name").contains(F.col("_known")) | F.col("_known").contains(F.col("_name"))
-    best = left.join(right, hit).groupBy("_name").agg(F.min(F.struct((F.col("_name") != F.col("_known")).alias("partial"), "ord", "_value")).alias("_best"))
+    right = known.select(F.lower(known_name).alias("_known"), F.col(value).alias("_value"), "ord").where("_known <> ''")
+    inside = left.withColumn("_key", F.explode(_runs(F.col("_name")))).join(right.withColumn("_key", _anchor(F.col("_known"))), "_key").where(F.col("_name").contains(F.col("_known")))
+    around = left.withColumn("_key", _anchor(F.col("_name"))).join(right.withColumn("_key", F.explode(_runs(F.col("_known")))), "_key").where(F.col("_known").contains(F.col("_name")))
+    best = inside.unionByName(around).groupBy("_name").agg(F.min(F.struct((F.col("_name") != F.col("_known")).alias("partial"), "ord", "_value")).alias("_best"))
     out = left.join(best, "_name", "left")
     confidence = F.when(F.col("_best").isNull(), "low").when(F.col("_best.partial"), "medium").otherwise("high")
     return out.select(F.col("_name").alias(name), F.coalesce("_best._value", F.lit(default)).alias(value), confidence.alias("confidence"))
@@ -85,19 +98,30 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def nearest(base: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 1024) -> DataFrame:
-    """(query, id, distance, rank): the n nearest rows of each query. Queries are a stated, bounded set: `most`, counted.
+    """(query, id, distance, rank): the n nearest rows of each query.
 
-    Each task keeps its n best of each query before the shuffle.
+    Queries are counted and go against the base in blocks of about `most`, dealt by a hash of their ids, each of them
+    broadcast. A task keeps its n best of each query before the shuffle.
     """
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries; pass them in blocks")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q")))
-    pairs = base.join(q, F.lit(True)).select("query", F.col(id_col).alias("id"), squared_distance(F.col(vec_col), F.col("_q")).alias("_d"))
+    blocks = max(1, -(-queries.count() // most))
+    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
     w = Window.partitionBy("query").orderBy("_d", "id")
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+    def block(i: int) -> DataFrame:
+        part = F.broadcast(q.where(F.col("_block") == i).drop("_block"))
+        pairs = base.join(part, F.lit(True)).select("query", F.col(id_col).alias("id"), squared_distance(F.col(vec_col), F.col("_q")).alias("_d"))
+        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+    ranked = functools.reduce(DataFrame.union, map(block, range(blocks)))
     return ranked.select("query", "id", F.sqrt("_d").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def zip_rows(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Rows of the same place in both orders, side by side; what one side has more of is dropped."""
+    a, b = prefix.row_number(left, left_order, "_place"), prefix.row_number(right, right_order, "_place")
+    return a.join(b, "_place").drop("_place")
+
+
 def _read(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
@@ -127,7 +151,7 @@ QUERIES = {
     "j07_delegation_result": lambda s, d: _read(s, d, "orders").join(newest_per_key(_read(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"], ["l_linenumber"]), "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("l_linestatus", F.lit("none")).alias("result")),
     "j09_fan_out": lambda s, d: _agents(s, d).alias("a").join(_read(s, d, "region").alias("m"), F.col("a.agent") != F.col("m.r_regionkey")).select("agent", "r_regionkey"),
     "j10_zip": lambda s, d: _read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m")).select("conv_id", F.posexplode(F.arrays_zip(F.col("m.turn").alias("turn"), F.col("m.role").alias("role"))).alias("pos", "z")).select("conv_id", F.col("pos").cast("long").alias("pos"), "z.turn", "z.role"),
-    "j11_positional_join": lambda s, d: _read(s, d, "labels").join(_read(s, d, "documents"), "doc_id").select("doc_id", "quality", "lang"),
+    "j11_positional_join": lambda s, d: zip_rows(_read(s, d, "labels").select("doc_id", "quality"), "doc_id", _read(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "conv_id", "turn", "role"), "at").select("doc_id", "quality", "conv_id", "turn", "role"),
     "j12_disjoint_split": lambda s, d: _read(s, d, "orders").join(_read(s, d, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").select("o_orderkey"),
     "j12_held_out": lambda s, d: _read(s, d, "orders").join(_read(s, d, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey"),
     "j13_nearest": lambda s, d: nearest(_read(s, d, "embeddings"), _read(s, d, "embeddings").where("vec_id % 100 = 0"), 5).withColumn("distance", F.round("distance", 5)),
@@ -150,7 +174,7 @@ SQL = {
     "j07_delegation_result": "SELECT o_orderkey, o_orderstatus, coalesce(l_linestatus, 'none') AS result FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_linestatus, l_linenumber) AS l_linestatus FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey",
     "j09_fan_out": "SELECT n_nationkey AS agent, r_regionkey FROM nation, region WHERE n_nationkey <> r_regionkey",
     "j10_zip": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, turn, role FROM conversations",
-    "j11_positional_join": "SELECT doc_id, quality, lang FROM labels JOIN documents USING (doc_id)",
+    "j11_positional_join": "SELECT doc_id, quality, conv_id, turn, role FROM (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS n FROM labels) JOIN (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations) USING (n)",
     "j12_disjoint_split": "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)",
     "j12_held_out": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)",
     "j13_nearest": """SELECT query, id, round(distance, 5) AS distance, rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS distance,

@@ -14,46 +14,67 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Tags that never hold a page's own text, void tags, and where job descriptions stand, in order.
 DROPPED = {"script", "style", "nav", "footer", "header", "iframe", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: tag, .class, #id or tag.class, in order of preference.
-CONTAINERS = ("article", "main", "#content", ".content", "body")
+CONTAINERS = (
+    ".job-description", ".description", ".job-details", "#job-description", "#description", "[data-testid='jobDescription']", "article", ".posting-page", ".content-wrapper",
+)
 
 
 class _Page(HTMLParser):
-    """Collects text pieces outside dropped subtrees, each with the elements that are open around it."""
+    """Text pieces outside dropped subtrees in page order, and each element with the range of pieces it holds."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, dict]] = []
-        self.pieces: list[tuple[str, list[tuple[str, dict]]]] = []
+        self.elements: list[list] = []  # tag, attributes, first piece, end
+        self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.dropped = 0
+        self.pieces: list[str] = []
         self.links: list[tuple[str, list[str]]] = []
         self.feed(html)
         self.close()
+        self._pop(0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             return
-        self.open.append((tag, dict(attrs)))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(len(self.elements))
+        self.elements.append([tag, dict(attrs), len(self.pieces), 0])
+        self.dropped += tag in DROPPED
         if tag == "a" and dict(attrs).get("href"):
             self.links.append((dict(attrs)["href"], []))
 
+    def _pop(self, to: int) -> None:
+        for k in reversed(self.open[to:]):
+            element = self.elements[k]
+            element[3] = len(self.pieces)
+            self.places[element[0]].pop()
+            self.dropped -= element[0] in DROPPED
+        del self.open[to:]
+
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if self.places.get(tag):
+            self._pop(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         text = data.strip()
-        if text and not any(t in DROPPED for t, _ in self.open):
-            self.pieces.append((text, list(self.open)))
-        if text and self.links and any(t == "a" for t, _ in self.open):
+        if text and not self.dropped:
+            self.pieces.append(text)
+        if text and self.links and self.places.get("a"):
             self.links[-1][1].append(text)
 
+    def first(self, selector: str) -> list[str] | None:
+        """Pieces of the first element that the selector fits."""
+        return next((self.pieces[a:b] for tag, attrs, a, b in self.elements if _selects(selector, tag, attrs)), None)
+
 
-def _selects(selector: str, element: tuple[str, dict]) -> bool:
-    tag, attrs = element
+def _selects(selector: str, tag: str, attrs: dict) -> bool:
+    """tag, .class, #id, [attribute='value'], or a tag before one of these."""
+    if m := re.fullmatch(r"([a-z0-9]*)\[([\w-]+)='([^']*)'\]", selector):
+        return m[1] in ("", tag) and attrs.get(m[2]) == m[3]
     m = re.fullmatch(r"([a-z0-9]*)([.#]?)([\w-]*)", selector)
     if not m or (m[1] and m[1] != tag):
         return False
@@ -62,23 +83,24 @@ def _selects(selector: str, element: tuple[str, dict]) -> bool:
     return m[2] != "." or m[3] in (attrs.get("class") or "").split()
 
 
-def _first(page: _Page, tag: str) -> str:
-    found = [text for text, around in page.pieces if any(t == tag for t, _ in around)]
-    return found[0] if found else ""
+def _container(page: _Page, containers: tuple[str, ...]) -> str:
+    """Lines of the first element of the first selector that fits any, else of the body."""
+    found = next((x for x in map(page.first, containers) if x is not None), None) or page.first("body") or []
+    return "\n".join(line.strip() for x in found for line in x.splitlines() if line.strip())
 
 
 def page_fields(html: Column, base: Column, containers: tuple[str, ...] = CONTAINERS) -> Column:
-    """Struct of title (first h1, else title), text (lines outside dropped tags), main (those of the first container that
-    has any) and links (target, made absolute, and its text)."""
+    """Struct of title (first h1, else title), text (lines outside dropped tags), main (those of the first container found,
+    else of the body) and links (target, made absolute, and its text)."""
 
     @F.pandas_udf("title string, text string, main string, links array<struct<url:string,text:string>>")
     def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
         rows = []
         for source, url in zip(pages, bases, strict=True):
             page = _Page(source or "")
-            mains = ("\n".join(t for t, around in page.pieces if any(_selects(c, e) for e in around)) for c in containers)
             links = [{"url": urljoin(url or "", href), "text": " ".join(words)} for href, words in page.links]
-            rows.append((_first(page, "h1") or _first(page, "title"), "\n".join(t for t, _ in page.pieces), next((m for m in mains if m), ""), links))
+            title = next(("".join(x) for x in (page.first("h1"), page.first("title")) if x), "")
+            rows.append((title, "\n".join(page.pieces), _container(page, containers), links))
         return pd.DataFrame(rows, columns=["title", "text", "main", "links"])
 
     return run(html, base)

@@ -152,7 +152,7 @@ def weighted_score(scores: dict[str, Column], weights: dict[str, float]) -> Colu
 def red_flags(employees: Column, rating: Column, funded: Column, year: int) -> Column:
     return F.array_compact(F.array(
         F.when(employees < 10, "Very small company (<10 employees)"),
-        F.when(rating < 3.0, F.concat(F.lit("Low rating ("), rating.cast("string"), F.lit(")"))),
+        F.when(rating < 3.0, F.concat(F.lit("Low Glassdoor rating ("), rating.cast("string"), F.lit(")"))),
         F.when(year - funded > 3, F.concat(F.lit("Last funded "), (year - funded).cast("string"), F.lit(" years ago"))),
     ))
 
@@ -254,7 +254,7 @@ SQL = {
     "d04_company_score": f"SELECT c_custkey, {_COMPANY} AS score FROM customer",
     "d05_recency": f"SELECT o_orderkey, ({_RECENCY})::DOUBLE AS score FROM orders",
     "d06_final_score": f"SELECT p_partkey, score FROM {_SCORED}",
-    "d07_red_flags": """SELECT p_partkey, coalesce(array_to_string(list_filter([CASE WHEN p_size < 10 THEN 'Very small company (<10 employees)' END, CASE WHEN p_partkey % 50 < 30 THEN 'Low rating (' || ((p_partkey % 50) / 10.0::DOUBLE)::VARCHAR || ')' END,
+    "d07_red_flags": """SELECT p_partkey, coalesce(array_to_string(list_filter([CASE WHEN p_size < 10 THEN 'Very small company (<10 employees)' END, CASE WHEN p_partkey % 50 < 30 THEN 'Low Glassdoor rating (' || ((p_partkey % 50) / 10.0::DOUBLE)::VARCHAR || ')' END,
       CASE WHEN 26 - p_partkey % 27 > 3 THEN 'Last funded ' || (26 - p_partkey % 27)::VARCHAR || ' years ago' END], lambda x: x IS NOT NULL), '; '), '') AS flags FROM part""",
     "w12_rank": f"SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY score DESC, p_partkey) AS rank FROM {_SCORED}",
     "g21_top_names": f"SELECT p_type, round(avg(score), 4) AS average, arg_max(p_partkey, (score, -p_partkey)) AS best FROM {_SCORED} GROUP BY p_type",

@@ -52,13 +52,26 @@ def _lines(s, d):
     return _read(s, d, "lineitem")
 
 
+def descendants(roots: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+    """(node, depth): roots (node) and all that edges (parent, child) lead to, level by level.
+
+    One join a level, of any number of rows; recursive queries stop at a million. Levels beyond `most` are a ValueError, as
+    edges with a cycle would have."""
+    level = roots.select("node", F.lit(0).alias("depth"))
+    found = level
+    for depth in range(1, most + 1):
+        level = level.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), F.lit(depth).alias("depth"))
+        if level.isEmpty():
+            return found
+        found = found.union(level)
+    raise ValueError(f"more than {most} levels: the edges hold a cycle")
+
+
 def _tree(s, d) -> DataFrame:
-    register(s, d, ["region", "nation", "customer"])
-    return s.sql("""WITH RECURSIVE edges(parent, child) AS (
-        SELECT concat('r', r_regionkey), concat('n', n_nationkey) FROM nation JOIN region ON n_regionkey = r_regionkey
-        UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM customer),
-      tree(node, depth) AS (SELECT concat('r', r_regionkey), 0 FROM region UNION ALL SELECT child, depth + 1 FROM tree JOIN edges ON node = parent)
-      SELECT node, depth FROM tree""")
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    nations = _read(s, d, "nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"))
+    customers = _read(s, d, "customer").select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child"))
+    return descendants(_read(s, d, "region").select(name("r", "r_regionkey").alias("node")), nations.union(customers))
 
 
 QUERIES = {
@@ -89,7 +102,9 @@ QUERIES = {
     "s16_table_scan": lambda s, d: (register(s, d, ["supplier"]), select_only(s, "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0"))[1],
     "s09_catalog": lambda s, d: _read(s, d, {"corpus": "documents", "chat": "conversations"}["corpus"]).groupBy("lang").agg(F.count("*").alias("n")),
     "s21_take": lambda s, d: _read(s, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey"),
-    "u16_set_difference": lambda s, d: _read(s, d, "labels").where("toxic = 1").select("doc_id").union(_read(s, d, "labels").where("quality = 1").select("doc_id")).distinct(),
+    "u16_set_union": lambda s, d: _read(s, d, "labels").where("toxic = 1").select("doc_id").union(_read(s, d, "labels").where("quality = 1").select("doc_id")).distinct(),
+    "u16_set_difference": lambda s, d: _read(s, d, "documents").select("doc_id").subtract(_read(s, d, "labels").where("quality = 1").select("doc_id")),
+    "u16_set_intersection": lambda s, d: _read(s, d, "labels").where("toxic = 1").select("doc_id").intersect(_read(s, d, "documents").where("lang = 'en'").select("doc_id")),
     "w17_frames": lambda s, d: _read(s, d, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(-1, 1)), 4).alias("mean")),
     "p06_descendants": lambda s, d: _tree(s, d).where("depth = 2 AND node LIKE 'c1%'").select("node"),
 }
@@ -125,7 +140,9 @@ SQL = {
     "s16_table_scan": "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0",
     "s09_catalog": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "s21_take": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25",
-    "u16_set_difference": "SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 1",
+    "u16_set_union": "SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 1",
+    "u16_set_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1",
+    "u16_set_intersection": "SELECT doc_id FROM labels WHERE toxic = 1 INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'",
     "w17_frames": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS mean FROM orders",
     "p06_descendants": f"SELECT node FROM {_TREE} WHERE depth = 2 AND node LIKE 'c1%'",
 }

@@ -68,6 +68,19 @@ def channel_summary(df: DataFrame, channel: str, key: str, at: str) -> DataFrame
     return df.groupBy(channel).agg(F.count("*").alias("entries"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), keys.alias("keys"))
 
 
+def roots_and_children(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, is_root, children): whether a row has no parent, and how many rows name it as theirs."""
+    named = df.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("_parent")).agg(F.count("*").alias("_children"))
+    out = df.join(named, F.col(key) == F.col("_parent"), "left")
+    return out.select(key, F.col(parent).isNull().alias("is_root"), F.coalesce("_children", F.lit(0)).alias("children"))
+
+
+def _agents(s, d):
+    """The first nation of each region leads the others."""
+    first = F.min("n_nationkey").over(Window.partitionBy("n_regionkey"))
+    return _read(s, d, "nation").select("n_nationkey", F.nullif(first, F.col("n_nationkey")).alias("parent"))
+
+
 def _read(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
@@ -140,7 +153,7 @@ QUERIES = {
     "f16_direction": lambda s, d: _read(s, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") == 7, "sent").when((F.col("o_orderkey") % 50 == 7) | (F.col("o_orderpriority") == "1-URGENT"), "received").alias("direction")).where("direction IS NOT NULL"),
     "f17_thread": lambda s, d: _read(s, d, "lineitem").where("(l_suppkey = 1 AND l_partkey % 100 = 2) OR (l_suppkey = 2 AND l_partkey % 100 = 1)").select("l_orderkey", "l_linenumber"),
     "f27_children": lambda s, d: _read(s, d, "orders").where((F.col("o_custkey") == 10) | (F.col("o_custkey") == 20)).select("o_orderkey", "o_custkey"),
-    "f28_roots": lambda s, d: _read(s, d, "nation").select("n_nationkey", (F.col("n_regionkey") == F.col("n_nationkey") % 5).alias("is_root")),
+    "f28_roots": lambda s, d: roots_and_children(_agents(s, d), "n_nationkey", "parent"),
     "f29_runs": lambda s, d: _read(s, d, "lineitem").where("l_orderkey = 5").select("l_orderkey", "l_linenumber", "l_quantity"),
     "f04_messages": lambda s, d: _read(s, d, "conversations").groupBy("conv_id").agg(F.count_if(~T.is_blank(F.col("text"))).alias("n")).where("n > 0"),
 }
@@ -187,7 +200,8 @@ SQL = {
     "f16_direction": """SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 'sent' ELSE 'received' END AS direction FROM orders WHERE o_custkey = 7 OR o_orderkey % 50 = 7 OR o_orderpriority = '1-URGENT'""",
     "f17_thread": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_suppkey = 1 AND l_partkey % 100 = 2) OR (l_suppkey = 2 AND l_partkey % 100 = 1)",
     "f27_children": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (10, 20)",
-    "f28_roots": "SELECT n_nationkey, n_regionkey = n_nationkey % 5 AS is_root FROM nation",
+    "f28_roots": """WITH a AS (SELECT n_nationkey, nullif(min(n_nationkey) OVER (PARTITION BY n_regionkey), n_nationkey) AS parent FROM nation)
+      SELECT n_nationkey, parent IS NULL AS is_root, (SELECT count(*) FROM a c WHERE c.parent = a.n_nationkey) AS children FROM a""",
     "f29_runs": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 5",
     "f04_messages": r"SELECT conv_id, count(*) FILTER (regexp_matches(coalesce(text, ''), '\S')) AS n FROM conversations GROUP BY conv_id HAVING count(*) FILTER (regexp_matches(coalesce(text, ''), '\S')) > 0",
 }

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("operators.adapters", "operators.filters", "operators.corpus", "operators.stores", "operators.joins", "operators.records", "operators.arrays", "operators.features", "operators.timeseries", "operators.expressions", "operators.relational", "operators.pages")
+MODULES = ("operators.adapters", "operators.filters", "operators.corpus", "operators.stores", "operators.joins", "operators.records", "operators.arrays", "operators.features", "operators.timeseries", "operators.expressions", "operators.relational", "operators.pages", "operators.intake")
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:

@@ -9,7 +9,7 @@ from quillspark.functions import json as J
 from quillspark.functions import text as T
 from quillspark.functions.porter import stem_word
 from quillspark.functions.registry import Registry, sql_type
-from quillspark.operators import adapters, arrays, corpus, features, joins, pages, records, relational, stores
+from quillspark.operators import adapters, arrays, corpus, features, intake, joins, pages, records, relational, stores, timeseries
 from quillspark.plans import dag, prefix
 from quillspark.sources import readers, writers
 
@@ -70,7 +70,7 @@ def test_json_ladder_and_references(spark):
 
 def test_page_fields(spark):
     html = "<title>t</title><nav>menu<nav>deep</nav></nav><script>'</p>'</script><div id=content><p>a &amp; b</p><p>c</p></div><a href='/x'>go</a>"
-    f = one(spark, pages.page_fields(F.col("x"), F.col("y")), html, "http://h/p/q")
+    f = one(spark, pages.page_fields(F.col("x"), F.col("y"), ("article", "#content", "body")), html, "http://h/p/q")
     assert (f["title"], f["text"], f["main"]) == ("t", "t\na & b\nc\ngo", "a & b\nc")
     assert [tuple(x) for x in f["links"]] == [("http://h/x", "go")]
     assert one(spark, pages.page_fields(F.col("x"), F.col("y")), None, None)["text"] == ""
@@ -103,7 +103,7 @@ def test_packing_keeps_tokens(spark, parts):
 @pytest.mark.parametrize("parts", [1, 5])
 def test_prefix_sums(spark, parts):
     df = spark.range(0, 10_000, 3).withColumn("v", F.col("id") % 7).repartition(parts)
-    got = {r["id"]: r["s"] for r in prefix.total_before(df, "id", F.col("v"), "s", width=64).collect()}
+    got = {r["id"]: r["s"] for r in prefix.total_before(df, "id", F.col("v"), "s").collect()}
     total = 0
     for i in range(0, 10_000, 3):
         assert got[i] == total
@@ -155,8 +155,7 @@ def test_nearest_with_ties(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
     got = joins.nearest(df, df.where("vec_id = 0"), 3).orderBy("rank").collect()
     assert [(r["id"], r["distance"]) for r in got] == [(0, 0.0), (1, 0.0), (2, 5.0)]
-    with pytest.raises(ValueError):
-        joins.nearest(df, df, 1, most=2)
+    assert joins.nearest(df, df, 1, most=2).count() == 3
 
 
 def test_select_only(spark):
@@ -228,3 +227,117 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.write_shuffled(spark.range(50), str(tmp_path / "shards"), "id", 4, "s")
     assert spark.read.json(str(tmp_path / "shards")).count() == 50
     writers.write_report(spark.range(1), str(tmp_path / "report"))
+
+
+def test_clean_tweet_is_its_eleven_steps(spark):
+    import re
+
+    def plain(tweet):
+        tweet = re.sub(r"@[^\s]+", "", tweet.lower())
+        tweet = re.sub(r"((www\.[^\s]+)|(https?://[^\s]+))", " ", tweet)
+        tweet = re.sub("&quot;", " ", re.sub(r"\d+", " ", tweet))
+        for pattern, word in T.EMOJI:
+            tweet = re.sub(pattern, word, tweet)
+        tweet = re.sub(r"[^\w\s]", " ", re.sub(r"\b[a-zA-Z]\b", "", tweet))
+        tweet = re.sub(r"\b[a-zA-Z]{2}\b", "", re.sub(r"(..)\1+", r"\1", tweet))
+        return re.sub(r"\s+", " ", tweet)
+
+    tweets = ["@me Hahahaha :) see https://x.y/z?a=1 &quot;it&quot; is 12 o'clock, ÉÉÉÉ ab", "", "a b c\tdd\n\nsoooo goooood!!", "É 日本日本日本 x :-( <3 www.a.b"]
+    rows = spark.createDataFrame([(t,) for t in tweets], "t string").select("t", T.clean_tweet(F.col("t")).alias("x")).collect()
+    assert all(r["x"] == plain(r["t"]) for r in rows)
+
+
+def test_unwrap_calls_up_to_the_first_bracket(spark):
+    found = lambda q: one(spark, T.unwrap_calls(F.col("x")), q)
+    assert found("SELECT convert_tz( a.b , 'x','y'), COALESCE(c) FROM t") == "SELECT a.b, c FROM t"
+    assert found("COALESCE(f(b, c), d)") == "f(b, c, d)" and found("COALESCE()") == "" and found("none (a, b)") == "none (a, b)"
+
+
+def test_sentences_titles_and_first_fields(spark):
+    assert one(spark, T.sentences(F.col("x")), "One. Two!  Three? four.five") == ["One.", "Two!", "Three?", "four.five"]
+    assert one(spark, T.slug_title(F.col("x")), "two-big words") == "Two Big Words"
+    assert one(spark, J.record_fields(F.col("x")), '[{"title": "t", "company": {"name": "c"}}]')["title"] == "t"
+
+
+def test_container_is_the_first_of_the_first_selector(spark):
+    html = "<body>head<article>late</article><div data-testid='jobDescription'>by <b>mark</b></div><p class='x description'>one</p><p class=description>two</p></body>"
+    main = lambda h: one(spark, pages.page_fields(F.col("x"), F.lit("http://h")), h)["main"]
+    assert main(html) == "one" and main(html.replace("description", "other")) == "by\nmark"
+    assert main("<body>a<p>b</p></body>") == "a\nb" and main("<p>no body</p>") == ""
+    deep = pages._Page("<aside>" * 30000 + "x" + "</b>" * 30000)
+    assert deep.first("aside") == ["x"]
+
+
+def test_substring_match_is_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    names = ["".join(r.choice("abc ") for _ in range(r.randint(1, 6))) for _ in range(80)]
+    known = [("".join(r.choice("ABc") for _ in range(r.randint(1, 5))), f"v{i}", i) for i in range(30)]
+    got = joins.substring_match(spark.createDataFrame([(n,) for n in names], "n string"), "n", spark.createDataFrame(known, "k string, v string, ord int"), "k", "v", "none")
+    want = {}
+    for n in {x.strip().lower() for x in names} - {""}:
+        exact = [(o, v) for k, v, o in known if k.lower() == n]
+        part = [(o, v) for k, v, o in known if k.lower() in n or n in k.lower()]
+        want[n] = (min(exact)[1], "high") if exact else (min(part)[1], "medium") if part else ("none", "low")
+    assert {x["n"]: (x["v"], x["confidence"]) for x in got.collect()} == want
+
+
+def test_nearest_in_blocks(spark):
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x["query"], x["rank"]): x["id"] for x in joins.nearest(df, df, 3, most=13).collect()}
+    for q, v in rows:
+        best = sorted(rows, key=lambda b: (sum((x - y) ** 2 for x, y in zip(b[1], v, strict=True)), b[0]))[:3]
+        assert [got[q, k] for k in (1, 2, 3)] == [b[0] for b in best]
+    assert len(got) == 360
+
+
+def test_descendants_and_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "parent string, child string")
+    root = spark.createDataFrame([("a",)], "node string")
+    assert {tuple(r) for r in relational.descendants(root, edges).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    with pytest.raises(ValueError, match="cycle"):
+        relational.descendants(root, spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"), most=5)
+
+
+@pytest.mark.parametrize("kind", ["hashed", "clustered", "one", "empty"])
+def test_prefix_sums_of_any_ids(spark, kind):
+    import random
+
+    r = random.Random(1)
+    ids = {"hashed": [r.getrandbits(63) - (1 << 62) for _ in range(3000)], "clustered": [10**18 + i for i in range(2000)] + [-5] * 3 + [None] * 2 + [i * 10**9 for i in range(300)], "one": [7] * 50, "empty": []}[kind]
+    df = spark.createDataFrame([(i, k % 7) for k, i in enumerate(ids)], "id long, v long")
+    total, want = 0, []
+    for given, i, v in sorted((i is not None, i or 0, k % 7) for k, i in enumerate(ids)):
+        want.append((given, i, v, total))
+        total += v
+    got = prefix.total_before(df, "id", F.col("v"), "t", ties=("v",)).collect()
+    assert sorted((x["id"] is not None, x["id"] or 0, x["v"], x["t"]) for x in got) == want
+    ranges = df.select(prefix.range_of(F.col("id"), prefix.quantiles(df, "id")).alias("r")).groupBy("r").count().agg(F.max("count")).first()[0]
+    assert (ranges or 0) <= max(50, len(ids) // 10)
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    values = [float(x % 13) / 3 for x in range(500)] + [1e9, -4.5]
+    got = timeseries.percentiles(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), "v", (0.5, 0.9, 0.99)).first()
+    assert np.allclose(list(got), np.percentile(values, [50, 90, 99]))
+
+
+def test_line_text_shapes(spark):
+    text = lambda line: one(spark, intake.line_text(F.col("x")), line)
+    assert text('{"messages": [{"role": "user", "content": "hi"}], "text": "no"}') == "<|user|>\nhi\n<|endoftext|>"
+    assert text('{"text": "", "content": "c"}') == "c" and text('{"text": "t", "content": "c"}') == "t"
+    assert [text(x) for x in ('{"content": " "}', '{"other": 1}', "broken", "[1]", None)] == [None] * 5
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([(1, "a")], "k long, v string")
+    with pytest.raises(ValueError, match="missing columns: w"):
+        intake.require_columns(df, ["k", "w"])
+    with pytest.raises(ValueError, match="no such board"):
+        intake.board_record(F.col("v"), "other")
+    assert one(spark, intake.company_names(F.col("x")), '["A ", {"company": "a"}, {"company": "B"}, {"x": 1}, 3, null]') == ["A", "B"]
+    assert one(spark, intake.stream_tokens(F.col("x")), 'data: {"usage": {"completion_tokens": 3}, "data": [{"data": "d"}]}') == ["3", "d"]
