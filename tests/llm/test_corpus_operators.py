@@ -604,6 +604,27 @@ def test_op4_other_tokenizers_are_not_split(tmp_path):
             assert np.frombuffer(encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_one_text_on_a_third_of_the_rows(spark):
+    r = random.Random(9)
+    text = " ".join(r.choice(["mail", "someone", "about", "it"]) + str(r.randrange(40)) for _ in range(120)) + " a.b@c.de"
+    rows = [(i, text if i % 3 == 0 else " ".join(r.choice("abcdefgh") * r.randint(1, 6) for _ in range(80))) for i in range(1, 91)]
+    df = frame(spark, rows).withColumn("source", F.lit("hot"))
+    same = [i for i, _ in rows if i % 3 == 0]
+    removed = {x["doc_id"]: (x["n_removed"], x["n_words"]) for x in repeats.remove_repeats(df, group_docs=4).collect()}
+    assert removed[3] == (0, 121) and all(removed[i] == (121, 121) for i in same[1:]) and not any(removed[i][0] for i, _ in rows if i % 3)
+    classes = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df).collect()}
+    assert {classes[i] for i in same} == {3}
+    spans = {x["doc_id"]: (x["n_email"], x["spans"]) for x in pii.find_pii(df, pii.fit(df, sample_docs=10)).collect()}
+    assert len({spans[i] for i in same}) == 1 and spans[3][0] == 1
+    scores = {x["doc_id"]: (x["quality"], x["toxic"]) for x in quality.score(df, quality.fit(df, sample_docs=10)).collect()}
+    assert len({scores[i] for i in same}) == 1
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    hit = {x["doc_id"] for x in decontaminate.decontaminate(df, items).where("contamination.contaminated").collect()}
+    assert hit == set(same)
+    mixed = mixing.mix(df).select("mix.*").agg(F.sum("taken").alias("t"), F.max("target").alias("w"), F.max("size").alias("m")).first()
+    assert abs(mixed["t"] - mixed["w"]) <= 2 * mixed["m"]
+
+
 def test_op4_seek_and_checksum(spark, tmp_path):
     import public_tokenizers
 
