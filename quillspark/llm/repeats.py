@@ -274,19 +274,22 @@ def _repeats(runs: DataFrame, window: int) -> DataFrame:
     """(id, key, repeats): the spans of words, by document, that a document of smaller id has as well."""
     run = ["anchor", "r1", "r2"]
     owners = table(runs.groupBy(*run).agg(F.min("id").alias("owner")), "run-owners")
-    forked = owners.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written before they are joined back: AQE can then split an anchor or a window that very many runs share
+    forked = table(owners.groupBy("anchor").count().where("count > 1").select("anchor"), "forked")
     own = runs.select(*run, "id", "words").join(owners.join(forked, "anchor", "left_semi"), run).where("id = owner")
     windows = table(own.select(*run, "id", "words").mapInArrow(_windows(window), "anchor long, r1 long, r2 long, id long, w1 long, w2 long, offset int"), "windows")
     shared = windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    shared = table(shared.select("w1", "w2", "first"), "shared-windows")
     late = windows.join(shared, ["w1", "w2"]).where("id > first").groupBy(*run).agg(F.collect_set("offset").alias("offsets"))
-    owners = table(owners.join(late, run, "left"), "run-offsets")
+    judged = table(owners.join(late, run, "left"), "run-offsets")
+    for old in (owners, forked, windows, shared):
+        drop_table(old)
     whole = F.transform("starts", lambda a: F.struct(a.alias("start"), (a + F.col("length")).alias("end")))
     places = F.transform("offsets", lambda o: F.transform("starts", lambda a: F.struct((a + o).alias("start"), (a + o + window).alias("end"))))
     spans = F.when(F.col("id") > F.col("owner"), whole).when(F.col("offsets").isNotNull(), F.flatten(places))
-    found = runs.drop("words").join(owners, run).select("id", "key", spans.alias("spans")).where("spans is not null")
+    found = runs.drop("words").join(judged, run).select("id", "key", spans.alias("spans")).where("spans is not null")
     found = table(found.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("repeats")), "repeats")
-    for old in (windows, owners):
-        drop_table(old)
+    drop_table(judged)
     return found
 
 
