@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import drop_table, read, table
 from .repeats import BASE, INVERSE, _powers
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -242,6 +242,7 @@ def fit(
         for r in found.toArrow().to_pylist():  # at most a number per language and piece
             probs[r["piece"], place[r["lang"]]] += r["n"]
         probs /= probs.sum(axis=0)
+    drop_table(counts)
     return Model(langs, pieces, probs)
 
 

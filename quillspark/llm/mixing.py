@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import drop_table, read, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -69,7 +69,8 @@ def mix(
     # a row per document without its text, a fraction of the input
     buckets = rows.groupBy("source", F.substring("order", 1, digits).alias("bucket"))
     buckets = table(buckets.agg(F.sum("size").alias("bucket_size")), "mix-buckets")
-    plan = table(targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs), "mix-targets")
+    wanted = table(targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs), "mix-targets")
+    plan = wanted
     extra = F.col("target") - F.floor("epochs") * F.col("source_size")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     fronts = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
@@ -86,6 +87,8 @@ def mix(
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     end = F.coalesce(F.col("end"), F.struct(F.col("last_bucket").alias("order"), F.lit("").alias("tie")))
     plan = table(plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", end.alias("end")), "mix-plan")
+    for old in (buckets, wanted, fronts):
+        drop_table(old)
 
     held = docs.select(F.struct(*own).alias("d"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), order.alias("order"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")).alias("tie"))
     held = held.join(plan, F.col("source").eqNullSafe(F.col("s")))
