@@ -67,7 +67,9 @@ class Tokens:
     isn't a letter at its edges; core 0 is none) and whether it is spelt like prose; of each core: its bucket, that of its
     beginning, and in which dictionaries its terms are (`core_table`)."""
 
-    def __init__(self, mined: tuple[frozenset[str], ...] = (frozenset(),) * 3, most: int = 400_000) -> None:
+    PART = 1 << 21
+
+    def __init__(self, mined: tuple[frozenset[str], ...] = (frozenset(),) * 3, most: int = 300_000) -> None:
         self.mined, self.most = mined, most
         self.reset()
 
@@ -98,7 +100,16 @@ class Tokens:
             self.core_table = np.concatenate([self.core_table, np.array(terms, dtype=np.int64)])
 
     def read(self, texts: list[str]) -> Iterator[tuple[dict[str, float], np.ndarray]]:
-        """Statistics of each text, and its distinct cores as rows of core_table."""
+        """Statistics of each text, and its distinct cores as rows of core_table. Texts are split some MB at a time."""
+        begin = held = 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= self.PART:
+                yield from self._read(texts[begin : i + 1])
+                begin, held = i + 1, 0
+        yield from self._read(texts[begin:])
+
+    def _read(self, texts: list[str]) -> Iterator[tuple[dict[str, float], np.ndarray]]:
         if len(self.number) > self.most:
             self.reset()
         split = [t.split() for t in texts]
