@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,41 @@ def to_pcm(signal: Column) -> Column:
     return F.transform(signal, lambda x: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * 32767).cast("int"))
 
 
+def mel_filters(bands: int, size: int, rate: int) -> np.ndarray:
+    """Triangles of equal width on the mel scale (2595 log10(1 + f / 700)) up to half the rate: a row per band."""
+    mel = np.linspace(0.0, 2595 * np.log10(1 + rate / 2 / 700), bands + 2)
+    edge = 700 * (10 ** (mel / 2595) - 1)
+    at = np.linspace(0.0, rate / 2, size // 2 + 1)
+    rise = (at - edge[:-2, None]) / (edge[1:-1] - edge[:-2])[:, None]
+    fall = (edge[2:, None] - at) / (edge[2:] - edge[1:-1])[:, None]
+    return np.maximum(0.0, np.minimum(rise, fall))
+
+
+def log_mel(signal: Column, rate: int = 16_000, bands: int = 80, size: int = 512, frame_ms: float = 25.0, hop_ms: float = 10.0) -> Column:
+    """Log-mel spectrogram, one array of bands per frame: Hann windows of frame_ms in the middle of Fourier frames of `size`,
+    hop_ms apart, over the signal reflected by half a frame at both ends; ln(power + 1e-6). Signals of up to half a frame
+    have none. In Arrow batches, as the JVM has no Fourier transform."""
+    length, hop = int(frame_ms / 1000 * rate), int(hop_ms / 1000 * rate)
+    left = (size - length) // 2
+    window = np.pad(0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length), (left, size - length - left))
+    filters = mel_filters(bands, size, rate)
+
+    @F.pandas_udf("array<array<double>>")
+    def run(signals: pd.Series) -> pd.Series:
+        out = []
+        for x in signals:
+            if x is None or len(x) <= size // 2:
+                out.append([])
+                continue
+            y = np.pad(np.asarray(x, dtype=float), size // 2, mode="reflect")
+            frames = np.lib.stride_tricks.sliding_window_view(y, size)[::hop] * window
+            power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+            out.append(np.log(power @ filters.T + 1e-6).tolist())
+        return pd.Series(out, dtype=object)
+
+    return run(signal)
+
+
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, dim, mean): a partial sum per task, group and dimension is shuffled, not the vectors."""
     rows = df.select(group, F.posexplode(vector).alias("dim", "x"))
@@ -156,6 +193,7 @@ QUERIES = {
     "d12_levels": lambda s, d: _vec(s, d).select("vec_id", F.posexplode(decibels(F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 8).cast("int") - 1), lambda i: F.slice("v", i * 8 + 1, 8)))).alias("pos", "db")).select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("db", 4) + 0.0).alias("db"), (F.col("db") > -6).alias("loud")),
     "d13_mix": lambda s, d: _pairs(s, d).select("vec_id", F.round(F.array_max(F.transform(mix_at_ratio(F.col("v"), F.col("w"), 5.0), F.abs)), 5).alias("peak")),
     "d14_fit_length": lambda s, d: _tok(s, d).select("doc_id", F.transform("t", lambda x: x.cast("double")).alias("t")).select("doc_id", _joined(F.transform(fit_length(F.col("t"), 16, 0), lambda x: x.cast("int"))).alias("t")),
+    "d15_log_mel": lambda s, d: _vec(s, d).select("vec_id", F.posexplode(log_mel(F.flatten(F.array_repeat("v", F.lit(8))), 1000, 8, 64, 40.0, 32.0)).alias("pos", "m")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.array_max("m"), 4).alias("most")),
     "d16_edge_pad": lambda s, d: _tok(s, d).where(F.size("t") > 0).select("doc_id", _joined(edge_pad(F.col("t"), 16)).alias("t")),
     "d17_pcm": lambda s, d: _vec(s, d).select("vec_id", F.aggregate(to_pcm(F.col("v")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max(to_pcm(F.col("v"))).alias("peak")),
     "d18_elementwise": lambda s, d: _pairs(s, d).select("vec_id", F.round(F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 5).alias("dot"), F.round(F.aggregate(F.zip_with("v", "w", lambda a, b: a + b), F.lit(0.0), lambda a, x: a + x), 5).alias("total")),

@@ -20,6 +20,33 @@ def subscribe(events: DataFrame, key: str, value) -> DataFrame:
     return events.where(F.col(key) == value)
 
 
+def replay_then_live(events: DataFrame, key: str, order: str, last: DataFrame) -> DataFrame:
+    """Each key's events after the one it saw last (key, order), first those that are there, then those to come. A key without
+    one, or whose last event is unknown, gets all of them: the stream begins at the first file, and the checkpoint goes on."""
+    seen = last.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last"))
+    joined = events.join(seen, events[key] == seen["_key"], "left")
+    return joined.where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_key", "_last")
+
+
+def with_heartbeats(events: DataFrame, key: str, value: str, seconds: int = 30) -> DataFrame:
+    """Append mode: (key, kind, value) for each event, and of kind heartbeat for a key that was silent so long, again and
+    again while it is. State is one number a key."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield pd.DataFrame({key: [k[0]], "kind": ["heartbeat"], value: [None]})
+        else:
+            for part in parts:
+                yield pd.DataFrame({key: part[key], "kind": "event", value: part[value]})
+        state.update((1,))
+        state.setTimeoutDuration(seconds * 1000)
+
+    return events.select(key, value).groupBy(key).applyInPandasWithState(
+        run, f"{key} {kinds[key]}, kind string, {value} {kinds[value]}", "n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
 def ring_buffer(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """Update mode: (key, kept) with the orders of the key's n newest rows after each batch."""
     kind = events.schema[key].dataType.simpleString()

@@ -341,3 +341,19 @@ def test_guards(spark):
         intake.board_record(F.col("v"), "other")
     assert one(spark, intake.company_names(F.col("x")), '["A ", {"company": "a"}, {"company": "B"}, {"x": 1}, 3, null]') == ["A", "B"]
     assert one(spark, intake.stream_tokens(F.col("x")), 'data: {"usage": {"completion_tokens": 3}, "data": [{"data": "d"}]}') == ["3", "d"]
+
+
+def test_log_mel_of_a_tone(spark):
+    rate, n = 16_000, 4000
+    tone = np.sin(2 * np.pi * 1000 * np.arange(n) / rate)
+    got = np.array(spark.createDataFrame([(tone.tolist(),), ([0.0] * 10,)], "x array<double>").select(arrays.log_mel(F.col("x")).alias("m")).collect()[0]["m"])
+    assert got.shape == (n // 160 + 1, 80)
+    padded, window = np.pad(tone, 256, mode="reflect"), np.zeros(512)
+    window[56:456] = [0.5 - 0.5 * np.cos(2 * np.pi * k / 400) for k in range(400)]
+    filters = arrays.mel_filters(80, 512, rate)
+    for t in (0, 7, 25):
+        frame = padded[t * 160 : t * 160 + 512] * window
+        power = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(512) / 512))) ** 2 for k in range(257)]
+        assert np.allclose(got[t], np.log(filters @ power + 1e-6), atol=1e-6)
+    top = 700 * (10 ** ((got[10].argmax() + 1) * 2595 * np.log10(1 + 8000 / 700) / 81 / 2595) - 1)
+    assert abs(top - 1000) < 60 and (filters.max(axis=0)[1:-1] > 0).all()

@@ -60,3 +60,28 @@ def test_rechunk_carries_the_rest(spark, tmp_path):
     seen = []
     streams.on_change(streams.follow(spark, str(tmp_path / "in"), rows.schema), lambda df, _: seen.append(df.count()), str(tmp_path / "notify")).awaitTermination()
     assert sum(seen) == 10
+
+
+def test_replay_then_live(spark, tmp_path):
+    batch, stream = events(spark, tmp_path)
+    last = batch.where("event_id % 400 = 0").select("user_id", "event_id")
+    out = drain(streams.replay_then_live(stream, "user_id", "event_id", last).select("event_id"), tmp_path, "replayed", "append")
+    want = stores.replay_after(batch, "user_id", ["event_id"], last.groupBy("user_id").agg(F.max("event_id").alias("event_id")))
+    assert sorted(r[0] for r in out.collect()) == sorted(r["event_id"] for r in want.collect())
+
+
+def test_heartbeats_of_silent_keys(spark, tmp_path):
+    import time
+
+    batch, stream = events(spark, tmp_path, 1)
+    few = streams.with_heartbeats(stream.where("user_id < 3"), "user_id", "event_type", 1)
+    q = few.writeStream.format("memory").queryName("beats").outputMode("append").option("checkpointLocation", str(tmp_path / "beats")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("beats").where("kind = 'heartbeat'").select("user_id").distinct().count() < 2:
+            time.sleep(1)
+    finally:
+        q.stop()
+    rows = spark.table("beats")
+    assert rows.where("kind = 'event'").count() == batch.where("user_id < 3").count()
+    assert {r["user_id"] for r in rows.where("kind = 'heartbeat'").collect()} >= {r["user_id"] for r in batch.where("user_id < 3").select("user_id").distinct().limit(1).collect()}
