@@ -357,3 +357,15 @@ def test_log_mel_of_a_tone(spark):
         assert np.allclose(got[t], np.log(filters @ power + 1e-6), atol=1e-6)
     top = 700 * (10 ** ((got[10].argmax() + 1) * 2595 * np.log10(1 + 8000 / 700) / 81 / 2595) - 1)
     assert abs(top - 1000) < 60 and (filters.max(axis=0)[1:-1] > 0).all()
+
+
+def test_classifiers_by_grid_search(spark):
+    from quillspark.operators import classifiers
+
+    rows = [(f"{'good fine' if i % 2 else 'bad poor'} word{i % 3}", i % 2) for i in range(40)] + [(None, 1), ("no label", None)]
+    data = classifiers.hashed_terms(spark.createDataFrame(rows, "text string, y int"), T.tokens(F.col("text")), "y", size=64)
+    assert data.count() == 40
+    model, settings, score = classifiers.naive_bayes_search(data, alphas=(0.1, 1.0), folds=2)
+    assert score == 1.0 and settings["smoothing"] in (0.1, 1.0) and model.transform(data).where("prediction <> label").count() == 0
+    model, settings, score = classifiers.boosted_trees_search(data, depths=(2,), rates=(0.1,), trees=(2,), folds=2)
+    assert score > 0.9 and settings == {"maxDepth": 2, "stepSize": 0.1, "maxIter": 2} and model.transform(data).where("prediction <> label").count() == 0
