@@ -6,7 +6,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillspark.llm import html_extract
 from quillspark.plans import catalog
 
 
@@ -126,17 +125,3 @@ def test_tf_idf_keeps_terms_beyond_20000(spark, tmp_path):
     got = catalog.QUERIES["t01_tf_idf"](spark, str(tmp_path))
     assert got.count() == 100 * (120 + 119)
     assert got.where("abs(weight - 1 / sqrt(239)) > 1e-5").count() == 0
-
-
-ARTICLE = "<article><h1>Title here</h1><p>One long sentence of prose, with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and words enough.</p></article>"
-TEXT = "Title here\nOne long sentence of prose, with x=2 and words enough."
-
-
-@pytest.mark.parametrize("head", ["<head><title>t</title></head><body>", "<head><title>t</title><body>", "<head><meta charset=x><title>t</title>", "<head><script>x</script><noscript><p>no</p></noscript><body>", ""])
-def test_pages_without_end_of_head(head):
-    assert html_extract.default_model(200).extract(f"<html>{head}{ARTICLE}") == TEXT
-
-
-def test_text_ends_a_head():
-    tree = html_extract.Tree("<head><title>t</title>Bare text <b>and more</b>")
-    assert "".join(x[2] for x in tree.pieces) == "Bare text and more"
