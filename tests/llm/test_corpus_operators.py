@@ -643,3 +643,17 @@ def test_op4_seek_and_checksum(spark, tmp_path):
 
 def test_tables_stay_in_the_shared_folder(spark):
     assert common.table(spark.range(3), "t").inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+HEADLESS = "<article><h1>Title here</h1><p>One long sentence of prose, with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and words enough.</p></article>"
+HEADLESS_TEXT = "Title here\nOne long sentence of prose, with x=2 and words enough."
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title></head><body>", "<head><title>t</title><body>", "<head><meta charset=x><title>t</title>", "<head><script>x</script><noscript><p>no</p></noscript><body>", ""])
+def test_pages_without_end_of_head(head):
+    assert html_extract.default_model(200).extract(f"<html>{head}{HEADLESS}") == HEADLESS_TEXT
+
+
+def test_text_ends_a_head():
+    tree = html_extract.Tree("<head><title>t</title>Bare text <b>and more</b>")
+    assert "".join(x[2] for x in tree.pieces) == "Bare text and more"
