@@ -252,10 +252,11 @@ def _routes(rows: DataFrame, window: int, phrase: int, shard_phrases: int, group
     shard = F.pmod(F.xxhash64("owner"), F.lit(max(n_shards, 1))).alias("shard")
     visits = chosen.join(recurring, "phrase").select("id", shard, F.when(F.col("id") == F.col("owner"), F.col("phrase")).alias("phrase"))
     visits = table(visits.groupBy("id", "shard").agg(F.collect_set("phrase").alias("owned")), "visits")
-    drop_table(chosen)
-    drop_table(recurring)
-    groups = visits.groupBy("shard").agg(F.ceil(F.count("*") / group_docs).cast("int").alias("groups"))
-    return visits.join(groups, "shard")
+    groups = table(visits.groupBy("shard").agg(F.ceil(F.count("*") / group_docs).cast("int").alias("groups")), "groups")
+    routes = table(visits.join(groups, "shard"), "routes")
+    for old in (chosen, recurring, visits, groups):
+        drop_table(old)
+    return routes
 
 
 def _runs(rows: DataFrame, routes: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -307,7 +308,7 @@ def remove_repeats(
         raise ValueError("phrase must be between 1 and window")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))  # rows may share an id
-    routes = table(_routes(rows, window, phrase, shard_phrases, group_docs), "routes")
+    routes = _routes(rows, window, phrase, shard_phrases, group_docs)
     runs = table(_runs(rows, routes, window, phrase), "runs")
     drop_table(routes)
     repeats = _repeats(runs, window)
