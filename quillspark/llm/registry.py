@@ -7,6 +7,7 @@ from .html_extract import op10_html_extract
 from .langid import op2_language_id
 from .matroska import op6_matroska
 from .mixing import OP9_SQL, op9_mix
+from .periodic import op11_periodic_runs
 from .pieces import op13_sentencepiece
 from .pii import op7_pii
 from .quality import op8_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_html_extract": op10_html_extract,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
