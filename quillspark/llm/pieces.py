@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding with a table of distinct chunks.
 
-A chunk is a run of white-space markers with the other characters up to the next run. A model none of whose pieces holds
-another character before a marker can't join characters of two chunks, and merges in one don't change those in another,
-so a text's ids are its chunks' ids side by side. Each distinct chunk of the corpus is segmented and decoded once:
+Merges join neighbouring characters that stand side by side in some piece. Where no piece holds another character before a
+white-space marker, a text falls into marked words that are segmented apart. The vocabulary's other characters fall into
+groups that no piece joins, too: in public_tokenizers' model letters on one side, punctuation on the other. A chunk is a
+run of characters of the same side, with the markers before it, and a text's ids are its chunks' ids side by side. Each
+distinct chunk of the corpus is segmented and decoded once:
 
 1. Tasks cut texts into blocks of about `block_chars` characters. A block's distinct chunks are numbered and leave as rows
-   (block, no, chunk); its documents, as sequences of these numbers, go to a Parquet file in the shared folder.
+   (block, no, chunk). Its documents, as numbers of their marked words, and the chunks of each of these words go to two
+   Parquet files in the shared folder.
 2. The rows are shuffled and sorted by chunk. Equal chunks lie side by side, and the library segments and decodes the first.
    A chunk comes once per block, so no chunk, however frequent, holds more than a small share of the rows.
 3. The rows go back to their blocks, where the numbers of each document are replaced, in place, by ids and decoded text.
 
 Texts are read once and never shuffled; memory is bounded by the block, or one text where that is longer. Files of failed
-attempts are never read, as a block's rows name the file that was written with them.
+attempts are never read, as a block's rows name the files that were written with them.
 
 Edge cases: null and empty texts have the begin and end ids alone and decode to an empty text. Literal markers in a text
 are what spaces become, as in the library. Repeated rows and null ids give a row each; an empty table gives none. Other
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,25 +44,41 @@ from pyspark.sql import functions as F
 from .common import drop_table, n_partitions, new_path, read, table
 
 MARK = "▁"
-CHUNK = re.compile(" +[^ ]*")
+WORD = re.compile(" +[^ ]*")
 ROWS = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("chunk", pa.string()), ("file", pa.string())])
 FLUSH = 1 << 23
 
 
-def separable(model: str) -> None:
-    """ValueError unless the model at this path encodes chunk by chunk."""
-    from sentencepiece import sentencepiece_model_pb2
+class Sides:
+    """Which characters of a model's vocabulary no piece joins. ValueError if texts can't be cut at markers."""
 
-    spec = sentencepiece_model_pb2.ModelProto()
-    with open(model, "rb") as f:
-        spec.ParseFromString(f.read())
-    norm, train = spec.normalizer_spec, spec.trainer_spec
-    plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
-    kinds = {p.type for p in spec.pieces}
-    own = kinds & {spec.SentencePiece.USER_DEFINED, spec.SentencePiece.UNUSED}
-    across = any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in spec.pieces)
-    if not plain or train.treat_whitespace_as_suffix or own or across:
-        raise ValueError("the model's pieces depend on more than a chunk")
+    def __init__(self, model: str) -> None:
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(model, "rb") as f:
+            spec.ParseFromString(f.read())
+        norm, kind = spec.normalizer_spec, spec.SentencePiece
+        plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        pieces = [p.piece for p in spec.pieces if p.type == kind.NORMAL]
+        own = any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in spec.pieces)
+        across = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        if not plain or spec.trainer_spec.treat_whitespace_as_suffix or own or across:
+            raise ValueError("the model's pieces depend on more than a marked word")
+        group: dict[str, set[str]] = {}
+        for piece in pieces:
+            for a, b in itertools.pairwise(piece.lstrip(MARK)):
+                one, two = group.setdefault(a, {a}), group.setdefault(b, {b})
+                if one is not two:
+                    one |= two
+                    group.update(dict.fromkeys(two, one))
+        main = max(group.values(), key=lambda g: (len(g), min(g)), default=set())
+        other = sorted(set(group) - main)
+        #: one of each side: put before a chunk without marker, it changes nothing in it
+        self.main, self.other = min(main, default=""), min(other, default="")
+        marks = "".join(map(re.escape, other))
+        self.chunk = re.compile(f" *[{marks}]+| *[^ {marks}]+| +" if other else " *[^ ]+| +")
+        self.is_other = re.compile(f"[{marks}]" if other else r"(?!)")
 
 
 class Chunks:
@@ -67,41 +87,72 @@ class Chunks:
     def __init__(self, model: str) -> None:
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.model, self.sides = sentencepiece.SentencePieceProcessor(model_file=model), Sides(model)
+        self.before = {c: len(self.model.encode(c)) for c in (self.sides.main, self.sides.other)}
         self.lone = self.model.encode("a ")[len(self.model.encode("a")) :]  # a marker without more, at a text's end
 
     def __call__(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
         # the library puts the first marker before a text, and takes it off a decoded one
-        ids = self.model.encode([c[1:] for c in chunks], num_threads=1)
-        ids = [i if c != " " else self.lone for c, i in zip(chunks, ids, strict=True)]
-        return ids, [" " + t for t in self.model.decode(ids, num_threads=1)] if ids else []
+        front = ["" if c[0] == " " else self.sides.main if self.sides.is_other.match(c) else self.sides.other for c in chunks]
+        coded = self.model.encode([c[1:] if not f else f + c for c, f in zip(chunks, front, strict=True)], num_threads=1) if chunks else []
+        ids = [self.lone if c == " " else i[self.before[f] :] if f else i for c, f, i in zip(chunks, front, coded, strict=True)]
+        decoded = self.model.decode(ids, num_threads=1) if ids else []
+        return ids, [t if f else " " + t for f, t in zip(front, decoded, strict=True)]
+
+
+def _lists(parts: list, kind) -> pa.LargeListArray:
+    stops = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) for p in parts], out=stops[1:])
+    values = np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+    return pa.LargeListArray.from_arrays(pa.array(stops), pa.array(values))
+
 
+def _slices(column: pa.ChunkedArray) -> Iterator[list[int]]:
+    """The lists of a column of number lists."""
+    for part in column.chunks:
+        values, stops = part.values.to_numpy(), part.offsets.to_numpy()
+        for a, b in itertools.pairwise(stops):
+            yield values[a:b].tolist()
+
+
+def _cut(model: str, folder: str, block_chars: int):
+    layout = {"compression": "zstd", "use_dictionary": False, "column_encoding": {"numbers.list.element": "BYTE_STREAM_SPLIT"}}
 
-def _cut(folder: str, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, store_root = TaskContext.get().partitionId(), None
+        part, chunk = TaskContext.get().partitionId(), Sides(model).chunk
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         for k, rows in enumerate(blocks(batches)):
-            numbers = defaultdict(itertools.count().__next__)
-            found, stops, n = [], [0], 0
+            words = defaultdict(itertools.count().__next__)
+            found = []
             for text in rows["text"]:
-                chunks = CHUNK.findall(" " + text.replace(MARK, " ")) if text else ()
-                found.append(np.fromiter(map(numbers.__getitem__, chunks), np.uint32, len(chunks)))
-                n += len(chunks)
-                stops.append(n)
-            if store_root is None:
-                store, root = fs.FileSystem.from_uri(folder)
-                store.create_dir(root, recursive=True)
-                store_root = root
-            block, name = part << 32 | k, f"{part}-{k}-{uuid.uuid4().hex}.parquet"
-            lists = pa.LargeListArray.from_arrays(pa.array(stops, pa.int64()), pa.array(np.concatenate(found) if found else np.empty(0, np.uint32)))
-            with store.open_output_stream(f"{store_root}/{name}") as out:
-                pq.write_table(pa.table({"id": rows["id"], "numbers": lists}), out, compression="zstd")
-            size = len(numbers)
+                own = cut(text.replace(MARK, " ")) if text else ()
+                found.append(np.fromiter(map(words.__getitem__, own), np.uint32, len(own)))
+            often = np.argsort(-np.bincount(np.concatenate(found), minlength=len(words)), kind="stable") if words else np.empty(0, np.int64)
+            rank = np.empty(len(words), np.uint32)
+            rank[often] = np.arange(len(words))  # small numbers for frequent words, as they compress better
+            chunks = defaultdict(itertools.count().__next__)
+            own, units = list(words), []
+            for i in often.tolist():
+                w = own[i]
+                units.append((chunks[" " + w],) if w.isalpha() and w.isascii() else tuple(map(chunks.__getitem__, chunk.findall(" " + w))))
+            name = f"{part}-{k}-{uuid.uuid4().hex}"
+            with store.open_output_stream(f"{root}/{name}.docs") as out:
+                pq.write_table(pa.table({"id": rows["id"], "numbers": _lists([rank[f] for f in found], np.uint32)}), out, **layout)
+            with store.open_output_stream(f"{root}/{name}.words") as out:
+                pq.write_table(pa.table({"numbers": _lists(units, np.uint32)}), out, **layout)
+            block, size = part << 32 | k, len(chunks)
             yield pa.RecordBatch.from_pydict({"block": [block], "no": [-1], "chunk": [None], "file": [f"{folder}/{name}"]}, schema=ROWS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(size, block)), pa.array(np.arange(size, dtype=np.int32)), pa.array(numbers, pa.string()), pa.nulls(size, pa.string())], schema=ROWS
+                [pa.array(np.full(size, block)), pa.array(np.arange(size, dtype=np.int32)), pa.array(list(chunks), pa.string()), pa.nulls(size, pa.string())], schema=ROWS
             )
 
+    def cut(text: str) -> list[str]:
+        """Marked words without their first marker."""
+        if text[0] == " " or "  " in text:
+            return [w[1:] for w in WORD.findall(" " + text)]
+        return text.split(" ")
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         ids, texts, held = [], [], 0
         for batch in batches:
@@ -125,23 +176,18 @@ CODED = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("ids", pa.binary(
 
 def _segment(model: str, code: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, last = Chunks(model), (None, None, None)
+        chunks, last = Chunks(model), None
         for batch in batches:
-            values = batch["chunk"].to_pylist()
-            new = [c for i, c in enumerate(values) if c is not None and c != (values[i - 1] if i else last[0])]
-            ids, decoded = chunks(new)
-            coded = zip([array(code, i).tobytes() for i in ids], decoded, strict=True)
-            out_ids, out_text = [], []
-            for c in values:
-                if c is None:
-                    out_ids.append(None)
-                    out_text.append(None)
-                    continue
-                if c != last[0]:
-                    last = (c, *next(coded))
-                out_ids.append(last[1])
-                out_text.append(last[2])
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["no"], pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string()), batch["file"]], schema=CODED)
+            equal = pc.run_end_encode(batch["chunk"])
+            values = equal.values.to_pylist()
+            known = [last] if last and values and values[0] == last[0] else []
+            new = [c for c in values[len(known) :] if c is not None]
+            coded = iter(zip(new, *chunks(new), strict=True))
+            rows = known + [(c, i and array(code, i).tobytes(), t) for c, i, t in (next(coded) if c is not None else (None, None, None) for c in values[len(known) :])]
+            last = rows[-1] if rows and rows[-1][0] is not None else last
+            spread = pa.array(np.repeat(np.arange(len(rows)), np.diff(equal.run_ends.to_numpy(), prepend=0)))
+            ids, decoded = (pa.array([r[k] for r in rows], kind).take(spread) for k, kind in ((1, pa.binary()), (2, pa.string())))
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["no"], ids, decoded, batch["file"]], schema=CODED)
 
     return run
 
@@ -151,12 +197,15 @@ def _join(width: int, begin: int, end: int, id_type: pa.DataType):
 
     def documents(file: str, ids: list[bytes], texts: list[str]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(file)
-        with store.open_input_file(path) as f:
+        with store.open_input_file(f"{path}.words") as f:
+            words = list(_slices(pq.read_table(f)["numbers"]))
+        ids = [ids[w[0]] if len(w) == 1 else b"".join([ids[i] for i in w]) for w in words]
+        texts = [texts[w[0]] if len(w) == 1 else "".join([texts[i] for i in w]) for w in words]
+        with store.open_input_file(f"{path}.docs") as f:
             rows = pq.read_table(f)
         out, held = ([], [], []), 0
         first, last = (np.array([i], "<u4").tobytes() for i in (begin, end))
-        for doc, numbers in zip(rows["id"], rows["numbers"], strict=True):
-            numbers = numbers.values.to_pylist() if numbers.values is not None else []
+        for doc, numbers in zip(rows["id"], _slices(rows["numbers"]), strict=True):
             code = np.frombuffer(b"".join(map(ids.__getitem__, numbers)), f"<u{width}").astype("<u4").tobytes()
             text = "".join(map(texts.__getitem__, numbers))[1:]
             for a, v in zip(out, (doc, first + code + last, text), strict=True):
@@ -189,7 +238,7 @@ def _join(width: int, begin: int, end: int, id_type: pa.DataType):
     return run
 
 
-def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 23) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 25) -> DataFrame:
     """(id_col, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers with begin and end, and their text.
 
     model: path of a SentencePiece model, readable on the executors.
@@ -198,12 +247,12 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    separable(model)
+    Sides(model)
     spark, library = docs.sparkSession, sentencepiece.SentencePieceProcessor(model_file=model)
     width, code = (2, "H") if library.get_piece_size() <= 1 << 16 else (4, "I")
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = table(rows.mapInArrow(_cut(new_path(spark, "numbers"), block_chars), "block long, no int, chunk string, file string"), "chunks")
+    chunks = table(rows.mapInArrow(_cut(model, new_path(spark, "numbers"), block_chars), "block long, no int, chunk string, file string"), "chunks")
     n = n_partitions(spark)
     by_chunk = chunks.repartition(n, F.coalesce("chunk", F.col("block").cast("string"))).sortWithinPartitions("chunk")
     coded = table(by_chunk.mapInArrow(_segment(model, code), "block long, no int, ids binary, decoded string, file string"), "coded")
