@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.stores import newest_per_key
 from quillspark.plans import prefix
+from quillspark.plans.scan import last_known, next_known, scan
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str, value: str, default: str) -> DataFrame:
@@ -59,13 +60,17 @@ def substring_match(names: DataFrame, name: str, known: DataFrame, known_name: s
     return out.select(F.col("_name").alias(name), F.coalesce("_best._value", F.lit(default)).alias(value), confidence.alias("confidence"))
 
 
-def pair_requests(requests: DataFrame, responses: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """(request id, response id): the first response of the same key within the time; null if there is none."""
-    r, a = requests.alias("r"), responses.alias("a")
-    limit = F.expr(f"r.{at} + INTERVAL {seconds} SECONDS")
-    on = (F.col(f"r.{key}") == F.col(f"a.{key}")) & (F.col(f"a.{at}") >= F.col(f"r.{at}")) & (F.col(f"a.{at}") <= limit)
-    found = r.join(a, on, "left").groupBy("r.event_id").agg(F.min(F.struct(f"a.{at}", "a.event_id")).alias("_first"))
-    return found.select(F.col("event_id").alias("request_id"), F.col("_first.event_id").alias("response_id"))
+def pair_requests(requests: DataFrame, responses: DataFrame, key: str, at: str, seconds: int, row_id: str = "event_id") -> DataFrame:
+    """(request id, response id): the first response of the same key within the time; null if there is none.
+
+    Both sides are put in one order and each request looks forward to the next response, so the work is that of one sort
+    however many requests and responses a key has within the time. A response can answer several requests."""
+    side = lambda df, n: df.select(key, at, F.col(row_id).alias("_id"), F.lit(n).alias("_side"))
+    both = side(requests, 0).union(side(responses.where(F.col(key).isNotNull()), 1))
+    response = F.when(F.col("_side") == 1, F.struct(F.col(at).alias("at"), F.col("_id").alias("id")))
+    rows = scan(both, key, [at, "_side", "_id"], {"_next": next_known(response)}).where("_side = 0")
+    in_time = F.col("_next.at") <= F.expr(f"`{at}` + INTERVAL {seconds} SECONDS")
+    return rows.select(F.col("_id").alias("request_id"), F.when(in_time, F.col("_next.id")).alias("response_id"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -76,8 +81,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     both = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
         right.select(key, at, F.col(value).alias("_value")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(at, "_side", F.col("_value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_value")
+    return scan(both, key, [at, "_side", "_value"], {value: last_known(F.col("_value"))}).where("_side = 1").drop("_side", "_value")
 
 
 def within_days(df: DataFrame, key: str, row_id: str, at: str, days: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.plans import prefix
+from quillspark.plans.scan import lag, rank, row_number, running, scan, whole
 
 
 def seconds(at: Column) -> Column:
@@ -14,8 +15,8 @@ def seconds(at: Column) -> Column:
 
 def gaps(df: DataFrame, key: str, at: str, tie: str, out: str = "gap") -> DataFrame:
     """df with out: seconds since the key's previous row."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    return df.withColumn(out, seconds(F.col(at)) - seconds(F.lag(at).over(w)))
+    rows = scan(df, key, [at, tie], {"_before": lag(F.col(at))})
+    return rows.withColumn(out, seconds(F.col(at)) - seconds(F.col("_before"))).drop("_before")
 
 
 def latency_metrics(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
@@ -57,29 +58,34 @@ def load_summary(df: DataFrame, at: str, value: str, target: float) -> DataFrame
 def moving_average(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.1) -> DataFrame:
     """(key, ema): the exponential average of each key's values in order, seeded by the first.
 
-    Unrolled, it is a sum weighted by place, so no key's values are gathered in one row.
+    Unrolled, it is a sum weighted by place, so no key's values are gathered in one row, and tasks add up what they hold.
     """
-    w = Window.partitionBy(key)
-    rows = df.select(key, F.col(value).cast("double").alias("_v"), F.row_number().over(w.orderBy(*order)).alias("_k"), F.count("*").over(w).alias("_n"))
+    rows = scan(df.select(key, *order, F.col(value).cast("double").alias("_v")), key, order, {"_k": row_number(), "_n": whole(F.lit(1))})
     weight = F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_k")) * F.when(F.col("_k") == 1, 1.0).otherwise(alpha)
     return rows.groupBy(key).agg(F.sum(F.col("_v") * weight).alias("ema"))
 
 
 def nucleus(df: DataFrame, key: str, weight: str, tie: str, p: float) -> DataFrame:
-    """Rows of each key by falling share until p is passed; the row that passes it is kept."""
-    whole = Window.partitionBy(key)
-    order = whole.orderBy(F.desc("share"), tie).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("share", F.col(weight) / F.sum(weight).over(whole))
-    return rows.withColumn("_before", F.coalesce(F.sum("share").over(order), F.lit(0.0))).where(F.col("_before") <= p).drop("_before")
+    """Rows of each key by falling share, with share, until p is passed; the row that passes it is kept."""
+    w = F.col(weight)
+    rows = scan(df, key, [f"-{weight}", tie], {"_all": whole(w), "_before": running(w, including=False)})
+    return rows.where(F.col("_before") / F.col("_all") <= p).withColumn("share", w / F.col("_all")).drop("_all", "_before")
 
 
 def top_with_ties(df: DataFrame, key: str, weight: str, k: int) -> DataFrame:
-    return df.withColumn("_r", F.rank().over(Window.partitionBy(key).orderBy(F.desc(weight)))).where(F.col("_r") <= k).drop("_r")
+    return scan(df, key, f"-{weight}", {"_r": rank()}).where(F.col("_r") <= k).drop("_r")
 
 
 def islands(df: DataFrame, key: str, order: str, opens: Column, out: str = "island") -> DataFrame:
     """df with out: how many rows that open a group the key has had so far."""
-    return df.withColumn(out, F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return scan(df, key, order, {out: running(F.when(opens, 1).otherwise(0))})
+
+
+def text_deltas(df: DataFrame, key: str, order: str, text: str, most: int, out: str = "delta") -> DataFrame:
+    """df with out: the text without as many characters at its front as the key's text before had, at most so many."""
+    rows = scan(df, key, order, {"_before": lag(F.col(text))})
+    shown = F.least(F.coalesce(F.length("_before"), F.lit(0)), F.lit(most))
+    return rows.withColumn(out, F.substr(F.col(text), shown + 1)).drop("_before")
 
 
 def sessions(df: DataFrame, key: str, at: str, gap_s: int) -> DataFrame:
@@ -142,7 +148,7 @@ QUERIES = {
     "w10_nucleus": lambda s, d: nucleus(_events(s, d).where("value > 0"), "user_id", "value", "event_id", 0.5).select("event_id"),
     "w11_top_k": lambda s, d: top_with_ties(_events(s, d), "user_id", "value", 5).select("event_id"),
     "w14_date_buckets": lambda s, d: _events(s, d).groupBy(date_bucket(F.to_date("ts"), "2024-01-20").alias("bucket")).agg(F.count("*").alias("n")),
-    "r12_delta": lambda s, d: _events(s, d).withColumn("prev", F.coalesce(F.lag("props").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(""))).select("event_id", F.expr("substr(props, least(length(prev), 3) + 1)").alias("delta")),
+    "r12_delta": lambda s, d: text_deltas(_events(s, d), "user_id", "event_id", "props", 3).select("event_id", "delta"),
     "r16_tumbling": lambda s, d: tumbling(_events(s, d), "ts", "10 minutes"),
     "r16_sliding": lambda s, d: tumbling(_events(s, d), "ts", "1 hour", "30 minutes"),
     "i20_sessions": lambda s, d: sessions(_events(s, d), "user_id", "ts", 1800),
