@@ -9,6 +9,7 @@ from .matroska import op6_matroska
 from .mixing import OP9_SQL, op9_mix
 from .periodic import op11_periodic_runs
 from .pieces import op13_sentencepiece
+from .prefixes import OP12_SQL, op12_prefix_trie
 from .pii import op7_pii
 from .quality import op8_quality
 from .repeats import op1_substring_dedup
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_mix": op9_mix,
     "op10_html_extract": op10_html_extract,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
 SQL: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op9_mix": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
