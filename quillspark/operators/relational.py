@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.plans.closures import descendants, layers
 from quillspark.plans.scan import dense_rank, lag, lead, rank, row_number, scan, whole
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -71,21 +73,6 @@ def mean_of_three(df: DataFrame, key: str, order: str, value: str, out: str = "m
     return rows.withColumn(out, F.try_divide(F.aggregate(three, F.lit(0.0), lambda a, x: a + x), F.size(three))).drop("_before", "_after")
 
 
-def descendants(roots: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, depth): roots (node) and all that edges (parent, child) lead to, level by level.
-
-    One join a level, of any number of rows; recursive queries stop at a million. Levels beyond `most` are a ValueError, as
-    edges with a cycle would have."""
-    level = roots.select("node", F.lit(0).alias("depth"))
-    found = level
-    for depth in range(1, most + 1):
-        level = level.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return found
-        found = found.union(level)
-    raise ValueError(f"more than {most} levels: the edges hold a cycle")
-
-
 def _tree(s, d) -> DataFrame:
     name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
     nations = _read(s, d, "nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"))
@@ -93,6 +80,18 @@ def _tree(s, d) -> DataFrame:
     return descendants(_read(s, d, "region").select(name("r", "r_regionkey").alias("node")), nations.union(customers))
 
 
+def _flow(s, d) -> DataFrame:
+    """Layers of the rows that others refer to: a line after its order and its supplier, these after nations, and so on."""
+    name = lambda mark, *keys: F.concat_ws("-", F.lit(mark), *[F.col(k).cast("string") for k in keys])
+    refs = [
+        ("nation", name("r", "n_regionkey"), name("n", "n_nationkey")), ("customer", name("n", "c_nationkey"), name("c", "c_custkey")),
+        ("supplier", name("n", "s_nationkey"), name("s", "s_suppkey")), ("orders", name("c", "o_custkey"), name("o", "o_orderkey")),
+        ("lineitem", name("o", "l_orderkey"), name("l", "l_orderkey", "l_linenumber")), ("lineitem", name("s", "l_suppkey"), name("l", "l_orderkey", "l_linenumber")),
+    ]
+    edges = functools.reduce(DataFrame.union, [_read(s, d, t).select(a.alias("parent"), b.alias("child")) for t, a, b in refs])
+    return layers(_read(s, d, "region").select(name("r", "r_regionkey").alias("node")).union(edges.select("child")), edges)
+
+
 QUERIES = {
     "i01_equi_join": lambda s, d: _read(s, d, "orders").join(_lines(s, d), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(_revenue()),
     "i02_small_side": lambda s, d: _lines(s, d).join(_read(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(_revenue()),
@@ -125,12 +124,19 @@ QUERIES = {
     "u16_set_difference": lambda s, d: _read(s, d, "documents").select("doc_id").subtract(_read(s, d, "labels").where("quality = 1").select("doc_id")),
     "u16_set_intersection": lambda s, d: _read(s, d, "labels").where("toxic = 1").select("doc_id").intersect(_read(s, d, "documents").where("lang = 'en'").select("doc_id")),
     "w17_frames": lambda s, d: mean_of_three(_read(s, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_orderkey", F.round("mean", 4).alias("mean")),
+    "p01_layers": lambda s, d: _flow(s, d).groupBy("layer", F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")),
     "p06_descendants": lambda s, d: _tree(s, d).where("depth = 2 AND node LIKE 'c1%'").select("node"),
 }
 
 _REV = "round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue"
 _TREE = """(SELECT 'r' || r_regionkey::VARCHAR AS node, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey::VARCHAR, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'c' || c_custkey::VARCHAR, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_FLOW = """(WITH RECURSIVE e AS (
+    SELECT 'r-' || n_regionkey AS parent, 'n-' || n_nationkey AS child FROM nation UNION ALL SELECT 'n-' || c_nationkey, 'c-' || c_custkey FROM customer
+    UNION ALL SELECT 'n-' || s_nationkey, 's-' || s_suppkey FROM supplier UNION ALL SELECT 'c-' || o_custkey, 'o-' || o_orderkey FROM orders
+    UNION ALL SELECT 'o-' || l_orderkey, 'l-' || l_orderkey || '-' || l_linenumber FROM lineitem UNION ALL SELECT 's-' || l_suppkey, 'l-' || l_orderkey || '-' || l_linenumber FROM lineitem),
+  w AS (SELECT 'r-' || r_regionkey AS node, 0 AS layer FROM region UNION SELECT child, layer + 1 FROM w JOIN e ON parent = node)
+  SELECT node, max(layer) AS layer FROM w GROUP BY node)"""
 SQL = {
     "i01_equi_join": f"SELECT o_orderpriority, {_REV} FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "i02_small_side": f"SELECT n_name, {_REV} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
@@ -163,5 +169,6 @@ SQL = {
     "u16_set_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1",
     "u16_set_intersection": "SELECT doc_id FROM labels WHERE toxic = 1 INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'",
     "w17_frames": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS mean FROM orders",
+    "p01_layers": f"SELECT layer, left(node, 1) AS kind, count(*) AS n, min(node) AS first, max(node) AS last FROM {_FLOW} GROUP BY ALL",
     "p06_descendants": f"SELECT node FROM {_TREE} WHERE depth = 2 AND node LIKE 'c1%'",
 }
