@@ -6,11 +6,10 @@ whose size the code counts first, or bounds itself, are broadcast by hand.
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.metric import nearest
 from quillspark.operators.stores import newest_per_key
 from quillspark.plans import prefix
 from quillspark.plans.scan import last_known, next_known, scan
@@ -96,30 +95,6 @@ def within_days(df: DataFrame, key: str, row_id: str, at: str, days: int) -> Dat
     return a.join(b, [key, "_bin"]).where((F.col("_to") > F.col("_from")) & (F.col("_to") <= F.col("_from") + days)).select(key, "a", "b")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def nearest(base: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 1024) -> DataFrame:
-    """(query, id, distance, rank): the n nearest rows of each query.
-
-    Queries are counted and go against the base in blocks of about `most`, dealt by a hash of their ids, each of them
-    broadcast. A task keeps its n best of each query before the shuffle.
-    """
-    blocks = max(1, -(-queries.count() // most))
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
-    w = Window.partitionBy("query").orderBy("_d", "id")
-
-    def block(i: int) -> DataFrame:
-        part = F.broadcast(q.where(F.col("_block") == i).drop("_block"))
-        pairs = base.join(part, F.lit(True)).select("query", F.col(id_col).alias("id"), squared_distance(F.col(vec_col), F.col("_q")).alias("_d"))
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-    ranked = functools.reduce(DataFrame.union, map(block, range(blocks)))
-    return ranked.select("query", "id", F.sqrt("_d").alias("distance"), F.col("rank").cast("long").alias("rank"))
-
-
 def zip_rows(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
     """Rows of the same place in both orders, side by side; what one side has more of is dropped."""
     a, b = prefix.row_number(left, left_order, "_place"), prefix.row_number(right, right_order, "_place")
