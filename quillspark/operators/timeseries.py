@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.plans import prefix
 from quillspark.plans.scan import lag, rank, row_number, running, scan, whole
+from quillspark.streaming.utterances import Machine, utterances
 
 
 def seconds(at: Column) -> Column:
@@ -135,6 +136,9 @@ def _events(s, d):
     return _read(s, d, "events")
 
 
+#: Two frames of prefix, one of suffix, two days of silence.
+SPEECH = Machine(2, 1, 2 * 86400)
+
 QUERIES = {
     "g17_latency": lambda s, d: latency_metrics(_events(s, d), "user_id", "ts", "event_id"),
     "r13_first_response": lambda s, d: _events(s, d).groupBy("event_type").agg(F.min("ts").alias("first_at"), F.round(seconds(F.max("ts")) - seconds(F.min("ts")), 3).alias("total_s")),
@@ -149,6 +153,7 @@ QUERIES = {
     "w11_top_k": lambda s, d: top_with_ties(_events(s, d), "user_id", "value", 5).select("event_id"),
     "w14_date_buckets": lambda s, d: _events(s, d).groupBy(date_bucket(F.to_date("ts"), "2024-01-20").alias("bucket")).agg(F.count("*").alias("n")),
     "r12_delta": lambda s, d: text_deltas(_events(s, d), "user_id", "event_id", "props", 3).select("event_id", "delta"),
+    "r11_utterances": lambda s, d: utterances(_events(s, d), "user_id", "ts", "event_id", F.col("event_id"), F.col("event_type") == "purchase", SPEECH).withColumnRenamed("key", "user_id"),
     "r16_tumbling": lambda s, d: tumbling(_events(s, d), "ts", "10 minutes"),
     "r16_sliding": lambda s, d: tumbling(_events(s, d), "ts", "1 hour", "30 minutes"),
     "i20_sessions": lambda s, d: sessions(_events(s, d), "user_id", "ts", 1800),
@@ -181,6 +186,17 @@ SQL = {
     "w11_top_k": "SELECT event_id FROM (SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS r FROM events) WHERE r <= 5",
     "w14_date_buckets": "SELECT CASE WHEN a <= 0 THEN 'today' WHEN a = 1 THEN 'yesterday' WHEN a <= 7 THEN 'week' ELSE 'older' END AS bucket, count(*) AS n FROM (SELECT date_diff('day', ts::DATE, DATE '2024-01-20') AS a FROM events) GROUP BY 1",
     "r12_delta": "SELECT event_id, substr(props, least(length(coalesce(lag(props) OVER (PARTITION BY user_id ORDER BY event_id), '')), 3) + 1) AS delta FROM events",
+    "r11_utterances": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'purchase' AS stop FROM events),
+      g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS part FROM (
+        SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > 172800000000 THEN 1 ELSE 0 END AS o FROM e)),
+      f AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id, part) AS size FROM g WINDOW w AS (PARTITION BY user_id, part ORDER BY us, event_id)),
+      -- the first stop from each frame on, and the turn that would begin there
+      h AS (SELECT *, min(CASE WHEN stop THEN n END) OVER (PARTITION BY user_id, part ORDER BY n ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS halt FROM f),
+      t AS (SELECT user_id, part, n AS a, halt, least(coalesce(halt + 1, size), size) AS b, coalesce(halt + 1 <= size, false) AS complete, size FROM h WHERE n = 1
+        UNION ALL SELECT h.user_id, h.part, h.n, h.halt, least(coalesce(h.halt + 1, h.size), h.size), coalesce(h.halt + 1 <= h.size, false), h.size FROM t JOIN h ON h.user_id = t.user_id AND h.part = t.part AND h.n = t.b + 1 WHERE t.complete)
+      SELECT t.user_id, min(f.us) AS began, max(f.us) AS ended, count(*)::INT AS frames,
+        coalesce(string_agg(f.event_id::VARCHAR, ' ' ORDER BY f.n) FILTER (WHERE f.n >= t.a + 2 AND f.n <= coalesce(t.halt, t.size)), '') AS text, CASE WHEN complete THEN 'complete' ELSE 'timeout' END AS outcome
+      FROM t JOIN f ON f.user_id = t.user_id AND f.part = t.part AND f.n BETWEEN t.a AND t.b GROUP BY t.user_id, t.part, t.a, t.complete""",
     "r16_tumbling": "SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "r16_sliding": "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTES, ts) - x * INTERVAL 30 MINUTES AS start FROM events, (VALUES (0), (1)) v(x)) GROUP BY ALL",
     "i20_sessions": """SELECT user_id, min(ts) AS start, max(ts) AS stop, count(*) AS n FROM (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
