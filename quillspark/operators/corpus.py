@@ -6,6 +6,11 @@ large source. Null texts count as empty; equal ids are broken by the columns nam
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +53,31 @@ def interleave(df: DataFrame, id_col: str, group: str, block: int, out: str = "p
     return joined.withColumn(out, place.cast("long")).drop("_nth", "_turn", "_at", "_group", "_start", "_offset")
 
 
+def buffered_shuffle(df: DataFrame, size: int = 10_000, seed: int = 42) -> DataFrame:
+    """df's rows, each partition's in a seeded order, with a buffer of so many rows and no shuffle between tasks.
+
+    A partition's rows stream through: each that comes takes a random place in the full buffer, and what was there goes on;
+    at the end the rest goes on in random order. So a row moves forward by at most size places, however long the
+    partition, and a task holds the buffer and a batch. Reruns agree where partitions hold the same rows in the same order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, held = np.random.default_rng([seed, TaskContext.get().partitionId()]), None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            here = min(size, rows.num_rows)
+            places, out = list(range(here)), []
+            for i, at in enumerate(rng.integers(0, size, rows.num_rows - here).tolist(), start=here):
+                out.append(places[at])
+                places[at] = i
+            if out:
+                yield from rows.take(out).combine_chunks().to_batches()
+            held = rows.take(places).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from held.take(rng.permutation(held.num_rows)).combine_chunks().to_batches()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def chunk_numbers(df: DataFrame, id_col: str, size: int, out: str = "chunk") -> DataFrame:
     """df with out: 0 for the first size rows, 1 for the next, and so on."""
     return prefix.row_number(df, id_col, "_nth").withColumn(out, F.floor((F.col("_nth") - 1) / size)).drop("_nth")
@@ -143,6 +173,7 @@ QUERIES = {
     "w01_byte_budget": lambda s, d: within_budget(_docs(s, d), "doc_id", F.octet_length("text") + 1, 20_000, ("source",)).select("doc_id", "source"),
     "w02_sample_cap": lambda s, d: _docs(s, d).orderBy("source", "doc_id").limit(333).select("doc_id", "source"),
     "w03_interleave": lambda s, d: interleave(_docs(s, d), "doc_id", "source", 7).select("doc_id", "position"),
+    "w15_buffered_shuffle": lambda s, d: buffered_shuffle(_docs(s, d).select("doc_id", F.length("text").alias("chars"))),
     "w16_shuffle_take": lambda s, d: shuffled(_docs(s, d), "doc_id", "42-", 50).select("doc_id"),
     "w18_pack": lambda s, d: pack(_docs(s, d), "doc_id", T.tokens(F.col("text")), 33, "source").select("source", "chunk", F.array_join(F.slice("tokens", 1, 32), " ").alias("inputs"), F.array_join(F.slice("tokens", 2, 32), " ").alias("targets")),
     "u07_positional_split": lambda s, d: positional_split(_docs(s, d), "doc_id", 0.95).select("doc_id", "split"),
@@ -182,6 +213,7 @@ SQL = {
     "w02_sample_cap": "SELECT doc_id, source FROM documents ORDER BY source NULLS FIRST, doc_id LIMIT 333",
     "w03_interleave": """SELECT doc_id, row_number() OVER (ORDER BY (rn - 1) // 7, source NULLS FIRST, rn) - 1 AS position
       FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)""",
+    "w15_buffered_shuffle": "SELECT doc_id, length(text)::INT AS chars FROM documents",
     "w16_shuffle_take": "SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id::VARCHAR), doc_id LIMIT 50",
     "w18_pack": f"""SELECT source, chunk, array_to_string(t[1:32], ' ') AS inputs, array_to_string(t[2:33], ' ') AS targets FROM (
       SELECT source, chunk, list(w ORDER BY g) AS t FROM (

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import bayes
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -184,6 +185,7 @@ _SPAN_KEYS = ["user_id", "label", "start", "end"]
 QUERIES = {
     "t01_tf_idf": lambda s, d: tf_idf(_read(s, d, "documents"), "doc_id", _words()).withColumn("weight", F.round("weight", 5)),
     "t02_word_counts": lambda s, d: word_counts(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id"), _words(), "quality"),
+    "t03_naive_bayes": lambda s, d: bayes.Counts(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id"), "doc_id", _words(), "quality", F.col("doc_id") % 10).search().withColumn("accuracy", F.round("accuracy", 6)),
     "t04_pair_counts": lambda s, d: pair_counts(_read(s, d, "documents"), _words()),
     "t08_ngrams": lambda s, d: _read(s, d, "benchmark").select("item_id", F.explode(ngrams(_words(), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")),
     "g12_binary_metrics": lambda s, d: binary_metrics(_read(s, d, "labels"), "quality", "toxic").select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
@@ -214,6 +216,17 @@ SQL = {
       x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS v FROM tf JOIN k USING (term))
       SELECT doc_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) AS weight FROM x""",
     "t02_word_counts": f"SELECT quality, word, count(*) AS n FROM (SELECT quality, unnest({_W}) AS word FROM documents JOIN labels USING (doc_id)) GROUP BY ALL",
+    "t03_naive_bayes": f"""WITH x AS (SELECT doc_id, doc_id % 10 AS fold, quality AS c, unnest({_W}) AS term FROM documents JOIN labels USING (doc_id)),
+      tf AS (SELECT doc_id, fold, c, term, count(*) AS tf FROM x GROUP BY ALL), k AS (SELECT DISTINCT c FROM tf), f AS (SELECT DISTINCT fold FROM tf),
+      own AS (SELECT fold, c, term, sum(tf) AS n FROM tf GROUP BY ALL), al AS (SELECT c, term, sum(n) AS n FROM own GROUP BY ALL),
+      mass AS (SELECT f.fold, k.c, (SELECT count(DISTINCT term) FROM tf) AS v, coalesce((SELECT sum(tf) FROM tf WHERE tf.c = k.c AND tf.fold <> f.fold), 0) AS w,
+        (SELECT count(DISTINCT doc_id) FROM tf WHERE tf.c = k.c AND tf.fold <> f.fold) AS docs, (SELECT count(DISTINCT doc_id) FROM tf WHERE tf.fold <> f.fold) AS every FROM f, k),
+      a AS (SELECT unnest([0.001, 0.01, 0.1, 1.0, 1.3, 1.4, 1.7, 2.0, 2.4, 2.5, 10.0]::DOUBLE[]) AS alpha),
+      s AS (SELECT tf.doc_id, tf.fold, tf.c AS truth, mass.c, alpha, sum(tf.tf * ln(coalesce(al.n, 0) - coalesce(own.n, 0) + alpha)) - sum(tf.tf) * ln(any_value(w) + alpha * any_value(v)) AS score, any_value(docs) AS docs, any_value(every) AS every
+        FROM tf JOIN mass USING (fold) CROSS JOIN a LEFT JOIN al ON al.c = mass.c AND al.term = tf.term LEFT JOIN own ON own.fold = tf.fold AND own.c = mass.c AND own.term = tf.term GROUP BY tf.doc_id, tf.fold, tf.c, mass.c, alpha),
+      p AS (SELECT doc_id, fold, truth, alpha, equal_priors, arg_min(c, (-(score + CASE WHEN equal_priors THEN ln(0.5::DOUBLE) ELSE ln(docs / every::DOUBLE) END), c)) AS c
+        FROM s, (VALUES (TRUE), (FALSE)) e(equal_priors) GROUP BY doc_id, fold, truth, alpha, equal_priors)
+      SELECT alpha, equal_priors, round(avg(r), 6) AS accuracy FROM (SELECT alpha, equal_priors, fold, avg((c = truth)::INT) AS r FROM p GROUP BY ALL) GROUP BY ALL""",
     "t04_pair_counts": f"""SELECT w[i] AS "left", w[i + 1] AS "right", count(*) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM (SELECT unnest({_W}) AS w FROM documents)) GROUP BY ALL""",
     "t08_ngrams": f"SELECT gram, count(*) AS n FROM (SELECT unnest({_GRAMS(3)}) AS gram FROM (SELECT {_W} AS w FROM benchmark)) GROUP BY gram",
     "g12_binary_metrics": """SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(1e-9, p + r), 6) AS f1 FROM (SELECT *, tp / greatest(1, tp + fp) AS p, tp / greatest(1, tp + fn) AS r FROM (

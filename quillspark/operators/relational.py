@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.query import Query
 from quillspark.plans.closures import descendants, layers
 from quillspark.plans.scan import dense_rank, lag, lead, rank, row_number, scan, whole
 
@@ -92,6 +93,19 @@ def _flow(s, d) -> DataFrame:
     return layers(_read(s, d, "region").select(name("r", "r_regionkey").alias("node")).union(edges.select("child")), edges)
 
 
+#: Suppliers with money by nation, as a tree.
+JSON_QUERY = """{"select": {"expressions": [
+    {"column": {"this": {"identifier": "n_name"}}},
+    {"alias": {"this": {"count": {"this": {"star": {}}}}, "alias": {"identifier": "n"}}},
+    {"alias": {"this": {"max": {"this": {"mul": {"this": {"column": {"this": {"identifier": "s_acctbal"}}}, "expression": {"literal": {"this": "2", "is_string": false}}}}}, "alias": {"identifier": "most"}}}]},
+  "from": {"expressions": [
+    {"table": {"this": {"identifier": "supplier"}, "alias": {"identifier": "s"}}},
+    {"table": {"this": {"identifier": "nation"}, "on": {"eq": {"this": {"column": {"this": {"identifier": "s_nationkey"}}}, "expression": {"column": {"this": {"identifier": "n_nationkey"}, "table": {"identifier": "nation"}}}}}}}]},
+  "where": {"and": {
+    "this": {"gt": {"this": {"column": {"this": {"identifier": "s_acctbal"}}}, "expression": {"literal": {"this": "100", "is_string": false}}}},
+    "expression": {"not": {"this": {"in": {"this": {"column": {"this": {"identifier": "n_name"}}}, "expressions": [{"literal": {"this": "FRANCE"}}, {"literal": {"this": "NATION_3"}}]}}}}}},
+  "group": {"expressions": [{"column": {"this": {"identifier": "n_name"}}}]}}"""
+
 QUERIES = {
     "i01_equi_join": lambda s, d: _read(s, d, "orders").join(_lines(s, d), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(_revenue()),
     "i02_small_side": lambda s, d: _lines(s, d).join(_read(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(_revenue()),
@@ -124,6 +138,7 @@ QUERIES = {
     "u16_set_difference": lambda s, d: _read(s, d, "documents").select("doc_id").subtract(_read(s, d, "labels").where("quality = 1").select("doc_id")),
     "u16_set_intersection": lambda s, d: _read(s, d, "labels").where("toxic = 1").select("doc_id").intersect(_read(s, d, "documents").where("lang = 'en'").select("doc_id")),
     "w17_frames": lambda s, d: mean_of_three(_read(s, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_orderkey", F.round("mean", 4).alias("mean")),
+    "y10_json_query": lambda s, d: Query({t: _read(s, d, t) for t in ("supplier", "nation")}, JSON_QUERY).frame().withColumn("most", F.round("most", 2)),
     "p01_layers": lambda s, d: _flow(s, d).groupBy("layer", F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")),
     "p06_descendants": lambda s, d: _tree(s, d).where("depth = 2 AND node LIKE 'c1%'").select("node"),
 }
@@ -169,6 +184,7 @@ SQL = {
     "u16_set_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1",
     "u16_set_intersection": "SELECT doc_id FROM labels WHERE toxic = 1 INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'",
     "w17_frames": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS mean FROM orders",
+    "y10_json_query": "SELECT n_name, count(*) AS n, round(max(s_acctbal * 2), 2) AS most FROM supplier s JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 100 AND n_name NOT IN ('FRANCE', 'NATION_3') GROUP BY n_name",
     "p01_layers": f"SELECT layer, left(node, 1) AS kind, count(*) AS n, min(node) AS first, max(node) AS last FROM {_FLOW} GROUP BY ALL",
     "p06_descendants": f"SELECT node FROM {_TREE} WHERE depth = 2 AND node LIKE 'c1%'",
 }

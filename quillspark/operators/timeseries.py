@@ -136,6 +136,11 @@ def _events(s, d):
     return _read(s, d, "events")
 
 
+def _steps(s, d) -> DataFrame:
+    """Events as optimizer steps, numbered from 0 in the order of their ids."""
+    return prefix.row_number(_events(s, d), "event_id", "_nth").withColumn("step", F.col("_nth") - 1)
+
+
 #: Two frames of prefix, one of suffix, two days of silence.
 SPEECH = Machine(2, 1, 2 * 86400)
 
@@ -157,8 +162,8 @@ QUERIES = {
     "r16_tumbling": lambda s, d: tumbling(_events(s, d), "ts", "10 minutes"),
     "r16_sliding": lambda s, d: tumbling(_events(s, d), "ts", "1 hour", "30 minutes"),
     "i20_sessions": lambda s, d: sessions(_events(s, d), "user_id", "ts", 1800),
-    "d09_schedule": lambda s, d: s.range(200).select("id", F.round(warm_cosine(F.col("id"), 20, 150, 0.001), 8).alias("rate")),
-    "d10_batch_sizes": lambda s, d: s.range(200).select("id", batch_size(F.col("id"), "doubling", 8, 512, 25, 200).alias("doubling"), batch_size(F.col("id"), "linear", 8, 512, 25, 100).alias("linear"), batch_size(F.col("id"), "step", 8, 512, 25, 100, [(50, 3), (100, 2.5)]).alias("step")),
+    "d09_schedule": lambda s, d: _steps(s, d).select("event_id", F.round(warm_cosine(F.col("step"), 200, 700, 0.001), 8).alias("rate")),
+    "d10_batch_sizes": lambda s, d: _steps(s, d).select("event_id", batch_size(F.col("step"), "fixed", 8, 512, 25, 200).alias("fixed"), batch_size(F.col("step"), "doubling", 8, 512, 25, 200).alias("doubling"), batch_size(F.col("step"), "linear", 8, 512, 25, 100).alias("linear"), batch_size(F.col("step"), "step", 8, 512, 25, 100, [(50, 3), (100, 2.5)]).alias("step")),
     "d11_steps": lambda s, d: _read(s, d, "documents").groupBy("source").agg((F.floor(F.count("*") / 16) * 3).alias("steps")),
     "d19_token_range": lambda s, d: _read(s, d, "part").select("p_partkey", (F.col("p_size") * 1.5).alias("mean"), F.round(F.col("p_size") / (F.col("p_size") * 2 + 1), 6).alias("ratio")),
     "d20_age_window": lambda s, d: _events(s, d).where(seconds(F.col("ts")) >= 1704067200 + 5 * 86400).select("event_id"),
@@ -168,6 +173,7 @@ QUERIES = {
 _SEC = lambda c: f"epoch_us({c}) / 1e6"
 _GAPS = f"(SELECT *, {_SEC('ts')} - {_SEC('lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS gap FROM events)"
 _PCT = ", ".join(f"round(quantile_cont(value, {p}), 4) AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99))
+_STEPS = "(SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS id FROM events)"
 SQL = {
     "g17_latency": f"""SELECT user_id, count(*) AS n, round(max({_SEC('ts')}) - min({_SEC('ts')}), 3) AS total_s, round(count(*) / nullif(max({_SEC('ts')}) - min({_SEC('ts')}), 0), 6) AS rate,
       round(avg(gap), 3) AS mean_gap, round(min(gap), 3) AS min_gap, round(max(gap), 3) AS max_gap FROM {_GAPS} GROUP BY user_id""",
@@ -201,9 +207,9 @@ SQL = {
     "r16_sliding": "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTES, ts) - x * INTERVAL 30 MINUTES AS start FROM events, (VALUES (0), (1)) v(x)) GROUP BY ALL",
     "i20_sessions": """SELECT user_id, min(ts) AS start, max(ts) AS stop, count(*) AS n FROM (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
       SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1800 SECONDS THEN 0 ELSE 1 END AS o FROM events)) GROUP BY user_id, s""",
-    "d09_schedule": "SELECT id, round(CASE WHEN id < 20 THEN 0.001::DOUBLE * id / 20.0::DOUBLE ELSE 0.001::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (id - 20) / 130.0::DOUBLE))) END, 8) AS rate FROM range(200) r(id)",
-    "d10_batch_sizes": """SELECT id, least(512, 8 * 2 ** (id // 25))::BIGINT AS doubling, floor(8 + 504 * least(1.0::DOUBLE, id / 100.0::DOUBLE))::BIGINT AS linear,
-      CASE WHEN id >= 100 THEN 60 WHEN id >= 50 THEN 24 ELSE 8 END::BIGINT AS step FROM range(200) r(id)""",
+    "d09_schedule": f"""SELECT event_id, round(CASE WHEN id < 200 THEN 0.001::DOUBLE * id / 200.0::DOUBLE ELSE 0.001::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (id - 200) / 500.0::DOUBLE))) END, 8) AS rate FROM {_STEPS}""",
+    "d10_batch_sizes": f"""SELECT event_id, 8::BIGINT AS fixed, least(512, 8 * 2 ** least(40, id // 25))::BIGINT AS doubling, floor(8 + 504 * least(1.0::DOUBLE, id / 100.0::DOUBLE))::BIGINT AS linear,
+      CASE WHEN id >= 100 THEN 60 WHEN id >= 50 THEN 24 ELSE 8 END::BIGINT AS step FROM {_STEPS}""",
     "d11_steps": "SELECT source, count(*) // 16 * 3 AS steps FROM documents GROUP BY source",
     "d19_token_range": "SELECT p_partkey, (p_size * 1.5)::DOUBLE AS mean, round(p_size / (p_size * 2 + 1)::DOUBLE, 6) AS ratio FROM part",
     "d20_age_window": "SELECT event_id FROM events WHERE epoch_us(ts) / 1e6 >= 1704067200 + 5 * 86400",

@@ -29,11 +29,12 @@ PIECES, LEAST, ROW = 4096, 100_000, 64
 class Scan:
     """summary: a piece as one value, given its rows' order. carry: from summaries what a piece inherits, given the key's
     window over pieces. finish: the result from what is inherited (null for the first piece, and for a key that isn't hot)
-    and the window over the piece's rows in order."""
+    and the window over the piece's rows in order. backward: that window goes from the last row to the first."""
 
     summary: Callable[[Column], Column]
     carry: Callable[[Column, WindowSpec], Column]
     finish: Callable[[Column, WindowSpec], Column]
+    backward: bool = False
 
 
 def _before(w: WindowSpec) -> WindowSpec:
@@ -88,12 +89,14 @@ def last_known(value: Column) -> Scan:
 
 
 def next_known(value: Column) -> Scan:
-    """The first value from this row on that isn't null."""
-    frame = lambda w: w.rowsBetween(0, Window.unboundedFollowing)
+    """The first value from this row on that isn't null. Rows are walked from the last, as a frame that shrinks from its front
+    would be read anew for each row."""
+    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     return Scan(
         lambda o: F.min_by(value, F.when(value.isNotNull(), o)),
         lambda s, w: F.first(s, ignorenulls=True).over(_after(w)),
-        lambda c, w: F.coalesce(F.first(value, ignorenulls=True).over(frame(w)), c),
+        lambda c, w: F.coalesce(F.last(value, ignorenulls=True).over(frame(w)), c),
+        backward=True,
     )
 
 
@@ -125,6 +128,7 @@ class Order:
     def __init__(self, df: DataFrame, names: list[str]) -> None:
         self.names, down = [n.removeprefix("-") for n in names], [n.startswith("-") for n in names]
         self.columns = [F.desc(n) if d else F.asc(n) for n, d in zip(self.names, down, strict=True)]
+        self.reverse = [F.asc(n) if d else F.desc(n) for n, d in zip(self.names, down, strict=True)]
         if any(df.schema[n].dataType.typeName() in ("string", "binary", "boolean") for n, d in zip(self.names, down, strict=True) if d):
             raise ValueError("only numbers and times can be in descending order")
         place, first = _position(df, self.names[0]), F.lit(float("-inf"))
@@ -158,8 +162,8 @@ def scan(df: DataFrame, keys: str | list[str], order: str | list[str], outs: dic
     keys, order = [keys] if isinstance(keys, str) else keys, Order(df, [order] if isinstance(order, str) else order)
     cuts = _cuts(df, keys, order, least, pieces)
     if not cuts:
-        w = Window.partitionBy(*keys).orderBy(*order.columns)
-        return df.withColumns({name: s.finish(_nothing(s, df, order), w) for name, s in outs.items()})
+        w = [Window.partitionBy(*keys).orderBy(*c) for c in (order.columns, order.reverse)]
+        return df.withColumns({name: s.finish(_nothing(s, df, order), w[s.backward]) for name, s in outs.items()})
     names = [f"_k{i}" for i in range(len(keys))]
     schema = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys, strict=True)) + ", _at array<array<double>>"
     on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
@@ -175,8 +179,8 @@ def scan(df: DataFrame, keys: str | list[str], order: str | list[str], outs: dic
     by_piece = Window.partitionBy(*names).orderBy("_p")
     carried = summary.select(*names, "_p", *[s.carry(F.col(f"_s{i}"), by_piece).alias(f"_c{i}") for i, s in enumerate(outs.values())])
     rows = rows.join(F.broadcast(carried), [*on, F.col("_piece") == F.col("_p")], "left")
-    w = Window.partitionBy(*keys, "_piece").orderBy(*order.columns)
-    rows = rows.withColumns({name: s.finish(F.col(f"_c{i}"), w) for i, (name, s) in enumerate(outs.items())})
+    w = [Window.partitionBy(*keys, "_piece").orderBy(*c) for c in (order.columns, order.reverse)]
+    rows = rows.withColumns({name: s.finish(F.col(f"_c{i}"), w[s.backward]) for i, (name, s) in enumerate(outs.items())})
     return rows.select(*[c for c in df.columns if c not in outs], *outs)
 
 

@@ -20,6 +20,39 @@ def subscribe(events: DataFrame, key: str, value) -> DataFrame:
     return events.where(F.col(key) == value)
 
 
+SUBSCRIPTIONS = "subscriber string, key string, active boolean, at timestamp"
+
+
+def subscribers(table: DataFrame) -> DataFrame:
+    """(subscriber, key) that are subscribed by now: the last row of each says. A null key subscribes to all events; of rows of
+    one time an active one counts."""
+    last = table.groupBy("subscriber", "key").agg(F.max(F.struct("at", "active")).alias("last"))
+    return last.where("last.active").select("subscriber", "key")
+
+
+def matched(events: DataFrame, key: str, subscriptions: DataFrame) -> DataFrame:
+    """Events once for each of their subscribers, with the column subscriber. An event meets the subscriptions of its key and
+    those to all events in one equi join; a subscriber of both gets it once."""
+    to = F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col(key).cast("string").alias("key")), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("key"))))
+    rows = events.withColumn("_to", to).where("_to.all OR _to.key IS NOT NULL")
+    subs = subscriptions.select("subscriber", F.struct(F.col("key").isNull().alias("all"), F.col("key").alias("key")).alias("_sub"))
+    keyed = subs.withColumnRenamed("subscriber", "_global").where("_sub.all").select("_global").distinct()
+    subs = subs.join(keyed, F.col("subscriber") == F.col("_global"), "left").where("_sub.all OR _global IS NULL").drop("_global")
+    on = (F.col("_to.all") == F.col("_sub.all")) & F.col("_to.key").eqNullSafe(F.col("_sub.key"))
+    return rows.join(subs, on).select("subscriber", *events.columns)
+
+
+def deliver(events: DataFrame, key: str, subscriptions: str, sink: str, checkpoint: str):
+    """One query for all subscriptions: each batch is joined with the table of subscriptions (SUBSCRIPTIONS, Parquet at that
+    path) as it is then, and written to sink/batch=n/subscriber=…. Who is added gets the batches to come, and who is taken
+    off no more. A batch that is run again replaces what it wrote."""
+    def batch(rows: DataFrame, number: int) -> None:
+        table = rows.sparkSession.read.schema(SUBSCRIPTIONS).parquet(subscriptions)
+        matched(rows, key, subscribers(table)).write.mode("overwrite").partitionBy("subscriber").parquet(f"{sink}/batch={number}")
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
 def replay_then_live(events: DataFrame, key: str, order: str, last: DataFrame) -> DataFrame:
     """Each key's events after the one it saw last (key, order), first those that are there, then those to come. A key without
     one, or whose last event is unknown, gets all of them: the stream begins at the first file, and the checkpoint goes on."""
