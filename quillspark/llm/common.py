@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,24 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def share(order: Column) -> Column:
+    """A number from 0 up to 1 from all bits of a 64-bit hash, so that shares of any table's rows can be told apart."""
+    return (F.pmod(order, F.lit(1 << 20)) + F.shiftrightunsigned(order, 20) / float(1 << 44)) / float(1 << 20)
+
+
+def least_hashes(rows: DataFrame, order_col: str, most: int, total: int) -> Iterator[DataFrame]:
+    """Frames of the rows of the `most` smallest shares of order_col, each for when the one before held fewer than it could.
+
+    total, the rows counted, says from which share on rows can be left out before they are put in order; should that leave
+    too few, the share is widened until all rows are in."""
+    part = min(1.0, 1.2 * most / max(total, 1))
+    while True:
+        yield rows.where(share(F.col(order_col)) < part) if part < 1 else rows
+        if part >= 1:
+            return
+        part = min(1.0, 64 * part)
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of anything but the six ASCII white-space characters."""
     return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))

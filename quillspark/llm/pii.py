@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import least_hashes, read, share
 
 KINDS = ("email", "ip", "card", "phone")
 K = len(KINDS) + 1  # label 0: none
@@ -323,33 +323,34 @@ def _sampled(variants: int):
                 graph, spans, r = Graph(), base_spans(text or ""), random.Random(order)
                 for k, (t, s) in enumerate([(text or "", spans), *(varied(text, spans, r) for _ in range(variants if spans else 0))]):
                     graph.add(k, t, s)
-                if graph.where:
-                    rows.append({"order": order, "labels": graph.labels, "features": graph.features, "edges": [list(map(int, e)) for e in graph.edges]})
+                rows.append({"order": order, "labels": graph.labels, "features": graph.features, "edges": [list(map(int, e)) for e in graph.edges]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, sample_nodes: int = 60_000, variants: int = 4) -> Field:
-    """Learn from about sample_docs documents. The driver gets at most sample_docs of them, and takes them in the order of
-    the hash until sample_nodes nodes are full."""
+    """Learn from the sample_docs documents of the smallest hashes, as far as they have nodes, whatever the table's size. The
+    driver takes them in the order of the hash until sample_nodes nodes are full."""
     total = docs.count()
     order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("sample")).alias("order")
-    chance = F.pmod(F.col("order"), F.lit(1 << 20))
-    sample = docs.select(order, F.col(text_col).cast("string").alias("text")).where(chance < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20)))
-    rows = sample.mapInArrow(_sampled(variants), "order long, labels array<long>, features array<array<long>>, edges array<array<long>>")
-    graph = Graph()
-    for r in rows.orderBy("order", F.size("labels")).limit(sample_docs).toLocalIterator():
-        first = len(graph.where)
-        if first + len(r["labels"]) > sample_nodes:
-            if first:
-                break
-            continue
-        graph.where += [(0, 0, 0)] * len(r["labels"])
-        graph.labels += r["labels"]
-        graph.features += r["features"]
-        for column, values, shift in zip(graph.edges, r["edges"], (first, first, 0), strict=True):
-            column.extend(v + shift for v in values)
+    texts = docs.select(order, F.col(text_col).cast("string").alias("text"))
+    for sample in least_hashes(texts, "order", sample_docs, total):
+        rows = sample.mapInArrow(_sampled(variants), "order long, labels array<long>, features array<array<long>>, edges array<array<long>>")
+        graph, seen, full = Graph(), 0, False
+        for r in rows.orderBy(share(F.col("order")), "order", F.size("labels")).limit(sample_docs).toLocalIterator():
+            first, seen = len(graph.where), seen + 1
+            if first + len(r["labels"]) > sample_nodes:
+                if full := bool(first):
+                    break
+                continue
+            graph.where += [(0, 0, 0)] * len(r["labels"])
+            graph.labels += r["labels"]
+            graph.features += r["features"]
+            for column, values, shift in zip(graph.edges, r["edges"], (first, first, 0), strict=True):
+                column.extend(v + shift for v in values)
+        if full or seen >= min(sample_docs, total):
+            break
     return train(graph)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, read, table
+from .common import drop_table, least_hashes, read, share, table
 from .langid import held_out
 
 BUCKETS = 1 << 16
@@ -194,23 +194,23 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mine_terms(
-    docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 30_000, share: float = 0.6, most: int = 30_000,
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_rows: int = 30_000, toxic_share: float = 0.6, most: int = 30_000,
 ) -> tuple[frozenset[str], ...]:
-    """The dictionaries of the labellers of toxicity, from about label_rows labelled documents: terms of which `share` of the
+    """The dictionaries of the labellers of toxicity, from about label_rows labelled documents: terms of which `toxic_share` of the
     documents are toxic, and so many that chance would give fewer than one term like it (near copies count as one document);
     at most `most` terms in all."""
     labels = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("toxic").cast("long").alias("toxic"))
     size = labels.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     rate = min(max(size["bad"] / max(size["n"], 1), 1e-3), 0.5)
-    keep = int(min(1.0, label_rows / max(size["n"], 1)) * (1 << 20))
+    keep = min(1.0, label_rows / max(size["n"], 1))
     number = F.xxhash64(F.col(id_col).cast("string"), F.lit("mine"))
-    labels = labels.where(F.pmod(number, F.lit(1 << 20)) < keep).withColumn("part", F.pmod(F.shiftright(number, 20), F.lit(len(MINED))).cast("int"))
+    labels = labels.where(share(number) < keep).withColumn("part", F.pmod(F.shiftright(number, 20), F.lit(len(MINED))).cast("int"))
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(labels, id_col)
     terms = rows.select("text", "part", "toxic").mapInArrow(_terms, "kind int, term string, family long, toxic long")
     terms = terms.groupBy("kind", "term", "family").agg(F.max("toxic").alias("toxic"))
     terms = table(terms.groupBy("kind", "term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")), "terms")
     alike = terms.groupBy("kind", "n").agg(F.count("*").alias("alike"))
-    found = terms.where((F.col("bad") >= 3) & (F.col("bad") >= share * F.col("n"))).join(alike, ["kind", "n"])
+    found = terms.where((F.col("bad") >= 3) & (F.col("bad") >= toxic_share * F.col("n"))).join(alike, ["kind", "n"])
     q = F.least(F.col("bad") / F.col("n"), F.lit(1 - 1e-9))
     chance = F.exp(-F.col("n") * (q * F.log(q / rate) + (1 - q) * F.log((1 - q) / (1 - rate))))  # Chernoff's bound
     found = found.where(F.col("alike") * chance < 1).orderBy(F.desc("bad"), "kind", "term").limit(most)
@@ -303,7 +303,7 @@ class Scorer:
 def fit(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 4000, mined: tuple[frozenset[str], ...] = (frozenset(),) * 3,
 ) -> Scorer:
-    """Votes of all documents fit the label models; about sample_docs of them, and no more, train the scorers."""
+    """Votes of all documents fit the label models; the sample_docs documents of the smallest hashes train the scorers."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("sample")).alias("order"))
     counted = texts.select("text").mapInArrow(_vote(mined), "quality string, toxic string").groupBy("quality", "toxic").count()
     counts: tuple[dict, dict] = ({}, {})
@@ -313,14 +313,15 @@ def fit(
         for c, k in zip(counts, ("quality", "toxic"), strict=True):
             c[r[k]] = c.get(r[k], 0) + r["count"]
     labels = LabelModel(counts[0], 0.8), LabelModel(counts[1], 0.1)
-    chance = F.pmod(F.col("order"), F.lit(1 << 20))
-    sample = texts.where(chance < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20)))
-    sample = sample.mapInArrow(_labelled(mined), "order long, quality string, toxic string, features array<long>, values array<double>")
-    rows, wanted = [], ([], [])
-    for r in sample.orderBy("order", F.size("features")).limit(sample_docs).toLocalIterator():
-        rows.append((np.array(r["features"], dtype=np.int64), np.array(r["values"])))
-        for y, model, k in zip(wanted, labels, ("quality", "toxic"), strict=True):
-            y.append(model(r[k]))
+    for sample in least_hashes(texts, "order", sample_docs, total):
+        sample = sample.mapInArrow(_labelled(mined), "order long, quality string, toxic string, features array<long>, values array<double>")
+        rows, wanted = [], ([], [])
+        for r in sample.orderBy(share(F.col("order")), "order", F.size("features")).limit(sample_docs).toLocalIterator():
+            rows.append((np.array(r["features"], dtype=np.int64), np.array(r["values"])))
+            for y, model, k in zip(wanted, labels, ("quality", "toxic"), strict=True):
+                y.append(model(r[k]))
+        if len(rows) >= min(sample_docs, total):
+            break
     return Scorer(train_scorer(rows, np.array(wanted[0])), train_scorer(rows, np.array(wanted[1])), labels, mined)
 
 

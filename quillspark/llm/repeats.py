@@ -289,7 +289,8 @@ def _repeats(runs: DataFrame, window: int) -> DataFrame:
     places = F.transform("offsets", lambda o: F.transform("starts", lambda a: F.struct((a + o).alias("start"), (a + o + window).alias("end"))))
     spans = F.when(F.col("id") > F.col("owner"), whole).when(F.col("offsets").isNotNull(), F.flatten(places))
     found = runs.drop("words").join(judged, run).select("id", "key", spans.alias("spans")).where("spans is not null")
-    found = table(found.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("repeats")), "repeats")
+    # a set, as all rows of one id and text bring the same spans
+    found = table(found.groupBy("id", "key").agg(F.flatten(F.collect_set("spans")).alias("repeats")), "repeats")
     drop_table(judged)
     return found
 
