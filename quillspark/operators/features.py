@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import bayes
+from quillspark.operators import bayes, bpe
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -54,30 +54,6 @@ def pair_counts(df: DataFrame, words: Column) -> DataFrame:
     return counted.where(F.length("word") > 1).select(F.inline(pairs), "n").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def merge_pairs(df: DataFrame, words: Column, merges: int, least: int = 2) -> list[tuple[str, str]]:
-    """The first merges of byte-pair encoding on characters. Word counts stay in Spark; each round brings one pair to the driver."""
-    counted = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    state = counted.select(F.filter(F.split("word", ""), lambda c: c != "").alias("p"), "n").persist()
-    out: list[tuple[str, str]] = []
-    try:
-        for _ in range(merges):
-            p = F.col("p")
-            pairs = F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("l"), F.get(p, i + 1).alias("r")))
-            best = state.select(F.inline(pairs), "n").groupBy("l", "r").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "r").first()
-            if not best or best["n"] < least:
-                break
-            left, right = best["l"], best["r"]
-            out.append((left, right))
-            fold = lambda a, x: F.when(
-                (F.size(a) > 0) & (F.element_at(a, -1) == left) & (x == right), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.lit(left + right)))
-            ).otherwise(F.concat(a, F.array(x)))
-            safe = lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(fold(a, x))
-            state = state.withColumn("p", F.aggregate("p", F.expr("cast(array() as array<string>)"), safe))
-    finally:
-        state.unpersist()
-    return out
-
-
 def vocabulary(df: DataFrame, text: Column) -> DataFrame:
     """(id, character) of the distinct characters, numbered in order; as many rows as characters, however long the texts."""
     chars = df.select(F.explode(F.array_distinct(F.split(text, ""))).alias("char")).where("char <> ''").distinct()
@@ -186,6 +162,8 @@ QUERIES = {
     "t01_tf_idf": lambda s, d: tf_idf(_read(s, d, "documents"), "doc_id", _words()).withColumn("weight", F.round("weight", 5)),
     "t02_word_counts": lambda s, d: word_counts(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id"), _words(), "quality"),
     "t03_naive_bayes": lambda s, d: bayes.Counts(_read(s, d, "documents").join(_read(s, d, "labels"), "doc_id"), "doc_id", _words(), "quality", F.col("doc_id") % 10).search().withColumn("accuracy", F.round("accuracy", 6)),
+    "t04_byte_merges": lambda s, d: bpe.merge_table(_read(s, d, "documents"), "text", 12),
+    "t05_lossless": lambda s, d: bpe.lossless(_read(s, d, "documents"), bpe.train(bpe.word_counts(_read(s, d, "benchmark")), merges=12), "doc_id").select("doc_id", "n_chars", "same"),
     "t04_pair_counts": lambda s, d: pair_counts(_read(s, d, "documents"), _words()),
     "t08_ngrams": lambda s, d: _read(s, d, "benchmark").select("item_id", F.explode(ngrams(_words(), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")),
     "g12_binary_metrics": lambda s, d: binary_metrics(_read(s, d, "labels"), "quality", "toxic").select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]),
@@ -227,6 +205,7 @@ SQL = {
       p AS (SELECT doc_id, fold, truth, alpha, equal_priors, arg_min(c, (-(score + CASE WHEN equal_priors THEN ln(0.5::DOUBLE) ELSE ln(docs / every::DOUBLE) END), c)) AS c
         FROM s, (VALUES (TRUE), (FALSE)) e(equal_priors) GROUP BY doc_id, fold, truth, alpha, equal_priors)
       SELECT alpha, equal_priors, round(avg(r), 6) AS accuracy FROM (SELECT alpha, equal_priors, fold, avg((c = truth)::INT) AS r FROM p GROUP BY ALL) GROUP BY ALL""",
+    "t05_lossless": "SELECT doc_id, coalesce(length(text), 0) AS n_chars, TRUE AS same FROM documents",
     "t04_pair_counts": f"""SELECT w[i] AS "left", w[i + 1] AS "right", count(*) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM (SELECT unnest({_W}) AS w FROM documents)) GROUP BY ALL""",
     "t08_ngrams": f"SELECT gram, count(*) AS n FROM (SELECT unnest({_GRAMS(3)}) AS gram FROM (SELECT {_W} AS w FROM benchmark)) GROUP BY gram",
     "g12_binary_metrics": """SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(1e-9, p + r), 6) AS f1 FROM (SELECT *, tp / greatest(1, tp + fp) AS p, tp / greatest(1, tp + fn) AS r FROM (

@@ -179,6 +179,35 @@ def test_first_response_is_one_sort(spark):
     assert got.where("response_id = request_id + 1").count() == n // 2
 
 
+# --- functions of whole columns
+
+
+def test_vectorised_functions(spark):
+    import pandas as pd
+
+    from quillspark.functions.registry import Registry
+
+    r, calls = Registry(), []
+
+    @r.tool(returns="double")
+    def scaled(a: pd.Series, b: pd.Series) -> pd.Series:
+        """a times b"""
+        assert isinstance(a, pd.Series)
+        return a * b
+
+    @r.tool()
+    def plain(a: int) -> str:
+        return f"<{a}>"
+
+    df = spark.range(5).withColumn("half", F.col("id") / 2)
+    assert [x.v for x in df.select(r.call("scaled", "id", "half").alias("v")).collect()] == [0, 0.5, 2, 4.5, 8]
+    r.register(spark)
+    assert spark.sql("SELECT plain(3) AS p, scaled(2D, 3D) AS s").first() == ("<3>", 6.0)
+    assert [s["arguments"] for s in r.schemas()] == [{"a": "bigint"}, {"a": "column", "b": "column"}] and not calls
+    with pytest.raises(ValueError):
+        r.tool()(scaled)
+
+
 # --- naive Bayes
 
 

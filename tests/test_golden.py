@@ -9,7 +9,7 @@ from quillspark.functions import json as J
 from quillspark.functions import text as T
 from quillspark.functions.porter import stem_word
 from quillspark.functions.registry import Registry, sql_type
-from quillspark.operators import adapters, arrays, corpus, features, intake, joins, pages, records, relational, stores, timeseries
+from quillspark.operators import adapters, arrays, bpe, corpus, features, intake, joins, pages, records, relational, stores, timeseries
 from quillspark.plans import dag, prefix
 from quillspark.sources import readers, writers
 
@@ -148,7 +148,7 @@ def test_metrics_without_positives(spark):
 
 def test_merges(spark):
     df = spark.createDataFrame([("low low low lower lowest newest newest",)], "text string")
-    assert features.merge_pairs(df, T.tokens(F.col("text")), 2)[:2] == [("l", "o"), ("lo", "w")]
+    assert [m[:2] for m in bpe.train(bpe.word_counts(df), merges=2).merges] == [("l", "o"), ("lo", "w")]
 
 
 def test_nearest_with_ties(spark):
