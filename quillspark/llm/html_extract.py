@@ -145,6 +145,10 @@ class Tree(HTMLParser):
             self.pieces.append((self.block, self.open[-1][1], data, self.links > 0))
 
 
+#: elements whose whole inside is another part than the article, wherever they stand
+ASIDE = set("nav footer aside form menu dialog".split())
+
+
 def _bucket(n: int, edges: tuple[int, ...]) -> int:
     return sum(n >= e for e in edges)
 
@@ -160,9 +164,14 @@ def features(tree: Tree) -> list[list[str]]:
     for i in range(n - 1, 0, -1):
         total[tree.parents[i]] += total[i]
         total_links[tree.parents[i]] += total_links[i]
+    plain = max(total[0] - total_links[0], 1)
+    inside = [""] * n  # the innermost of these that a node is or stands in
+    for i in range(1, n):
+        inside[i] = tree.tags[i] if tree.tags[i] in ASIDE else inside[tree.parents[i]]
     return [
         [
             f"{'tag' if tree.names[i] else 'bare'} {tree.tags[i]}",
+            *([f"inside {inside[i]}"] if inside[i] else [f"most {_bucket((total[i] - total_links[i]) * 100, (plain * 15, plain * 40, plain * 65, plain * 90))} {tree.tags[i] in TEXTUAL}"]),
             f"own {_bucket(own[i], (1, 25))} {_bucket(own_links[i] * 100, (own[i] * 30 + 1, own[i] * 80 + 1))}",
             f"all {_bucket(total[i], (1, 100, 400))} {_bucket(total_links[i] * 100, (total[i] * 30 + 1, total[i] * 70 + 1))}",
             *(f"name {x}" for x in dict.fromkeys(tree.names[i])),

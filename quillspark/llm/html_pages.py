@@ -27,7 +27,7 @@ SYLLABLES = ["an", "be", "co", "den", "er", "fa", "ge", "hi", "in", "ka", "lo",
 
 class _Maker:
     def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+        self.r, self.unknown = random.Random(seed), False
 
     def words(self, low: int, high: int, stop: bool = True) -> str:
         words = ["".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4))) for _ in range(self.r.randint(low, high))]
@@ -42,6 +42,8 @@ class _Maker:
 
     def el(self, tag: str, y: int, inner: str, names: list[str] | None = None, more: str = "") -> str:
         attrs = ""
+        if names and self.unknown:  # a page whose names tell nothing
+            names = ["".join(self.r.choices("bcdfghjkqrvwxz", k=self.r.randint(2, 4)))]
         if names and self.r.random() < 0.85:
             attrs = f' {self.r.choice(["class", "class", "id"])}="{" ".join(self.r.sample(names, min(len(names), self.r.choice([1, 1, 2]))))}"'
         close = "" if tag in ("p", "li") and self.r.random() < 0.15 else f"</{tag}>"
@@ -101,8 +103,14 @@ class _Maker:
             blocks.append(self.el("p", 1, self.words(1, 4)) if terse else self.block())
             if r.random() < 0.08:
                 blocks.append(self.part(r.choice(["ad", "share", "notice", "aside", "form"]), ["div", "aside"]))
+            if r.random() < 0.05:  # parts that only their element tells
+                blocks.append(self.el("aside", 0, r.choice([f"{self.words(1, 3, False)}: {self.link()}", self.el("p", 0, self.words(4, 30)), self.words(2, 20)])))
+            if r.random() < 0.03:
+                blocks.append(self.el("form", 0, self.el("p", 0, self.words(2, 14)) + r.choice(["", '<input name="q">'])))
         if r.random() < 0.2:
             blocks.append(self.part("comments", ["section", "div"]))
+        if r.random() < 0.15:
+            blocks.append(self.el("footer", 0, r.choice([f"{self.words(1, 1, False)}: {self.words(1, 4, False)}", self.link(), self.el("p", 0, self.words(3, 20))])))
         if r.random() < 0.3:
             blocks = [self.el(r.choice(["div", "section"]), 1, "".join(blocks), ARTICLE)]
         if r.random() < 0.12:
@@ -127,10 +135,31 @@ class _Maker:
         return inner, 0
 
     def page(self) -> str:
-        if self.r.random() < 0.22:
+        x = self.r.random()
+        if x < 0.22:
             return self.plain_page()
+        if x < 0.34:
+            return self.nameless_page()
         return self.full_page()
 
+    def nameless_page(self) -> str:
+        """One or a few paragraphs in divs, beside lists of links, with names that tell nothing; at times laid out in a table."""
+        r = self.r
+        self.unknown, holder, names = True, r.choice(["div", "div", "div", "section"]), NEUTRAL
+        text = "".join(self.el("p", 1, self.words(*r.choice([(4, 14), (10, 40), (30, 90)]))) for _ in range(r.choice([1, 1, 1, 2, 4])))
+        links = lambda: self.el("div", 0, r.choice([" ", " | ", ""]).join(self.link() for _ in range(r.randint(2, 8))), names)
+        if r.random() < 0.25:
+            cells = [self.el("td", 1, text)] + [self.el("td", 0, "<br>".join(self.link() for _ in range(r.randint(2, 6)))) for _ in range(r.randint(1, 2))]
+            r.shuffle(cells)
+            body = self.el("table", 1, self.el("tr", 1, "".join(cells)))
+        else:
+            body = links() * (r.random() < 0.5) + self.el(holder, 1, text, names) + links() * (r.random() < 0.6)
+        self.unknown = r.random() < 0.7
+        if r.random() < 0.6:
+            body = f'<div id="{r.choice(NEUTRAL)}" data-y="{r.choice([0, 1])}">{body}</div>'
+        self.unknown = False
+        return f'<html><head><title>{self.words(2, 8)}</title></head><body data-y="0">{body}</body></html>'
+
     def plain_page(self) -> str:
         """A loose article alone, or between bare parts; at times without html or body tags."""
         r = self.r
