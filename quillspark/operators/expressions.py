@@ -95,7 +95,12 @@ def _emoji(text: str) -> str:
     return text
 
 
+_EXPANDED = "'i''m sure it isn''t, we''ll see; ' || text"
+for _old, _new in (("\\bwon't", "will not"), ("\\bcan't", "cannot"), ("\\bi'm", "i am"), ("\\blet's", "let us"), ("n't", " not"), ("'re", " are"), ("'ll", " will"), ("'ve", " have"), ("'d", " would")):
+    _EXPANDED = f"regexp_replace({_EXPANDED}, '{_old.replace(chr(39), chr(39) * 2)}\\b', '{_new}', 'gi')"
+
 SQL = {
+    "x06_contractions": f"SELECT doc_id, {_EXPANDED} AS text FROM documents",
     "x01_strip": f"SELECT doc_id, length({_STRIP('text')}) AS n, left(lower(text), 20) AS head FROM documents",
     "x02_truncate": "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || chr(10) || chr(10) || '...[truncated]' ELSE text END AS text FROM documents",
     "x03_normalise_lines": f"SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> ''), chr(10)), '') AS text FROM documents",

@@ -188,6 +188,10 @@ _SPAN = lambda tag: f"""(SELECT user_id, label, min(event_id) AS start, max(even
 _TRUTH = f"{_TAGS}[event_id * 7 % 8 + 1]"
 _PRED = f"{_TAGS}[event_id * CASE WHEN event_id % 5 = 0 THEN 3 ELSE 7 END % 8 + 1]"
 
+_ROUGE = lambda n: f"""WITH d AS (SELECT doc_id, w[1:len(w) - len(w) // 4] AS a, w[len(w) // 4 + 1:] AS b FROM (SELECT doc_id, {_W} AS w FROM documents)), a AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS(n)}) AS gram FROM (SELECT doc_id, a AS w FROM d)) GROUP BY ALL),
+      b AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS(n)}) AS gram FROM (SELECT doc_id, b AS w FROM d)) GROUP BY ALL)
+      SELECT doc_id, round(200.0::DOUBLE * sum(coalesce(least(a.n, b.n), 0) * CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0 ELSE 1 END) / greatest(1, sum(coalesce(a.n, 0) + coalesce(b.n, 0))), 4) AS f FROM a FULL JOIN b USING (doc_id, gram) GROUP BY doc_id"""
+
 SQL = {
     "t01_tf_idf": f"""WITH t AS (SELECT doc_id, unnest(list_concat(w, {_GRAMS(2)})) AS term FROM (SELECT doc_id, {_W} AS w FROM documents)), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
       k AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) <= 0.01::DOUBLE * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 100000),
@@ -216,9 +220,9 @@ SQL = {
     "g14_spans": f"SELECT * FROM {_SPAN(_TRUTH)}",
     "g14_span_metrics": f"""WITH t AS (SELECT * FROM {_SPAN(_TRUTH)}), p AS (SELECT * FROM {_SPAN(_PRED)}), h AS (SELECT count(*) AS n FROM (SELECT * FROM t INTERSECT SELECT * FROM p)),
       m AS (SELECT h.n / (SELECT count(*) FROM p) AS p, h.n / (SELECT count(*) FROM t) AS r FROM h) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / greatest(1e-9, p + r), 6) AS f1 FROM m""",
-    "g15_rouge": f"""WITH d AS (SELECT doc_id, w[1:len(w) - len(w) // 4] AS a, w[len(w) // 4 + 1:] AS b FROM (SELECT doc_id, {_W} AS w FROM documents)), a AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS(2)}) AS gram FROM (SELECT doc_id, a AS w FROM d)) GROUP BY ALL),
-      b AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS(2)}) AS gram FROM (SELECT doc_id, b AS w FROM d)) GROUP BY ALL)
-      SELECT doc_id, round(200.0::DOUBLE * sum(coalesce(least(a.n, b.n), 0) * CASE WHEN a.n IS NULL OR b.n IS NULL THEN 0 ELSE 1 END) / greatest(1, sum(coalesce(a.n, 0) + coalesce(b.n, 0))), 4) AS f FROM a FULL JOIN b USING (doc_id, gram) GROUP BY doc_id""",
+    "g15_rouge": _ROUGE(2),
+    "g15_rouge_1": _ROUGE(1),
+    "g15_generated_length": f"SELECT round(avg(len(w) - len(w) // 4), 4) AS gen_len FROM (SELECT {_W} AS w FROM documents)",
     "g16_class_balance": "SELECT toxic, count(*) AS n FROM labels GROUP BY toxic",
     "g24_vocabulary": "SELECT row_number() OVER (ORDER BY encode(c)) - 1 AS id, c AS char FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''",
 }
