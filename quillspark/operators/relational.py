@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -93,18 +94,28 @@ def _flow(s, d) -> DataFrame:
     return layers(_read(s, d, "region").select(name("r", "r_regionkey").alias("node")).union(edges.select("child")), edges)
 
 
+def _json(text: str) -> dict:
+    """A column, or a number, as a tree."""
+    return {"literal": {"this": text, "is_string": False}} if text.isdigit() else {"column": {"this": {"identifier": text}}}
+
+
 #: Suppliers with money by nation, as a tree.
-JSON_QUERY = """{"select": {"expressions": [
-    {"column": {"this": {"identifier": "n_name"}}},
-    {"alias": {"this": {"count": {"this": {"star": {}}}}, "alias": {"identifier": "n"}}},
-    {"alias": {"this": {"max": {"this": {"mul": {"this": {"column": {"this": {"identifier": "s_acctbal"}}}, "expression": {"literal": {"this": "2", "is_string": false}}}}}, "alias": {"identifier": "most"}}}]},
-  "from": {"expressions": [
-    {"table": {"this": {"identifier": "supplier"}, "alias": {"identifier": "s"}}},
-    {"table": {"this": {"identifier": "nation"}, "on": {"eq": {"this": {"column": {"this": {"identifier": "s_nationkey"}}}, "expression": {"column": {"this": {"identifier": "n_nationkey"}, "table": {"identifier": "nation"}}}}}}}]},
-  "where": {"and": {
-    "this": {"gt": {"this": {"column": {"this": {"identifier": "s_acctbal"}}}, "expression": {"literal": {"this": "100", "is_string": false}}}},
-    "expression": {"not": {"this": {"in": {"this": {"column": {"this": {"identifier": "n_name"}}}, "expressions": [{"literal": {"this": "FRANCE"}}, {"literal": {"this": "NATION_3"}}]}}}}}},
-  "group": {"expressions": [{"column": {"this": {"identifier": "n_name"}}}]}}"""
+JSON_QUERY = json.dumps({
+    "select": {"expressions": [
+        _json("n_name"),
+        {"alias": {"this": {"count": {"this": {"star": {}}}}, "alias": {"identifier": "n"}}},
+        {"alias": {"this": {"max": {"this": {"mul": {"this": _json("s_acctbal"), "expression": _json("2")}}}}, "alias": {"identifier": "most"}}},
+    ]},
+    "from": {"expressions": [
+        {"table": {"this": {"identifier": "supplier"}, "alias": {"identifier": "s"}}},
+        {"table": {"this": {"identifier": "nation"}, "on": {"eq": {"this": _json("s_nationkey"), "expression": _json("n_nationkey")}}}},
+    ]},
+    "where": {"and": {
+        "this": {"gt": {"this": _json("s_acctbal"), "expression": _json("100")}},
+        "expression": {"not": {"this": {"in": {"this": _json("n_name"), "expressions": [{"literal": {"this": "FRANCE"}}, {"literal": {"this": "NATION_3"}}]}}}},
+    }},
+    "group": {"expressions": [_json("n_name")]},
+})
 
 QUERIES = {
     "i01_equi_join": lambda s, d: _read(s, d, "orders").join(_lines(s, d), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(_revenue()),
