@@ -10,7 +10,9 @@ true label. The posteriors label a bounded sample of documents (`sample_docs`),
 words, beginnings and binned statistics) is trained; it scores all rows where they lie. There is one such model for quality
 and one for toxicity.
 
-A task numbers tokens as they first occur and looks at each distinct token once; a document is then a row of numbers.
+Texts are read once: a task numbers tokens as they first occur and looks at each distinct token once; a document is then a
+row of its votes and 16-bit feature buckets (`numbers`), kept as a table from which votes are counted, the sample is drawn
+and all rows are scored.
 
 Edge cases: null and empty text have no words; the labellers call them poor and not toxic, and they get scores like any
 other. Repeated rows get equal scores. Labels that are null, of unknown documents or repeated don't matter (a document is
@@ -163,16 +165,31 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch["text"].to_pylist()]
 
 
-def _vote(mined: tuple[frozenset[str], ...]):
+NUMBERS = "quality string, toxic string, n_words int, n_starts int, features binary"
+
+
+def _numbers(mined: tuple[frozenset[str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(mined)
         for batch in batches:
-            made = [votes(s) for s, _ in tokens.read(_texts(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in made], pa.string()), pa.array([t for _, t in made], pa.string())], ["quality", "toxic"])
+            made = [(*votes(s), *features(s, cores)) for s, cores in tokens.read(_texts(batch))]
+            quality, toxic, words, starts, buckets = zip(*made, strict=True) if made else [()] * 5
+            columns = [
+                pa.array(quality, pa.string()), pa.array(toxic, pa.string()), pa.array(words, pa.int32()), pa.array(starts, pa.int32()), pa.array(buckets, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["order"], *columns], ["id", "order", "quality", "toxic", "n_words", "n_starts", "features"])
 
     return run
 
 
+def numbers(docs: DataFrame, mined: tuple[frozenset[str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document as its votes and features (`features`), with order, a hash of id and text; texts are left behind."""
+    text = F.col(text_col).cast("string")
+    order = F.xxhash64(F.col(id_col).cast("string"), text, F.lit("sample"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), order.alias("order"))
+    return rows.mapInArrow(_numbers(mined), f"id {docs.schema[id_col].dataType.simpleString()}, order long, {NUMBERS}")
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct terms of each document, but for those of the kind that its part of the sample isn't for; and the least
     hash of its words, which copies and near copies share."""
@@ -205,7 +222,8 @@ def mine_terms(
     keep = min(1.0, label_rows / max(size["n"], 1))
     number = F.xxhash64(F.col(id_col).cast("string"), F.lit("mine"))
     labels = labels.where(share(number) < keep).withColumn("part", F.pmod(F.shiftright(number, 20), F.lit(len(MINED))).cast("int"))
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(labels, id_col)
+    # label_rows of them by their hashes, give or take chance, so texts needn't be shuffled
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(labels), id_col)
     terms = rows.select("text", "part", "toxic").mapInArrow(_terms, "kind int, term string, family long, toxic long")
     terms = terms.groupBy("kind", "term", "family").agg(F.max("toxic").alias("toxic"))
     terms = table(terms.groupBy("kind", "term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")), "terms")
@@ -251,43 +269,35 @@ class LabelModel:
         return float(self._posterior(np.array([["01-".index(c) for c in pattern]]))[0])
 
 
-def features(s: dict[str, float], cores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets and values: 1 for each binned statistic; the distinct words share a length of 1, and so do beginnings."""
+def features(s: dict[str, float], cores: np.ndarray) -> tuple[int, int, bytes]:
+    """How many distinct words and beginnings a document has, and their buckets, then those of the binned statistics."""
     bins = [hashed(f"#{k} {min(int(v), 3) if k in COUNTED else int(math.log2(v * 64 + 1) * 2)}") for k, v in s.items()]
-    starts = np.unique(cores[:, 1])
-    at = np.concatenate([cores[:, 0], starts, np.array(bins, dtype=np.int64)])
-    return at, np.concatenate([np.full(len(cores), max(len(cores), 1) ** -0.5), np.full(len(starts), max(len(starts), 1) ** -0.5), np.ones(len(bins))])
+    words, starts = np.sort(cores[:, 0]), np.unique(cores[:, 1])
+    return len(words), len(starts), np.concatenate([words, starts, np.array(bins, dtype=np.int64)]).astype("<u2").tobytes()
 
 
-def _labelled(mined: tuple[frozenset[str], ...]):
-    schema = pa.schema([("order", pa.int64()), ("quality", pa.string()), ("toxic", pa.string()), ("features", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+def unpacked(words: list[int], starts: list[int], buckets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and value of every feature: 1 for each binned statistic; the distinct words share a length of 1,
+    and so do beginnings."""
+    sizes = np.stack([np.array(words, np.int64), np.array(starts, np.int64), np.array([len(b) // 2 for b in buckets], np.int64)], axis=1)
+    sizes[:, 2] -= sizes[:, 0] + sizes[:, 1]
+    values = np.concatenate([np.maximum(sizes[:, :2], 1) ** -0.5, np.ones((len(sizes), 1))], axis=1)
+    owner = np.repeat(np.arange(len(sizes)), sizes.sum(axis=1))
+    return owner, np.frombuffer(b"".join(buckets), "<u2").astype(np.int64), np.repeat(values.ravel(), sizes.ravel())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(mined)
-        for batch in batches:
-            rows = []
-            for order, (s, cores) in zip(batch["order"].to_pylist(), tokens.read(_texts(batch)), strict=True):
-                q, x = votes(s)
-                where, values = features(s, cores)
-                rows.append({"order": order, "quality": q, "toxic": x, "features": where, "values": values})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return run
-
-
-def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, least_docs: int = 4, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train_scorer(rows: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, least_docs: int = 4, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic weights per bucket; buckets of fewer than least_docs sample documents keep weight 0."""
     w, bias = np.zeros(BUCKETS), 0.0
-    if not rows:
+    if not len(y):
         return w, bias
-    flat, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    owner, flat, x = rows
     some = np.bincount(flat, minlength=BUCKETS)[flat] >= least_docs
     flat, owner, x = flat[some], owner[some], x[some]
     size, size_b = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[flat] * x, minlength=len(rows)) + bias, -30, 30)))
-        gap = (y - p) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[flat] * x, minlength=len(y)) + bias, -30, 30)))
+        gap = (y - p) / len(y)
         g = np.bincount(flat, gap[owner] * x, minlength=BUCKETS) - decay * w
         size, size_b = size + g**2, size_b + gap.sum() ** 2
         w = w + rate * 0.2 * g / np.sqrt(size)
@@ -304,34 +314,37 @@ def fit(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 4000, mined: tuple[frozenset[str], ...] = (frozenset(),) * 3,
 ) -> Scorer:
     """Votes of all documents fit the label models; the sample_docs documents of the smallest hashes train the scorers."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("sample")).alias("order"))
-    counted = texts.select("text").mapInArrow(_vote(mined), "quality string, toxic string").groupBy("quality", "toxic").count()
+    rows = table(numbers(docs, mined, id_col, text_col), "quality-numbers")
+    scorer = fit_numbers(rows, mined, sample_docs)
+    drop_table(rows)
+    return scorer
+
+
+def fit_numbers(docs: DataFrame, mined: tuple[frozenset[str], ...], sample_docs: int = 4000) -> Scorer:
+    """fit() for documents that are numbers already."""
     counts: tuple[dict, dict] = ({}, {})
     total = 0
-    for r in counted.collect():  # at most a row per combination of votes
+    for r in docs.groupBy("quality", "toxic").count().collect():  # at most a row per combination of votes
         total += r["count"]
         for c, k in zip(counts, ("quality", "toxic"), strict=True):
             c[r[k]] = c.get(r[k], 0) + r["count"]
     labels = LabelModel(counts[0], 0.8), LabelModel(counts[1], 0.1)
-    for sample in least_hashes(texts, "order", sample_docs, total):
-        sample = sample.mapInArrow(_labelled(mined), "order long, quality string, toxic string, features array<long>, values array<double>")
-        rows, wanted = [], ([], [])
-        for r in sample.orderBy(share(F.col("order")), "order", F.size("features")).limit(sample_docs).toLocalIterator():
-            rows.append((np.array(r["features"], dtype=np.int64), np.array(r["values"])))
-            for y, model, k in zip(wanted, labels, ("quality", "toxic"), strict=True):
-                y.append(model(r[k]))
+    rows: list = []
+    for sample in least_hashes(docs.drop("id"), "order", sample_docs, total):
+        rows = list(sample.orderBy(share(F.col("order")), "order", "features").limit(sample_docs).toLocalIterator())
         if len(rows) >= min(sample_docs, total):
             break
-    return Scorer(train_scorer(rows, np.array(wanted[0])), train_scorer(rows, np.array(wanted[1])), labels, mined)
+    made = unpacked(*([r[k] for r in rows] for k in ("n_words", "n_starts", "features")))
+    wanted = [np.array([model(r[k]) for r in rows]) for model, k in zip(labels, ("quality", "toxic"), strict=True)]
+    return Scorer(train_scorer(made, wanted[0]), train_scorer(made, wanted[1]), labels, mined)
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, mined = model.value
-        tokens = Tokens(mined)
+        weights, bias = model.value
         for batch in batches:
-            found = (features(s, cores) for s, cores in tokens.read(_texts(batch)))
-            total = np.array([x @ weights[at] + bias for at, x in found]).reshape(-1, 2)
+            owner, at, x = unpacked(*(batch[k].to_pylist() for k in ("n_words", "n_starts", "features")))
+            total = np.stack([np.bincount(owner, weights[at, k] * x, minlength=batch.num_rows) + bias[k] for k in range(2)], axis=1)
             p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(p[:, 0]), pa.array(p[:, 1])], ["id", "quality", "toxic"])
 
@@ -340,10 +353,15 @@ def _score(model):
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, quality and toxic (0 to 1), and keep: quality of at least and toxicity below one half, for every row."""
-    weights = np.stack([scorer.quality[0], scorer.toxic[0]], axis=1), np.array([scorer.quality[1], scorer.toxic[1]]), scorer.mined
-    model = docs.sparkSession.sparkContext.broadcast(weights)  # two numbers per bucket and bounded dictionaries
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    return score_numbers(numbers(docs, scorer.mined, id_col, text_col), scorer, id_col)
+
+
+def score_numbers(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id") -> DataFrame:
+    """score() for documents that are numbers already."""
+    weights = np.stack([scorer.quality[0], scorer.toxic[0]], axis=1), np.array([scorer.quality[1], scorer.toxic[1]])
+    model = docs.sparkSession.sparkContext.broadcast(weights)  # two numbers per bucket
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.select("id", "n_words", "n_starts", "features")
     out = rows.mapInArrow(_score(model), f"id {kind}, quality double, toxic double").withColumnRenamed("id", id_col)
     return out.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
 
@@ -351,4 +369,5 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     mined = mine_terms(docs, read(spark, sf_dir, "labels"))
-    return score(docs, fit(docs, mined=mined)).withColumn("held_out", held_out())
+    rows = table(numbers(docs, mined), "quality-numbers")
+    return score_numbers(rows, fit_numbers(rows, mined)).withColumn("held_out", held_out())
