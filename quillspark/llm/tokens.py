@@ -13,7 +13,8 @@ verified before a frame is decompressed. Documents are range-partitioned by id,
 under a name of its own and then renames, so a task that is run again leaves one complete file. Files lie in the folder
 given, by default in the shared folder of spark.checkpoint.dir.
 
-Encoding splits a text before single spaces and looks units up among those already seen by the task. Plain byte-level
+Encoding splits a text before single spaces and looks units up among those already seen by the worker, which keeps one
+tokenizer with its units (a bounded number) from task to task. Plain byte-level
 BPE never merges across these places (checked for each text, else it is encoded whole), so ids equal those of the whole
 text. With any other tokenizer (a normaliser, a prefix space, further pre-tokenisers, merges that work otherwise) texts
 are always encoded whole.
@@ -24,6 +25,7 @@ Repeated rows are repeated in the file. An empty table gives no file and no row.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -46,6 +48,7 @@ from pyspark.sql import functions as F
 from .common import n_partitions, new_path, read, table
 
 MAGIC = b"QTOKENS1"
+MARKS = tuple(".,!?;:")
 FOOTER, FOOTER_SIZE = "<QQIB8s", 29
 FRAME = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("docs", "<u4"), ("ids", "<u8")])
 DOC = np.dtype([("id", "<i8"), ("null", "<u1"), ("ids", "<u4")])
@@ -68,12 +71,12 @@ class Encoder:
     #: a space that isn't a boundary of its own, as it stands between or after other white space
     UNSAFE = re.compile(r"\s \s|\s \Z")
 
-    def __init__(self, path: str, width: int, most: int = 800_000) -> None:
+    def __init__(self, path: str, width: int, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.type, self.most = Tokenizer.from_file(path), f"<u{width}", most
-        self.code = "H" if width == 2 else "I"
+        self.model, self.code = self.tokenizer.model, "H" if width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_level = splits_at_spaces(json.loads(self.tokenizer.to_str()))
         self.pieces = regex.compile(public_tokenizers.PATTERN)
@@ -86,36 +89,61 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
 
+    def new_piece(self, text: str) -> bytes:
+        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
     def piece(self, text: str) -> bytes:
         """Ids of one piece of the pre-tokeniser's pattern."""
         found = self.known.get(text)
         if found is None:
-            tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
-            found = self.known[text] = array(self.code, [t.id for t in tokens]).tobytes()
+            found = self.known[text] = self.new_piece(text)
         return found
 
     def unit(self, text: str) -> bytes:
-        if text.isalpha():  # letters are one piece, and so are they with a space before
-            return self.piece(text)
-        if text[:1] == " " and text[1:-1].isalpha() and text[-1] in ".,!?;:":
-            return self.piece(text[:-1]) + self.piece(text[-1])
-        if text[:1] == " " and text[1:].isalpha():
+        """Ids of text without a space in front."""
+        if text.isalpha():  # letters are one piece
             return self.piece(text)
         return b"".join(map(self.piece, self.pieces.findall(text)))
 
+    def spaced(self, text: str) -> bytes:
+        """Ids of a space and text, kept in seen: with letters a space is one piece."""
+        seen = self.seen
+        found = seen.get(text)
+        if found is None:
+            if text.isalpha():
+                found = self.new_piece(" " + text)
+            elif text[-1:] in MARKS and text[:-1].isalpha():
+                found = self.spaced(text[:-1]) + self.piece(text[-1])
+            else:
+                found = b"".join(map(self.piece, self.pieces.findall(" " + text)))
+            seen[text] = found
+        return found
+
     def __call__(self, text: str) -> bytes:
         if not self.byte_level or self.UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *units = text.split(" ")
         seen = self.seen
-        if len(seen) > self.most:
+        if len(seen) + len(self.known) > self.most:
             seen.clear()
             self.known.clear()
         for u in set(units).difference(seen):
-            seen[u] = self.unit(" " + u)
+            self.spaced(u)
         return self.unit(first) + b"".join(map(seen.__getitem__, units))
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, width: int, version: tuple[int, int]) -> Encoder:
+    return Encoder(path, width)
+
+
+def encoder(path: str, width: int) -> Encoder:
+    """The worker's encoder for the tokenizer at path, as the file is now."""
+    stat = os.stat(path)
+    return _encoder(path, width, (stat.st_mtime_ns, stat.st_size))
+
+
 class Writer:
     def __init__(self, out, width: int, frame_bytes: int) -> None:
         self.out, self.width, self.frame_bytes = out, width, frame_bytes
@@ -187,7 +215,7 @@ def _write(tokenizer: str, end_id: int, folder: str, width: int, frame_bytes: in
         part, writer, end = TaskContext.get().partitionId(), None, np.array([end_id], dtype=f"<u{width}").tobytes()
         store, root = fs.FileSystem.from_uri(folder)
         path, own = f"{root}/{part:06d}.tok", f"{root}/_{part:06d}-{uuid.uuid4().hex}"
-        encode = Encoder(tokenizer, width)
+        encode = encoder(tokenizer, width)
         for batch in batches:
             for doc, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
                 if writer is None:
