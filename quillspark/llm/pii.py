@@ -1,18 +1,20 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Base spans are what the patterns find: email, ip, card, phone. The field's nodes are the tokens of a document that hold a
-digit, a plus sign, an @ or an (at); its labels are those four kinds and none. Neighbouring tokens share a chain
-potential. Each token shares skip potentials with the latest one before it, however far away, that has the same letters
-and digits, the same shape, the same last four digits, or the same name before its @; so the skip edges grow with the
-document and not with the square of a repeated token's count. Loopy sum-product message passing runs over all documents
+digit, a plus sign, an @ or an (at), and runs of seven or more English digit words; its labels are those four kinds and
+none. Neighbouring tokens share a chain potential. Each token shares skip potentials with the first and the latest one
+before it, however far away, that has the same letters and digits, the same shape, the same last four digits, the same last
+seven digits counting those of the tokens that it continues, or the same name before its @; so the skip edges grow with
+the document and not with the square of a repeated token's count. Loopy sum-product message passing runs over all documents
 of an Arrow batch at once. Tokens of base spans are observed, the rest are inferred: evidence for one spelling of a
 number reaches its other spellings in the document. Runs of tokens inferred to be of a kind, clear of all base spans,
 are added.
 
 The field learns from a bounded sample (`sample_docs` and `sample_nodes`, by a hash of id and text). The labels are the
 base spans. As documents seldom spell a thing twice, documents with base spans are used again with one of these spelt
-otherwise at another place (labelled with its kind) and with an unrelated number, date or amount (labelled none): that
-teaches the skip potentials what to carry. Weights climb the pseudo-likelihood. All rows are searched where they lie,
+otherwise at another place (labelled with its kind) and with an unrelated number, date or amount (labelled none), and often
+with a telephone number of another length and grouping in place of theirs: that teaches the skip potentials what to carry,
+and the features not to learn the lengths and groups of the numbers in the sample by heart. Weights climb the pseudo-likelihood. All rows are searched where they lie,
 nothing is shuffled.
 
 All patterns run in time linear in the text, whatever it holds. Edge cases: null counts as empty and has no spans.
@@ -35,9 +37,10 @@ from .common import least_hashes, read, share
 
 KINDS = ("email", "ip", "card", "phone")
 K = len(KINDS) + 1  # label 0: none
-BITS = 12
+BITS = 16
 HASHES = 1 << BITS
-EDGES = 5  # chain; equal letters and digits; equal shape; equal last digits; equal name before the @
+EDGES = 6  # chain; equal letters and digits; equal shape; equal last four digits; equal name before the @; equal last seven digits of the run
+DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -47,7 +50,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 AT = re.compile(r"@|[(\[]at[)\]]", re.I)
 MARK = re.compile(r"[0-9@+]|[(\[][Aa][Tt][)\]]")
-TOKEN = re.compile(r"\S+")
+SPELT = [w for w in DIGITS if w != "oh"]
+_WORD = f"(?:{'|'.join(DIGITS)})"
+TOKEN = re.compile(rf"(?P<spelt>{_WORD}(?:[ -]{_WORD}){{6,}}(?!\w))|\S+", re.I)
 SHAPES = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\dA-Z_]+"), "a"))
 
 
@@ -99,14 +104,15 @@ class Graph:
         if not MARK.search(text):
             return
         spans = sorted((a, b, k) for k, a, b in spans)
-        at, before, previous_end, word = 0, None, -9, ""
-        latest: dict[tuple[int, str], int] = {}
+        at, before, previous_end, word, run = 0, None, -9, "", ""
+        known: dict[tuple[int, str], tuple[int, int]] = {}  # the first and the latest node of each key
         for m in TOKEN.finditer(text):
             token, (start, end) = m[0], m.span()
-            if not MARK.search(token):
+            spelt = m["spelt"] is not None
+            if not spelt and not MARK.search(token):
                 word = token
                 continue
-            core = token.strip("\"'.,;:!?#$%&*()[]<>|=")
+            core = "".join(DIGITS[w] for w in re.split("[ -]", token.lower())) if spelt else token.strip("\"'.,;:!?#$%&*()[]<>|=")
             at_sign = AT.search(core)
             if not core:
                 continue
@@ -122,8 +128,8 @@ class Graph:
             many = sum(digits >= n for n in (1, 4, 7, 10, 13, 20))
             valid = 13 <= digits <= 19 and _luhn("".join(c for c in core if c in "0123456789"))
             marks = [
-                "all", f"shape {shape[:40]}", f"digits {many}", f"number {len(core) == digits} {many} {valid}", f"at {at_sign[0].lower() if at_sign else ''}", f"dots {min(core.count('.'), 4)}",
-                f"first {token[0] if not token[0].isalnum() else ''}", f"before {word[-12:].lower()}", f"joined {joined}",
+                "all", f"shape {shape}", f"form {re.sub('9+', '9', shape)}", f"digits {many}", f"number {len(core) == digits} {many} {valid}", f"at {at_sign[0].lower() if at_sign else ''}", f"dots {min(core.count('.'), 4)}",
+                f"first {token[0] if not token[0].isalnum() else ''}", f"before {word.lower()}", f"joined {joined}", f"spelt {spelt}",
             ]
             self.features.append([zlib.crc32(f.encode()) & (HASHES - 1) for f in marks])
             self.where.append((doc, start, end))
@@ -131,17 +137,21 @@ class Graph:
             keys = [(1, re.sub(r"[\W_]", "", AT.sub("", core)).lower())]
             if digits > 2 or at_sign:
                 keys.append((2, shape))
+            figures = re.sub(r"[^0-9]", "", core)
+            run = (run + figures if joined else figures)[-7:]
             if digits > 3:
-                keys.append((3, re.sub(r"[^0-9]", "", core)[-4:]))
+                keys.append((3, figures[-4:]))
+            if figures and len(run) == 7:
+                keys.append((5, run))
             if at_sign and at_sign.start():
                 keys.append((4, re.sub(r"[\W_]", "", core[: at_sign.start()]).lower()))
             for kind, key in ([(0, "")] if joined else []) + keys:
-                other = before if kind == 0 else latest.get((kind, key))
-                if other is not None:
+                others = (before,) if kind == 0 else known.get((kind, key), ())
+                for other in dict.fromkeys(others):
                     for column, value in zip(self.edges, (other, node, kind), strict=True):
                         column.append(value)
                 if kind:
-                    latest[kind, key] = node
+                    known[kind, key] = others[0] if others else node, node
             before, previous_end, word = node, end, ""
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +194,7 @@ class Field:
         return belief / belief.sum(axis=1, keepdims=True)
 
 
-def train(graph: Graph, steps: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Field:
+def train(graph: Graph, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """Climb the pseudo-likelihood: each label given its token and the labels of its neighbours."""
     unary, pair = np.zeros((HASHES, K)), np.zeros((EDGES, K, K))
     features, a, b, kind = graph.arrays()
@@ -224,7 +234,7 @@ def added_spans(graph: Graph, marginals: np.ndarray, texts: list[str], base: lis
     def whole(node: int) -> bool:
         """Of a kind that is one token, or a card number by itself."""
         doc, start, end = graph.where[node]
-        return best[node] < 3 or (best[node] == 3 and sum(c.isdigit() for c in texts[doc][start:end]) >= 13)
+        return best[node] < 3 or (best[node] == 3 and sum(c.isdigit() for c in texts[doc][start:end]) >= 13) or texts[doc][start:end].replace(" ", "").isalpha()
 
     i, n = 0, len(kept)
     while i < n:
@@ -286,7 +296,8 @@ def respell(kind: int, text: str, r: random.Random) -> str:
     if len(parts) < 3:
         parts = [digits[:2], digits[2:5], digits[5:]]
     head, area, rest = parts[0], parts[1], parts[2:]
-    return r.choice([f"00{head} {area} {' '.join(rest)}", f"0{area}/{''.join(rest)}", f"({area}) {'-'.join(rest)}", f"({head}) {area}-{''.join(rest)}", digits, f"{area}.{'.'.join(rest)}"])
+    words = r.choice(" -").join(SPELT[int(d)] for d in digits)
+    return r.choice([f"00{digits}", words, f"0{area}{''.join(rest)}", f"00{head} {area} {' '.join(rest)}", f"0{area}/{''.join(rest)}", f"({area}) {'-'.join(rest)}", f"({head}) {area}-{''.join(rest)}", digits, f"{area}.{'.'.join(rest)}"])
 
 
 def unrelated(r: random.Random) -> str:
@@ -294,13 +305,25 @@ def unrelated(r: random.Random) -> str:
     n = lambda k: "".join(r.choices("0123456789", k=k))
     return r.choice([
         f"20{n(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(0, 23)}:{n(2)}", f"{r.randint(1, 9)}.{n(1)}.{n(1)}", f"${r.randint(1, 9)},{n(3)}.{n(2)}", n(r.randint(1, 6)),
-        n(8), n(11), f"#{n(5)}", f"{n(4)}/{n(7)}", f"{n(3)}-{n(7)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(4)}.{n(4)}", f"{n(2)}%", f"+{n(1)}", f"@{''.join(r.choices('abcdefgh', k=6))}",
+        n(8), n(11), n(r.randint(9, 15)), f"00{n(r.randint(8, 12))}", " ".join(r.choices(SPELT, k=r.randint(7, 14))), f"#{n(5)}", f"{n(4)}/{n(7)}", f"{n(3)}-{n(7)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(4)}.{n(4)}", f"{n(2)}%", f"+{n(1)}", f"@{''.join(r.choices('abcdefgh', k=6))}",
     ])
 
 
+def telephone(r: random.Random) -> str:
+    n = lambda k: "".join(r.choices("0123456789", k=k))
+    head, area, rest = str(r.randint(1, 999)), n(r.randint(2, 4)), [n(r.randint(3, 4)) for _ in range(2)]
+    return r.choice([f"+{head} {area} {''.join(rest)}", f"+{head} ({area}) {'-'.join(rest)}", f"+{head}-{area}-{'-'.join(rest)}", f"+{head}{area}{''.join(rest)}", f"+{head} {area} {' '.join(rest)}"])
+
+
 def varied(text: str, spans: list[tuple[int, int, int]], r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """text with one of its spans written once more in another spelling, and with an unrelated number; and its spans."""
     kind, start, end = r.choice(spans)
+    if kind == 3 and r.random() < 0.7:  # telephone numbers of other lengths and groups than the sample's
+        new = telephone(r)
+        other_text = text[:start] + new + text[end:]
+        other_spans = base_spans(other_text)
+        if (3, start, start + len(new)) in other_spans:
+            text, spans, end = other_text, other_spans, start + len(new)
     again, other = respell(kind, text[start:end], r), unrelated(r)
     breaks = [m.start() for m in re.finditer(r"(?<=\S) (?=\S)", text)]
     breaks = [i for i in breaks if not any(a < i < b for _, a, b in spans)] or [len(text)]
@@ -329,7 +352,7 @@ def _sampled(variants: int):
     return run
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, sample_nodes: int = 60_000, variants: int = 4) -> Field:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, sample_nodes: int = 60_000, variants: int = 16) -> Field:
     """Learn from the sample_docs documents of the smallest hashes, as far as they have nodes, whatever the table's size. The
     driver takes them in the order of the hash until sample_nodes nodes are full."""
     total = docs.count()

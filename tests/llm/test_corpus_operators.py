@@ -393,7 +393,8 @@ def test_op7_finds_other_spellings_and_little_else(spark):
     field, r = pii.fit(docs), random.Random(11)
     plain = [x["text"] for x in docs.select("text").collect() if x["text"] and not pii.base_spans(x["text"]) and 200 < len(x["text"]) < 3000][:300]
     planted = {0: "pq.rs77@mail3.example.org", 1: "61.7.128.9", 2: "4000 0012 3456 7899", 3: "+44 712 9834561"}
-    again = {0: ["pq.rs77(at)mail3.example.org", "PQ.RS77[at]mail3.example.org"], 1: ["61-7-128-9", "61:7:128:9"], 2: ["4000.0012.3456.7899", "40000012/34567899"], 3: ["00447129834561", "0712/9834561", "447129834561"]}
+    again = {0: ["pq.rs77(at)mail3.example.org", "PQ.RS77[at]mail3.example.org"], 1: ["61-7-128-9", "61:7:128:9"], 2: ["4000.0012.3456.7899", "40000012/34567899"], 3: ["00447129834561", "0712/9834561", "447129834561", "(0)712-9834561", "0044.712.9834561", "four four seven one two nine eight three four five six one"]}
+    again[1].append("61,7,128,9")  # like (0)712 and 0044.712, a spelling that training has not seen
     texts = []
     for i, text in enumerate(plain):
         words = text.split(" ")
@@ -406,13 +407,24 @@ def test_op7_finds_other_spellings_and_little_else(spark):
         graph.add(i, t, base[i])
     added = pii.added_spans(graph, field.marginals(graph), [t for t, _, _ in texts], base)
     right = sum(any(k == kind and t[a:b] in spelling for k, a, b in spans) for (t, kind, spelling), spans in zip(texts, added, strict=True))
-    assert right >= 0.6 * len(texts) and right >= 0.9 * sum(map(len, added))
+    assert right >= 0.9 * len(texts) and right >= 0.95 * sum(map(len, added))
     clean = pii.Graph()
     for i, t in enumerate(plain):
         clean.add(i, t, [])
     assert sum(map(len, pii.added_spans(clean, field.marginals(clean), plain, [[]] * len(plain)))) <= 0.02 * len(plain)
 
 
+def test_op7_edges_grow_with_the_document():
+    """Skip edges of a token said again and again go to the first and the latest one; digit words are nodes from seven on."""
+    text = "+49 301 2345678 " + "x 493012345678 " * 500 + "one two three four five six seven, one two three"
+    graph = pii.Graph()
+    graph.add(0, text, pii.base_spans(text))
+    assert len(graph.where) == 504 and len(graph.edges[0]) <= 2 * 5 * 504
+    ends = [text[a:b] for _, a, b in graph.where]
+    assert ends[-1] == "one two three four five six seven" and ends[:3] == ["+49", "301", "2345678"]
+    assert (2, 3, 5) in set(zip(*graph.edges, strict=True)) and (3, 4, 1) in set(zip(*graph.edges, strict=True))
+
+
 def test_op7_edges_carry_labels():
     """A number that the patterns find once is found in its other spelling of the same document."""
     texts = [f"call +49 30 {i:04d} {i * 7 % 9000 + 1000} now" for i in range(200)] + [f"room {i} floor {i % 7}" for i in range(200)]
