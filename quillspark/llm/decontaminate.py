@@ -45,7 +45,7 @@ def find_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, bro
     lengths = [r[0] for r in grams.select("length").distinct().collect()]  # at most n
     size = F.octet_length("gram") + F.coalesce(F.octet_length(F.concat_ws(",", "items")), F.lit(0)) + 64
     small = (grams.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes
-    held = F.broadcast if small else lambda df: df
+    held = F.broadcast if small else _merged
     hashes = docs.select(_key(id_col, text_col), F.transform(normalised_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("words"))
     windows = [
         F.expr(
@@ -62,6 +62,12 @@ def find_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, bro
     return found.groupBy("key").agg(F.collect_list(F.struct("length", "gram", "places", "items")).alias("hits"))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting. Spark judges a written table by its compressed files: hits repeat the same words and take
+    up 30 times theirs, so Spark would collect and broadcast them."""
+    return df.hint("merge")
+
+
 def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key")
 
@@ -84,10 +90,10 @@ def decontaminate(
     if hits.count() <= broadcast_keys:
         keys = F.broadcast(hits.select("key"))
         none = F.lit(None).cast(hits.schema["hits"].dataType).alias("hits")
-        both = held.join(keys, "key", "left_semi").join(hits, "key").select("d", "hits")
+        both = held.join(keys, "key", "left_semi").join(_merged(hits), "key").select("d", "hits")
         both = both.unionByName(held.join(keys, "key", "left_anti").select("d", none))
     else:
-        both = held.join(hits, "key", "left")
+        both = held.join(_merged(hits), "key", "left")
     both = both.select("d", normalised_words(F.col(f"d.`{text_col}`")).alias("words"), "hits")
     verified = F.expr(
         "filter(transform(coalesce(hits, array()), h -> named_struct('length', h.length, 'items', h.items, 'places',"
