@@ -1,8 +1,11 @@
 """What grows with the tables must not go through the driver, one task or one batch."""
 
+import random
 import re
+import time
 
 from quillspark.llm import decontaminate
+from quillspark.operators import bpe
 
 
 def executed(df) -> str:
@@ -19,3 +22,22 @@ def test_hits_are_not_broadcast(spark):
         plan = executed(out)
         assert not re.search(r"BroadcastHashJoin .*(Inner|LeftOuter)", plan) and "SortMergeJoin" in plan
         assert {r.doc_id for r in out.where("contamination.contaminated").collect()} == set(range(1, 50, 2))
+
+
+def test_long_and_many_words_are_encoded_fast():
+    v = bpe.Vocabulary()
+    for left, right in [("a", "b"), ("b", "c"), ("ab", "c"), ("abc", "a"), ("a", "bc"), ("a", "a"), ("aa", "aa")]:
+        v.add(v.ids[left], v.ids[right], 1)
+    order, rng = v.ranks(), random.Random(3)
+    for _ in range(500):
+        parts = word = rng.choices("abc", k=rng.randint(0, 12))
+        parts = [*parts]
+        while pairs := [(order[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in order]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.encode("".join(word), v) == [v.ids[p] for p in parts]
+    began = time.process_time()
+    assert len(bpe.encode("aaab" * 10_000, v)) == 20_000
+    for i in range(5_000):
+        bpe.encode(f"zx{i}", v)
+    assert time.process_time() - began < 4
