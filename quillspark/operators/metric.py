@@ -17,9 +17,11 @@ their number. Shells are rows of a table, joined by cell. Distances to pivots ar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from quillspark.plans.scan import row_number, scan, whole
 from quillspark.plans.shared import table
 
 SHELL, MOST_PIVOTS = 256, 1024
+#: So many queries at most are broadcast as a matrix; a task compares it with so many rows at a time.
+MOST_QUERIES, BLOCK = 32_768, 1024
 #: Distances to pivots are rounded differently from those between rows; bounds are this much wider.
 SLACK = 1e-9
 
@@ -117,18 +121,72 @@ def _in_shells(placed: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("shell", F.least(F.floor((F.col("_rn") - 1) / size), last)).drop("_rn", "_all")
 
 
-def nearest(base: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id", vec_col: str = "embedding", most: int = MOST_PIVOTS) -> DataFrame:
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed in the order of squared_distance()."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += (a[:, k] - b[:, k]) ** 2
+    return out
+
+
+def _meet(queries: pa.Array, asked: np.ndarray, n: int):
+    """The n nearest of a task's rows (vec, ids) to each of the asked vectors, as (query, _d, ids).
+
+    Products of matrices give each distance within a known error, and what that leaves among the n nearest so far is computed
+    anew. A task holds n rows a query and the distances of a block of rows and one of queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slack = np.finfo(np.float64).eps * (4 * asked.shape[1] + 16)
+        norms, bound = (asked**2).sum(axis=1) * (1 - slack), np.full(len(asked), np.inf)
+        held_q, held_d, held_id, held = np.empty(0, np.int64), np.empty(0), None, []
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                ids = part["ids"].to_pylist()
+                rows, first = np.stack(part["vec"].to_numpy(zero_copy_only=False)).astype(np.float64), np.array([x[0] for x in ids])
+                sizes = (rows**2).sum(axis=1) * (1 - slack)
+                found = [(held_q, held_d, np.arange(len(held)))]
+                for at in range(0, len(asked), BLOCK):
+                    q = slice(at, at + BLOCK)
+                    low = norms[q, None] + sizes[None, :] - 2 * (asked[q] @ rows.T)
+                    if len(rows) >= n and np.isinf(bound[q]).any():
+                        high = low + 2 * slack / (1 - slack) * (norms[q, None] + sizes[None, :])
+                        bound[q] = np.fmin(bound[q], np.partition(high, n - 1, axis=1)[:, n - 1])
+                    i, j = np.nonzero(~(low > bound[q, None]))
+                    found.append((i + at, _squares(rows[j], asked[i + at]), j + len(held)))
+                query, d, place = (np.concatenate([f[k] for f in found]) for k in range(3))
+                held, firsts = [*held, *ids], first if held_id is None else np.concatenate([held_id, first])
+                order = np.lexsort((firsts[place], d, query))
+                query, d, place = query[order], d[order], place[order]
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                last = rank == n - 1
+                bound[query[last]] = np.fmin(bound[query[last]], d[last])
+                keep = rank < n
+                held_q, held_d, place = query[keep], d[keep], place[keep]
+                held, held_id = [held[p] for p in place], firsts[place]
+        if held:
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(held_q)), pa.array(held_d), pa.array(held, batch.schema.field("ids").type)], ["query", "_d", "ids"])
+
+    return run
+
+
+def nearest(base: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id", vec_col: str = "embedding", most: int = MOST_QUERIES) -> DataFrame:
     """(query, id, distance, rank): the n nearest rows of each query, ties by id.
 
-    Queries are counted. Up to `most` of them are broadcast and meet the whole base, which is no more work than an index
-    with as many pivots; more go through an index. Both give the same rows. Null vectors have and are no neighbours.
+    Queries are counted. Up to `most` of them are broadcast and meet the whole base by products of matrices; more go through an
+    index. Both give the same rows. Null vectors have and are no neighbours.
     """
     asked = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("q")).where("q IS NOT NULL")
     count = asked.count()
     best = Window.partitionBy("query").orderBy("_d", "id")
+    if not count:
+        return asked.select("query", F.col("query").alias("id"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank"))
     if count <= most:
-        rows = base.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("vec IS NOT NULL")
-        pairs = rows.join(F.broadcast(asked), F.lit(True)).select("query", "id", squared_distance(F.col("vec"), F.col("q")).alias("_d"))
+        known = asked.toArrow().combine_chunks()
+        vectors = np.stack(known["q"].to_numpy()).astype(np.float64)
+        rows = _distinct(base, id_col, vec_col, n)
+        kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query", asked), ("ids", rows))}
+        pairs = rows.mapInArrow(_meet(known["query"].combine_chunks(), vectors, n), f"query {kinds['query']}, _d double, ids {kinds['ids']}")
+        pairs = pairs.select("query", "_d", F.explode("ids").alias("id"))
     else:
         index = Index(base, id_col, vec_col, n, max(8, 2 * math.isqrt(count)))
         if index.rows is None:

@@ -4,8 +4,12 @@ import random
 import re
 import time
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from quillspark.llm import decontaminate
-from quillspark.operators import bpe
+from quillspark.operators import bpe, metric
 
 
 def executed(df) -> str:
@@ -41,3 +45,23 @@ def test_long_and_many_words_are_encoded_fast():
     for i in range(5_000):
         bpe.encode(f"zx{i}", v)
     assert time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("kind", ["normal", "few values"])
+def test_many_queries_meet_vectors_without_clusters(spark, kind):
+    """Nothing can be pruned, distances are equal by the dozen, and more than an old limit of 1,024 queries ask."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 1, (3000, 16)) if kind == "normal" else rng.integers(0, 2, (3000, 16))
+    v = v.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").cache()
+    got = {}
+    began = time.time()
+    for r in metric.nearest(df, df.where("vec_id % 2 = 0"), 5).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    took = time.time() - began
+    for i in range(0, 3000, 2):
+        d = sum((v[:, k] - v[i, k]) ** 2 for k in range(16))
+        assert got[i] == np.lexsort((np.arange(3000), d))[:5].tolist()
+    assert took < 20
+    text = df.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding")
+    assert metric.nearest(text, text.where("vec_id % 500 = 0"), 3).count() == 18
