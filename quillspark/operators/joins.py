@@ -121,13 +121,20 @@ def _agents(s, d):
     return _read(s, d, "nation").select(F.col("n_nationkey").alias("agent"))
 
 
+def _newest_line(s, d) -> DataFrame:
+    """An order's line of the greatest number that has a status. Numbers repeat: the line that comes first in the files counts."""
+    lines = _read(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_linestatus", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    lines = lines.where("l_linenumber IS NOT NULL AND l_linestatus IS NOT NULL")
+    return newest_per_key(lines, ["o_orderkey"], ["l_linenumber"], ties=("_file", "_row")).select("o_orderkey", "l_linestatus")
+
+
 QUERIES = {
     "j01_lookup": lambda s, d: lookup(_read(s, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), _read(s, d, "nation").where("n_regionkey < 3"), "n_nationkey", "n_name", "unknown").select("s_suppkey", "n_name"),
     "j02_enrich": lambda s, d: enrich(_read(s, d, "part"), F.concat(F.lit(" "), F.upper("p_type")), _read(s, d, "part").groupBy("p_type").agg(F.count("*").alias("parts"), F.max("p_size").alias("most")), F.col("p_type"), "info").select("p_partkey", "info.parts", "info.most"),
     "j04_substring_match": _classified,
     "j05_cascade": lambda s, d: _read(s, d, "part").join(_classified(s, d).withColumnRenamed("p_name", "_n"), F.lower(F.trim(F.col("p_name"))) == F.col("_n"), "left").groupBy(F.coalesce("type", F.lit("unknown")).alias("type"), "confidence").agg(F.count("*").alias("n")),
     "j06_request_response": lambda s, d: pair_requests(_read(s, d, "events").where("event_type = 'signup'"), _read(s, d, "events").where("event_type = 'purchase'"), "user_id", "ts", 3600 * 24),
-    "j07_delegation_result": lambda s, d: _read(s, d, "orders").join(newest_per_key(_read(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"], ["l_linenumber"]), "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("l_linestatus", F.lit("none")).alias("result")),
+    "j07_delegation_result": lambda s, d: _read(s, d, "orders").join(_newest_line(s, d), "o_orderkey", "left").select("o_orderkey", "o_orderstatus", F.coalesce("l_linestatus", F.lit("none")).alias("result")),
     "j09_fan_out": lambda s, d: _agents(s, d).alias("a").join(_read(s, d, "region").alias("m"), F.col("a.agent") != F.col("m.r_regionkey")).select("agent", "r_regionkey"),
     "j10_zip": lambda s, d: _read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m")).select("conv_id", F.posexplode(F.arrays_zip(F.col("m.turn").alias("turn"), F.col("m.role").alias("role"))).alias("pos", "z")).select("conv_id", F.col("pos").cast("long").alias("pos"), "z.turn", "z.role"),
     "j11_positional_join": lambda s, d: zip_rows(_read(s, d, "labels").select("doc_id", "quality"), "doc_id", _read(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "conv_id", "turn", "role"), "at").select("doc_id", "quality", "conv_id", "turn", "role"),

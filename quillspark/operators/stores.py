@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 
-def newest_per_key(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
-    """The n newest rows of each key; Spark cuts each task's rows to n before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+def newest_per_key(df: DataFrame, keys: list[str], order: list[str], n: int = 1, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The n newest rows of each key, of equally new ones those that come first by ties; Spark cuts each task's rows to n
+    before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], *ties)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 

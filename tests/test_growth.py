@@ -4,12 +4,18 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate
 from quillspark.operators import bpe, metric
+from quillspark.plans import catalog
+
+from .oracle import SF, TABLES, duck_rows, spark_rows
 
 
 def executed(df) -> str:
@@ -65,3 +71,33 @@ def test_many_queries_meet_vectors_without_clusters(spark, kind):
     assert took < 20
     text = df.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding")
     assert metric.nearest(text, text.where("vec_id % 500 = 0"), 3).count() == 18
+
+
+def linked(tmp_path, **own) -> str:
+    """A folder of the small tables but for those given as arrow tables."""
+    for name in TABLES:
+        if name in own:
+            pq.write_table(own[name], tmp_path / f"{name}.parquet", row_group_size=1000)
+        else:
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_lines_of_one_number_count_by_their_place(spark, tmp_path):
+    n = 30_000
+    rng = np.random.default_rng(1)
+    lines = pq.read_table(f"{SF}/lineitem.parquet").slice(0, 5000)
+    lines = pa.concat_tables([lines] * 6)
+    lines = lines.set_column(lines.schema.get_field_index("l_linenumber"), "l_linenumber", pa.array(rng.integers(1, 4, n), pa.int32()))
+    lines = lines.set_column(lines.schema.get_field_index("l_linestatus"), "l_linestatus", pa.array([None if x == 2 else "OF"[x] for x in rng.integers(0, 3, n)]))
+    at = linked(tmp_path, lineitem=lines)
+    con = duckdb.connect(config={"threads": 1})  # several threads would read row groups in any order
+    for name in ("orders", "lineitem"):
+        con.execute(f"create view {name} as select * from '{at}/{name}.parquet'")
+    want = con.sql(catalog.SQL["j07_delegation_result"]).fetchall()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        assert sorted(map(tuple, catalog.QUERIES["j07_delegation_result"](spark, at).collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
