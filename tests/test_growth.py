@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate
-from quillspark.operators import bpe, metric
+from quillspark.operators import bpe, features, metric, pages
 from quillspark.plans import catalog
 
 from .oracle import SF, TABLES, duck_rows, spark_rows
@@ -101,3 +102,38 @@ def test_lines_of_one_number_count_by_their_place(spark, tmp_path):
         assert sorted(map(tuple, catalog.QUERIES["j07_delegation_result"](spark, at).collect())) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_pages_of_a_batch_are_parsed_in_slices(spark):
+    html = "".join(f'<a href="/{i}">link {i}</a>' for i in range(20))
+    df = spark.range(2 * pages.PAGES + 3, numPartitions=1).select("id", F.when(F.col("id") != 40, F.lit(html)).alias("html"), F.concat(F.lit("http://x.y/"), "id", F.lit("/")).alias("url"))
+    found = df.select("id", pages.page_fields(F.col("html"), F.col("url")).alias("f")).collect()
+    assert pages.PAGES <= 64 and [r.id for r in found] == list(range(2 * pages.PAGES + 3))
+    for r in found:
+        assert [(x.url, x.text) for x in r.f.links] == ([] if r.id == 40 else [(f"http://x.y/{i}", f"link {i}") for i in range(20)])
+
+
+def test_rows_of_their_own_id_are_not_shuffled(spark):
+    texts = ["a b a b c d e f", "one", "", None, "x y x y x y x y"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    sides = features._sides()
+    plan = executed(features.rouge_n(df, "doc_id", *sides, 2))
+    assert "Exchange" not in plan and "Generate" not in plan
+    more = df.union(spark.createDataFrame([(0, "b a b a"), (2, "q r s t"), (3, None)], df.schema))
+    for n in (1, 2):
+        want = {r[0]: r[1] for r in _rouge(more.collect(), n)}
+        got = {r.doc_id: round(r.f, 9) for r in features.rouge_n(more, "doc_id", *sides, n).collect()}
+        assert got == want and want[0] > 0
+        alone = {r.doc_id: round(r.f, 9) for r in features.rouge_n(df, "doc_id", *sides, n).collect()}
+        assert alone == dict(_rouge(df.collect(), n))
+
+
+def _rouge(rows, n):
+    """Counts of both sides by id, in plain Python."""
+    counts = {}
+    for r in rows:
+        w = (r.text or "").split()
+        for side, words in enumerate((w[: len(w) - len(w) // 4], w[len(w) // 4 :])):
+            for i in range(len(words) - n + 1):
+                counts.setdefault(r.doc_id, (Counter(), Counter()))[side][" ".join(words[i : i + n])] += 1
+    return [(k, round(200 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), 9)) for k, (a, b) in counts.items()]
