@@ -75,7 +75,20 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Edges with an end that isn't among nodes are ignored. Nodes on or below a cycle are in no layer and left out."""
     nodes = table(nodes.select("node").where("node IS NOT NULL").distinct(), "nodes")
     known = lambda end: nodes.select(F.col("node").alias(end))
-    edges = table(_clean(edges).join(known("parent"), "parent").join(known("child"), "child").select("parent", "child"), "edges")
+    every = table(_clean(edges).join(known("parent"), "parent").join(known("child"), "child").select("parent", "child"), "edges")
+    # ends of all ways are most of many graphs: they have no say in others' layers and follow from their parents' in one join
+    ends = every.select("child").subtract(every.select("parent"))
+    ends = table(ends, "ends")
+    inner = nodes.join(ends.withColumnRenamed("child", "node"), "node", "left_anti")
+    found = table(_inner_layers(table(inner, "inner"), table(every.join(ends, "child", "left_anti").select("parent", "child"), "edges")), "layers")
+    below = every.join(ends, "child", "left_semi").join(found.withColumnRenamed("node", "parent"), "parent", "left")
+    below = below.groupBy(F.col("child").alias("node")).agg((F.max("layer") + 1).alias("layer"), F.count_if(F.col("layer").isNull()).alias("_open"))
+    return found.union(below.where("_open = 0").select("node", "layer"))
+
+
+def _inner_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """layers() of distinct nodes and distinct edges between them."""
+    known = lambda end: nodes.select(F.col("node").alias(end))
     hung = anchors(edges, nodes.limit(0))
     ways = table(_between(edges, hung, None), "ways")
     tops = nodes.join(known("child").join(edges, "child", "left_semi").withColumnRenamed("child", "node"), "node", "left_anti")

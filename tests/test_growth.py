@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate
 from quillspark.operators import bpe, features, metric, pages
-from quillspark.plans import catalog
+from quillspark.plans import catalog, closures
 
 from .oracle import SF, TABLES, duck_rows, spark_rows
 
@@ -137,3 +137,16 @@ def _rouge(rows, n):
             for i in range(len(words) - n + 1):
                 counts.setdefault(r.doc_id, (Counter(), Counter()))[side][" ".join(words[i : i + n])] += 1
     return [(k, round(200 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), 9)) for k, (a, b) in counts.items()]
+
+
+def test_ends_of_ways_go_through_no_rounds(spark, monkeypatch):
+    """A thousand leaves of two parents each follow in one join; those below a cycle are in no layer."""
+    seen = []
+    own = closures.anchors
+    monkeypatch.setattr(closures, "anchors", lambda edges, stops: seen.append(edges.count()) or own(edges, stops))
+    pairs = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")] + [(p, f"l{i}") for i in range(1000) for p in ("a", "bc"[i % 2])] + [("y", "m"), ("a", "m")]
+    nodes = sorted({x for p in pairs for x in p} | {"alone"})
+    found = closures.layers(spark.createDataFrame([(x,) for x in nodes], "node string"), spark.createDataFrame(pairs, "parent string, child string"))
+    want = {"a": 0, "b": 1, "c": 2, "alone": 0} | {f"l{i}": 2 + i % 2 for i in range(1000)}
+    assert {r["node"]: r["layer"] for r in found.collect()} == want
+    assert seen == [4]  # edges to nodes that lead on: a-b, b-c, x-y, y-x
