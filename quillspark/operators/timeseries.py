@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +69,17 @@ def moving_average(df: DataFrame, key: str, order: list[str], value: str, alpha:
 
 
 def nucleus(df: DataFrame, key: str, weight: str, tie: str, p: float) -> DataFrame:
-    """Rows of each key by falling share, with share, until p is passed; the row that passes it is kept."""
+    """Rows of each key by falling share, with share, until p is passed; the row that passes it is kept.
+
+    Where all weights of a key are decimals of up to eight places, below ten billion, shares are compared exactly: a row
+    before which just p lies is kept, however sums of doubles would be rounded."""
     w = F.col(weight)
-    rows = scan(df, key, [f"-{weight}", tie], {"_all": whole(w), "_before": running(w, including=False)})
-    return rows.where(F.col("_before") / F.col("_all") <= p).withColumn("share", w / F.col("_all")).drop("_all", "_before")
+    cents = w.try_cast("decimal(18, 8)")
+    units, rough = (cents * 10**8).cast("decimal(18, 0)"), F.when(cents.cast("double").eqNullSafe(w.cast("double")), 0).otherwise(1)
+    outs = {"_all": whole(w), "_before": running(w, including=False), "_units": whole(units), "_under": running(units, including=False), "_rough": whole(rough)}
+    rows = scan(df, key, [f"-{weight}", tie], outs)
+    within = F.when(F.col("_rough") == 0, F.col("_under") <= F.col("_units").cast("decimal(28, 0)") * F.lit(Decimal(str(p)))).otherwise(F.col("_before") / F.col("_all") <= p)
+    return rows.where(within).withColumn("share", w / F.col("_all")).drop(*outs)
 
 
 def top_with_ties(df: DataFrame, key: str, weight: str, k: int) -> DataFrame:
