@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +36,7 @@ from .repeats import BASE, INVERSE, _powers
 WORD = re.compile(r"[^\W\d_]+")
 SMALL = 1e-100
 NEVER = np.log(1e-300)
+ROWS = 256  # texts of a batch that are looked at together
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -254,37 +254,43 @@ class _Numbers(dict):
         return n
 
 
-def _predict(model, most: int = 400_000):
+def _predict(model, most: int = 400_000, held: int = 1 << 22):
+    """Languages and scores of batches of texts, ROWS texts at a time. Between these, at most `most` words are kept, and of
+    many languages no more than have `held` numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, pieces, probs = model.value
         lattice, numbers, scores = Lattice(pieces), _Numbers(), np.zeros((0, len(names)))
+        keep = min(most, held // max(len(names), 1))
 
         def learn() -> np.ndarray:
             """Score the words that were numbered since the last call, all at once."""
             new = [spaced(w) for w in islice(numbers, len(scores), None)]
-            return np.concatenate([scores, word_log_probs(lattice, probs, new)])
+            return np.concatenate([scores, word_log_probs(lattice, probs, new)]) if new else scores
 
         for batch in batches:
-            langs, posts, places = [], [], []
-            if len(numbers) > most:
-                numbers.clear()
-                scores = scores[:0]
-            for text in batch["text"]:
-                words = WORD.findall((text.as_py() or "").lower())
-                if names and any(c.isalpha() for w in words for c in w):
-                    places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                else:
-                    places.append(None)
-            scores = learn()
-            for at in places:
-                if at is None:
-                    langs.append("und")
-                    posts.append(0.0)
-                    continue
-                total = scores[at].sum(axis=0)
-                best = int(total.argmax())
-                langs.append(names[best])
-                posts.append(float(1 / np.exp(total - total[best]).sum()))
+            langs, posts = [], []
+            for begin in range(0, batch.num_rows, ROWS):
+                places = []
+                if len(numbers) > keep:
+                    numbers.clear()
+                    scores = scores[:0]
+                for text in batch["text"].slice(begin, ROWS):
+                    words = WORD.findall((text.as_py() or "").lower())
+                    if names and any(c.isalpha() for w in words for c in w):
+                        places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                    else:
+                        places.append(None)
+                scores = learn()
+                for at in places:
+                    if at is None:
+                        langs.append("und")
+                        posts.append(0.0)
+                        continue
+                    total = scores[at].sum(axis=0)
+                    best = int(total.argmax())
+                    langs.append(names[best])
+                    posts.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(posts, pa.float64())], ["lang_pred", "score"])
 
     return run
@@ -295,11 +301,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     the posterior of lang_pred."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))  # a number per piece of the vocabulary and language
 
-    @F.pandas_udf("lang_pred string, score double")
-    def identify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        batches = (pa.RecordBatch.from_arrays([pa.array(x, pa.string(), from_pandas=True)], ["text"]) for x in texts)
+    @F.arrow_udf("lang_pred string, score double")
+    def identify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        batches = (pa.RecordBatch.from_arrays([x], ["text"]) for x in texts)
         for found in _predict(shared)(batches):
-            yield found.to_pandas()
+            yield found.to_struct_array()
 
     return docs.withColumn(out_col, identify(F.col(text_col).cast("string")))
 

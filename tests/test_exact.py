@@ -1,7 +1,12 @@
 """Results that rounding, the order of rows or the place of a text must not change."""
 
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillspark.llm import langid
 from quillspark.operators import timeseries
 
 
@@ -15,3 +20,23 @@ def test_a_row_after_just_half_is_kept(spark):
     assert got.where("key = 'c'").first().share == 0.75
     low = timeseries.nucleus(df.where("key = 'a'").withColumn("weight", F.col("weight") * 1e-10), "key", "weight", "id", 0.4)
     assert {r.id for r in low.collect()} == {0, 1}
+
+
+def test_texts_of_a_batch_are_predicted_in_slices(monkeypatch):
+    """Words of so many texts are held and scored at once, whatever the batch, and of many languages fewer are kept."""
+    asked = []
+    monkeypatch.setattr(langid, "word_log_probs", lambda lattice, probs, words: asked.append(words) or -np.tile(np.arange(1.0, probs.shape[1] + 1), (len(words), 1)))
+    texts = ["".join(chr(97 + int(d)) for d in str(i)) + " word" if i % 100 else None for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    def predict(langs: int, **held):
+        asked.clear()
+        shared = SimpleNamespace(value=([f"l{i:02}" for i in range(langs)], [b"a"], np.ones((1, langs))))
+        return pa.Table.from_batches(langid._predict(shared, **held)(iter([batch, batch]))).to_pylist()
+
+    want = [("l00", 1.0) if x else ("und", 0.0) for x in texts * 2]
+    for langs, held in ((40, {}), (40, {"held": 40 * 300})):
+        got = predict(langs, **held)
+        assert [r["lang_pred"] for r in got] == [x for x, _ in want] and all((r["score"] > 0) == (y > 0) for r, (_, y) in zip(got, want, strict=True))
+        assert max(map(len, asked)) <= 2 * langid.ROWS < 1000
+        assert (sum(map(len, asked)) == 991) == (not held)
