@@ -1,13 +1,17 @@
 """Results that rounding, the order of rows or the place of a text must not change."""
 
+import math
+import random
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid
-from quillspark.operators import timeseries
+from quillspark.operators import features, timeseries
 
 
 def test_a_row_after_just_half_is_kept(spark):
@@ -40,3 +44,31 @@ def test_texts_of_a_batch_are_predicted_in_slices(monkeypatch):
         assert [r["lang_pred"] for r in got] == [x for x, _ in want] and all((r["score"] > 0) == (y > 0) for r, (_, y) in zip(got, want, strict=True))
         assert max(map(len, asked)) <= 2 * langid.ROWS < 1000
         assert (sum(map(len, asked)) == 991) == (not held)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_terms_kept_by_their_hashes_are_those_kept_by_counting(spark, monkeypatch, repeated):
+    """The most frequent terms and their weights against plain Python, from texts in small slices, with and without shared ids;
+    no row is shuffled for its weights unless it shares its id."""
+    rng = random.Random(4)
+    texts = [None, "", "lone"] + [" ".join(rng.choices([f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)], k=rng.randint(1, 90))) for _ in range(120)]
+    ids = [None if i == 5 else i % 100 if repeated else i for i in range(len(texts))]
+    monkeypatch.setattr(features, "WORDS_AT_ONCE", 200)
+    tf = {}
+    for i, x in zip(ids, texts, strict=True):
+        w = (x or "").split()
+        tf.setdefault(i, Counter()).update([*w, *map(" ".join, zip(w, w[1:], strict=False))])
+    df, total = Counter(t for c in tf.values() for t in c), sum(tf.values(), Counter())
+    for most in (40, 300):
+        n = len(texts)
+        kept = sorted((t for t in df if df[t] <= 0.3 * n), key=lambda t: (-total[t], t))[:most]
+        want = {}
+        for i, c in tf.items():
+            v = {t: c[t] * (math.log((1 + n) / (1 + df[t])) + 1) for t in kept if t in c}
+            want |= {(i, t): x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+        found = features.tf_idf(docs, "doc_id", features._words(), 0.3, most)
+        got = {(r.doc_id, r.term): r.weight for r in found.collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and ("Generate" in plan) == repeated
