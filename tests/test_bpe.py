@@ -69,3 +69,34 @@ def test_round_trip(spark):
     assert all(r.same for r in rows) and [r.n_chars for r in rows] == [len(t or "") for t in texts]
     assert rows[0].n_tokens == len(bpe.encode(texts[0], v)) == 3
     assert bpe.lossless(df.limit(0), v, "doc_id").agg(F.count("*")).first()[0] == 0
+
+
+def test_words_are_those_of_whole_texts(spark):
+    """However white space is cut: Python finds the words of whole texts."""
+    import regex
+
+    assert set(bpe.SPACE) == {chr(c) for c in range(0x110000) if regex.match(r"\s", chr(c))}
+    rng = random.Random(7)
+    texts = ["".join(rng.choices([" ", " ", "a", "Bé", "'ll", "\n", "\t", "　", "\xa0", "\x1c", "7", "世", "😀", ".", "́"], k=rng.randint(0, 30))) for _ in range(400)] + [None, "", " ", "  ", " a", "a ", "a b  c"]
+    letters = bpe.alphabet()
+    want = Counter("".join(letters[b] for b in w.encode()) for t in texts for w in regex.findall(bpe.PATTERN, t or ""))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.word: r.n for r in bpe.word_counts(df).collect()} == want
+
+
+def test_words_are_not_written_in_each_round(spark, monkeypatch):
+    rng, written, table = random.Random(5), [], bpe.table
+    words = Counter("".join(rng.choices("abcdef", k=rng.randint(1, 9))) for _ in range(200))
+    monkeypatch.setattr(bpe, "table", lambda df, name: written.append(name) or table(df, name))
+    assert trained(spark, words, merges=20).merges == plain(words, 20).merges
+    assert written.count("words") == 1 and written.count("pairs") > 5
+    monkeypatch.setattr(bpe, "PENDING", 3)
+    assert trained(spark, words, merges=12).merges == plain(words, 12).merges
+    assert written.count("words") > 2
+
+
+def test_characters_are_ordered_as_tokens(spark):
+    ids = [0, 5, 300, 0xD6FF, 0xD700, 70_000]
+    assert sorted(ids, key=lambda i: bpe.character(i).encode()) == ids and len({bpe.character(i) for i in range(100_000)}) == 100_000
+    df = spark.createDataFrame([("".join(map(bpe.character, ids)), 2)], "word string, n long")
+    assert [r.pair for r in bpe._pairs(df).collect()] == [bpe.character(a) + bpe.character(b) for a, b in zip(ids, ids[1:], strict=False)]
