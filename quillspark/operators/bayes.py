@@ -2,12 +2,13 @@
 
 Rows are cut into folds once. One pass counts terms by fold and class; what a fold's model learns from is the whole count
 less the fold's own, so every fold and every smoothing comes from that table by subtraction, and no model is fitted twice.
-Held-out rows meet the counts of their fold and term in one join, and each gets the scores of all smoothings at once.
+Held-out rows meet the counts of their fold and term in one join, and each gets the scores of all smoothings at once: counts
+travel to their row, and logarithms are taken there. A term that only its own fold has weighs alike in every class, so it stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.classifiers import ALPHAS
@@ -20,18 +21,15 @@ def _per_class(classes: list, label: str, value: Column) -> Column:
     return F.array(*[F.coalesce(F.sum(F.when(F.col(label) == c, value)), F.lit(0)) for c in classes])
 
 
-def _plus(a: Column, b: Column, sign: int = 1) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + sign * y)
-
-
 class Counts:
     """Counts of (id, fold, label, words). Rows without words or label are left out. At most MOST_CLASSES labels; they, and a
     row of totals per fold, come to the driver."""
 
     def __init__(self, df: DataFrame, id_col: str, words: Column, label: str, fold: Column) -> None:
-        rows = df.select(F.col(id_col).alias("id"), fold.alias("fold"), F.col(label).alias("label"), words.alias("words")).where("label IS NOT NULL AND size(words) > 0")
-        terms = rows.select("id", "fold", "label", F.explode("words").alias("term")).groupBy("id", "fold", "label", "term").agg(F.count("*").alias("tf"))
-        self.terms = table(terms, "terms")
+        # a row's text travels once, and its terms are counted where it arrives; _outer: the plain form would split each text twice
+        rows = df.repartition(id_col).select(F.col(id_col).alias("id"), fold.alias("fold"), F.col(label).alias("label"), words.alias("words")).where("label IS NOT NULL")
+        terms = rows.select("id", "fold", "label", F.posexplode_outer("words").alias("at", "term")).where("at IS NOT NULL")
+        self.terms = table(terms.groupBy("id", "fold", "label", "term").agg(F.count("*").alias("tf")), "terms")
         self.classes = sorted(r[0] for r in self.terms.select("label").distinct().limit(MOST_CLASSES + 1).collect())
         if len(self.classes) > MOST_CLASSES:
             raise ValueError(f"more than {MOST_CLASSES} classes")
@@ -39,10 +37,10 @@ class Counts:
         self.by_fold = table(by_fold, "fold-terms")
         sums = F.array(*[F.sum(F.get("own", F.lit(i))) for i in range(len(self.classes))])
         self.by_term = self.by_fold.groupBy("term").agg(sums.alias("all"))
-        docs = self.terms.groupBy("fold", "label", "id").agg(F.sum("tf").alias("n"))
-        docs = docs.groupBy("fold").agg(_per_class(self.classes, "label", F.lit(1)).alias("docs"), _per_class(self.classes, "label", F.col("n")).alias("words"))
+        self.docs = table(self.terms.groupBy("fold", "label", "id").agg(F.sum("tf").alias("n")), "term-docs")
+        docs = self.docs.groupBy("fold").agg(_per_class(self.classes, "label", F.lit(1)).alias("docs"), _per_class(self.classes, "label", F.col("n")).alias("words"))
         self.folds = {r.fold: (r.docs, r.words) for r in docs.collect()}
-        self.vocabulary = self.by_term.count()
+        self.vocabulary = self.by_fold.select("term").distinct().count()
 
     def totals(self, without=None) -> tuple[list[int], list[int]]:
         """Rows and words of each class, but for one fold's."""
@@ -53,11 +51,16 @@ class Counts:
         """(id, fold, label, alpha, equal_priors, predicted) of every row, by the model that hasn't seen its fold. Of classes
         that score alike the least is predicted. equal_priors: whether classes count as equally likely, or by their rows."""
         k, n = len(self.classes), len(alphas)
-        seen = self.by_fold.join(self.by_term, "term").select("fold", "term", _plus(F.col("all"), F.col("own"), -1).alias("seen"))
-        logs = F.array(*[F.log(F.get("seen", F.lit(c)) + F.lit(a)) for a in alphas for c in range(k)])
-        hits = self.terms.join(seen.select("fold", "term", logs.alias("logs")), ["fold", "term"])
-        sums = F.array(*[F.sum(F.col("tf") * F.get("logs", F.lit(i))) for i in range(k * n)])
-        rows = hits.groupBy("id", "fold", "label").agg(sums.alias("sums"), F.sum("tf").alias("size"))
+        every = Window.partitionBy("term")  # a row per fold
+        seen = F.array(*[F.sum(F.get("own", F.lit(c))).over(every) - F.get("own", F.lit(c)) for c in range(k)])
+        seen = self.by_fold.select("fold", "term", seen.alias("seen")).where(F.exists("seen", lambda x: x > 0))
+        hits = self.terms.join(seen, ["fold", "term"]).select("id", "fold", "label", "tf", "seen", F.lit(0).cast("long").alias("n"))
+        none = F.array_repeat(F.lit(0).cast("long"), k)
+        hits = hits.union(self.docs.select("id", "fold", "label", F.lit(0).cast("long"), none, "n")).repartition("id")
+        rest = F.sum("n") - F.sum("tf")  # words that the fold's model hasn't seen
+        log = lambda x: F.coalesce(F.log(x), F.lit(0.0))
+        sums = F.array(*[F.sum(F.col("tf") * log(F.get("seen", F.lit(c)) + F.lit(a))) + rest * log(F.lit(a)) for a in alphas for c in range(k)])
+        rows = hits.groupBy("id", "fold", "label").agg(sums.alias("sums"), F.sum("n").alias("size"))
         models = []
         for fold in self.folds:
             docs, words = self.totals(fold)

@@ -1,6 +1,7 @@
 """Step deadlines, JSON queries, buffered shuffles, subscriptions, first responses and naive Bayes from counts."""
 
 import math
+import re
 import time
 from collections import Counter
 
@@ -240,3 +241,19 @@ def test_naive_bayes_is_that_of_fitted_models(spark):
     assert got == {(a, e): pytest.approx(plain_accuracy(docs, a, e, range(3))) for a in (0.1, 2.0) for e in (False, True)}
     weights = {r.term: r.weights for r in counts.model(1.0).collect()}
     assert len(weights) == 8 and all(sum(math.exp(w[c]) for w in weights.values()) == pytest.approx(1) for c in range(3))
+
+
+def test_naive_bayes_of_rare_words(spark):
+    """Words that one fold alone has, rows of nothing else, and repeated words; a row's counts travel to it, not its sums."""
+    import random
+
+    rng = random.Random(9)
+    docs = [(i, c, [f"only{i}"] * rng.randint(0, 3) + [f"pair{i // 6}"] * rng.randint(0, 2) + rng.choices("ab", weights=[1 + c, 2], k=rng.randint(0, 4)) + ["z"] * (i % 5 == 0)) for i in range(120) for c in [rng.choice([0, 1, 1])]]
+    docs = [d for d in docs if d[2]]
+    counts = bayes.Counts(spark.createDataFrame(docs, "id long, c int, words array<string>"), "id", F.col("words"), "c", F.col("id") % 3)
+    scores = counts.scores((0.1, 2.0))
+    assert scores.count() == len(docs) * 4
+    got = {(r.alpha, r.equal_priors): r.accuracy for r in counts.search((0.1, 2.0)).collect()}
+    assert got == {(a, e): pytest.approx(plain_accuracy(docs, a, e, range(3))) for a in (0.1, 2.0) for e in (False, True)}
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and not re.search(r"hashpartitioning\(id#\d+L, fold", plan)
