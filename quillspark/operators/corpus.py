@@ -140,22 +140,30 @@ def repeat_batches(df: DataFrame, id_col: str, epochs: int, batch: int) -> DataF
 def pack(df: DataFrame, id_col: str, tokens: Column, length: int, group: str) -> DataFrame:
     """(group, chunk, tokens): the tokens of each group, one document after the other, cut to length; the rest is dropped.
 
-    A document travels as one slice per chunk that it touches, not as one row per token.
+    A document travels once, as it is in df, and is cut to tokens where it arrives; tokens is computed twice. Chunks that lie in
+    one document stay there, so only what a document has of its first and last chunk travels again.
     """
-    rows = df.select(id_col, group, tokens.alias("_tokens")).where(F.size("_tokens") > 0)
-    rows = prefix.total_before(rows, id_col, F.size("_tokens"), "_at", group=(group,))
-    first, last = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.size("_tokens") - 1) / length)
+    rows = df.withColumn("_n", F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0)))
+    rows = prefix.total_before(rows, id_col, F.col("_n"), "_at", group=(group,)).where("_n > 0")
+    end, rows = F.col("_at") + F.col("_n"), rows.select(group, tokens.alias("_tokens"), "_at", "_n")
+    first, last = F.floor(F.col("_at") / length), F.floor((end - 1) / length)
+    inner, after = F.ceil(F.col("_at") / length), F.floor(end / length)  # chunks that begin here, up to the one that doesn't end here
 
     def part(chunk: Column) -> Column:
         start = F.greatest(chunk * length - F.col("_at"), F.lit(0))
-        stop = F.least((chunk + 1) * length - F.col("_at"), F.size("_tokens"))
+        stop = F.least((chunk + 1) * length - F.col("_at"), F.col("_n"))
         piece = F.slice("_tokens", (start + 1).cast("int"), (stop - start).cast("int"))
-        return F.struct(chunk.alias("chunk"), F.struct((F.col("_at") + start).alias("at"), piece.alias("piece")).alias("part"))
+        return F.struct(chunk.alias("chunk"), (F.col("_at") + start).alias("at"), piece.alias("tokens"))
 
-    # cut before exploding: an exploded row holds its piece, not the whole document
-    rows = rows.select(group, F.explode(F.transform(F.sequence(first, last), part)).alias("_p")).select(group, "_p.chunk", "_p.part")
-    out = rows.groupBy(group, "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["piece"])).alias("tokens"))
-    return out.where(F.size("tokens") == length)
+    def parts(chunks: Column) -> DataFrame:
+        # cut before exploding: an exploded row holds its piece, not the whole document; _outer: the plain form would cut twice
+        return rows.select(group, F.explode_outer(F.transform(chunks, part)).alias("_p")).select(group, "_p.*").where("chunk IS NOT NULL")
+
+    whole = parts(F.when(inner < after, F.sequence(inner, after - 1))).select(group, "chunk", "tokens")
+    edges = parts(F.array_distinct(F.array(first, last))).where(F.size("tokens") < length)
+    pieces = F.array_sort(F.collect_list(F.struct("at", "tokens")))
+    joined = edges.groupBy(group, "chunk").agg(F.flatten(F.transform(pieces, lambda p: p["tokens"])).alias("tokens"))
+    return whole.union(joined.where(F.size("tokens") == length))
 
 
 def _docs(s, d):

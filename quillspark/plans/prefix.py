@@ -51,13 +51,12 @@ def total_before(df: DataFrame, id_col: str, value: Column, out: str, ties: tupl
     keys = [*group, "_range"]
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    rows = rows.join(sums, on).drop(*[f"_k{i}" for i in range(len(keys))])
-    within = Window.partitionBy(*keys).orderBy(id_col, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(out, F.col("_before") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    return rows.drop("_range", "_value", "_before")
+    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_value"), F.lit(True).alias("_first"))
+    # a range's total before it is its first row, so rows are shuffled once, with no join before
+    rows = rows.withColumn("_first", F.lit(False)).unionByName(sums, allowMissingColumns=True)
+    within = Window.partitionBy(*keys).orderBy(F.desc("_first"), id_col, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(out, F.coalesce(F.sum("_value").over(within), F.lit(0))).where(~F.col("_first"))
+    return rows.drop("_range", "_value", "_first")
 
 
 def row_number(df: DataFrame, id_col: str, out: str = "rn", ties: tuple[str, ...] = (), group: tuple[str, ...] = ()) -> DataFrame:

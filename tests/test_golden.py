@@ -100,6 +100,24 @@ def test_packing_keeps_tokens(spark, parts):
     assert len(got) == sum(sum(len(t.split()) for _, x, t in rows if x == s) // 7 for s in "ab")
 
 
+@pytest.mark.parametrize("length", [1, 4, 33])
+def test_packing_of_texts_of_all_lengths(spark, length):
+    """Empty, null and one-word texts, such that fill chunks exactly or many of them, null sources; texts are shuffled once."""
+    rng = np.random.default_rng(length)
+    sizes = [0, 1, length - 1, length, length + 1, 2 * length, 5 * length + 3]
+    rows = [(int(i) * 3, [None, "a", "b"][i % 3], None if i % 11 == 5 else " ".join(f"{i}.{k}" for k in range(rng.choice(sizes)))) for i in rng.permutation(150)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    packed = corpus.pack(df, "doc_id", T.tokens(F.col("text")), length, "source")
+    got = [(r["source"], r["chunk"], r["tokens"]) for r in packed.collect()]
+    want = []
+    for s in (None, "a", "b"):
+        flat = [t for _, source, text in sorted(rows, key=lambda r: r[0]) if source == s for t in (text or "").split()]
+        want += [(s, k, flat[k * length : k * length + length]) for k in range(len(flat) // length)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_prefix_sums(spark, parts):
     df = spark.range(0, 10_000, 3).withColumn("v", F.col("id") % 7).repartition(parts)
